@@ -80,6 +80,17 @@ def words(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     return hashes, start, end, np.searchsorted(start, bounds)
 
 
+def word_prefixes(texts: list, sizes: tuple = (4, 6)) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of each word and of its first 4 and 6 bytes (salted), word after word; and the offsets of each text."""
+    data, bounds = join_texts([t.lower() if t else "" for t in texts])
+    inside = _WORD[data]
+    edge = np.flatnonzero(np.diff(np.concatenate(([False], inside)).astype(np.int8)))
+    start, end = edge[0::2], edge[1::2]
+    spans = ByteHash(data).spans
+    columns = [spans(start, end)] + [mix(spans(start, np.minimum(end, start + k)) + U(k)) for k in sizes]
+    return np.stack(columns, 1).ravel(), np.searchsorted(start, bounds) * len(columns)
+
+
 _STEP = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F,
          0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)
 

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .hashing import words
+from .hashing import word_prefixes
 from .linear import fit, folds, labelled_sample, predict
 from .store import id_text, ship
 
@@ -16,14 +16,14 @@ from .store import id_text, ship
 CATEGORIES = ("toxic", "toxic_repeated", "toxic_dense")
 #: Labelled documents used for fitting, at most.
 TRAIN_ROWS = 4000
-#: Words kept as features.
+#: Words and word beginnings kept as features.
 TERMS = 256
-#: Bound on the word hashes sent to the driver for one training document (its distinct words, evenly thinned beyond it).
-TRAIN_WORDS = 4000
+#: Bound on the hashes sent to the driver for one training document (evenly thinned beyond it).
+TRAIN_WORDS = 12_000
 
 
 def _select(sets: list[np.ndarray], y: np.ndarray) -> np.ndarray:
-    """The word hashes whose presence sets the two classes apart most (signed root of the likelihood ratio)."""
+    """The hashes of words and word beginnings whose presence sets the two classes apart most (signed root of the likelihood ratio)."""
     word, place = np.unique(np.concatenate(sets) if sets else np.zeros(0, np.uint64), return_inverse=True)
     owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     pos = np.bincount(place, weights=y[owner], minlength=len(word))
@@ -39,7 +39,7 @@ def _select(sets: list[np.ndarray], y: np.ndarray) -> np.ndarray:
 
 
 def _features(hashes: np.ndarray, at: np.ndarray, terms: np.ndarray, strong: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Presence of each term; hits of strong terms; words per text."""
+    """Presence of each term; hits of strong terms; hashes per text."""
     n = len(at) - 1
     owner = np.repeat(np.arange(n), np.diff(at))
     place = np.searchsorted(terms, hashes)
@@ -96,7 +96,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Chain:
 
     def hashed(batches):
         for b in batches:
-            h, _, _, at = words(b.column(1).to_pylist())
+            h, at = word_prefixes(b.column(1).to_pylist())
             bags = []
             for i in range(b.num_rows):
                 bag = h[at[i] : at[i + 1]]
@@ -120,7 +120,7 @@ def score_toxicity(docs: DataFrame, chain: Chain, threshold: float = 0.5, id_col
         for b in batches:
             for lo in range(0, b.num_rows, 1000):
                 some = b.slice(lo, 1000)
-                h, _, _, at = words(some.column(1).to_pylist())
+                h, at = word_prefixes(some.column(1).to_pylist())
                 p = chain.score(h, at)
                 yield pa.RecordBatch.from_arrays(
                     [some.column(0), *[pa.array(p[:, k]) for k in range(len(CATEGORIES))], pa.array(p[:, 0] >= threshold)], names
