@@ -7,7 +7,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -210,7 +210,7 @@ def _links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, threshol
     return links, label
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text", with_key: bool = False) -> DataFrame:
     """One row per document: class_id, n_links and n_copies.
 
     Two different texts are linked if the Jaccard likeness of their sets of ``shingle``-word runs is at least
@@ -223,7 +223,8 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, i
        and one label per text leave a tile.
 
     Null and empty texts, and texts without a word, are linked to nothing but their copies; texts of 1 to
-    shingle-1 words have one run of all their words. An empty table gives no rows.
+    shingle-1 words have one run of all their words. An empty table gives no rows. ``with_key`` adds the MD5 of
+    the text, which tells rows with one id apart.
     """
     base = id_text(docs, id_col, text_col)
     ids = base.select("doc_id", F.unhex(F.md5(F.encode(F.coalesce("text", F.lit("")), "UTF-8"))).alias("key"))
@@ -298,4 +299,14 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, i
     texts = cut(texts.withColumn("label", F.coalesce("label", "key")), "texts")
     least = texts.groupBy("label").agg(F.min("rep").alias("class_id"))
     texts = texts.join(least, "label").select("key", "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), (F.col("n") - 1).alias("n_copies"))
-    return ids.join(texts, "key").select("doc_id", "class_id", "n_links", "n_copies")
+    return ids.join(texts, "key").select("doc_id", "class_id", "n_links", "n_copies", *["key"] * with_key)
+
+
+def one_of_each(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """The rows of ``docs`` without near copies: of each class the document with the least doc_id stays, whole; exact repeats of its row go."""
+    near = near_duplicates(docs, threshold, with_key=True)
+    kept = near.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_id"), F.col("key").alias("_kept")).distinct()
+    keyed = docs.withColumn("_key", F.unhex(F.md5(F.encode(F.coalesce("text", F.lit("")), "UTF-8"))))
+    some = keyed.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_kept")), "left_semi")
+    first = F.row_number().over(Window.partitionBy("doc_id", "_key").orderBy(F.monotonically_increasing_id()))
+    return some.withColumn("_n", first).where("_n = 1").select(*docs.columns)

@@ -201,3 +201,18 @@ def score_quality(docs: DataFrame, model: CoTraining, threshold: float = 0.5) ->
 def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Trains on the labelled documents and scores all."""
     return score_quality(docs, train(docs, labels), threshold)
+
+
+def keep_good(docs: DataFrame, model: CoTraining, threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that the model keeps, with all their columns."""
+    schema = docs.schema
+
+    def run(batches):
+        for b in batches:
+            for lo in range(0, b.num_rows, 1000):
+                some = b.slice(lo, 1000)
+                text, lang, source, n = (some.column(some.schema.get_field_index(c)).to_pylist() for c in ("text", "lang", "source", "n_chars"))
+                p = model.score([text_features(text), metadata_features(lang, source, n)])
+                yield some.filter(pa.array(p[:, 2] >= threshold))
+
+    return docs.mapInArrow(run, schema)

@@ -5,13 +5,37 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprints, media, packing, sharding
+from . import bpe, chaining, fingerprints, jaccard, media, packing, quality, sharding, suffixes, toxicity
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.dedup_substrings(_docs(spark, sf_dir), limit=200)
+
+
+def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(_docs(spark, sf_dir), threshold=0.8, shingle=5)
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(_docs(spark, sf_dir), _labels(spark, sf_dir))
+
+
+def op5_fuzzy_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chaining.fuzzy_passages(_docs(spark, sf_dir), min_words=50, likeness=0.8)
+
+
+def op8_quality_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(_docs(spark, sf_dir), _labels(spark, sf_dir))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     return bpe.encode_documents(_docs(spark, sf_dir), ranks, public_tokenizers.PATTERN)
@@ -34,6 +58,11 @@ def op10_media_sniffing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_suffix_array_dedup": op1_suffix_array_dedup,
+    "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
+    "op3_toxicity": op3_toxicity,
+    "op5_fuzzy_passages": op5_fuzzy_passages,
+    "op8_quality_cotraining": op8_quality_cotraining,
     "op4_byte_bpe": op4_byte_bpe,
     "op6_feistel_sharding": op6_feistel_sharding,
     "op7_concat_packing": op7_concat_packing,

@@ -54,10 +54,11 @@ def ship(spark: SparkSession) -> None:
     setattr(sc, "_shipped_" + PACKAGE, True)
 
 
-def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Only the two input columns, as ``doc_id`` and ``text``: other columns cannot clash."""
+def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", extra_col: str | None = None) -> DataFrame:
+    """Only the input columns asked for, as ``doc_id``, ``text`` (and ``extra``): other columns cannot clash."""
     ship(docs.sparkSession)
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    extra = [F.col(extra_col).alias("extra")] if extra_col else []
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *extra)
 
 
 def keyed(docs: DataFrame) -> DataFrame:

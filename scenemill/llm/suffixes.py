@@ -174,22 +174,23 @@ def _anchors(limit: int):
 
 
 def _packed(docs: DataFrame) -> DataFrame:
-    """(doc_id, th, z): texts compressed, so that they shuffle at a third of their size."""
+    """(doc_id, th, z, extra): texts compressed, so that they shuffle at a third of their size."""
+    extra = docs.schema["extra"].dataType.simpleString()
 
     def run(batches):
         for b in batches:
             press = zstandard.ZstdCompressor(level=1)
             z = [press.compress((t or "").encode("utf-8", "replace")) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(z, pa.binary())], ["doc_id", "th", "z"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(3), pa.array(z, pa.binary()), b.column(2)], ["doc_id", "th", "z", "extra"])
 
-    return docs.mapInArrow(run, "doc_id long, th long, z binary")
+    return docs.select("doc_id", "text", "extra", "th").mapInArrow(run, f"doc_id long, th long, z binary, extra {extra}")
 
 
 def _same_row(a: DataFrame, b: DataFrame):
     return a["doc_id"].eqNullSafe(b["doc_id"]) & (a["th"] == b["th"])
 
 
-def dedup_substrings(docs: DataFrame, limit: int = 200, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
+def dedup_substrings(docs: DataFrame, limit: int = 200, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, carry: tuple = ()) -> DataFrame:
     """Removes each byte covered by a ``limit``-byte string that also starts anywhere else in the corpus.
 
     1. Each window of ``limit`` bytes is dealt by its anchor (see :func:`_anchors`); neighbouring windows
@@ -202,10 +203,11 @@ def dedup_substrings(docs: DataFrame, limit: int = 200, id_col: str = "doc_id",
     Null and empty texts, and texts shorter than ``limit``, lose nothing; repeated rows are documents of
     their own and so lose everything from ``limit`` bytes on; null ids are kept; an empty table gives
     no rows. Removal is judged on UTF-8 bytes of the input; ``with_text`` adds ``text``, the rest with
-    characters that were cut in two left out.
+    characters that were cut in two left out, and ``carry`` names input columns that go along.
     """
-    rows = keyed(id_text(docs, id_col, text_col))
-    places = rows.mapInArrow(_anchors(limit), "h long, sh long, doc_id long, th long, start long, windows int")
+    kept_columns = F.struct(*[F.col(c) for c in carry]) if carry else F.struct(F.lit(0).alias("none"))
+    rows = keyed(id_text(docs.withColumn("_extra", kept_columns), id_col, text_col, "_extra"))
+    places = rows.select("doc_id", "text", "th").mapInArrow(_anchors(limit), "h long, sh long, doc_id long, th long, start long, windows int")
     shared = places.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
     found = cut(places.join(shared, "h", "left_semi"), "spans")
     kinds = found.groupBy("h", "sh").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "th", "start", "windows")).alias("at"))
@@ -269,7 +271,7 @@ def dedup_substrings(docs: DataFrame, limit: int = 200, id_col: str = "doc_id",
         for b in batches:
             unpack = zstandard.ZstdDecompressor()
             out = [[] for _ in names]
-            for doc, z, hit in zip(*(c.to_pylist() for c in b.columns)):
+            for doc, z, hit in zip(*(b.column(k).to_pylist() for k in range(3))):
                 raw = unpack.decompress(z)
                 cover = np.zeros(len(raw) + 1, np.int32)
                 for x in hit or []:
@@ -282,7 +284,10 @@ def dedup_substrings(docs: DataFrame, limit: int = 200, id_col: str = "doc_id",
                 row = (doc, len(raw), int(gone.sum()), n_spans, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore"))
                 for k in range(len(names)):
                     out[k].append(row[k])
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.string() if k >= 4 else pa.int64()) for k, x in enumerate(out)], names)
+            columns = [pa.array(x, pa.string() if k >= 4 else pa.int64()) for k, x in enumerate(out)]
+            yield pa.RecordBatch.from_arrays([*columns, b.column(3)], [*names, "extra"])
 
+    extra = rows.schema["extra"].dataType.simpleString()
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", text string" * with_text
-    return packed.join(hits, _same_row(packed, hits), "left").select(packed["doc_id"], "z", "hits").mapInArrow(remove, schema)
+    done = packed.join(hits, _same_row(packed, hits), "left").select(packed["doc_id"], "z", "hits", "extra").mapInArrow(remove, f"{schema}, extra {extra}")
+    return done.select(*names, *[F.col(f"extra.{c}").alias(c) for c in carry])

@@ -133,3 +133,16 @@ def score_toxicity(docs: DataFrame, chain: Chain, threshold: float = 0.5, id_col
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Trains on the labelled documents and scores all; without labels every document gets probability 1/2 or less and none is toxic."""
     return score_toxicity(docs, train(docs.select(F.col("doc_id").cast("long"), "text"), labels), threshold)
+
+
+def drop_toxic(docs: DataFrame, chain: Chain, threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that the chain does not call toxic, with all their columns."""
+
+    def run(batches):
+        for b in batches:
+            for lo in range(0, b.num_rows, 1000):
+                some = b.slice(lo, 1000)
+                p = chain.score(*word_prefixes(some.column(some.schema.get_field_index("text")).to_pylist()))
+                yield some.filter(pa.array(p[:, 0] < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
