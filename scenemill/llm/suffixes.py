@@ -208,7 +208,8 @@ def dedup_substrings(docs: DataFrame, limit: int = 200, id_col: str = "doc_id",
     kept_columns = F.struct(*[F.col(c) for c in carry]) if carry else F.struct(F.lit(0).alias("none"))
     rows = keyed(id_text(docs.withColumn("_extra", kept_columns), id_col, text_col, "_extra"))
     places = rows.select("doc_id", "text", "th").mapInArrow(_anchors(limit), "h long, sh long, doc_id long, th long, start long, windows int")
-    shared = places.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    # written, so that the join below deals plain rows and Spark can split the anchors of very common passages
+    shared = cut(places.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "anchors")
     found = cut(places.join(shared, "h", "left_semi"), "spans")
     kinds = found.groupBy("h", "sh").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "th", "start", "windows")).alias("at"))
     wanted = kinds.groupBy(F.col("at.doc_id").alias("doc_id"), F.col("at.th").alias("th")).agg(
