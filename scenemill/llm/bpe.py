@@ -190,8 +190,8 @@ def encode_documents(
                         try:
                             found.append(pieces[p])
                         except KeyError:
-                            hard = p[:1] not in "^ " or p == " " or p[0] == " " and p[1:2].isspace()
-                            pieces[p] = None if hard else coded(p[1:] if p[0] == "^" else p)
+                            hard = p[:1] not in "^ " or p == " " or p[:1] == " " and p[1:2].isspace()
+                            pieces[p] = None if hard else coded(p[1:] if p[:1] == "^" else p)
                             found.append(pieces[p])
                     if None in found or text and "\0" in text:
                         found = [coded(text)]

@@ -45,7 +45,7 @@ def _features(hashes: np.ndarray, at: np.ndarray, terms: np.ndarray, strong: np.
     place = np.searchsorted(terms, hashes)
     ok = place < len(terms)
     ok[ok] = terms[place[ok]] == hashes[ok]
-    counts = np.bincount(owner[ok] * max(len(terms), 1) + place[ok], minlength=n * max(len(terms), 1)).reshape(n, -1)[:, : len(terms)]
+    counts = np.bincount(owner[ok] * max(len(terms), 1) + place[ok], minlength=n * max(len(terms), 1)).reshape(n, max(len(terms), 1))[:, : len(terms)]
     return (counts > 0).astype(float), counts[:, strong].sum(1).astype(float), np.diff(at).astype(float)
 
 
