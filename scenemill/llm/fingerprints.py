@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+import struct
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,7 +18,7 @@ from .store import cut, id_text
 MODULUS = (1 << 31) - 1
 BASES = (911_382_323, 972_663_749)
 #: Prefixes and suffixes are recorded at this many lengths per doubling of the length.
-PER_OCTAVE = 16
+PER_OCTAVE = 8
 
 _POW: list[np.ndarray] = []
 
@@ -89,16 +91,16 @@ def grid(n: int) -> np.ndarray:
     return np.array(out, np.int64)
 
 
-def fingerprint(h: PrefixHash) -> str:
-    """Length, whole-text hash, then 16 bits of each recorded prefix and of each recorded suffix (hex)."""
+def fingerprint(h: PrefixHash) -> bytes:
+    """Length and whole-text hash (8 bytes each), then 16 bits of each recorded prefix and of each recorded suffix."""
     at, m, powers = grid(h.n), np.uint64(MODULUS), _powers(h.n + 1)
     whole = h.span(0, h.n)
     prefix = (h.rows[0][at] * np.uint64(1_000_003) + h.rows[1][at]) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(48)
     parts = []
-    for row, power in zip(h.rows, powers):  # a suffix times B**-start, made comparable by B**(length)
+    for row, power in zip(h.rows, powers):  # a suffix carries the factor B**start: divided out, it compares across texts
         parts.append((row[h.n] + m - row[h.n - at]) % m * _inverse(power, h.n - at) % m)
     suffix = (parts[0] * np.uint64(1_000_003) + parts[1]) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(48)
-    return f"{h.n:x}:{whole[0]:08x}{whole[1]:08x}:" + prefix.astype(">u2").tobytes().hex() + ":" + suffix.astype(">u2").tobytes().hex()
+    return struct.pack(">QII", h.n, *whole) + prefix.astype(">u2").tobytes() + suffix.astype(">u2").tobytes()
 
 
 _INV: list[np.ndarray] = []
@@ -116,27 +118,27 @@ def _inverse(power: np.ndarray, at: np.ndarray) -> np.ndarray:
     return _INV[k][at]
 
 
-def likeness(a: str, b: str) -> float:
+def likeness(a: bytes, b: bytes) -> float:
     """Share of the longer text that lies in the common prefix and suffix two fingerprints show (0 to 1).
 
     Equal fingerprints give 1. Otherwise the longest recorded prefix and suffix on which both agree
     (found by binary search: agreement at a length implies it at all shorter ones) count,
-    without overlap; they are lower bounds to a sixteenth of their length.
+    without overlap; they are lower bounds to an eighth of their length.
     """
     if a == b:
         return 1.0
-    (na, _, pa_, sa), (nb, _, pb, sb) = a.split(":"), b.split(":")
-    na, nb = int(na, 16), int(nb, 16)
+    na, nb = (struct.unpack(">Q", x[:8])[0] for x in (a, b))
     lengths = grid(min(na, nb))
 
-    def agreed(x: str, y: str) -> int:
+    def agreed(x: bytes, y: bytes) -> int:
         low, high = 0, len(lengths)
         while low < high:
             mid = (low + high + 1) // 2
-            low, high = (mid, high) if x[4 * mid - 4 : 4 * mid] == y[4 * mid - 4 : 4 * mid] else (low, mid - 1)
+            low, high = (mid, high) if x[2 * mid - 2 : 2 * mid] == y[2 * mid - 2 : 2 * mid] else (low, mid - 1)
         return int(lengths[low - 1]) if low else 0
 
-    same = min(agreed(pa_, pb) + agreed(sa, sb), min(na, nb))
+    ends = [16 + (len(x) - 16) // 2 for x in (a, b)]
+    same = min(agreed(a[16:], b[16:]) + agreed(a[ends[0] :], b[ends[1] :]), min(na, nb))
     return same / max(na, nb)
 
 
@@ -144,7 +146,7 @@ def _points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-_OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, common_prefix_edited long, common_prefix_next long"
+_OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double, common_prefix_edited long, common_prefix_next long"
 
 
 def _row(doc: int, text: str, following: str) -> tuple:
@@ -168,23 +170,31 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     step. Null text counts as empty; null doc_id sorts first; of repeated rows each follows the
     other; a single document is its own next; an empty table gives no rows.
     """
-    base = id_text(docs, id_col, text_col).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc()]
+    base = id_text(docs, id_col, text_col).select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
+    order = [F.col("doc_id").asc_nulls_first(), F.col("th").asc()]
     empty = (None,) * 8
 
+    def press(batches):  # texts shuffle at a third of their size
+        for b in batches:
+            engine = zstandard.ZstdCompressor(level=1)
+            z = [engine.compress(t.encode("utf-8", "surrogatepass")) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(z, pa.binary()), b.column(2)], ["doc_id", "z", "th"])
+
     def walk(batches):
         part, first, last = TaskContext.get().partitionId(), None, None
         rows: list[tuple] = []
 
         def flush():
-            kinds = [pa.int64(), pa.int64(), *[pa.string()] * 3, pa.float64(), pa.float64(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.string()]
+            kinds = [pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.float64(), pa.float64(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.string()]
             names = [x.split()[0] for x in _OUT.split(", ")] + ["kind", "part", "text"]
             out = pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
             rows.clear()
             return out
 
+        engine = zstandard.ZstdDecompressor()
         for b in batches:
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for doc, z in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                text = engine.decompress(z).decode("utf-8", "surrogatepass")
                 if last is None:
                     first = (doc, text)
                 else:
@@ -197,7 +207,7 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
             rows.append((last[0], *empty, "last", part, last[1]))
         yield flush()
 
-    table = cut(base.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(walk, _OUT + ", kind string, part int, text string"), "fingerprints")
+    table = cut(base.mapInArrow(press, "doc_id long, z binary, th long").repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(walk, _OUT + ", kind string, part int, text string"), "fingerprints")
     # boundary records: two rows a partition; the ring of partitions is put together from their numbers alone
     parts = sorted(r["part"] for r in table.where("kind = 'first'").select("part").collect())
     ring = docs.sparkSession.createDataFrame(list(zip(parts, parts[1:] + parts[:1])), "part int, next_part int")
@@ -208,8 +218,9 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
         for b in batches:
             got = [_row(*x) for x in zip(*(c.to_pylist() for c in b.columns))]
             if got:
-                kinds = [pa.int64(), pa.int64(), *[pa.string()] * 3, pa.float64(), pa.float64(), pa.int64(), pa.int64()]
+                kinds = [pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.float64(), pa.float64(), pa.int64(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in got], k) for i, k in enumerate(kinds)], [x.split()[0] for x in _OUT.split(", ")])
 
     ends = last.join(first, "next_part").select("doc_id", "text", "next_text").mapInArrow(finish, _OUT)
-    return table.where("kind = 'row'").select(*[x.split()[0] for x in _OUT.split(", ")]).unionByName(ends)
+    out = table.where("kind = 'row'").select(*[x.split()[0] for x in _OUT.split(", ")]).unionByName(ends)
+    return out.withColumns({c: F.lower(F.hex(c)) for c in ("fingerprint", "edited_fingerprint")})
