@@ -243,7 +243,8 @@ def test_chains():
     assert best.tolist() == [0, 1, 2, 3]
     a = np.arange(80, dtype=np.uint64)
     b = np.concatenate((np.arange(900, 903), np.delete(np.arange(80), 40), [7])).astype(np.uint64)
-    assert chaining.align(a, b, 0)[:2] == (0, 80) and chaining.align(a, b, 0)[4] == 79
+    assert chaining.align(a, b, 10, 13) == (0, 80, 3, 82, 79)
+    assert chaining.align(a, b, 60, 62) == (0, 80, 3, 82, 79)
 
 
 def test_fuzzy_passages(docs):
