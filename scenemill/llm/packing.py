@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,30 +36,36 @@ class WordIds:
         self.tok.encode_special_tokens = True
         self.wide = self.tok.get_vocab_size() > 1 << 16
         self.dtype = np.dtype("<u4" if self.wide else "<u2")
+        self.code = "I" if self.wide else "H"
         self.known: dict[str, bytes] = {}
 
     def _plain(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array(self.code, e.ids).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         known = self.known
         if len(known) > CACHE_WORDS:
             known.clear()
-        split, new = [], set()
-        for t in texts:
-            pieces = ("^" + t.replace(" ", "\0 ")).split("\0")  # "^": no space before the first piece
-            new.update(p for p in pieces if p not in known)
-            split.append(pieces)
-        fresh = list(new)
+        # "^": no space before the first piece
+        split = [("^" + t.replace(" ", "\0 ")).split("\0") for t in texts]
+        fresh = list(set(chain.from_iterable(split)).difference(known))
         for i in range(0, len(fresh), 20_000):
             part = fresh[i : i + 20_000]
-            ids = self._plain([p[1:] if p[:1] == "^" else p for p in part])
             # a space before more white space may belong to a longer run: such texts are encoded whole
-            known.update((p, None if p == " " or p[1:2].isspace() and p[0] == " " or p[:1] not in "^ " else x) for p, x in zip(part, ids))
-        found = [[known[p] for p in pieces] for pieces in split]
-        hard = [i for i, (t, ids) in enumerate(zip(texts, found)) if None in ids or "\0" in t]
-        plain = dict(zip(hard, self._plain([texts[i] for i in hard])))
-        return [plain[i] if i in plain else b"".join(ids) for i, ids in enumerate(found)]
+            hard = [p == " " or p[:1] not in "^ " or p[:1] == " " and p[1:2].isspace() for p in part]
+            known.update(zip(part, self._plain([p[1:] if p[:1] == "^" else p for p in part])))
+            known.update((p, None) for p, h in zip(part, hard) if h)
+        get, out, whole = known.__getitem__, [], []
+        for i, (t, pieces) in enumerate(zip(texts, split)):
+            try:
+                out.append(b"".join(map(get, pieces)) if "\0" not in t else None)
+            except TypeError:
+                out.append(None)
+            if out[-1] is None:
+                whole.append(i)
+        for i, ids in zip(whole, self._plain([texts[i] for i in whole])):
+            out[i] = ids
+        return out
 
 
 @lru_cache(maxsize=2)
