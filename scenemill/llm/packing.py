@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from .store import cut, id_text
 
 #: Words whose ids a worker process keeps; beyond it the table starts anew (speed only).
-CACHE_WORDS = 2_000_000
+CACHE_WORDS = 800_000
 
 
 class WordIds:
