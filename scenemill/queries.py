@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import scoring, text, timecode
-from .operators import catalog, features, segmentation, selection, timeline
+from .operators import catalog, features, matching, segmentation, selection, timeline
 from .plans import highlights
 from .sources import files
 
@@ -556,3 +556,65 @@ def speech_cleanup(spark, sf):
 def highlights_scored(spark, sf):
     s = segments(spark, sf).withColumns({"audio_score": F.col("total_score_raw"), "emotion_score": F.col("total_score_raw"), "visual_score": F.col("total_score_raw"), "rhythm_score": F.col("total_score_raw")})
     return highlights.highlights(s.drop("total_score", "total_score_raw"), target=30.0)
+
+
+# --- script lines over cues and words ----------------------------------------------------------------------------
+
+
+def _turns(spark: SparkSession, sf: str) -> DataFrame:
+    return _read(spark, sf, "conversations").select(F.col("conv_id").alias("job"), F.col("turn").cast("long").alias("line_no"), F.coalesce("text", F.lit("")).alias("line"))
+
+
+def _spoken(spark: SparkSession, sf: str) -> DataFrame:
+    """Words of the turns, half a second each; every fifth conversation has one misheard word a turn."""
+    w = _turns(spark, sf).select("job", "line_no", F.posexplode(F.split("line", " ", -1)).alias("pos", "word"))
+    no = F.col("line_no") * 100000 + F.col("pos")
+    word = F.when((F.col("job") % 5 == 0) & (F.col("pos") == 3), "x").otherwise(F.col("word"))
+    return w.select("job", "line_no", no.alias("word_no"), (no * 0.5).alias("start"), (no * 0.5 + 0.5).alias("end"), word.alias("word"))
+
+
+@query(
+    r"""WITH l AS (SELECT conv_id AS job, CAST(turn AS BIGINT) AS line_no, coalesce(text, '') AS line FROM conversations),
+n AS (SELECT *, length(regexp_replace(line, '[^\p{L}\p{N}_]', '', 'g')) AS n FROM l),
+lc AS (SELECT *, row_number() OVER o AS k, sum(n) OVER (o ROWS UNBOUNDED PRECEDING) AS upto FROM n WINDOW o AS (PARTITION BY job ORDER BY line_no)),
+s AS (SELECT job, line_no, string_split(line, ' ') AS ws FROM l),
+w0 AS (SELECT job, line_no, unnest(ws) AS word, generate_subscripts(ws, 1) - 1 AS pos FROM s),
+w1 AS (SELECT job, line_no * 100000 + pos AS no, CASE WHEN job % 5 = 0 AND pos = 3 THEN 'x' ELSE word END AS word FROM w0),
+w AS (SELECT *, length(regexp_replace(word, '[^\p{L}\p{N}_]', '', 'g')) AS n FROM w1),
+wc AS (SELECT *, sum(n) OVER (PARTITION BY job ORDER BY no ROWS UNBOUNDED PRECEDING) AS upto FROM w),
+b AS (SELECT lc.job, lc.k, lc.line, lc.n, wc.no AS last FROM lc LEFT JOIN wc ON wc.job = lc.job AND wc.upto = lc.upto AND wc.n > 0),
+r AS (SELECT *, coalesce(lag(last) OVER (PARTITION BY job ORDER BY k), -1) AS before FROM b),
+t AS (SELECT r.job, r.k, r.line, r.n, r.last, min(w.no) AS first, string_agg(w.word, '' ORDER BY w.no) AS raw
+  FROM r LEFT JOIN w ON w.job = r.job AND w.no > r.before AND w.no <= r.last GROUP BY ALL),
+ok AS (SELECT *, min(CAST(coalesce(n > 0 AND regexp_replace(raw, '[^\p{L}\p{N}_]', '', 'g') = regexp_replace(line, '[^\p{L}\p{N}_]', '', 'g'), false) AS INTEGER))
+  OVER (PARTITION BY job) AS whole FROM t)
+SELECT job, k AS cue_no, CAST(first * 0.5 AS DOUBLE) AS start, CAST(last * 0.5 + 0.5 AS DOUBLE) AS "end",
+  regexp_replace(CASE WHEN raw != line AND regexp_replace(raw, '[^\p{L}\p{N}_\s]', '', 'g') = regexp_replace(line, '[^\p{L}\p{N}_\s]', '', 'g')
+    THEN regexp_replace(line, '[^\p{L}\p{N}_\s]', '', 'g') ELSE line END, '^\s+|\s+$', '', 'g') AS text
+FROM ok WHERE whole = 1"""
+)
+def word_stream_match(spark: SparkSession, sf: str) -> DataFrame:
+    """J11 over conversations."""
+    return matching.match_words(_turns(spark, sf), _spoken(spark, sf).drop("line_no"))[0]
+
+
+@query()
+def fuzzy_cue_match(spark: SparkSession, sf: str) -> DataFrame:
+    """Turns as script lines, their halves as cues."""
+    lines = _turns(spark, sf)
+    half = F.ceil(F.length("line") / 2).cast("int")
+    parts = F.array(F.left("line", half), F.substr("line", half + 1))
+    cues = lines.select("job", "line_no", F.posexplode(parts).alias("pos", "text")).withColumn("cue_no", F.col("line_no") * 2 + F.col("pos"))
+    return matching.correct_cues(lines, cues.select("job", "cue_no", F.col("cue_no").cast("double").alias("start"), (F.col("cue_no") + 1.0).alias("end"), "text"))
+
+
+@query()
+def spoken_phrases(spark: SparkSession, sf: str) -> DataFrame:
+    """Each turn is a part of its own, spoken over a ten-second item."""
+    turns, by_job = _turns(spark, sf), Window.partitionBy("job").orderBy("line_no")
+    items = turns.select("job", F.col("line_no").alias("item_no"), (F.col("line_no") * 10.0).alias("start"), (F.col("line_no") * 10.0 + 10).alias("end"), F.lit(0).alias("OST"))
+    parts = turns.select("job", "line_no", F.row_number().over(by_job).alias("part"))
+    words = _spoken(spark, sf).join(parts, ["job", "line_no"]).select("job", "part", "word_no", "start", "end", "word")
+    first = F.min("start").over(Window.partitionBy("job", "part"))
+    words = words.withColumns({"start": F.col("start") - first, "end": F.col("end") - first})
+    return matching.phrase_cues(items, words, turns.select("job", F.col("line_no").alias("sentence_no"), F.regexp_replace("line", " ", "").alias("sentence")))
