@@ -81,6 +81,20 @@ def keyword_score(text: Column, conflict: list[str], climax: list[str], intense:
     return F.least(F.lit(1.0), total / 3.0)
 
 
+def lexicon_hits(text: Column, terms: list[str], words: Column | None = None) -> Column:
+    """Terms of several characters that occur, and terms of one character among ``words`` (none without a tokenizer)."""
+    long_terms, single = [t for t in terms if len(t) > 1], [t for t in terms if len(t) == 1]
+    hits = count_terms(text, long_terms)
+    return hits if words is None or not single else hits + F.size(F.array_intersect(F.array(*map(F.lit, single)), words))
+
+
+def density_score(words: Column, terms: list[str]) -> Column:
+    """share of the words that are terms, times 15, at most 1; 0 without words."""
+    known = F.array(*map(F.lit, dict.fromkeys(terms)))
+    n = F.size(F.filter(words, lambda w: F.array_contains(known, w)))
+    return F.coalesce(F.least(F.lit(1.0), n / F.nullif(F.size(words), F.lit(0)) * 15.0), F.lit(0.0))
+
+
 def pattern_score(text: Column, patterns: list[str]) -> Column:
     """hits of all patterns by a tenth of the length."""
     hits = sum((F.regexp_count(text, F.lit("(?iud)" + p)) for p in patterns), F.lit(0))

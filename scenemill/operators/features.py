@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.media import visual_parts
 from ..functions.scoring import clamp
 
 
@@ -30,15 +31,23 @@ def audio_scores(frames: DataFrame, sample_rate: int = 22050) -> DataFrame:
     return parts.withColumn("audio_score", clamp(total))
 
 
-def visual_scores(frames: DataFrame) -> DataFrame:
-    """One row for each video of frames(video_id, frame_idx, face_count, is_closeup, center_x, center_y, edge_density, sharpness)."""
+def visual_scores(frames: DataFrame, videos: DataFrame | None = None) -> DataFrame:
+    """One row for each video of frames(video_id, frame_idx, face_count, is_closeup, center_x, center_y, edge_density, sharpness).
+
+    With ``videos`` (video_id) those without a frame have a row too, scored 0.17 as without faces, edges and blur.
+    """
+    away = (F.abs(F.col("center_x") - 0.5) + F.abs(F.col("center_y") - 0.5)) / 2
     g = frames.groupBy("video_id").agg(
         F.count("*").alias("frames_analyzed"), F.avg((F.col("face_count") > 0).cast("double")).alias("face_ratio"),
         F.avg(F.col("is_closeup").cast("double")).alias("closeup_ratio"), F.avg((F.col("sharpness") < 100).cast("double")).alias("blurry_ratio"),
         F.avg("face_count").alias("avg_faces"), F.avg("sharpness").alias("avg_sharpness"), F.avg("edge_density").alias("avg_edge"),
+        F.coalesce(1.0 - F.least(F.lit(1.0), F.avg(away)), F.lit(0.0)).alias("center_score"),
         F.min_by(F.struct("center_x", "center_y"), F.when(F.col("center_x").isNotNull(), F.col("frame_idx"))).alias("face_center"),
     )
-    return g.withColumns({"has_face": F.col("face_ratio") > 0.3, "closeup": F.col("closeup_ratio") > 0.3})
+    if videos is not None:
+        g = videos.select("video_id").distinct().join(g, "video_id", "left").na.fill(0)
+    parts = visual_parts(*map(F.col, ("face_ratio", "avg_faces", "center_score", "closeup_ratio", "avg_edge", "avg_sharpness", "blurry_ratio")))
+    return g.withColumns(parts).withColumns({"has_face": F.col("face_ratio") > 0.3, "closeup": F.col("closeup_ratio") > 0.3})
 
 
 def loudness_by_segment(samples: DataFrame) -> DataFrame:

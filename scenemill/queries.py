@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .functions import scoring, text, timecode
-from .operators import catalog, features, matching, segmentation, selection, timeline
+from .functions import checks, lexicon, media, scoring, text, timecode
+from .operators import catalog, emotion, features, matching, reports, segmentation, selection, timeline
 from .plans import highlights
 from .sources import files
 
@@ -618,3 +618,184 @@ def spoken_phrases(spark: SparkSession, sf: str) -> DataFrame:
     first = F.min("start").over(Window.partitionBy("job", "part"))
     words = words.withColumns({"start": F.col("start") - first, "end": F.col("end") - first})
     return matching.phrase_cues(items, words, turns.select("job", F.col("line_no").alias("sentence_no"), F.regexp_replace("line", " ", "").alias("sentence")))
+
+
+# --- emotion, pictures, sound -------------------------------------------------------------------------------------
+
+
+def _lines(spark: SparkSession, sf: str) -> DataFrame:
+    """A line of one or two list words and some marks for each event."""
+    words = F.array(*map(F.lit, lexicon.CONFLICT + lexicon.CLIMAX + lexicon.INTENSE))
+    n, e = len(lexicon.CONFLICT + lexicon.CLIMAX + lexicon.INTENSE), F.col("event_id")
+    a, b = F.element_at(words, (e % n + 1).cast("int")), F.element_at(words, (e * 7 % n + 1).cast("int"))
+    line = F.concat(a, F.lit("他说"), F.when(e % 3 == 0, b).otherwise(""), F.repeat(F.lit("！"), (e % 4).cast("int")), F.when(e % 5 == 0, "？").otherwise(""))
+    return _read(spark, sf, "events").select("event_id", line.alias("text"))
+
+
+def _sql_list(words: list[str]) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in words) + "]"
+
+
+def _sql_hits(words: list[str]) -> str:
+    return f"len(list_filter({_sql_list([w for w in words if len(w) > 1])}, lambda k: contains(text, k)))"
+
+
+_ALL_WORDS = lexicon.CONFLICT + lexicon.CLIMAX + lexicon.INTENSE
+_LINE_SQL = f"""ks AS (SELECT {_sql_list(_ALL_WORDS)} AS k), t AS (SELECT event_id, k[event_id % {len(_ALL_WORDS)} + 1] || '他说' || CASE WHEN event_id % 3 = 0 THEN k[event_id * 7 % {len(_ALL_WORDS)} + 1] ELSE '' END
+ || repeat('！', event_id % 4) || CASE WHEN event_id % 5 = 0 THEN '？' ELSE '' END AS text FROM events, ks)"""
+_KEYWORD_SQL = f"least(1.0::DOUBLE, ({_sql_hits(lexicon.CONFLICT)} * 1.0::DOUBLE + {_sql_hits(lexicon.CLIMAX)} * 0.8::DOUBLE + {_sql_hits(lexicon.INTENSE)} * 0.6::DOUBLE) / 3.0::DOUBLE)"
+_HITS_SQL = " + ".join(f"len(regexp_extract_all(text, '(?i){p}'))" for p in lexicon.PATTERNS)
+
+
+@query(f"""WITH {_LINE_SQL}, p AS (SELECT event_id, {_KEYWORD_SQL} AS kw, least(1.0::DOUBLE, ({_HITS_SQL}) * 2.0::DOUBLE / greatest(1.0::DOUBLE, length(text) / 10.0::DOUBLE)) AS pt,
+ CASE WHEN length(text) BETWEEN 1 AND 4 THEN 0.5::DOUBLE ELSE 0 END + least(1.0::DOUBLE, len(regexp_extract_all(text, '！{{3,}}|？{{3,}}')) / 3.0::DOUBLE) * 0.3 AS it FROM t)
+SELECT event_id, round(kw, 4) AS keyword_score, round(pt, 4) AS pattern_score, round(it, 4) AS intensity_score, round(kw * 0.40 + pt * 0.25 + kw * 0.20 + it * 0.15, 4) AS emotion_score FROM p""")
+def emotion_scores(spark, sf):
+    out = emotion.emotion_scores(_lines(spark, sf))
+    return out.select("event_id", *[F.round(c, 4).alias(c) for c in ("keyword_score", "pattern_score", "intensity_score", "emotion_score")])
+
+
+@query(f"""WITH {_LINE_SQL}, w AS (SELECT event_id, string_split(text, '他说') AS ws FROM t) SELECT event_id, round(least(1.0::DOUBLE, len(list_filter(ws, lambda x: list_contains({_sql_list(_ALL_WORDS)}, x))) / len(ws)::DOUBLE * 15), 4) AS density_score FROM w""")
+def emotion_density(spark, sf):
+    lines = _lines(spark, sf).withColumn("words", F.split("text", "他说"))
+    return emotion.emotion_scores(lines, words_col="words").select("event_id", F.round("density_score", 4).alias("density_score"))
+
+
+@query("""WITH g AS (SELECT user_id AS video_id, avg(CASE WHEN event_type = 'click' THEN 1.0::DOUBLE ELSE 0 END) AS fr, avg(CASE WHEN value > 50 THEN 1.0::DOUBLE ELSE 0 END) AS cr,
+ avg(CASE WHEN value * 2 < 100 THEN 1.0::DOUBLE ELSE 0 END) AS br, avg(value * 2) AS sh, avg(value / 100) AS ed, 1 - least(1.0::DOUBLE, avg(abs(event_id % 8 / 8.0::DOUBLE - 0.5) / 2)) AS cs FROM events GROUP BY 1)
+SELECT video_id, round(greatest(0, least(1.0::DOUBLE, (fr * 0.6 + least(1.0::DOUBLE, fr / 3) * 0.3 + cs * 0.1) * 0.30 + cr * 0.25
+ + (least(1.0::DOUBLE, ed * 3) * 0.5 + least(1.0::DOUBLE, sh / 500) * 0.3 + (1 - br) * 0.2) * 0.25 + ((1 - br) * 0.6 + least(1.0::DOUBLE, ed * 2) * 0.4) * 0.20)), 4) AS visual_score FROM g""")
+def visual_total(spark, sf):
+    f = _read(spark, sf, "events").select(
+        F.col("user_id").alias("video_id"), F.col("event_id").alias("frame_idx"), (F.col("event_type") == "click").cast("int").alias("face_count"), (F.col("value") > 50).alias("is_closeup"),
+        (F.col("event_id") % 8 / 8.0).alias("center_x"), F.lit(0.5).alias("center_y"), (F.col("value") / 100).alias("edge_density"), (F.col("value") * 2).alias("sharpness"),
+    )
+    return features.visual_scores(f).select("video_id", F.round("visual_score", 4).alias("visual_score"))
+
+
+@query("""WITH b AS (SELECT p_partkey, CAST(640 + p_size * 20 AS INTEGER) AS vw, CAST(360 + p_size * 13 AS INTEGER) AS vh, p_size FROM part), c AS (SELECT *, vw::DOUBLE / vh AS r FROM b),
+d AS (SELECT *, CASE WHEN r > 1080 / 1920::DOUBLE THEN 1080.0::DOUBLE / vw ELSE 1920.0::DOUBLE / vh END AS k FROM c), e AS (SELECT *, CAST(trunc(vw * k) AS INTEGER) AS w, CAST(trunc(vh * k) AS INTEGER) AS h FROM d)
+SELECT p_partkey, w, h, CAST(floor((1080 - w) / 2) AS INTEGER) AS x, CAST(floor((1920 - h) / 2) AS INTEGER) AS y,
+ round(0.3 * least(1.0::DOUBLE, vw * vh / (1920.0::DOUBLE * 1080)) + 0.2 * least(1.0::DOUBLE, p_size / 5.0::DOUBLE) + 0.1, 6) AS visual_score, CAST(trunc(p_size * 1.5::DOUBLE) + 3 AS INTEGER) AS cover_frame,
+ CASE p_size % 4 WHEN 0 THEN vh * 0.95::DOUBLE - 40 WHEN 1 THEN vh * 0.05::DOUBLE WHEN 2 THEN greatest(10.0::DOUBLE, least((vh - 40) * (p_size / 50.0::DOUBLE), vh - 50.0::DOUBLE)) ELSE (vh - 40) / 2.0::DOUBLE END AS subtitle_y FROM e""")
+def picture_geometry(spark, sf):
+    size = F.col("p_size")
+    p = _read(spark, sf, "part").select("p_partkey", "p_size", (640 + size * 20).cast("int").alias("vw"), (360 + size * 13).cast("int").alias("vh"))
+    place = F.when(size % 4 == 0, "bottom").when(size % 4 == 1, "top").when(size % 4 == 2, "custom").otherwise("center")
+    return p.select(
+        "p_partkey", media.padded_size(F.col("vw"), F.col("vh"), 1080, 1920).alias("g"), F.round(media.visual_from_size(F.col("vw"), F.col("vh"), size), 6).alias("visual_score"),
+        media.cover_frame(size.cast("double"), F.lit(1.5)).alias("cover_frame"), media.subtitle_y(place, F.col("vh"), F.lit(40), size * 2.0).alias("subtitle_y"),
+    ).select("p_partkey", "g.*", "visual_score", "cover_frame", "subtitle_y")
+
+
+@query("""WITH b AS (SELECT c_custkey, c_acctbal AS v, (c_custkey % 41) / 8.0::DOUBLE AS s FROM customer) SELECT c_custkey, round(least(1.0::DOUBLE, (v / 100 + 20) / 20) * 0.6, 6) AS audio_score,
+ greatest(0.0::DOUBLE, least(2.0::DOUBLE, v / 1000)) AS volume, round(greatest(0.1::DOUBLE, least(1.5::DOUBLE, v / 1000 * 0.5::DOUBLE)), 6) AS speech_volume,
+ CASE WHEN (s - 1) * 100 > 0 OR s = 1 THEN '+' ELSE '' END || CAST(CAST(round_even((s - 1) * 100, 0) AS INTEGER) AS VARCHAR) || '%' AS rate,
+ CASE WHEN greatest(0.5, least(2, s)) < 0.95 THEN 'slow' WHEN greatest(0.5, least(2, s)) > 1.05 THEN 'fast' ELSE 'normal' END AS speed,
+ CAST(floor(60 / (s + 0.5)) AS INTEGER) + 1 AS loops, c_custkey / 1048576.0::DOUBLE AS mb FROM b""")
+def sound_measures(spark, sf):
+    v, s = F.col("c_acctbal"), (F.col("c_custkey") % 41) / 8.0
+    return _read(spark, sf, "customer").select(
+        "c_custkey", F.round(media.audio_from_peak(v / 100), 6).alias("audio_score"), media.volume(v / 1000).alias("volume"), F.round(media.smart_volume(v / 1000, F.lit(0.5), 1.5), 6).alias("speech_volume"),
+        media.signed_change(s).alias("rate"), media.speed_tag(s).alias("speed"), media.loops(F.lit(60.0), s + 0.5).alias("loops"), media.size_in(F.col("c_custkey")).alias("mb"),
+    )
+
+
+@query("""SELECT doc_id, CAST(trunc(length(text) * 0.21531::DOUBLE) AS INTEGER) AS seconds, greatest(1.0::DOUBLE, length(text) / 3.0::DOUBLE) AS fallback FROM documents""")
+def speech_estimates(spark, sf):
+    return _read(spark, sf, "documents").select("doc_id", media.speech_seconds(F.col("text")).alias("seconds"), media.speech_seconds_default(F.col("text")).alias("fallback"))
+
+
+@query("""WITH b AS (SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'news' WHEN 1 THEN 'educational' ELSE 'other' END AS kind, CASE event_id % 4 WHEN 0 THEN '16:9' WHEN 1 THEN '1:1' WHEN 2 THEN '3:4' ELSE 'x' END AS shape FROM events)
+SELECT event_id, CASE kind WHEN 'news' THEN 1.0::DOUBLE WHEN 'educational' THEN 0.9 ELSE 0.5 END AS tts_volume, CASE kind WHEN 'news' THEN 0.6::DOUBLE WHEN 'educational' THEN 0.8 ELSE 0.25 END AS original_volume,
+ CASE shape WHEN '16:9' THEN 1920 ELSE 1080 END AS width, CASE shape WHEN '16:9' THEN 1080 WHEN '1:1' THEN 1080 WHEN '3:4' THEN 1440 ELSE 1920 END AS height FROM b""")
+def profile_lookup(spark, sf):
+    e = F.col("event_id")
+    kind = F.when(e % 3 == 0, "news").when(e % 3 == 1, "educational").otherwise("other")
+    shape = F.when(e % 4 == 0, "16:9").when(e % 4 == 1, "1:1").when(e % 4 == 2, "3:4").otherwise("x")
+    out = _read(spark, sf, "events").select("event_id", media.volumes_for(kind, (0.5, 0.25, 0.125)).alias("v"), media.size_for(shape).alias("s"))
+    return out.select("event_id", "v.tts_volume", "v.original_volume", "s.width", "s.height")
+
+
+# --- checks and reports -------------------------------------------------------------------------------------------
+
+
+@query("""WITH b AS (SELECT event_id AS e, CASE WHEN event_id % 5 = 0 THEN '00:00:01,000-00:00:02' ELSE '00:00:01,000-00:00:02,000' || CASE WHEN event_id % 7 = 0 THEN 'x' ELSE '' END END AS ts,
+ CASE WHEN event_id % 3 = 0 THEN ' ' ELSE 'p' END AS pic, event_id % 11 AS id, event_id % 4 AS ost FROM events)
+SELECT e AS event_id, CASE WHEN e % 5 = 0 THEN 'timestamp_format' WHEN pic = ' ' THEN 'empty_picture' WHEN id = 0 THEN 'invalid_id' END AS loose,
+ CASE WHEN id = 0 THEN 'invalid_id' WHEN e % 5 = 0 OR e % 7 = 0 THEN 'timestamp_format' WHEN pic = ' ' THEN 'empty_picture' WHEN ost = 3 THEN 'invalid_ost' END AS strict,
+ CASE WHEN pic = ' ' THEN 'empty_title' WHEN e % 5 = 0 OR e % 7 = 0 THEN 'timestamp_format' END AS plot FROM b""")
+def script_item_checks(spark, sf):
+    e, good = F.col("event_id"), F.lit("00:00:01,000-00:00:02,000")
+    ts = F.when(e % 5 == 0, "00:00:01,000-00:00:02").otherwise(F.concat(good, F.when(e % 7 == 0, "x").otherwise("")))
+    pic = F.when(e % 3 == 0, " ").otherwise("p")
+    return _read(spark, sf, "events").select(
+        "event_id", checks.narration_item(ts, pic, F.lit("n"), e % 11).alias("loose"), checks.strict_narration_item(ts, pic, F.lit("n"), e % 11, e % 4).alias("strict"), checks.plot_point(ts, pic, F.lit("p")).alias("plot"),
+    )
+
+
+@query("""WITH m AS (SELECT event_id AS e, CASE event_id % 5 WHEN 0 THEN 'Reinitializing Filters' WHEN 1 THEN 'no NVENC here' WHEN 2 THEN 'bad preset' WHEN 3 THEN 'No such file' ELSE 'boom' END AS msg,
+ CASE event_id % 4 WHEN 0 THEN 'OpenAI/m-' || event_id WHEN 1 THEN '/m' WHEN 2 THEN 'a b/m' ELSE 'mx' END AS model FROM events)
+SELECT e AS event_id, CASE e % 5 WHEN 0 THEN 'filter_chain_error' WHEN 1 THEN 'hardware_error' WHEN 2 THEN 'encoder_error' WHEN 3 THEN 'file_error' ELSE 'unknown_error' END AS tool,
+ CASE e % 4 WHEN 1 THEN 'bad_form' WHEN 2 THEN 'bad_provider' WHEN 3 THEN 'too_short' END AS model, CASE WHEN e % 4 = 0 THEN 'm-' || e ELSE model END AS plain,
+ CASE e % 3 WHEN 0 THEN 'authentication' WHEN 1 THEN 'rate_limit' ELSE 'server' END AS http FROM m""")
+def error_classes(spark, sf):
+    e = F.col("event_id")
+    msg = F.when(e % 5 == 0, "Reinitializing Filters").when(e % 5 == 1, "no NVENC here").when(e % 5 == 2, "bad preset").when(e % 5 == 3, "No such file").otherwise("boom")
+    model = F.when(e % 4 == 0, F.concat(F.lit("OpenAI/m-"), e.cast("string"))).when(e % 4 == 1, "/m").when(e % 4 == 2, "a b/m").otherwise("mx")
+    status = F.when(e % 3 == 0, 401).when(e % 3 == 1, 429).otherwise(503)
+    return _read(spark, sf, "events").select(
+        "event_id", checks.tool_error(msg).alias("tool"), checks.model_name(model).alias("model"), checks.plain_model_name(model).alias("plain"), checks.http_error(status).alias("http"),
+    )
+
+
+@query("""SELECT event_id, list_filter(['summary', 'plot_points'], lambda f: (f = 'summary' AND event_id % 2 = 0) OR (f = 'plot_points' AND event_id % 3 = 0)) AS missing FROM events""")
+def json_missing_fields(spark, sf):
+    e = F.col("event_id")
+    js = F.concat(F.lit('{"a": 1'), F.when(e % 2 != 0, ', "summary": "s"').otherwise(""), F.when(e % 3 != 0, ', "plot_points": []').otherwise(""), F.lit("}"))
+    return _read(spark, sf, "events").select("event_id", checks.missing_fields(js, ["summary", "plot_points"]).alias("missing"))
+
+
+@query(f"""WITH {_T30M}, p AS (SELECT *, coalesce(sum(duration) OVER (PARTITION BY drama_id ORDER BY rnk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM fin)
+SELECT drama_id, '[' || string_agg('{{"index":' || rnk || ',"episode":' || episode_index || ',"start_in_video":' || round(pos, 1) || ',"duration":' || round(duration, 1) || ',"original_time":"E' || episode_index || ' '
+ || CAST(round_even(start_time, 0) AS BIGINT) || 's-' || CAST(round_even(start_time + duration, 0) AS BIGINT) || 's","subtitle_preview":"","score":' || round(total_score_raw, 4) || '}}', ',' ORDER BY rnk) || ']' AS timeline FROM p GROUP BY 1""")
+def prompt_timeline(spark, sf):
+    return reports.prompt_timeline(_selected(spark, sf, 2, 30.0).withColumn("subtitle_text", F.lit(None).cast("string")))
+
+
+@query(f"""WITH {_UNIQ} SELECT _id, e - duration AS position FROM ed WHERE ost != 1""")
+def audio_timeline(spark, sf):
+    items = _unique_items(spark, sf).withColumn("audio", F.when(F.col("OST") != 1, "a.mp3"))
+    return reports.audio_timeline(items).select("_id", "position")
+
+
+_TURN_SQL = "c AS (SELECT conv_id, turn, text FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY text) = 1), t AS (SELECT *, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) // 3 AS batch FROM c)"
+
+
+@query(f"""WITH {_TURN_SQL} SELECT conv_id AS group_id, CAST(batch AS BIGINT) AS batch_index, string_agg('=== [E1] ' || turn || ' ===' || chr(10) || coalesce(text, ''), chr(10) ORDER BY turn) AS text FROM t GROUP BY 1, 2""")
+def analysis_texts(spark, sf):
+    rows = reports.in_batches(_cues(spark, sf), 3, ["conv_id"], ["turn"])
+    return reports.analysis_texts(rows.select(F.col("conv_id").alias("group_id"), "batch_index", F.col("turn").alias("frame_no"), F.lit(1).alias("episode"), F.col("turn").cast("string").alias("timestamp"), "text"))
+
+
+@query(f"""WITH {_TURN_SQL}, f AS (SELECT conv_id, batch, string_agg('  - ' || turn || ': ' || coalesce(text, '') || chr(10), '' ORDER BY turn) AS fs, min(turn) AS t0 FROM t GROUP BY 1, 2)
+SELECT conv_id AS group_id, string_agg('## 片段 ' || (batch + 1) || chr(10) || '- 时间范围：' || t0 || chr(10) || '- 片段描述：s' || chr(10) || '- 详细描述：' || chr(10) || CASE WHEN batch = 1 THEN '' ELSE fs END || chr(10), '' ORDER BY batch) AS markdown FROM f GROUP BY 1""")
+def frame_report(spark, sf):
+    rows = reports.in_batches(_cues(spark, sf), 3, ["conv_id"], ["turn"]).withColumnRenamed("conv_id", "group_id")
+    heads = rows.groupBy("group_id", "batch_index").agg(F.min("turn").cast("string").alias("time_range")).withColumns({"ord": F.col("batch_index"), "summary": F.lit("s")})
+    frames = rows.where("batch_index != 1").select("group_id", "batch_index", F.col("turn").alias("frame_no"), F.col("turn").cast("string").alias("timestamp"), F.col("text").alias("observation"))
+    return reports.frame_report(heads, frames)
+
+
+@query("""SELECT user_id, count(*) AS n, count_if(value > 50) AS n_ok, round(count_if(value > 50) * 100.0::DOUBLE / count(*), 1) AS success_rate,
+ CASE WHEN count_if(value > 50) = 0 THEN 'failed' WHEN (count(*) - count_if(value > 50)) * 2 > count(*) THEN 'warn' ELSE 'ok' END AS level FROM events GROUP BY 1""")
+def failure_levels(spark, sf):
+    return reports.failure_levels(_read(spark, sf, "events").select("user_id", (F.col("value") > 50).alias("ok")), "user_id")
+
+
+@query("""SELECT 'k' || (c_nationkey % 3) AS kind, count(*) AS total, count_if(c_custkey % 4 != 0) AS valid, coalesce(list('no key ' || c_custkey ORDER BY c_custkey) FILTER (c_custkey % 4 = 0), []) AS errors FROM customer GROUP BY 1""")
+def config_summary(spark, sf):
+    k = F.col("c_custkey")
+    errors = F.when(k % 4 == 0, F.array(F.concat(F.lit("no key "), k.cast("string")))).otherwise(F.array().cast("array<string>"))
+    rows = _read(spark, sf, "customer").select(F.concat(F.lit("k"), (F.col("c_nationkey") % 3).cast("string")).alias("kind"), k.alias("provider"), errors.alias("errors"))
+    return reports.config_summary(rows)
