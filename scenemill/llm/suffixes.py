@@ -10,13 +10,15 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .hashing import ByteHash, U, sliding_min
+from .hashing import ByteHash, U, mix, sliding_min
 from .store import cut, id_text, keyed
 
 #: Bytes of the anchor that decides which spans meet in one suffix array.
 ANCHOR = 32
 #: Suffixes that one suffix array holds at least, where there are as many.
 BLOCK = 200_000
+#: Different spans of one anchor that may meet in one task; the windows of more common anchors are dealt once more.
+MANY = 4000
 _PLACE = (1 << 24) - 1
 
 
@@ -173,6 +175,47 @@ def _anchors(limit: int):
     return run
 
 
+def narrower(span: bytes, windows: int, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The windows of a span in pairs: (key, content, first window, windows) of each pair.
+
+    Windows pair up by their distance from the anchor, and the key is a hash of the limit - 1 bytes that both hold. So equal windows
+    have equal keys, and pairs with one key differ by a byte at each side: at most 65,536 different ones (and 512 of one window).
+    """
+    hashes = ByteHash(np.frombuffer(span, np.uint8))
+    anchor = hashes.windows(ANCHOR)[: limit - ANCHOR + 1]
+    at = int(np.argmin(anchor & ~U(_PLACE)))
+    pair = np.arange((at - windows + 1) // 2, at // 2 + 1)  # window i lies at - i before the anchor
+    core = at - 2 * pair  # where the later window of the pair starts; the earlier one starts a byte before it
+    first, stop = np.maximum(core - 1, 0), np.minimum(core + 1, windows)
+    salt = pair.astype(np.uint64) * U(0xD6E8FEB86659FD93) + anchor[at]
+    key = mix(hashes.spans(core, core + limit - 1) + salt)
+    shape = ((core - first) * 4 + stop - first).astype(np.uint64)
+    return key, hashes.spans(first, stop + limit - 1) + salt + shape * U(0x9E3779B97F4A7C15), first, stop - first
+
+
+def _dealt_again(packed: DataFrame, spans: DataFrame, limit: int) -> DataFrame:
+    """The spans of very common anchors as pairs of windows, in the columns of spans."""
+    by_text = spans.groupBy("doc_id", "th").agg(F.collect_list(F.struct("start", "windows")).alias("spans"))
+    names = ["h", "sh", "doc_id", "th", "start", "windows"]
+
+    def run(batches):
+        for b in batches:
+            unpack = zstandard.ZstdDecompressor()
+            for doc, th, z, some in zip(*(c.to_pylist() for c in b.columns)):
+                raw = unpack.decompress(z)
+                parts = [[], [], [], []]
+                for s in some:
+                    key, content, first, n = narrower(raw[s["start"] : s["start"] + s["windows"] + limit - 1], s["windows"], limit)
+                    for x, v in zip(parts, (key.view(np.int64), content.view(np.int64), first + s["start"], n.astype(np.int32))):
+                        x.append(v)
+                h, sh, start, n = map(np.concatenate, parts)
+                own = [pa.array([v] * len(h), pa.int64()) for v in (doc, th)]
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(sh), *own, pa.array(start, pa.int64()), pa.array(n)], names)
+
+    joined = packed.join(by_text, _same_row(packed, by_text)).select(packed["doc_id"], packed["th"], "z", "spans")
+    return joined.mapInArrow(run, "h long, sh long, doc_id long, th long, start long, windows int")
+
+
 def _packed(docs: DataFrame) -> DataFrame:
     """(doc_id, th, z, extra): texts compressed, so that they shuffle at a third of their size."""
     extra = docs.schema["extra"].dataType.simpleString()
@@ -195,7 +238,8 @@ def dedup_substrings(docs: DataFrame, limit: int = 200, id_col: str = "doc_id",
 
     1. Each window of ``limit`` bytes is dealt by its anchor (see :func:`_anchors`); neighbouring windows
        with one anchor travel as one span. Spans whose anchor occurs once cannot repeat and go no further.
-    2. Spans equal in anchor and content are counted before any text is moved; one of each is fetched.
+    2. Spans equal in anchor and content are counted before any text is moved; one of each is fetched. An anchor with over MANY
+       different spans is dealt again by the bytes around it (see :func:`narrower`), so no task meets an unbounded group.
     3. The spans of an anchor meet in one task, which sorts their suffixes in two stages, compares
        neighbours and reports the windows that occur more than once (counting step 2's numbers).
     4. Reports go back to all places of each span, and each document drops the union of its windows.
@@ -209,8 +253,16 @@ def dedup_substrings(docs: DataFrame, limit: int = 200, id_col: str = "doc_id",
     rows = keyed(id_text(docs.withColumn("_extra", kept_columns), id_col, text_col, "_extra"))
     places = rows.select("doc_id", "text", "th").mapInArrow(_anchors(limit), "h long, sh long, doc_id long, th long, start long, windows int")
     # written, so that the join below deals plain rows and Spark can split the anchors of very common passages
-    shared = cut(places.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "anchors")
-    found = cut(places.join(shared, "h", "left_semi"), "spans")
+    shared = cut(places.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "anchors")
+    found = cut(places.join(shared.select("h"), "h", "left_semi"), "spans")
+    packed = _packed(rows)
+    often = shared.where(F.col("n") > MANY).select("h")
+    if not often.isEmpty():
+        several = found.join(often, "h", "left_semi").select("h", "sh").distinct().groupBy("h").agg(F.count("*").alias("n"))
+        hot = cut(several.where(F.col("n") > MANY).select("h"), "common-anchors")
+        if not hot.isEmpty():
+            again = cut(_dealt_again(packed, found.join(hot, "h", "left_semi"), limit), "pairs")
+            found = found.join(hot, "h", "left_anti").unionByName(again)
     kinds = found.groupBy("h", "sh").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "th", "start", "windows")).alias("at"))
     wanted = kinds.groupBy(F.col("at.doc_id").alias("doc_id"), F.col("at.th").alias("th")).agg(
         F.collect_list(F.struct("h", "sh", "n", "at.start", "at.windows")).alias("spans")
@@ -231,7 +283,6 @@ def dedup_substrings(docs: DataFrame, limit: int = 200, id_col: str = "doc_id",
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types)], ["h", "sh", "n", "bytes"])
 
     types = [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-    packed = _packed(rows)
     texts = packed.join(wanted, _same_row(packed, wanted)).select("z", "spans").mapInArrow(fetch, "h long, sh long, n long, bytes binary")
 
     def sort(batches):
@@ -265,7 +316,6 @@ def dedup_substrings(docs: DataFrame, limit: int = 200, id_col: str = "doc_id",
     repeated = cut(repeated, "repeats")
     hits = found.join(repeated, ["h", "sh"]).select("doc_id", "th", F.struct("start", "runs").alias("hit"))
     hits = hits.groupBy("doc_id", "th").agg(F.collect_list("hit").alias("hits"))
-    packed = _packed(rows)
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["text"] * with_text
 
     def remove(batches):

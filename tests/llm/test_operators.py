@@ -57,8 +57,9 @@ def test_suffix_array_is_sorted():
         assert got == sorted(got) and len(got) == len(data)
 
 
-@pytest.mark.parametrize("limit", [40, 200])
-def test_dedup_substrings(docs, limit):
+@pytest.mark.parametrize("limit, many", [(40, 4000), (200, 4000), (40, 1), (200, 1)])
+def test_dedup_substrings(docs, limit, many, monkeypatch):
+    monkeypatch.setattr(suffixes, "MANY", many)
     seen = Counter()
     for _, t in corpus():
         r = raw(t)
