@@ -256,14 +256,18 @@ def dedup_substrings(docs: DataFrame, limit: int = 200, id_col: str = "doc_id",
     shared = cut(places.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "anchors")
     found = cut(places.join(shared.select("h"), "h", "left_semi"), "spans")
     packed = _packed(rows)
-    often = shared.where(F.col("n") > MANY).select("h")
-    if not often.isEmpty():
-        several = found.join(often, "h", "left_semi").select("h", "sh").distinct().groupBy("h").agg(F.count("*").alias("n"))
-        hot = cut(several.where(F.col("n") > MANY).select("h"), "common-anchors")
+
+    def kinds_of(spans):
+        return spans.groupBy("h", "sh").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "th", "start", "windows")).alias("at"))
+
+    kinds = kinds_of(found)
+    if not shared.where(F.col("n") > MANY).isEmpty():
+        # counted from distinct spans, so that the places of one anchor never meet
+        hot = cut(found.select("h", "sh").distinct().groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > MANY).select("h"), "common-anchors")
         if not hot.isEmpty():
             again = cut(_dealt_again(packed, found.join(hot, "h", "left_semi"), limit), "pairs")
-            found = found.join(hot, "h", "left_anti").unionByName(again)
-    kinds = found.groupBy("h", "sh").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "th", "start", "windows")).alias("at"))
+            kinds = kinds.join(hot, "h", "left_anti").unionByName(kinds_of(again))
+            found = found.unionByName(again)
     wanted = kinds.groupBy(F.col("at.doc_id").alias("doc_id"), F.col("at.th").alias("th")).agg(
         F.collect_list(F.struct("h", "sh", "n", "at.start", "at.windows")).alias("spans")
     )
