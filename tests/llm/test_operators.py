@@ -274,6 +274,20 @@ def labelled(spark, n=300):
     return d, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), rows
 
 
+def _found(spark, texts):
+    rows = chaining.fuzzy_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 50, 0.8).collect()
+    return {(r.doc_id, r.partner_id) for r in rows}, rows
+
+
+def test_fuzzy_passage_of_common_lines(spark):
+    rng = random.Random(3)
+    own = lambda n: " ".join(f"w{rng.randrange(10**9)}" for _ in range(n))
+    lines = [own(20) for _ in range(3)]
+    passage = " ".join(lines)
+    texts = [*(own(30) + " " + x + " " + own(30) for x in lines), *(own(40) + " " + passage + " " + own(40) for _ in range(2))]
+    assert (4, 3) in _found(spark, texts)[0]
+
+
 def test_toxicity_held_out(spark, docs):
     d, labels, rows = labelled(spark)
     chain = toxicity.train(d, labels.where("doc_id < 200"))
