@@ -288,6 +288,22 @@ def test_fuzzy_passage_of_common_lines(spark):
     assert (4, 3) in _found(spark, texts)[0]
 
 
+def test_fuzzy_passages_edited_to_the_bound(spark):
+    rng = random.Random(5)
+    own = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    texts, planted = [], set()
+    for n, edits, even in [(60, 6, True), (60, 9, True), (60, 9, False), (100, 15, True), (100, 19, False), (200, 30, True)] * 5:
+        passage = own(n)
+        copy = list(passage)
+        for k in [round((e + 0.5) * n / edits) for e in range(edits)] if even else rng.sample(range(n), edits):
+            copy[k] = own(1)[0]
+        planted.add((len(texts) + 1, len(texts)))
+        texts += [" ".join(own(30) + passage + own(30)), " ".join(own(20) + copy + own(40))]
+    pairs, rows = _found(spark, texts)
+    assert pairs <= planted and len(pairs) >= 28
+    assert all(r.likeness >= 0.8 and r.n_words >= 50 for r in rows)
+
+
 def test_toxicity_held_out(spark, docs):
     d, labels, rows = labelled(spark)
     chain = toxicity.train(d, labels.where("doc_id < 200"))
