@@ -304,6 +304,15 @@ def test_fuzzy_passages_edited_to_the_bound(spark):
     assert all(r.likeness >= 0.8 and r.n_words >= 50 for r in rows)
 
 
+def test_fuzzy_passages_between_own_words(spark):
+    rng = random.Random(6)
+    own = lambda n: " ".join(f"w{rng.randrange(10**9)}" for _ in range(n))
+    shared = [own(60) for _ in range(4)]
+    texts = [" ".join(x + " " + own(35) for x in shared) for _ in range(2)]
+    rows = _found(spark, texts)[1]
+    assert sorted((r.start_word, r.n_words, r.equal_words) for r in rows) == [(95 * k, 60, 60) for k in range(4)]
+
+
 def test_toxicity_held_out(spark, docs):
     d, labels, rows = labelled(spark)
     chain = toxicity.train(d, labels.where("doc_id < 200"))
