@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .hashing import word_prefixes
 from .linear import fit, folds, labelled_sample, predict
-from .store import id_text, ship
+from .store import cut, id_text, ship
 
 #: Categories in chain order. ``toxic`` is the given label; the two others grade it by how often
 #: and how densely the terms that set toxic documents apart occur (the labels table has one toxicity column).
@@ -18,35 +18,36 @@ CATEGORIES = ("toxic", "toxic_repeated", "toxic_dense")
 TRAIN_ROWS = 4000
 #: Words and word beginnings kept as features.
 TERMS = 256
-#: Bound on the hashes sent to the driver for one training document (evenly thinned beyond it).
-TRAIN_WORDS = 12_000
 
 
-def _select(sets: list[np.ndarray], y: np.ndarray) -> np.ndarray:
+def _select(some: DataFrame, n: int, n1: float) -> np.ndarray:
     """The hashes of words and word beginnings whose presence sets the two classes apart most (signed root of the likelihood ratio)."""
-    word, place = np.unique(np.concatenate(sets) if sets else np.zeros(0, np.uint64), return_inverse=True)
-    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    pos = np.bincount(place, weights=y[owner], minlength=len(word))
-    tot = np.bincount(place, minlength=len(word))
-    n1, n = y.sum(), len(y)
-    expected = tot * n1 / max(n, 1)
-    neg, expected_neg = tot - pos, tot - expected
-    with np.errstate(divide="ignore", invalid="ignore"):
-        score = 2 * (np.where(pos > 0, pos * np.log(pos / expected), 0) + np.where(neg > 0, neg * np.log(neg / expected_neg), 0))
-    score[(pos < 4) | (pos <= expected)] = 0
-    best = np.argsort(-score, kind="stable")[:TERMS]
-    return np.sort(word[best[score[best] > 8]])
-
-
-def _features(hashes: np.ndarray, at: np.ndarray, terms: np.ndarray, strong: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Presence of each term; hits of strong terms; hashes per text."""
+
+    def distinct(batches):
+        for b in batches:
+            for lo in range(0, b.num_rows, 100):
+                part = b.slice(lo, 100)
+                h, at = word_prefixes(part.column(1).to_pylist())
+                sets = [np.unique(h[at[i] : at[i + 1]]) for i in range(part.num_rows)]
+                toxic = np.repeat(part.column(2).cast(pa.float64()).to_numpy(zero_copy_only=False), [len(s) for s in sets])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64)), pa.array(toxic)], ["h", "toxic"])
+
+    expected = F.col("tot") * (n1 / max(n, 1))
+    neg, expected_neg = F.col("tot") - F.col("pos"), F.col("tot") - expected
+    score = 2 * (F.col("pos") * F.log(F.col("pos") / expected) + F.when(neg > 0, neg * F.log(neg / expected_neg)).otherwise(0.0))
+    terms = some.mapInArrow(distinct, "h long, toxic double").groupBy("h").agg(F.sum("toxic").alias("pos"), F.count("*").alias("tot"))
+    best = terms.where((F.col("pos") >= 4) & (F.col("pos") > expected)).select("h", score.alias("score")).where("score > 8").orderBy(F.desc("score"), "h").limit(TERMS)
+    return np.sort(np.array([r["h"] for r in best.collect()], np.int64).view(np.uint64))
+
+
+def _counts(hashes: np.ndarray, at: np.ndarray, terms: np.ndarray) -> np.ndarray:
+    """Hits of each text on each term."""
     n = len(at) - 1
     owner = np.repeat(np.arange(n), np.diff(at))
     place = np.searchsorted(terms, hashes)
     ok = place < len(terms)
     ok[ok] = terms[place[ok]] == hashes[ok]
-    counts = np.bincount(owner[ok] * max(len(terms), 1) + place[ok], minlength=n * max(len(terms), 1)).reshape(n, max(len(terms), 1))[:, : len(terms)]
-    return (counts > 0).astype(float), counts[:, strong].sum(1).astype(float), np.diff(at).astype(float)
+    return np.bincount(owner[ok] * max(len(terms), 1) + place[ok], minlength=n * max(len(terms), 1)).reshape(n, max(len(terms), 1))[:, : len(terms)]
 
 
 class Chain:
@@ -56,15 +57,12 @@ class Chain:
     fold), so they meet inputs of the quality they get when scoring.
     """
 
-    def __init__(self, texts_words: list[np.ndarray], toxic: np.ndarray):
-        sets = [np.unique(w) for w in texts_words]
-        self.terms = _select(sets, toxic)
-        flat = np.concatenate(texts_words) if texts_words else np.zeros(0, np.uint64)
-        at = np.concatenate(([0], np.cumsum([len(w) for w in texts_words]))).astype(np.int64)
-        present, _, _ = _features(flat, at, self.terms, np.zeros(len(self.terms), bool))
-        rate = (present * toxic[:, None]).sum(0) / np.maximum(present.sum(0), 1) if len(toxic) else np.zeros(0)
+    def __init__(self, terms: np.ndarray, counts: np.ndarray, size: np.ndarray, toxic: np.ndarray):
+        self.terms = terms
+        present = (counts > 0).astype(float)
+        rate = (present * toxic[:, None]).sum(0) / np.maximum(present.sum(0), 1) if len(toxic) else np.zeros(len(terms))
         self.strong = rate > 0.5
-        x, hits, size = _features(flat, at, self.terms, self.strong)
+        x, hits = present, counts[:, self.strong].sum(1).astype(float)
         y = [toxic, toxic * (hits >= 3), toxic * (hits >= 0.01 * np.maximum(size, 1)) * (hits > 0)]
         base = self._inputs(x, hits, size)
         fold, seen, self.models = folds(toxic), np.zeros((len(toxic), 0)), []
@@ -82,7 +80,8 @@ class Chain:
         return np.column_stack((x, np.log1p(hits), np.minimum(hits / np.maximum(size, 1) * 20, 2), hits >= 3))
 
     def score(self, hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
-        base = self._inputs(*_features(hashes, at, self.terms, self.strong))
+        counts = _counts(hashes, at, self.terms)
+        base = self._inputs((counts > 0).astype(float), counts[:, self.strong].sum(1).astype(float), np.diff(at).astype(float))
         seen = np.zeros((len(base), 0))
         for w in self.models:
             seen = np.column_stack((seen, predict(w, np.column_stack((base, seen)))))
@@ -90,22 +89,23 @@ class Chain:
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Chain:
-    """Fits the chain on at most ``rows`` labelled documents; only their word hashes reach the driver."""
+    """Fits the chain on at most ``rows`` labelled documents, whole; only their lengths and hits on the chosen terms reach the driver."""
     ship(docs.sparkSession)
-    some = labelled_sample(docs.select("doc_id", "text"), labels, rows).select("doc_id", "text", "_toxic")
+    some = cut(labelled_sample(docs.select("doc_id", "text"), labels, rows).select("doc_id", "text", "_toxic"), "labelled")
+    n, n1 = some.agg(F.count("*"), F.coalesce(F.sum("_toxic"), F.lit(0)).cast("double")).first()
+    terms = _select(some, n, n1)
 
-    def hashed(batches):
+    def hits(batches):
         for b in batches:
-            h, at = word_prefixes(b.column(1).to_pylist())
-            bags = []
-            for i in range(b.num_rows):
-                bag = h[at[i] : at[i + 1]]
-                bags.append(bag[:: -(-len(bag) // TRAIN_WORDS) or 1].view(np.int64).tolist())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(bags, pa.list_(pa.int64())), b.column(2).cast(pa.int32())], ["doc_id", "words", "toxic"])
-
-    got = some.mapInArrow(hashed, "doc_id long, words array<long>, toxic int").toArrow().sort_by("doc_id")
-    bags = [np.array(x.as_py(), np.int64).view(np.uint64) for x in got.column("words")]
-    return Chain(bags, np.array(got.column("toxic").to_pylist(), float))
+            for lo in range(0, b.num_rows, 1000):
+                part = b.slice(lo, 1000)
+                h, at = word_prefixes(part.column(1).to_pylist())
+                counts = [c.tobytes() for c in _counts(h, at, terms).astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts, pa.binary()), pa.array(np.diff(at)), part.column(2).cast(pa.int32())], ["doc_id", "counts", "size", "toxic"])
+
+    got = some.mapInArrow(hits, "doc_id long, counts binary, size long, toxic int").toArrow().sort_by("doc_id")
+    counts = np.frombuffer(b"".join(got.column("counts").to_pylist()), np.int32).reshape(got.num_rows, len(terms))
+    return Chain(terms, counts, np.array(got.column("size").to_pylist(), float), np.array(got.column("toxic").to_pylist(), float))
 
 
 def score_toxicity(docs: DataFrame, chain: Chain, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -324,6 +324,15 @@ def test_toxicity_held_out(spark, docs):
     assert toxicity.drop_toxic(d, chain).count() == 240 and toxicity.drop_toxic(docs, chain).columns == docs.columns
 
 
+def test_toxicity_of_long_texts(spark):
+    rng = random.Random(8)
+    rows = [(i, " ".join([f"w{rng.randrange(300)}" for _ in range(9000)] + [f"vile{rng.randrange(10**9)}"] * (i % 2))) for i in range(60)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 0, i % 2) for i in range(40)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r.is_toxic for r in toxicity.toxicity(d, labels).collect()}
+    assert all(got[i] == bool(i % 2) for i in range(60))
+
+
 def test_quality_held_out(spark, docs):
     d, labels, rows = labelled(spark)
     model = quality.train(d, labels.where("doc_id < 200"))
