@@ -19,6 +19,10 @@ MODULUS = (1 << 31) - 1
 BASES = (911_382_323, 972_663_749)
 #: Prefixes and suffixes are recorded at this many lengths per doubling of the length.
 PER_OCTAVE = 8
+#: Spans end where the hash of WINDOW code points is a multiple of SPAN; the SKETCH least span hashes are recorded.
+WINDOW = 16
+SPAN = 32
+SKETCH = 64
 
 _POW: list[np.ndarray] = []
 
@@ -92,7 +96,7 @@ def grid(n: int) -> np.ndarray:
 
 
 def fingerprint(h: PrefixHash) -> bytes:
-    """Length and whole-text hash (8 bytes each), then 16 bits of each recorded prefix and of each recorded suffix."""
+    """Length and whole-text hash (8 bytes each), 16 bits of each recorded prefix and suffix, number of spans (4 bytes), least span hashes (4 bytes each)."""
     at, m, powers = grid(h.n), np.uint64(MODULUS), _powers(h.n + 1)
     whole = h.span(0, h.n)
     prefix = (h.rows[0][at] * np.uint64(1_000_003) + h.rows[1][at]) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(48)
@@ -100,7 +104,21 @@ def fingerprint(h: PrefixHash) -> bytes:
     for row, power in zip(h.rows, powers):  # a suffix carries the factor B**start: divided out, it compares across texts
         parts.append((row[h.n] + m - row[h.n - at]) % m * _inverse(power, h.n - at) % m)
     suffix = (parts[0] * np.uint64(1_000_003) + parts[1]) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(48)
-    return struct.pack(">QII", h.n, *whole) + prefix.astype(">u2").tobytes() + suffix.astype(">u2").tobytes()
+    spans = _spans(h, powers)
+    return struct.pack(">QII", h.n, *whole) + prefix.astype(">u2").tobytes() + suffix.astype(">u2").tobytes() + struct.pack(">I", len(spans)) + spans[:SKETCH].astype(">u4").tobytes()
+
+
+def _spans(h: PrefixHash, powers: list[np.ndarray]) -> np.ndarray:
+    """Distinct 32-bit hashes, sorted, of the content-defined spans of a text: the same wherever a span lies."""
+    m = np.uint64(MODULUS)
+    ends = np.zeros(0, np.int64)
+    if h.n >= WINDOW:
+        row = h.rows[0]
+        value = (row[WINDOW:] + m - row[:-WINDOW]) % m * _inverse(powers[0], np.arange(h.n - WINDOW + 1)) % m
+        ends = np.flatnonzero((value * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(SPAN) == 0) + WINDOW
+    at = np.unique(np.concatenate(([0], ends, [h.n])))
+    parts = [(row[at[1:]] + m - row[at[:-1]]) % m * _inverse(power, at[:-1]) % m for row, power in zip(h.rows, powers)]
+    return np.unique((parts[0] * np.uint64(1_000_003) + parts[1]) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32))
 
 
 _INV: list[np.ndarray] = []
@@ -119,11 +137,12 @@ def _inverse(power: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def likeness(a: bytes, b: bytes) -> float:
-    """Share of the longer text that lies in the common prefix and suffix two fingerprints show (0 to 1).
+    """Likeness of two texts by their fingerprints (0 to 1; 1 only for equal fingerprints), the greater of two shares of the longer text.
 
-    Equal fingerprints give 1. Otherwise the longest recorded prefix and suffix on which both agree
-    (found by binary search: agreement at a length implies it at all shorter ones) count,
-    without overlap; they are lower bounds to an eighth of their length.
+    One is what lies in the common prefix and suffix: the longest recorded ones on which both agree (found by
+    binary search: agreement at a length implies it at all shorter ones), without overlap, lower bounds to an
+    eighth of their length. The other is the share of its content-defined spans that both texts hold at any place:
+    exact up to SKETCH spans in both together, estimated from the SKETCH least hashes beyond.
     """
     if a == b:
         return 1.0
@@ -137,9 +156,15 @@ def likeness(a: bytes, b: bytes) -> float:
             low, high = (mid, high) if x[2 * mid - 2 : 2 * mid] == y[2 * mid - 2 : 2 * mid] else (low, mid - 1)
         return int(lengths[low - 1]) if low else 0
 
-    ends = [16 + (len(x) - 16) // 2 for x in (a, b)]
-    same = min(agreed(a[16:], b[16:]) + agreed(a[ends[0] :], b[ends[1] :]), min(na, nb))
-    return same / max(na, nb)
+    grids = [2 * len(grid(n)) for n in (na, nb)]
+    same = min(agreed(a[16:], b[16:]) + agreed(a[16 + grids[0] :], b[16 + grids[1] :]), min(na, nb))
+    at = [16 + 2 * g for g in grids]
+    ka, kb = (struct.unpack(">I", x[i : i + 4])[0] for x, i in zip((a, b), at))
+    mine, theirs = (set(np.frombuffer(x[i + 4 :], ">u4").tolist()) for x, i in zip((a, b), at))
+    least = sorted(mine | theirs)[:SKETCH]
+    both = sum(h in mine and h in theirs for h in least) / max(len(least), 1)
+    shared = min(both / (1 + both) * (ka + kb) / max(ka, kb, 1), 1.0)
+    return min(max(same / max(na, nb), shared), 1 - 1 / max(na, nb, 1))
 
 
 def _points(text: str) -> np.ndarray:

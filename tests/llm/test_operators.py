@@ -212,6 +212,16 @@ def test_fingerprints(docs):
     assert h.extension(0, h, 3) == 5 and h.extension_back(9, h, 6) == 0 and h.equal(0, h, 3, 5) and not h.equal(0, h, 3, 6)
 
 
+def test_likeness_counts_the_interior():
+    rng = random.Random(9)
+    prose = lambda n: "".join(rng.choice("abcdefghij klmnop") for _ in range(n))
+    mark = lambda x: fingerprints.fingerprint(fingerprints.PrefixHash(fingerprints._points(x)))
+    text = prose(10_000)
+    assert fingerprints.likeness(mark(text), mark("#" + text[1:-1] + "#")) > 0.9
+    assert 0.9 < fingerprints.likeness(mark(text), mark("new header " + text + " new footer")) < 1
+    assert fingerprints.likeness(mark(text), mark(prose(10_000))) < 0.1
+
+
 def test_media(docs):
     for r in media.text_media(docs).collect():
         assert r.payload_bytes % 576 == 0 and r.media_type == "audio/wav" and r.media_bytes == r.payload_bytes + 44
