@@ -455,6 +455,14 @@ def levenshtein_similarity(spark, sf):
     return left.join(right, F.col("b") == F.col("a") + 1).select("a", "b", F.round(text.similarity(F.col("x"), F.col("y")), 4).alias("likeness"))
 
 
+@query()
+def levenshtein_similarity_whole(spark, sf):
+    # whole texts, all letters: no SQL, since the oracle's edit distance counts bytes
+    b = _read(spark, sf, "benchmark")
+    left, right = b.select(F.col("item_id").alias("a"), F.col("text").alias("x")), b.select(F.col("item_id").alias("b"), F.col("text").alias("y"))
+    return left.join(right, F.col("b") == F.col("a") + 1).select("a", "b", F.round(text.similarity(F.col("x"), F.col("y")), 4).alias("likeness"))
+
+
 @query(r"""WITH i AS (SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 0 THEN 0 ELSE o_orderkey END AS id, CASE WHEN o_orderkey % 7 = 0 THEN '00:00:01-00:00:02' ELSE '00:00:01,000-00:00:02,000' END AS t, CASE WHEN o_orderkey % 11 = 0 THEN '  ' ELSE o_orderpriority END AS n, o_orderkey % 4 AS ost FROM orders)
 SELECT o_orderkey, CASE WHEN id <= 0 THEN 'bad_id' WHEN NOT regexp_matches(t, '^\d{2}:\d{2}:\d{2},\d{3}-\d{2}:\d{2}:\d{2},\d{3}$') THEN 'bad_timestamp' WHEN trim(n) = '' THEN 'blank_narration' WHEN ost NOT IN (0, 1, 2) THEN 'bad_ost' END AS error FROM i""")
 def script_validate(spark, sf):

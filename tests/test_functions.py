@@ -61,3 +61,21 @@ def test_pick_prompts(spark):
     prompts = spark.createDataFrame([("a", "x", "v1", 1), ("a", "x", "v2", 2)], "category string, name string, version string, id int")
     wanted = spark.createDataFrame([("a", "x", None), ("a", "x", "v1"), ("a", "y", None)], "category string, name string, version string")
     assert sorted((r.name, r.version or "", r.id or 0) for r in reports.pick_prompts(wanted, prompts).collect()) == [("x", "v1", 1), ("x", "v2", 2), ("y", "", 0)]
+
+
+def test_similarity_of_whole_texts(spark, tmp_path):
+    from scenemill.queries import QUERIES
+
+    def distance(x, y):
+        row = list(range(len(y) + 1))
+        for i, c in enumerate(x, 1):
+            last, row[0] = row[0], i
+            for j, d in enumerate(y, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (c != d))
+        return row[-1]
+
+    texts = ["a" * 50 + "été", "a" * 50 + "âtà und mehr", "A" * 45 + "日本語", "short"]
+    spark.createDataFrame(list(enumerate(texts)), "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = {r.a: r.likeness for r in QUERIES["levenshtein_similarity_whole"](spark, str(tmp_path)).collect()}
+    for i, (x, y) in enumerate(zip(texts, texts[1:])):
+        assert abs(got[i] - (1 - distance(x.lower(), y.lower()) / max(len(x), len(y)))) < 1e-4
