@@ -9,6 +9,22 @@ _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _TABLE = np.random.default_rng(20240607).integers(0, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
 _POWERS = {}
+#: Powers that a worker keeps.
+KEPT = 1 << 21
+#: Bytes of text that are hashed at once (a longer text alone): arrays take up to about 60 times that.
+SLICE = 1 << 20
+
+
+def slices(batch, column: int):
+    """The Arrow batch in slices of at most SLICE bytes in ``column`` (or one row), in order; all together the whole batch."""
+    import pyarrow.compute as pc
+
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 64)
+    lo = 0
+    while lo < batch.num_rows:
+        hi = max(lo + 1, int(np.searchsorted(size, (size[lo - 1] if lo else 0) + SLICE, "right")))
+        yield batch.slice(lo, hi - lo)
+        lo = hi
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -24,9 +40,11 @@ def powers(n: int, base: int) -> np.ndarray:
     """base**0 .. base**n modulo 2**64."""
     have = _POWERS.get(base)
     if have is None or len(have) <= n:
-        out = np.full(max(n + 1, 1 << 20), base, dtype=np.uint64)
+        out = np.full(max(n + 1, KEPT), base, dtype=np.uint64)
         out[0] = 1
-        have = _POWERS[base] = np.multiply.accumulate(out)
+        have = np.multiply.accumulate(out)
+        if len(have) <= KEPT:  # longer ones are computed again, so that a worker does not keep them
+            _POWERS[base] = have
     return have[: n + 1]
 
 

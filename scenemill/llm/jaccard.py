@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -11,27 +12,41 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .hashing import U, mix, shingle_sets
+from .hashing import U, mix, shingle_sets, slices
 from .store import cut, id_text
 
-#: Runs of the recursion and mean number of tokens that a pair at the threshold shares a step; see :func:`recall`.
-RUNS = 8
+#: Share of the pairs at the threshold that shall be found, and mean number of tokens that such a pair shares a step.
+TARGET = 0.999
 SHARED = 2.0
-#: A bucket up to this size is compared by brute force; a larger one is split once more, the second split is the last.
-SMALL = 64
-#: Texts of one side of a tile of exact comparisons.
-TILE = 4096
-SKETCH = 64
 
 
-def recall(runs: int = RUNS, shared: float = SHARED, depth: int = 2) -> float:
-    """Chance that a pair at the threshold meets in a last-level bucket of at least one run (Poisson branching)."""
+def recall(runs: int, shared: float = SHARED) -> float:
+    """Chance that a pair at the threshold stays together, however deep, in at least one run (Poisson branching)."""
     alive = 1.0
-    for _ in range(depth):
+    for _ in range(100):
         alive = 1 - np.exp(-shared * alive)
     return float(1 - (1 - alive) ** runs)
 
 
+#: Runs of the recursion: the fewest that reach the target.
+RUNS = next(n for n in range(1, 100) if recall(n) >= TARGET)
+#: Splits of a path; buckets that are still large then are compared in blocks.
+DEPTH = 4
+#: A bucket up to this size is compared by brute force; a larger one is split once more.
+SMALL = 64
+#: Rows of a bucket in one task; larger buckets are dealt to several.
+MANY = 2048
+#: Paths of large buckets that may be broadcast (about 120 bytes each); beyond it they are joined.
+BROADCAST = 20_000
+#: Texts, and bytes of text, of one side of a tile of exact comparisons.
+TILE = 1024
+TILE_BYTES = 8 << 20
+SKETCH = 64
+#: Likeness to a bucket's centre (by sketch) from which a text needs no deeper split; see :func:`_bucket`.
+SETTLED = 0.75
+_ROOT = [(0xA24BAED4963EE407 * (run + 1)) & ((1 << 64) - 1) for run in range(RUNS)]
+
+
 def _sketch(tokens: np.ndarray) -> bytes:
     """One-permutation min-hash: 64 bins of one byte, 0 for an empty one."""
     h = mix(tokens ^ U(0x51ED270B0B8F3A1D))
@@ -43,125 +58,226 @@ def _sketch(tokens: np.ndarray) -> bytes:
     return small.tobytes()
 
 
-def _paths(tokens: np.ndarray, threshold: float) -> tuple[list[int], list[list[int]]]:
-    """The paths of a set after one step, over all runs, and after two.
+def _steps(tokens: np.ndarray, path: int, threshold: float) -> np.ndarray:
+    """The tokens that a set samples at a path: those whose hash with the path lies under SHARED / (threshold * size).
 
-    A step of a path samples each token whose hash with the path lies under SHARED / (threshold * size): two
-    sets with that share of tokens in common share SHARED sampled tokens on average, and each takes the same one.
+    Two sets at the threshold share SHARED sampled tokens on average, and each takes the same ones.
     """
     limit = U(min(int(SHARED / (threshold * len(tokens)) * 2.0**64), (1 << 64) - 1))
-    first, second = [], []
-    for run in range(RUNS):
-        h = mix(tokens + U((0xA24BAED4963EE407 * (run + 1)) & ((1 << 64) - 1)))
-        for node in mix(h[h <= limit] ^ U(run + 1)):
-            g = mix(tokens ^ node)
-            first.append(node)
-            second.append(mix(g[g <= limit] + node).view(np.int64).tolist())
-    return np.array(first, np.uint64).view(np.int64).tolist(), second
+    return tokens[mix(tokens ^ U(path)) <= limit]
 
 
-def _alike(sketches: np.ndarray, one: np.ndarray, size: np.ndarray, size_one: float) -> np.ndarray:
-    """Whether each sketch may belong to a pair over the threshold: estimated likeness 1/2 (1/3 for small sets)."""
-    same = ((sketches == one) & (sketches > 0)).sum(1)
-    used = ((sketches > 0) | (one > 0)).sum(1)
-    return same >= used * np.where(np.minimum(size, size_one) < 100, 0.33, 0.5)
+def _after(path: int, token: np.ndarray) -> np.ndarray:
+    """The paths that lead on from a path by each token."""
+    return mix(mix(token + U(0x51ED270B0B8F3A1D)) ^ U(path))
 
 
-def _bucket_edges(keys: list[bytes], sketches: np.ndarray, size: np.ndarray) -> list[tuple[bytes, bytes]]:
-    """Edges that connect all members that may be alike, at most one for each member and leftover.
+def _similarity(sketches: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """Estimated likeness of each sketch to one."""
+    return ((sketches == one) & (sketches > 0)).sum(1) / np.maximum(((sketches > 0) | (one > 0)).sum(1), 1)
 
-    All that resemble the bucket's centre (the most common value of each sketch place) are connected to the least of
-    them; the few others are compared with every member. So no pair of the bucket over the threshold is lost.
-    """
-    if len(keys) > 2:
-        centre = np.array([np.bincount(c, minlength=256).argmax() for c in sketches.T], np.uint8)
-    else:
-        centre = sketches[0]
-    near = _alike(sketches, centre, size, float(np.median(size)))
-    members, out = np.flatnonzero(near), []
-    if len(members):
-        out += [(keys[members[0]], keys[i]) for i in members[1:]]
-    for i in np.flatnonzero(~near):
-        hits = np.flatnonzero(_alike(sketches, sketches[i], size, float(size[i])))
-        # one edge to the connected core is enough; others only among leftovers
-        core = hits[near[hits]]
-        if len(core):
-            out.append((keys[core[0]], keys[i]))
-        out += [(keys[i], keys[j]) for j in hits[~near[hits]] if j > i]
+
+def _bound(size: np.ndarray, size_one: float) -> np.ndarray:
+    """Estimated likeness from which two sets may be a pair over the threshold."""
+    return np.where(np.minimum(size, size_one) < 100, 0.33, 0.5)
+
+
+def _centre(sketches: np.ndarray) -> np.ndarray:
+    """The most common value of each sketch place."""
+    return np.array([np.bincount(c, minlength=256).argmax() for c in sketches.T], np.uint8)
+
+
+def _forest(keys: list, sketches: np.ndarray, size: np.ndarray, left: range, right: range) -> list[tuple]:
+    """Edges that connect the members of ``left`` and ``right`` that may be alike: a spanning forest, at most one for each member."""
+    root = list(range(len(keys)))
+
+    def top(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    out = []
+    for i in left:
+        others = np.arange(max(right.start, i + 1) if left == right else right.start, right.stop)
+        for j in others[_similarity(sketches[others], sketches[i]) >= _bound(size[others], float(size[i]))].tolist():
+            a, b = top(i), top(j)
+            if a != b:
+                root[b] = a
+                out.append((keys[i], keys[j]))
     return out
 
 
 def _emit(threshold: float, shingle: int):
+    """Texts to the rows of their first paths; ``more`` has the tokens of the next step."""
+
     def run(batches):
         seen = set()  # a task sends each distinct text once: the hot groups of copies shrink before the shuffle
         for b in batches:
-            for lo in range(0, b.num_rows, 500):
+            for some in slices(b, 1):
                 fresh = []
-                for t in b.column(1).slice(lo, 500).to_pylist():
+                for t in some.column(1).to_pylist():
                     key = hashlib.md5((t or "").encode("utf-8", "replace")).digest()
                     if key not in seen:
                         seen.add(key)
                         fresh.append((key, t))
-                rows = [[], [], [], [], []]
+                rows = [[], [], [], [], [], []]
                 for (key, _), tokens in zip(fresh, shingle_sets([t for _, t in fresh], shingle)):
                     if not len(tokens):
                         continue
                     sketch = _sketch(tokens)
-                    for path, more in zip(*_paths(tokens, threshold)):
-                        for k, v in enumerate((path, key, len(tokens), sketch, more)):
-                            rows[k].append(v)
-                types = [pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.list_(pa.int64())]
-                yield pa.RecordBatch.from_arrays([pa.array(r, t) for r, t in zip(rows, types)], ["path", "key", "size", "sketch", "more"])
+                    for root in _ROOT:
+                        first = _steps(tokens, root, threshold)
+                        for token, path in zip(first.view(np.int64).tolist(), _after(root, first).tolist()):
+                            more = _steps(tokens, path, threshold).view(np.int64)
+                            for k, v in enumerate((path - (1 << 64) if path >> 63 else path, key, len(tokens), sketch, [token], more[more != token].tolist())):
+                                rows[k].append(v)
+                yield pa.RecordBatch.from_arrays([pa.array(r, t) for r, t in zip(rows, _KINDS)], _NAMES)
 
     return run
 
 
-def _level(last: bool):
-    """Buckets (rows sorted by path and key) to edges, or to the rows of the next level."""
+_NAMES = ["path", "key", "size", "sketch", "used", "more"]
+_KINDS = [pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+_ROWS = "path long, key binary, size int, sketch binary, used array<long>, more array<long>"
 
-    def run(batches):
-        path, keys, size, sketch, more = None, [], [], [], []
-        edges, rest = [], [[], [], [], []]
-
-        def close():
-            if len(keys) < 2:
-                return
-            if len(keys) <= SMALL or last:
-                edges.extend(_bucket_edges(keys, np.frombuffer(b"".join(sketch), np.uint8).reshape(-1, SKETCH), np.array(size)))
-                return
-            for k, s, f, m in zip(keys, size, sketch, more):
-                for p in m:
-                    for x, v in zip(rest, (p, k, s, f)):
-                        x.append(v)
 
-        def batch():
-            n, m = len(edges), len(rest[0])
-            out = [
-                pa.array([e[0] for e in edges] + [None] * m, pa.binary()), pa.array([e[1] for e in edges] + rest[1], pa.binary()),
-                pa.array([None] * n + rest[0], pa.int64()), pa.array([None] * n + rest[2], pa.int32()), pa.array([None] * n + rest[3], pa.binary()),
-            ]
-            edges.clear()
-            for x in rest:
-                x.clear()
-            return pa.RecordBatch.from_arrays(out, ["a", "key", "path", "size", "sketch"])
+def _bucket(batches):
+    """Rows of buckets, sorted by path, part and key, to edges (``a`` given) and to what is still open of them.
 
-        for b in batches:
-            for row in zip(*(c.to_pylist() for c in b.columns)):
-                if row[0] != path:
+    A bucket up to SMALL rows is compared by brute force. In a larger one, all that resemble its centre (the most common
+    value of each sketch place) are connected to one of them. A member that is very like the centre is settled: by the triangle
+    inequality all it can be linked with resembles the centre too. The others stay open where some row does not
+    resemble the centre. The centre of a bucket that is dealt in parts comes with its rows. At most one edge a row.
+    """
+    at, keys, size, sketch, used, more, given = None, [], [], [], [], [], None
+    edges, rest, sent = [], [[], [], [], [], [], []], set()
+
+    def close():
+        if given is None and len(keys) < 2:
+            return
+        marks, sizes = np.frombuffer(b"".join(sketch), np.uint8).reshape(-1, SKETCH), np.array(size)
+        if given is None and len(keys) <= SMALL:
+            found = _forest(keys, marks, sizes, range(len(keys)), range(len(keys)))
+            still = []
+        else:
+            centre, middle, one = given or (_centre(marks), float(np.median(sizes)), None)
+            same = _similarity(marks, centre)
+            near = same >= _bound(sizes, middle)
+            one = one or keys[int(same.argmax())]
+            found = [(one, keys[i]) for i in np.flatnonzero(near).tolist() if keys[i] != one]
+            still = np.flatnonzero((same < SETTLED) | ~near).tolist() if given or not near.all() else []
+        for e in found:
+            if e not in sent:
+                sent.add(e)
+                edges.append(e)
+        if len(sent) > 100_000:
+            sent.clear()
+        for i in still:
+            for x, v in zip(rest, (at[0], keys[i], size[i], sketch[i], used[i], more[i])):
+                x.append(v)
+
+    def batch():
+        n, m = len(edges), len(rest[0])
+        columns = [[e[0] for e in edges] + [None] * m, [e[1] for e in edges] + rest[1]] + [[None] * n + rest[k] for k in (0, 2, 3, 4, 5)]
+        kinds = [pa.binary(), pa.binary(), *(_KINDS[k] for k in (0, 2, 3, 4, 5))]
+        edges.clear()
+        for x in rest:
+            x.clear()
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["a", "key", "path", "size", "sketch", "used", "more"])
+
+    for b in batches:
+        for lo in range(0, b.num_rows, 2000):
+            for row in zip(*(c.to_pylist() for c in b.slice(lo, 2000).columns)):
+                if (row[0], row[6]) != at:
                     close()
-                    path, keys, size, sketch, more = row[0], [], [], [], []
+                    at, keys, size, sketch, used, more = (row[0], row[6]), [], [], [], [], []
+                    given = None if row[7] is None else (np.frombuffer(row[7], np.uint8), row[8], row[9])
                 if keys and keys[-1] == row[1]:
                     continue
-                keys.append(row[1])
-                size.append(row[2])
-                sketch.append(row[3])
-                more.append(row[4] if not last else None)
-            if len(edges) + len(rest[0]) > 20_000:
+                for x, v in zip((keys, size, sketch, used, more), row[1:6]):
+                    x.append(v)
+            if len(edges) + len(rest[0]) > 5000:
                 yield batch()
-        close()
-        yield batch()
-
-    return run
+    close()
+    yield batch()
+
+
+def _middle(batches):
+    """Samples of large buckets to their centres: path, centre, median size and the member most alike."""
+    for b in batches:
+        rows = []
+        for some in b.column(1).to_pylist():
+            some.sort(key=lambda r: r["key"])
+            marks = np.frombuffer(b"".join(r["sketch"] for r in some), np.uint8).reshape(-1, SKETCH)
+            centre = _centre(marks)
+            rows.append((centre.tobytes(), float(np.median([r["size"] for r in some])), some[int(_similarity(marks, centre).argmax())]["key"]))
+        kinds = [pa.binary(), pa.float64(), pa.binary()]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *(pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds))], ["path", "parts", "centre", "middle", "one"])
+
+
+def _split(rows: DataFrame) -> DataFrame:
+    """One step of the recursion over written rows of buckets: the written output of :func:`_bucket`."""
+    hot = rows.groupBy("path").agg(F.count("*").alias("n")).where(F.col("n") > MANY)
+    part, centre, middle, one = (F.lit(None).cast(t) for t in ("long", "binary", "double", "binary"))
+    if not hot.isEmpty():
+        hot = cut(hot, "large-buckets")
+        few = hot.count() <= BROADCAST
+        hot = F.broadcast(hot) if few else hot
+        member = F.struct("key", "size", "sketch")
+        # about 64 members by a hash of their text, and one in any case
+        chosen = rows.join(hot, "path").groupBy("path").agg(
+            F.collect_set(F.when(F.pmod(F.xxhash64("key"), F.expr("greatest(n div 64, 1)")) == 0, member)).alias("some"), F.min(member).alias("least"), F.max("n").alias("n")
+        )
+        chosen = chosen.select("path", F.array_union("some", F.array("least")).alias("some"), F.ceil(F.col("n") / MANY).cast("long").alias("parts"))
+        centres = cut(chosen.mapInArrow(_middle, "path long, parts long, centre binary, middle double, one binary"), "centres")
+        rows = rows.join(F.broadcast(centres) if few else centres, "path", "left")
+        part, centre, middle, one = F.pmod(F.xxhash64("key"), "parts"), F.col("centre"), F.col("middle"), F.col("one")
+    rows = rows.select(*_NAMES, part.alias("part"), centre.alias("centre"), middle.alias("middle"), one.alias("one"))
+    dealt = rows.repartition("path", "part").sortWithinPartitions("path", "part", "key")
+    return cut(dealt.mapInArrow(_bucket, "a binary, key binary, path long, size int, sketch binary, used array<long>, more array<long>"), "buckets")
+
+
+def _blocks(rows: DataFrame) -> DataFrame:
+    """Edges of buckets of any size: each two blocks of a bucket meet in one task."""
+    sizes = rows.groupBy("path").agg(F.ceil(F.count("*") / TILE).cast("int").alias("blocks"))
+    tiled = _tiles(rows.select("path", "key", "size", "sketch").join(sizes, "path"), "path", "size", "sketch")
+
+    def compare(batches):
+        for tile, rows in _grouped(batches, 3):
+            keys, block = [r[4] for r in rows], [r[3] for r in rows]
+            order = sorted(range(len(keys)), key=lambda k: block[k])
+            n = block.count(tile[1])
+            marks = np.frombuffer(b"".join(rows[k][6] for k in order), np.uint8).reshape(-1, SKETCH)
+            right = range(n) if tile[1] == tile[2] else range(n, len(keys))
+            edges = _forest([keys[k] for k in order], marks, np.array([rows[k][5] for k in order]), range(n), right)
+            yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.binary()) for k in (0, 1)], ["a", "b"])
+
+    return tiled.mapInArrow(compare, "a binary, b binary")
+
+
+def _tiles(rows: DataFrame, group: str, *columns: str) -> DataFrame:
+    """Rows with ``key`` and ``blocks`` dealt to the tiles (i, j) of their group, i <= j, that hold their block."""
+    block = rows.withColumn("block", F.pmod(F.hash("key"), "blocks"))
+    both = block.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    tiled = both.select(group, F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "key", *columns)
+    return tiled.repartition(group, "i", "j").sortWithinPartitions(group, "i", "j", "key")
+
+
+def _grouped(batches, n: int):
+    """(group, rows without repeats) of Arrow batches sorted by their first n columns and ``key`` (column 4)."""
+    group, rows = None, []
+    for b in batches:
+        for lo in range(0, b.num_rows, 2000):
+            for row in zip(*(c.to_pylist() for c in b.slice(lo, 2000).columns)):
+                if row[:n] != group:
+                    if rows:
+                        yield group, rows
+                    group, rows = row[:n], []
+                if not rows or rows[-1][4] != row[4]:
+                    rows.append(row)
+    if rows:
+        yield group, rows
 
 
 def _links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -190,23 +306,27 @@ def _links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, threshol
         x[row_l[o[row_l[o] >= 0]], t[row_l[o] >= 0]] = 1
         y[row_r[o[row_r[o] >= 0]], t[row_r[o] >= 0]] = 1
         shared += x @ y.T
-    total = size[left][:, None] + size[right][None, :]
-    linked = shared * (1 + threshold) >= threshold * total - 1e-3  # shared / (total - shared) >= threshold
-    linked &= left[:, None] != right[None, :]
+    linked = np.zeros(shared.shape, bool)
+    for lo in range(0, len(left), 256):
+        part = shared[lo : lo + 256]
+        total = size[left[lo : lo + 256]][:, None] + size[right][None, :]
+        linked[lo : lo + 256] = part.astype(float) * (1 + threshold) >= threshold * total - 1e-6  # shared / (total - shared) >= threshold
+        linked[lo : lo + 256] &= left[lo : lo + 256][:, None] != right[None, :]
+    del shared
     links = np.zeros(n, np.int64)
-    np.add.at(links, left, linked.sum(1))
-    label = np.arange(n)
+    links[left] = linked.sum(1)
     if left is not right:
-        np.add.at(links, right, linked.sum(0))
-    for _ in range(n):  # least label along links, to the end
-        old = label.copy()
-        best = np.where(linked, label[right][None, :], n).min(1) if len(right) else np.zeros(0, int)
-        np.minimum.at(label, left, best)
-        best = np.where(linked, label[left][:, None], n).min(0) if len(left) else np.zeros(0, int)
-        np.minimum.at(label, right, best)
-        label = label[label]
-        if (label == old).all():
-            break
+        links[right] = linked.sum(0)
+    label = np.full(n, -1)
+    for i in range(n):  # least place along links, to the end
+        todo = [i] if label[i] < 0 else []
+        while todo:
+            u = todo.pop()
+            label[u] = i
+            near = right[linked[row_l[u]]] if row_l[u] >= 0 else left[linked[:, row_r[u]]]
+            near = near[label[near] < 0]
+            label[near] = i
+            todo += near.tolist()
     return links, label
 
 
@@ -217,83 +337,116 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, i
     ``threshold``; ``n_links`` counts the different texts linked with a document's text, ``n_copies`` the other documents
     with an equal text. ``class_id`` is the least doc_id of the component of links and copies (null ids come last).
 
-    1. Each distinct text takes its chosen paths; texts that meet in a bucket and look alike by their sketch are
-       joined to candidate groups (stars, never all pairs). The target recall is in :func:`recall`.
-    2. Inside a candidate group the sets are compared exactly, in tiles of ``TILE`` texts a side for large groups; only counts
-       and one label per text leave a tile.
+    1. Each distinct text takes its chosen paths; buckets are split (see :func:`_split`) until they are small or settled, and texts
+       of one bucket that look alike by their sketch are joined to candidate groups: at most one edge for each text and
+       path, never all pairs. Runs are repeated until :func:`recall` reaches TARGET. Buckets that are still large after DEPTH splits
+       are compared in blocks, whatever their size.
+    2. Inside a candidate group the sets are compared exactly, in tiles of about ``TILE`` texts a side; only counts
+       and one label per text leave a tile. Links of one text are counted, so the work (and the copies of its sets) grows
+       with the square of a group of different near copies; exact copies count as one text.
 
     Null and empty texts, and texts without a word, are linked to nothing but their copies; texts of 1 to
     shingle-1 words have one run of all their words. An empty table gives no rows. ``with_key`` adds the MD5 of
     the text, which tells rows with one id apart.
     """
     base = id_text(docs, id_col, text_col)
-    ids = base.select("doc_id", F.unhex(F.md5(F.encode(F.coalesce("text", F.lit("")), "UTF-8"))).alias("key"))
-    schema = "a binary, key binary, path long, size int, sketch binary"
-    nodes = base.mapInArrow(_emit(threshold, shingle), "path long, key binary, size int, sketch binary, more array<long>")
-    first = cut(nodes.repartition("path").sortWithinPartitions("path", "key").mapInArrow(_level(False), schema), "paths")
-    deeper = first.where("a is null").select("path", "key", "size", "sketch")
-    second = deeper.repartition("path").sortWithinPartitions("path", "key").mapInArrow(_level(True), schema)
-    edges = first.where("a is not null").select("a", F.col("key").alias("b")).union(second.select("a", F.col("key").alias("b")))
-    groups = components(edges)
-
-    reps = ids.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"))
-    sizes = groups.groupBy("label").agg(F.count("*").alias("members"))
-    wanted = groups.join(sizes, "label").join(reps, groups["node"] == reps["key"]).select("rep", "key", "label", "members")
+    md5 = F.unhex(F.md5(F.encode(F.coalesce("text", F.lit("")), "UTF-8")))
+    ids = base.select("doc_id", md5.alias("key"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("bytes"))
+    reps = ids.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.max("bytes").alias("bytes"))
 
     def press(batches):
         for b in batches:
             engine = zstandard.ZstdCompressor(level=1)
-            z = [engine.compress((t or "").encode("utf-8", "replace")) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(z, pa.binary())], ["doc_id", "key", "z"])
+            z = pa.array((engine.compress((t or "").encode("utf-8", "replace")) for some in slices(b, 1) for t in some.column(1).to_pylist()), pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), z], ["rep", "key", "z"])
 
-    packed = base.withColumn("key", F.unhex(F.md5(F.encode(F.coalesce("text", F.lit("")), "UTF-8"))))
-    packed = packed.mapInArrow(press, "doc_id long, key binary, z binary")
-    texts = packed.join(wanted.withColumnRenamed("key", "k"), F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("key") == F.col("k")))
+    packed = base.withColumn("key", md5).mapInArrow(press, "rep long, key binary, z binary")
 
-    def tokens(batches):
+    def sets_of(batches, column: int):
+        """(slice, its token sets) of batches with compressed texts in a column."""
+        engine = zstandard.ZstdDecompressor()
         for b in batches:
-            engine = zstandard.ZstdDecompressor()
-            sets = shingle_sets([engine.decompress(z).decode() for z in b.column(3).to_pylist()], shingle)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array([s.tobytes() for s in sets], pa.binary())], ["label", "members", "key", "tokens"])
+            for lo in range(0, b.num_rows, 50):
+                texts = [engine.decompress(z).decode() for z in b.slice(lo, 50).column(column).to_pylist()]
+                at = 0
+                for part in slices(pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"]), 0):
+                    yield b.slice(lo + at, part.num_rows), shingle_sets(part.column(0).to_pylist(), shingle)
+                    at += part.num_rows
+
+    def texts_of(keys: DataFrame) -> DataFrame:
+        """Adds ``z``, the text, to rows with rep and key."""
+        right = packed.withColumnsRenamed({"rep": "_rep", "key": "_key"})
+        return keys.join(right, F.col("rep").eqNullSafe(F.col("_rep")) & (F.col("key") == F.col("_key"))).drop("_rep", "_key")
+
+    def onward(batches):
+        """Open rows to the rows of the next step, by the tokens in ``more``."""
+        for b in batches:
+            rows = [[], [], [], [], []]
+            for path, key, size, sketch, used, more in zip(*(c.to_pylist() for c in b.columns)):
+                after = _after(path % (1 << 64), np.array(more, np.int64).view(np.uint64)).view(np.int64).tolist()
+                for p, token in zip(after, more):
+                    for x, v in zip(rows, (p, key, size, sketch, [*used, token])):
+                        x.append(v)
+            columns = [pa.array(x, t) for x, t in zip(rows, _KINDS)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.nulls(len(rows[0]), _KINDS[5])], _NAMES)
+
+    def anew(batches):
+        """Texts with their open paths to the rows of the next step, and the tokens of the step after it."""
+        for some, sets in sets_of(batches, 4):
+            rows = [[], [], [], [], [], []]
+            for key, size, sketch, paths, tokens in zip(*(some.column(k).to_pylist() for k in range(4)), sets):
+                for p in paths:
+                    tried = np.setdiff1d(_steps(tokens, p["path"] % (1 << 64), threshold), np.array(p["used"], np.int64).view(np.uint64))
+                    for token, path in zip(tried.view(np.int64).tolist(), _after(p["path"] % (1 << 64), tried).tolist()):
+                        used = [*p["used"], token]
+                        more = np.setdiff1d(_steps(tokens, path, threshold), np.array(used, np.int64).view(np.uint64)).view(np.int64).tolist()
+                        for x, v in zip(rows, (path - (1 << 64) if path >> 63 else path, key, size, sketch, used, more)):
+                            x.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, _KINDS)], _NAMES)
+
+    rows = cut(base.mapInArrow(_emit(threshold, shingle), _ROWS), "paths")
+    found, large = [], []
+    for depth in range(1, DEPTH + 1):
+        step = _split(rows)
+        found.append(step.where("a is not null").select("a", F.col("key").alias("b")))
+        still = step.where("a is null").select(*_NAMES)
+        if still.isEmpty():
+            break
+        if depth == DEPTH:
+            large.append(still)
+            break
+        spent = still.where(F.size("used") >= F.col("size")).select("path").distinct()
+        if not spent.isEmpty():  # no token is left to split these buckets by
+            large.append(still.join(spent, "path", "left_semi"))
+        if depth % 2:
+            rows = cut(still.mapInArrow(onward, _ROWS), "paths")
+        else:
+            wanted = still.groupBy("key").agg(F.max("size").alias("size"), F.max("sketch").alias("sketch"), F.collect_list(F.struct("path", "used")).alias("paths"))
+            wanted = texts_of(wanted.join(reps, "key")).select("key", "size", "sketch", "paths", "z")
+            rows = cut(wanted.mapInArrow(anew, _ROWS), "paths")
+    found += [_blocks(x) for x in large]
+    groups = components(reduce(DataFrame.union, found))
+
+    known = cut(groups.join(reps, groups["node"] == reps["key"]).select("rep", "key", "label", "bytes"), "candidates")
+    sizes = known.groupBy("label").agg(F.greatest(F.ceil(F.count("*") / TILE), F.ceil(F.sum("bytes") / TILE_BYTES)).cast("int").alias("blocks"))
+    texts = texts_of(known.join(sizes, "label").select("rep", "key", "label", "blocks"))
 
-    sets = texts.select("label", "members", "key", "z").mapInArrow(tokens, "label binary, members long, key binary, tokens binary")
-    blocks = F.ceil(F.col("members") / TILE).cast("int")
-    tiled = sets.withColumn("blocks", blocks).withColumn("block", F.pmod(F.hash("key"), "blocks"))
-    tiled = tiled.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "label", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "key", "tokens"
-    )
+    def tokens(batches):
+        for some, sets in sets_of(batches, 3):
+            yield pa.RecordBatch.from_arrays([*some.columns[:3], pa.array([x.tobytes() for x in sets], pa.binary())], ["label", "blocks", "key", "tokens"])
 
-    def verify(batches):
-        tile, keys, block, data = None, [], [], []
+    sets = texts.select("label", "blocks", "key", "z").mapInArrow(tokens, "label binary, blocks int, key binary, tokens binary")
 
-        def close():
-            if not keys:
-                return None
-            at = np.array(block)
-            i, j = tile[1], tile[2]
+    def verify(batches):
+        for (_, i, j), rows in _grouped(batches, 3):
+            at, keys = np.array([r[3] for r in rows]), [r[4] for r in rows]
             left = np.flatnonzero(at == i)
             right = left if i == j else np.flatnonzero(at == j)
-            links, label = _links([np.frombuffer(d, np.uint64) for d in data], left, right, threshold)
-            out = [pa.array(keys, pa.binary()), pa.array(links), pa.array([keys[k] for k in label], pa.binary())]
-            return pa.RecordBatch.from_arrays(out, ["key", "links", "peer"])
+            links, label = _links([np.frombuffer(r[5], np.uint64) for r in rows], left, right, threshold)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(links), pa.array([keys[k] for k in label], pa.binary())], ["key", "links", "peer"])
 
-        for b in batches:
-            for row in zip(*(c.to_pylist() for c in b.columns)):
-                if row[:3] != tile:
-                    if (got := close()) is not None:
-                        yield got
-                    tile, keys, block, data = row[:3], [], [], []
-                if keys and keys[-1] == row[4]:
-                    continue  # a repeated row
-                keys.append(row[4])
-                block.append(row[3])
-                data.append(row[5])
-        if (got := close()) is not None:
-            yield got
-
-    dealt = tiled.repartition("label", "i", "j").sortWithinPartitions("label", "i", "j", "key")
-    verified = cut(dealt.mapInArrow(verify, "key binary, links long, peer binary"), "links")
-    classes = components(verified.select("key", "peer"), "key", "peer")
+    verified = cut(_tiles(sets, "label", "tokens").mapInArrow(verify, "key binary, links long, peer binary"), "links")
+    classes = components(verified.where("key <> peer").select("key", "peer"), "key", "peer")
     links = verified.groupBy("key").agg(F.sum("links").alias("n_links"))
     texts = reps.join(links, "key", "left").join(classes.withColumnRenamed("node", "key"), "key", "left")
     texts = cut(texts.withColumn("label", F.coalesce("label", "key")), "texts")
@@ -302,11 +455,19 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, i
     return ids.join(texts, "key").select("doc_id", "class_id", "n_links", "n_copies", *["key"] * with_key)
 
 
-def one_of_each(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """The rows of ``docs`` without near copies: of each class the document with the least doc_id stays, whole; exact repeats of its row go."""
-    near = near_duplicates(docs, threshold, with_key=True)
-    kept = near.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_id"), F.col("key").alias("_kept")).distinct()
-    keyed = docs.withColumn("_key", F.unhex(F.md5(F.encode(F.coalesce("text", F.lit("")), "UTF-8"))))
-    some = keyed.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_kept")), "left_semi")
-    first = F.row_number().over(Window.partitionBy("doc_id", "_key").orderBy(F.monotonically_increasing_id()))
-    return some.withColumn("_n", first).where("_n = 1").select(*docs.columns)
+def one_of_each(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` without near copies, with all their columns: of each class the document with the least id stays, whole.
+
+    Exact repeats of its id and text go. Null and empty texts are one class of copies; null ids come last, so a class without any
+    other keeps a row with a null id. Columns may have any name. An empty table gives no rows.
+    """
+    near = near_duplicates(docs, threshold, id_col=id_col, text_col=text_col, with_key=True)
+    kept = near.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("kept_id"), F.col("key").alias("kept_key")).distinct()
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("id"), F.unhex(F.md5(F.encode(text, "UTF-8"))).alias("key"))
+    # one hash deals both sides, and the window after the join needs no other exchange
+    rows = rows.withColumn("deal", F.xxhash64("id", "key"))
+    kept = kept.withColumn("kept_deal", F.xxhash64("kept_id", "kept_key"))
+    some = rows.join(kept, (rows["deal"] == kept["kept_deal"]) & rows["id"].eqNullSafe(kept["kept_id"]) & (rows["key"] == kept["kept_key"]), "left_semi")
+    first = F.row_number().over(Window.partitionBy("deal", "id", "key").orderBy(F.monotonically_increasing_id()))
+    return some.withColumn("place", first).where("place = 1").select("row.*")

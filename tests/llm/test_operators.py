@@ -79,9 +79,11 @@ def test_dedup_substrings(docs, limit, many, monkeypatch):
 
 
 def test_near_duplicates(docs, monkeypatch):
-    for tile, small in ((4096, 64), (2, 1)):
+    for tile, small, many, settled in ((1024, 64, 2048, 0.75), (2, 1, 2048, 2.0), (2, 1, 1, 0.75)):
         monkeypatch.setattr(jaccard, "TILE", tile)
         monkeypatch.setattr(jaccard, "SMALL", small)
+        monkeypatch.setattr(jaccard, "MANY", many)
+        monkeypatch.setattr(jaccard, "SETTLED", settled)
         texts = sorted({t or "" for _, t in corpus()})
         sets = dict(zip(texts, (set(s.tolist()) for s in hashing.shingle_sets(texts))))
         links = defaultdict(set)
@@ -105,7 +107,25 @@ def test_near_duplicates(docs, monkeypatch):
             want.append((i, min(ids, default=None), len(links[t or ""]), sum((u or "") == (t or "") for _, u in corpus()) - 1))
         got = [tuple(r) for r in jaccard.near_duplicates(docs).collect()]
         assert sorted(got, key=str) == sorted(want, key=str)
-    assert jaccard.recall() > 0.99999
+    assert jaccard.recall(jaccard.RUNS) >= 0.999 > jaccard.recall(jaccard.RUNS - 1)
+
+
+def test_near_duplicates_recall(spark):
+    """All pairs of a table of the benchmark against the join: at least 0.99 of the links, and no other ones."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    texts = sorted({r.text or "" for r in docs.collect()})
+    sets, holders, both, links = hashing.shingle_sets(texts), defaultdict(list), Counter(), Counter()
+    for i, s in enumerate(sets):
+        for token in s.tolist():
+            both.update((j, i) for j in holders[token])
+            holders[token].append(i)
+    for (i, j), n in both.items():
+        if 5 * n >= 4 * (len(sets[i]) + len(sets[j]) - n):
+            links.update((i, j))
+    want = {hashlib.md5(t.encode()).digest(): links[i] for i, t in enumerate(texts)}
+    got = {bytes(r.key): r.n_links for r in jaccard.near_duplicates(docs, with_key=True).collect()}
+    assert got.keys() == want.keys() and all(n <= want[k] for k, n in got.items())
+    assert sum(want.values()) > 100 and sum(got.values()) >= 0.99 * sum(want.values())
 
 
 def test_one_of_each(docs):
