@@ -33,7 +33,7 @@ RUNS = next(n for n in range(1, 100) if recall(n) >= TARGET)
 #: Splits of a path; buckets that are still large then are compared in blocks.
 DEPTH = 4
 #: A bucket up to this size is compared by brute force; a larger one is split once more.
-SMALL = 64
+SMALL = 1024
 #: Rows of a bucket in one task; larger buckets are dealt to several.
 MANY = 2048
 #: Paths of large buckets that may be broadcast (about 120 bytes each); beyond it they are joined.
@@ -42,8 +42,8 @@ BROADCAST = 20_000
 TILE = 1024
 TILE_BYTES = 8 << 20
 SKETCH = 64
-#: Likeness to a bucket's centre (by sketch) from which a text needs no deeper split; see :func:`_bucket`.
-SETTLED = 0.75
+#: What a sketch's estimate of likeness may be wrong by, in the bounds of :func:`_bucket`.
+ERROR = 0.1
 _ROOT = [(0xA24BAED4963EE407 * (run + 1)) & ((1 << 64) - 1) for run in range(RUNS)]
 
 
@@ -77,9 +77,9 @@ def _similarity(sketches: np.ndarray, one: np.ndarray) -> np.ndarray:
     return ((sketches == one) & (sketches > 0)).sum(1) / np.maximum(((sketches > 0) | (one > 0)).sum(1), 1)
 
 
-def _bound(size: np.ndarray, size_one: float) -> np.ndarray:
-    """Estimated likeness from which two sets may be a pair over the threshold."""
-    return np.where(np.minimum(size, size_one) < 100, 0.33, 0.5)
+def _bound(size: np.ndarray, size_one: float, threshold: float) -> np.ndarray:
+    """Estimated likeness from which two sets may be a pair over the threshold (small sets have few filled places)."""
+    return np.where(np.minimum(size, size_one) < 100, threshold - 0.47, threshold - 0.3)
 
 
 def _centre(sketches: np.ndarray) -> np.ndarray:
@@ -87,29 +87,35 @@ def _centre(sketches: np.ndarray) -> np.ndarray:
     return np.array([np.bincount(c, minlength=256).argmax() for c in sketches.T], np.uint8)
 
 
-def _forest(keys: list, sketches: np.ndarray, size: np.ndarray, left: range, right: range) -> list[tuple]:
-    """Edges that connect the members of ``left`` and ``right`` that may be alike: a spanning forest, at most one for each member."""
-    root = list(range(len(keys)))
+class _Forest:
+    """Edges between members of a bucket, none that closes a circle: at most one for each member."""
 
-    def top(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
+    def __init__(self, keys: list, sketches: np.ndarray, size: np.ndarray, threshold: float):
+        self.keys, self.sketches, self.size, self.threshold = keys, sketches, size, threshold
+        self.root, self.edges = list(range(len(keys))), []
+
+    def _top(self, i: int) -> int:
+        while self.root[i] != i:
+            self.root[i] = self.root[self.root[i]]
+            i = self.root[i]
         return i
 
-    out = []
-    for i in left:
-        others = np.arange(max(right.start, i + 1) if left == right else right.start, right.stop)
-        for j in others[_similarity(sketches[others], sketches[i]) >= _bound(size[others], float(size[i]))].tolist():
-            a, b = top(i), top(j)
+    def join(self, i: int, others) -> None:
+        for j in others:
+            a, b = self._top(i), self._top(j)
             if a != b:
-                root[b] = a
-                out.append((keys[i], keys[j]))
-    return out
+                self.root[b] = a
+                self.edges.append((self.keys[i], self.keys[j]))
+
+    def compare(self, left, right: np.ndarray) -> None:
+        """Joins each of ``left`` with those of ``right`` that may be alike."""
+        for i in left:
+            near = _similarity(self.sketches[right], self.sketches[i]) >= _bound(self.size[right], float(self.size[i]), self.threshold)
+            self.join(i, right[near].tolist())
 
 
 def _emit(threshold: float, shingle: int):
-    """Texts to the rows of their first paths; ``more`` has the tokens of the next step."""
+    """Texts to the rows of their first paths."""
 
     def run(batches):
         seen = set()  # a task sends each distinct text once: the hot groups of copies shrink before the shuffle
@@ -121,86 +127,100 @@ def _emit(threshold: float, shingle: int):
                     if key not in seen:
                         seen.add(key)
                         fresh.append((key, t))
-                rows = [[], [], [], [], [], []]
+                rows = [[], [], [], [], []]
                 for (key, _), tokens in zip(fresh, shingle_sets([t for _, t in fresh], shingle)):
                     if not len(tokens):
                         continue
                     sketch = _sketch(tokens)
                     for root in _ROOT:
                         first = _steps(tokens, root, threshold)
-                        for token, path in zip(first.view(np.int64).tolist(), _after(root, first).tolist()):
-                            more = _steps(tokens, path, threshold).view(np.int64)
-                            for k, v in enumerate((path - (1 << 64) if path >> 63 else path, key, len(tokens), sketch, [token], more[more != token].tolist())):
-                                rows[k].append(v)
-                yield pa.RecordBatch.from_arrays([pa.array(r, t) for r, t in zip(rows, _KINDS)], _NAMES)
+                        for token, path in zip(first.view(np.int64).tolist(), _after(root, first).view(np.int64).tolist()):
+                            for x, v in zip(rows, (path, key, len(tokens), sketch, [token])):
+                                x.append(v)
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, _KINDS)], _NAMES)
 
     return run
 
 
-_NAMES = ["path", "key", "size", "sketch", "used", "more"]
-_KINDS = [pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-_ROWS = "path long, key binary, size int, sketch binary, used array<long>, more array<long>"
+_NAMES = ["path", "key", "size", "sketch", "used"]
+_KINDS = [pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.list_(pa.int64())]
+_ROWS = "path long, key binary, size int, sketch binary, used array<long>"
 
 
-def _bucket(batches):
+def _bucket(threshold: float):
     """Rows of buckets, sorted by path, part and key, to edges (``a`` given) and to what is still open of them.
 
-    A bucket up to SMALL rows is compared by brute force. In a larger one, all that resemble its centre (the most common
-    value of each sketch place) are connected to one of them. A member that is very like the centre is settled: by the triangle
-    inequality all it can be linked with resembles the centre too. The others stay open where some row does not
-    resemble the centre. The centre of a bucket that is dealt in parts comes with its rows. At most one edge a row.
+    All that resemble a bucket's centre (the most common value of each sketch place) are connected to one of them. The
+    others, the leftovers, are compared with all that they may be linked with: leftovers, and those members that are not
+    very like the centre (by the triangle inequality, what is linked with a leftover is little more like the centre than the leftover
+    is). Buckets of over SMALL rows with more leftovers than that leave these rows open for the next split. The centre of a
+    bucket that is dealt in parts comes with its rows. At most one edge a row.
     """
-    at, keys, size, sketch, used, more, given = None, [], [], [], [], [], None
-    edges, rest, sent = [], [[], [], [], [], [], []], set()
-
-    def close():
-        if given is None and len(keys) < 2:
-            return
-        marks, sizes = np.frombuffer(b"".join(sketch), np.uint8).reshape(-1, SKETCH), np.array(size)
-        if given is None and len(keys) <= SMALL:
-            found = _forest(keys, marks, sizes, range(len(keys)), range(len(keys)))
-            still = []
-        else:
-            centre, middle, one = given or (_centre(marks), float(np.median(sizes)), None)
-            same = _similarity(marks, centre)
-            near = same >= _bound(sizes, middle)
-            one = one or keys[int(same.argmax())]
-            found = [(one, keys[i]) for i in np.flatnonzero(near).tolist() if keys[i] != one]
-            still = np.flatnonzero((same < SETTLED) | ~near).tolist() if given or not near.all() else []
-        for e in found:
-            if e not in sent:
-                sent.add(e)
-                edges.append(e)
-        if len(sent) > 100_000:
-            sent.clear()
-        for i in still:
-            for x, v in zip(rest, (at[0], keys[i], size[i], sketch[i], used[i], more[i])):
-                x.append(v)
-
-    def batch():
-        n, m = len(edges), len(rest[0])
-        columns = [[e[0] for e in edges] + [None] * m, [e[1] for e in edges] + rest[1]] + [[None] * n + rest[k] for k in (0, 2, 3, 4, 5)]
-        kinds = [pa.binary(), pa.binary(), *(_KINDS[k] for k in (0, 2, 3, 4, 5))]
-        edges.clear()
-        for x in rest:
-            x.clear()
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["a", "key", "path", "size", "sketch", "used", "more"])
 
-    for b in batches:
-        for lo in range(0, b.num_rows, 2000):
-            for row in zip(*(c.to_pylist() for c in b.slice(lo, 2000).columns)):
-                if (row[0], row[6]) != at:
-                    close()
-                    at, keys, size, sketch, used, more = (row[0], row[6]), [], [], [], [], []
-                    given = None if row[7] is None else (np.frombuffer(row[7], np.uint8), row[8], row[9])
-                if keys and keys[-1] == row[1]:
-                    continue
-                for x, v in zip((keys, size, sketch, used, more), row[1:6]):
+    def run(batches):
+        at, given, part = None, None, [[], [], [], []]  # keys, sizes, sketches, used tokens
+        edges, rest, sent = [], [[], [], [], [], []], set()
+
+        def close():
+            keys, size, sketch, used = part
+            if given is None and len(keys) < 2:
+                return
+            marks, sizes = np.frombuffer(b"".join(sketch), np.uint8).reshape(-1, SKETCH), np.array(size)
+            forest, still = _Forest(keys, marks, sizes, threshold), []
+            if given is None and len(keys) <= 4:
+                for i in range(len(keys) - 1):
+                    forest.compare([i], np.arange(i + 1, len(keys)))
+            else:
+                centre, middle, one = given or (_centre(marks), float(np.median(sizes)), None)
+                same = _similarity(marks, centre)
+                near = same >= _bound(sizes, middle, threshold)
+                members, left = np.flatnonzero(near), np.flatnonzero(~near)
+                if one is None and len(members):
+                    forest.join(int(members[0]), members[1:].tolist())
+                forest.edges += [(one, keys[i]) for i in members.tolist() if one not in (None, keys[i])]
+                if given or len(left):
+                    reach = (max(threshold - 0.3, same[left].max(initial=0)) if given else same[left].max()) + 1 - threshold + ERROR
+                    open_rows = np.flatnonzero((same <= reach) | ~near)
+                    if given is None and (len(keys) <= SMALL or len(left) * len(open_rows) <= SMALL * SMALL):
+                        forest.compare(left.tolist(), open_rows)
+                    else:
+                        still = open_rows.tolist()
+            for e in forest.edges:
+                if e not in sent:
+                    sent.add(e)
+                    edges.append(e)
+            if len(sent) > 100_000:
+                sent.clear()
+            for i in still:
+                for x, v in zip(rest, (at[0], keys[i], size[i], sketch[i], used[i])):
                     x.append(v)
-            if len(edges) + len(rest[0]) > 5000:
-                yield batch()
-    close()
-    yield batch()
+
+        def batch():
+            n, m = len(edges), len(rest[0])
+            columns = [[e[0] for e in edges] + [None] * m, [e[1] for e in edges] + rest[1]] + [[None] * n + rest[k] for k in (0, 2, 3, 4)]
+            kinds = [pa.binary(), pa.binary(), *(_KINDS[k] for k in (0, 2, 3, 4))]
+            edges.clear()
+            for x in rest:
+                x.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["a", "key", "path", "size", "sketch", "used"])
+
+        for b in batches:
+            for lo in range(0, b.num_rows, 2000):
+                for row in zip(*(c.to_pylist() for c in b.slice(lo, 2000).columns)):
+                    if (row[0], row[5]) != at:
+                        close()
+                        at, part = (row[0], row[5]), [[], [], [], []]
+                        given = None if row[6] is None else (np.frombuffer(row[6], np.uint8), row[7], row[8])
+                    if part[0] and part[0][-1] == row[1]:
+                        continue
+                    for x, v in zip(part, row[1:5]):
+                        x.append(v)
+                if len(edges) + len(rest[0]) > 5000:
+                    yield batch()
+        close()
+        yield batch()
+
+    return run
 
 
 def _middle(batches):
@@ -216,7 +236,7 @@ def _middle(batches):
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *(pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds))], ["path", "parts", "centre", "middle", "one"])
 
 
-def _split(rows: DataFrame) -> DataFrame:
+def _split(rows: DataFrame, threshold: float) -> DataFrame:
     """One step of the recursion over written rows of buckets: the written output of :func:`_bucket`."""
     hot = rows.groupBy("path").agg(F.count("*").alias("n")).where(F.col("n") > MANY)
     part, centre, middle, one = (F.lit(None).cast(t) for t in ("long", "binary", "double", "binary"))
@@ -235,10 +255,10 @@ def _split(rows: DataFrame) -> DataFrame:
         part, centre, middle, one = F.pmod(F.xxhash64("key"), "parts"), F.col("centre"), F.col("middle"), F.col("one")
     rows = rows.select(*_NAMES, part.alias("part"), centre.alias("centre"), middle.alias("middle"), one.alias("one"))
     dealt = rows.repartition("path", "part").sortWithinPartitions("path", "part", "key")
-    return cut(dealt.mapInArrow(_bucket, "a binary, key binary, path long, size int, sketch binary, used array<long>, more array<long>"), "buckets")
+    return cut(dealt.mapInArrow(_bucket(threshold), "a binary, key binary, path long, size int, sketch binary, used array<long>"), "buckets")
 
 
-def _blocks(rows: DataFrame) -> DataFrame:
+def _blocks(rows: DataFrame, threshold: float) -> DataFrame:
     """Edges of buckets of any size: each two blocks of a bucket meet in one task."""
     sizes = rows.groupBy("path").agg(F.ceil(F.count("*") / TILE).cast("int").alias("blocks"))
     tiled = _tiles(rows.select("path", "key", "size", "sketch").join(sizes, "path"), "path", "size", "sketch")
@@ -249,9 +269,9 @@ def _blocks(rows: DataFrame) -> DataFrame:
             order = sorted(range(len(keys)), key=lambda k: block[k])
             n = block.count(tile[1])
             marks = np.frombuffer(b"".join(rows[k][6] for k in order), np.uint8).reshape(-1, SKETCH)
-            right = range(n) if tile[1] == tile[2] else range(n, len(keys))
-            edges = _forest([keys[k] for k in order], marks, np.array([rows[k][5] for k in order]), range(n), right)
-            yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.binary()) for k in (0, 1)], ["a", "b"])
+            forest = _Forest([keys[k] for k in order], marks, np.array([rows[k][5] for k in order]), threshold)
+            forest.compare(range(n), np.arange(n) if tile[1] == tile[2] else np.arange(n, len(keys)))
+            yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in forest.edges], pa.binary()) for k in (0, 1)], ["a", "b"])
 
     return tiled.mapInArrow(compare, "a binary, b binary")
 
@@ -378,36 +398,22 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, i
         right = packed.withColumnsRenamed({"rep": "_rep", "key": "_key"})
         return keys.join(right, F.col("rep").eqNullSafe(F.col("_rep")) & (F.col("key") == F.col("_key"))).drop("_rep", "_key")
 
-    def onward(batches):
-        """Open rows to the rows of the next step, by the tokens in ``more``."""
-        for b in batches:
-            rows = [[], [], [], [], []]
-            for path, key, size, sketch, used, more in zip(*(c.to_pylist() for c in b.columns)):
-                after = _after(path % (1 << 64), np.array(more, np.int64).view(np.uint64)).view(np.int64).tolist()
-                for p, token in zip(after, more):
-                    for x, v in zip(rows, (p, key, size, sketch, [*used, token])):
-                        x.append(v)
-            columns = [pa.array(x, t) for x, t in zip(rows, _KINDS)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.nulls(len(rows[0]), _KINDS[5])], _NAMES)
-
     def anew(batches):
-        """Texts with their open paths to the rows of the next step, and the tokens of the step after it."""
+        """Texts with their open paths to the rows of the next step."""
         for some, sets in sets_of(batches, 4):
-            rows = [[], [], [], [], [], []]
+            rows = [[], [], [], [], []]
             for key, size, sketch, paths, tokens in zip(*(some.column(k).to_pylist() for k in range(4)), sets):
                 for p in paths:
-                    tried = np.setdiff1d(_steps(tokens, p["path"] % (1 << 64), threshold), np.array(p["used"], np.int64).view(np.uint64))
-                    for token, path in zip(tried.view(np.int64).tolist(), _after(p["path"] % (1 << 64), tried).tolist()):
-                        used = [*p["used"], token]
-                        more = np.setdiff1d(_steps(tokens, path, threshold), np.array(used, np.int64).view(np.uint64)).view(np.int64).tolist()
-                        for x, v in zip(rows, (path - (1 << 64) if path >> 63 else path, key, size, sketch, used, more)):
+                    step = np.setdiff1d(_steps(tokens, p["path"] % (1 << 64), threshold), np.array(p["used"], np.int64).view(np.uint64))
+                    for token, path in zip(step.view(np.int64).tolist(), _after(p["path"] % (1 << 64), step).view(np.int64).tolist()):
+                        for x, v in zip(rows, (path, key, size, sketch, [*p["used"], token])):
                             x.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, _KINDS)], _NAMES)
 
     rows = cut(base.mapInArrow(_emit(threshold, shingle), _ROWS), "paths")
     found, large = [], []
     for depth in range(1, DEPTH + 1):
-        step = _split(rows)
+        step = _split(rows, threshold)
         found.append(step.where("a is not null").select("a", F.col("key").alias("b")))
         still = step.where("a is null").select(*_NAMES)
         if still.isEmpty():
@@ -418,13 +424,9 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, i
         spent = still.where(F.size("used") >= F.col("size")).select("path").distinct()
         if not spent.isEmpty():  # no token is left to split these buckets by
             large.append(still.join(spent, "path", "left_semi"))
-        if depth % 2:
-            rows = cut(still.mapInArrow(onward, _ROWS), "paths")
-        else:
-            wanted = still.groupBy("key").agg(F.max("size").alias("size"), F.max("sketch").alias("sketch"), F.collect_list(F.struct("path", "used")).alias("paths"))
-            wanted = texts_of(wanted.join(reps, "key")).select("key", "size", "sketch", "paths", "z")
-            rows = cut(wanted.mapInArrow(anew, _ROWS), "paths")
-    found += [_blocks(x) for x in large]
+        wanted = still.groupBy("key").agg(F.max("size").alias("size"), F.max("sketch").alias("sketch"), F.collect_list(F.struct("path", "used")).alias("paths"))
+        rows = cut(texts_of(wanted.join(reps, "key")).select("key", "size", "sketch", "paths", "z").mapInArrow(anew, _ROWS), "paths")
+    found += [_blocks(x, threshold) for x in large]
     groups = components(reduce(DataFrame.union, found))
 
     known = cut(groups.join(reps, groups["node"] == reps["key"]).select("rep", "key", "label", "bytes"), "candidates")
