@@ -7,15 +7,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .hashing import U, join_texts, mix, shingles, words
+from .hashing import U, join_texts, mix, shingles, slices, words
 from .linear import fit, labelled_sample, predict
-from .store import ship
+from .store import cut, ship
 
-#: Labelled documents used for fitting, at most; and unlabelled ones for pseudo-labels.
+#: Labelled documents used for fitting, at most.
 TRAIN_ROWS = 4000
-POOL_ROWS = 4000
-ROUNDS = 5
-#: Slots for hashed languages and sources.
+ROUNDS = 3
+#: Pseudo-labels that a view gives in a round, at most: the surest of all documents outside the labelled sample.
+TAUGHT = 400
+#: How sure a view must be of a pseudo-label.
+SURE = 0.95
+#: Slots for hashed languages and sources, for hashed words, and for hashed character runs.
 SLOTS = 64
 
 _KIND = np.zeros(256, np.int8)  # 1 upper case, 2 lower case, 3 digit, 4 other ASCII sign, 5 non-ASCII
@@ -24,11 +27,12 @@ _KIND[48:58] = 3
 _KIND[65:91] = 1
 _KIND[97:123] = 2
 _KIND[128:] = 5
-N_TEXT = 17
+N_TEXT = 17 + 2 * SLOTS
+N_META = 2 * SLOTS + 8
 
 
 def text_features(texts: list) -> np.ndarray:
-    """Shape of each whole text: case, signs, digits, word lengths, repeated words and repeated five-word runs."""
+    """Content of each whole text: hashed words and runs of three bytes, and its shape (case, signs, digits, word lengths, repeated words and five-word runs)."""
     n = len(texts)
     data, bounds = join_texts(texts)
     kind = _KIND[data]
@@ -57,9 +61,16 @@ def text_features(texts: list) -> np.ndarray:
     upper, sign = counts[:, 1] / letters, signs / w[:, None]
     length = np.bincount(of, weights=end - start, minlength=n) / w
     root = np.sqrt(np.minimum(sign, 2))
+    slot = (mix(h + U(0x2545F4914F6CDD1D)) % U(SLOTS)).astype(np.int64)
+    bag = np.bincount(of * SLOTS + slot, minlength=n * SLOTS).reshape(n, SLOTS)
+    wide = data.astype(np.uint32)
+    three = (wide[:-2] * np.uint32(0x9E3779B1) + wide[1:-1] * np.uint32(0x85EBCA77) + wide[2:] * np.uint32(0xC2B2AE3D)) >> np.uint32(26)
+    inside = owner[:-2] == owner[2:]
+    trio = np.bincount(owner[:-2][inside] * SLOTS + three[inside], minlength=n * SLOTS).reshape(n, SLOTS)
+    content = [np.sqrt(c / np.maximum(c.sum(1, keepdims=True), 1)) for c in (bag, trio)]
     return np.column_stack((
         upper, upper > 0.5, root, sign[:, 0] > 0.2, sign[:, 1] > 0.2, sign[:, 2] > 0.2, twice / w, twice / w > 0.2, repeated, repeated > 0.4,
-        np.minimum(counts[:, 3] / w, 2), np.log1p(size) / 5, np.minimum(length, 20) / 10, variety / w,
+        np.minimum(counts[:, 3] / w, 2), np.log1p(size) / 5, np.minimum(length, 20) / 10, variety / w, *content,
     ))
 
 
@@ -68,7 +79,7 @@ def metadata_features(langs: list, sources: list, n_chars: list) -> np.ndarray:
     import zlib
 
     n = len(langs)
-    out = np.zeros((n, 2 * SLOTS + 8))
+    out = np.zeros((n, N_META))
     for k, column in enumerate((langs, sources)):
         slot = [0 if v is None else 1 + zlib.crc32(str(v).encode("utf-8", "replace")) % (SLOTS - 1) for v in column]
         out[np.arange(n), np.array(slot, int) + k * SLOTS] = 1
@@ -81,43 +92,34 @@ def metadata_features(langs: list, sources: list, n_chars: list) -> np.ndarray:
 class CoTraining:
     """Two views that teach each other, then calibrated and combined.
 
-    A fifth of the labelled rows is held out. In each round each view labels the pool documents
-    it is surest of (at 0.95 or more, at most a twentieth of the pool, in the classes' proportion), for
-    the other view's next fit. On the held-out rows each view's score is calibrated by a logistic fit and
-    a last one weighs the two calibrated logits.
+    Three fifths of the labelled rows train the views. In each round each view labels the documents it is surest of (at SURE or
+    more, in the classes' proportion) for the other view's next fit. Each view's score is calibrated by a
+    logistic fit on the fourth fifth, and on the last fifth another one weighs the two calibrated logits.
     """
 
-    def __init__(self, views: list[np.ndarray], y: np.ndarray, pools: list[np.ndarray]):
-        held = np.arange(len(y)) % 5 == 4
-        x, target = [v[~held] for v in views], [y[~held], y[~held]]
-        share = float(y[~held].mean()) if (~held).any() else 0.5
-        free = [np.ones(len(p), bool) for p in pools]
-        self.rounds = []
-        models = [fit(a, b) for a, b in zip(x, target)]
-        for _ in range(ROUNDS):
-            added = 0
-            news = []
-            for k in (0, 1):
-                p = predict(models[k], pools[k]) if len(pools[k]) else np.zeros(0)
-                most = max(1, len(p) // 20)
-                good = np.flatnonzero((p >= 0.95) & free[1 - k])
-                bad = np.flatnonzero((p <= 0.05) & free[1 - k])
-                good = good[np.argsort(-p[good], kind="stable")][: int(most * share) + 1]
-                bad = bad[np.argsort(p[bad], kind="stable")][: int(most * (1 - share)) + 1]
-                news.append((good, bad))
-            for k, (good, bad) in enumerate(news):  # view k teaches the other one
-                taught = np.concatenate((good, bad))
-                free[1 - k][taught] = False
-                x[1 - k] = np.concatenate((x[1 - k], pools[1 - k][taught]))
-                target[1 - k] = np.concatenate((target[1 - k], np.ones(len(good)), np.zeros(len(bad))))
-                added += len(taught)
-            models = [fit(a, b) for a, b in zip(x, target)]
-            self.rounds.append(added)
-            if not added:
-                break
-        self.models = models
-        self.calibration = [fit(self._logit(m, v[held])[:, None], y[held], l2=0.1) for m, v in zip(models, views)]
-        self.weights = fit(self._calibrated([v[held] for v in views]), y[held], l2=0.1)
+    def __init__(self, views: list[np.ndarray], y: np.ndarray):
+        part = np.arange(len(y)) % 5
+        self.views, self.y, self.part = views, y, part
+        self.x, self.target = [v[part < 3] for v in views], [y[part < 3]] * 2
+        self.share = float(y[part < 3].mean()) if (part < 3).any() else 0.5
+        self.models = [fit(a, b) for a, b in zip(self.x, self.target)]
+        self.rounds: list[int] = []
+
+    def learn(self, taught: list[tuple[np.ndarray, np.ndarray]]) -> int:
+        """One round: for each view the rows and pseudo-labels that the other one gave it."""
+        for k, (x, y) in enumerate(taught):
+            self.x[k], self.target[k] = np.concatenate((self.x[k], x)), np.concatenate((self.target[k], y))
+        self.models = [fit(a, b) for a, b in zip(self.x, self.target)]
+        self.rounds.append(sum(len(y) for _, y in taught))
+        return self.rounds[-1]
+
+    def finish(self) -> CoTraining:
+        """Calibrates and combines the views on rows that trained neither; drops the training rows."""
+        fourth, last = self.part == 3, self.part == 4
+        self.calibration = [fit(self._logit(m, v[fourth])[:, None], self.y[fourth], l2=0.1) for m, v in zip(self.models, self.views)]
+        self.weights = fit(self._calibrated([v[last] for v in self.views]), self.y[last], l2=0.1)
+        del self.views, self.y, self.part, self.x, self.target
+        return self
 
     @staticmethod
     def _logit(w: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -136,48 +138,75 @@ class CoTraining:
 def _columns(docs: DataFrame) -> DataFrame:
     ship(docs.sparkSession)
     return docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang"),
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"),
         F.col("source").cast("string").alias("source"), F.col("n_chars").cast("long").alias("n_chars"),
     )
 
 
 def _views(batches):
-    """Arrow batches in, (batch, text view, metadata view) out."""
+    """Arrow batches in, (slice, text view, metadata view) out."""
     for b in batches:
-        for lo in range(0, b.num_rows, 1000):
-            some = b.slice(lo, 1000)
+        for some in slices(b, 1):
             text, lang, source, n = (some.column(k).to_pylist() for k in range(1, 5))
             yield some, text_features(text), metadata_features(lang, source, n)
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, pool: int = POOL_ROWS) -> CoTraining:
-    """Fits on at most ``rows`` labelled and ``pool`` unlabelled documents (the least by a hash of the id).
+def _matrix(column, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.float32).reshape(-1, width).astype(float)
 
-    Only their feature rows (a few hundred numbers each) reach the driver.
+
+def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, taught: int = TAUGHT) -> CoTraining:
+    """Fits on at most ``rows`` labelled documents (the least by a hash of the id) and pseudo-labels of all others.
+
+    The features of all documents are written once; in every round both views score all of them, and the surest ones (at
+    most ``taught`` a view) come back. Only feature rows of labelled and taught documents (about 1 KB each) reach the driver.
     """
     base = _columns(docs)
-    labelled = labelled_sample(base, labels, rows).select(*base.columns, F.col("_quality").cast("int").alias("y"))
-    chosen = (
-        base.select("doc_id").where("doc_id is not null").distinct().join(labels.select(F.col("doc_id").cast("long")), "doc_id", "left_anti")
-        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(pool)
-    )
-    both = labelled.unionByName(base.join(F.broadcast(chosen), "doc_id").select(*base.columns, F.lit(-1).alias("y")))
+    names, kinds = ["doc_id", "rid", "a", "b"], "doc_id long, rid long, a binary, b binary"
 
-    def run(batches):
+    def features(batches):
         for some, a, b in _views(batches):
-            yield pa.RecordBatch.from_arrays(
-                [some.column(0), pa.array(list(a), pa.list_(pa.float64())), pa.array(list(b.astype(np.float32)), pa.list_(pa.float32())), some.column(5)],
-                ["doc_id", "a", "b", "y"],
-            )
+            packed = [pa.array([r.tobytes() for r in v.astype(np.float32)], pa.binary()) for v in (a, b)]
+            yield pa.RecordBatch.from_arrays([some.column(0), some.column(5), *packed], names)
 
-    got = both.mapInArrow(run, "doc_id long, a array<double>, b array<float>, y int").toArrow().sort_by([("y", "descending"), ("doc_id", "ascending")])
+    table = cut(base.withColumn("rid", F.xxhash64(*base.columns)).mapInArrow(features, kinds), "features")
+    got = labelled_sample(table, labels, "quality", rows).toArrow().sort_by([("rid", "ascending")])
     y = np.array(got.column("y").to_pylist(), float)
     mixed = np.argsort(mix(np.array(got.column("doc_id").to_pylist(), np.int64).view(np.uint64)), kind="stable")
-    a = np.array(got.column("a").to_pylist()).reshape(len(y), -1)[mixed] if len(y) else np.zeros((0, N_TEXT))
-    b = np.array(got.column("b").to_pylist()).reshape(len(y), -1)[mixed] if len(y) else np.zeros((0, 2 * SLOTS + 8))
-    y = y[mixed]
-    known = y >= 0
-    return CoTraining([a[known], b[known]], y[known], [a[~known], b[~known]])
+    views = [_matrix(got.column(c), w)[mixed] for c, w in (("a", N_TEXT), ("b", N_META))]
+    model = CoTraining(views, y[mixed])
+    known = np.array(got.column("rid").to_pylist(), np.int64)
+    used = [known, known]  # rows that need no label from a view any more
+    for _ in range(ROUNDS if len(y) else 0):
+        weights, done = list(model.models), [np.sort(u) for u in used]
+        most = [int(taught * (1 - model.share)) + 1, int(taught * model.share) + 1]
+
+        def surest(batches):
+            """The surest rows of a task: view, class, how sure, and the row."""
+            best = {}
+            for b in batches:
+                rid = b.column(1).to_numpy(zero_copy_only=False)
+                for k, width in enumerate((N_TEXT, N_META)):
+                    p = predict(weights[k], _matrix(b.column(2 + k), width))
+                    free = ~np.isin(rid, done[k])
+                    for kind, sure in ((0, 1 - p), (1, p)):
+                        at = np.flatnonzero(free & (sure >= SURE))
+                        new = [(float(sure[i]), int(rid[i]), b.column(2)[int(i)].as_py(), b.column(3)[int(i)].as_py()) for i in at[np.lexsort((rid[at], -sure[at]))][: most[kind]]]
+                        best[k, kind] = sorted(best.get((k, kind), []) + new, key=lambda r: (-r[0], r[1]))[: most[kind]]
+            rows = [(k, kind, *r) for (k, kind), some in best.items() for r in some]
+            types = [pa.int32(), pa.int32(), pa.float64(), pa.int64(), pa.binary(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], ["view", "kind", "sure", "rid", "a", "b"])
+
+        found = cut(table.mapInArrow(surest, "view int, kind int, sure double, rid long, a binary, b binary"), "surest")
+        news = []
+        for k in (0, 1):  # view k teaches the other one
+            both = [found.where(f"view = {k} and kind = {kind}").dropDuplicates(["rid"]).orderBy(F.desc("sure"), "rid").limit(most[kind]).toArrow() for kind in (0, 1)]
+            x = np.concatenate([_matrix(t.column("ab"[1 - k]), (N_TEXT, N_META)[1 - k]) for t in both])
+            news.append((x, np.repeat([0.0, 1.0], [t.num_rows for t in both])))
+            used[k] = np.concatenate([used[k], *(np.array(t.column("rid").to_pylist(), np.int64) for t in both)])
+        if not model.learn(news[::-1]):
+            break
+    return model.finish()
 
 
 def score_quality(docs: DataFrame, model: CoTraining, threshold: float = 0.5) -> DataFrame:
@@ -199,20 +228,23 @@ def score_quality(docs: DataFrame, model: CoTraining, threshold: float = 0.5) ->
 
 
 def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """Trains on the labelled documents and scores all."""
+    """Trains on the labelled documents and scores all; without labels every document has probability 1/2 and is kept."""
     return score_quality(docs, train(docs, labels), threshold)
 
 
 def keep_good(docs: DataFrame, model: CoTraining, threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` that the model keeps, with all their columns."""
-    schema = docs.schema
+    """The rows of ``docs`` that the model keeps, with all their columns.
+
+    Nulls have feature values of their own and empty texts count as texts without words, as in :func:`score_quality`; repeated
+    rows repeat; an empty table gives none.
+    """
+    at = {c: docs.columns.index(c) for c in ("text", "lang", "source", "n_chars")}
 
     def run(batches):
         for b in batches:
-            for lo in range(0, b.num_rows, 1000):
-                some = b.slice(lo, 1000)
-                text, lang, source, n = (some.column(some.schema.get_field_index(c)).to_pylist() for c in ("text", "lang", "source", "n_chars"))
+            for some in slices(b, at["text"]):
+                text, lang, source, n = (some.column(k).to_pylist() for k in at.values())
                 p = model.score([text_features(text), metadata_features(lang, source, n)])
                 yield some.filter(pa.array(p[:, 2] >= threshold))
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, docs.schema)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -15,9 +16,11 @@ PACKAGE = __name__.split(".")[0]
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one only where it is unset (tests)."""
+    """The folder of ``spark.checkpoint.dir``; a temporary one only where it is unset and all runs in one process (tests)."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")

@@ -15,8 +15,9 @@ from .store import cut, id_text, keyed
 
 #: Bytes of the anchor that decides which spans meet in one suffix array.
 ANCHOR = 32
-#: Suffixes that one suffix array holds at least, where there are as many.
+#: Suffixes, or bytes, that one suffix array holds at least, where there are as many.
 BLOCK = 200_000
+BLOCK_BYTES = 2 << 20
 #: Different spans of one anchor that may meet in one task; the windows of more common anchors are dealt once more.
 MANY = 4000
 _PLACE = (1 << 24) - 1
@@ -162,11 +163,11 @@ def _anchors(limit: int):
 
             for doc, text, th in zip(*(b.column(i).to_pylist() for i in range(3))):
                 raw = (text or "").encode("utf-8", "replace")
-                for lo in range(0, len(raw) - limit + 1, 1 << 22):
-                    pieces.append(raw[lo : lo + (1 << 22) + limit - 1])
+                for lo in range(0, len(raw) - limit + 1, 1 << 21):
+                    pieces.append(raw[lo : lo + (1 << 21) + limit - 1])
                     where.append((doc, th, lo))
                     size += len(pieces[-1])
-                    if size > 1 << 21:
+                    if size > 1 << 20:
                         yield flush()
                         size = 0
             if pieces:
@@ -249,8 +250,8 @@ def dedup_substrings(docs: DataFrame, limit: int = 200, id_col: str = "doc_id",
     no rows. Removal is judged on UTF-8 bytes of the input; ``with_text`` adds ``text``, the rest with
     characters that were cut in two left out, and ``carry`` names input columns that go along.
     """
-    kept_columns = F.struct(*[F.col(c) for c in carry]) if carry else F.struct(F.lit(0).alias("none"))
-    rows = keyed(id_text(docs.withColumn("_extra", kept_columns), id_col, text_col, "_extra"))
+    kept_columns = F.struct(*[F.col(f"`{c}`").alias(c) for c in carry]) if carry else F.struct(F.lit(0).alias("none"))
+    rows = keyed(id_text(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), kept_columns.alias("extra")), "id", "text", "extra"))
     places = rows.select("doc_id", "text", "th").mapInArrow(_anchors(limit), "h long, sh long, doc_id long, th long, start long, windows int")
     # written, so that the join below deals plain rows and Spark can split the anchors of very common passages
     shared = cut(places.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "anchors")
@@ -290,7 +291,7 @@ def dedup_substrings(docs: DataFrame, limit: int = 200, id_col: str = "doc_id",
     texts = packed.join(wanted, _same_row(packed, wanted)).select("z", "spans").mapInArrow(fetch, "h long, sh long, n long, bytes binary")
 
     def sort(batches):
-        h, sh, n, spans, size = [], [], [], [], 0
+        h, sh, n, spans, size, held = [], [], [], [], 0, 0
 
         def flush():
             out = [[], [], []]
@@ -307,12 +308,13 @@ def dedup_substrings(docs: DataFrame, limit: int = 200, id_col: str = "doc_id",
 
         for b in batches:
             for row in zip(*(c.to_pylist() for c in b.columns)):
-                if size >= BLOCK and row[0] != h[-1]:
+                if (size >= BLOCK or held >= BLOCK_BYTES) and row[0] != h[-1]:
                     yield flush()
-                    size = 0
+                    size = held = 0
                 for x, v in zip((h, sh, n, spans), row):
                     x.append(v)
                 size += len(row[3]) - limit + 1
+                held += len(row[3])
         if h:
             yield flush()
 
@@ -345,4 +347,4 @@ def dedup_substrings(docs: DataFrame, limit: int = 200, id_col: str = "doc_id",
     extra = rows.schema["extra"].dataType.simpleString()
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", text string" * with_text
     done = packed.join(hits, _same_row(packed, hits), "left").select(packed["doc_id"], "z", "hits", "extra").mapInArrow(remove, f"{schema}, extra {extra}")
-    return done.select(*names, *[F.col(f"extra.{c}").alias(c) for c in carry])
+    return done.select(*names, *[F.col("extra").getField(c).alias(c) for c in carry])
