@@ -36,7 +36,7 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     carry = tuple(c for c in names if c not in ("doc_id", "text", "n_chars"))
     out = suffixes.dedup_substrings(docs, with_text=True, carry=carry).where("n_removed < n_bytes or n_bytes = 0")
     out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*[F.col(c).cast(docs.schema[c].dataType) for c in names])
+    return out.select(*[F.col(f"`{c}`").cast(docs.schema[c].dataType).alias(c) for c in names])
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +51,7 @@ STAGES = [
     ("suffix-array dedup", without_repeats),
     ("packing", packed),
 ]
-#: SQL cannot express the stages; tests hold each against a brute-force version.
+#: SQL cannot express the stages; tests hold the joins, the removal and the packing against brute force, the classifiers against held-out labels.
 ORACLE_SQL = None
 
 
