@@ -10,9 +10,9 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 _TABLE = np.random.default_rng(20240607).integers(0, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
 _POWERS = {}
 #: Powers that a worker keeps.
-KEPT = 1 << 21
+KEPT = 1 << 20
 #: Bytes of text that are hashed at once (a longer text alone): arrays take up to about 60 times that.
-SLICE = 1 << 20
+SLICE = 3 << 18
 
 
 def slices(batch, column: int):

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import hashlib
 import io
+import re
 import struct
 import wave
 import zlib
-from functools import lru_cache
+from bisect import bisect_right
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,15 +34,51 @@ SIGNATURES = [
 ]
 
 
-def _png(b: memoryview, at: int):
-    """Chunks with right checksums up to IEND."""
-    p = at + 8
-    while p + 12 <= len(b):
-        n = int.from_bytes(b[p : p + 4], "big")
-        kind = bytes(b[p + 4 : p + 8])
-        if p + 12 + n > len(b) or zlib.crc32(b[p + 4 : p + 8 + n]) != int.from_bytes(b[p + 8 + n : p + 12 + n], "big"):
-            return None
-        if p == at + 8 and kind != b"IHDR":
+class Media:
+    """Bytes to look for media in; what several validators search for is located once."""
+
+    def __init__(self, data: bytes):
+        self.data, self.n = data, len(data)
+
+    def number(self, at: int, size: int, order: str = "big") -> int:
+        return int.from_bytes(self.data[at : at + size], order)
+
+    def places(self, what: bytes) -> list[int]:
+        out, p = [], self.data.find(what)
+        while p >= 0:
+            out.append(p)
+            p = self.data.find(what, p + 1)
+        return out
+
+    @cached_property
+    def markers(self) -> np.ndarray:
+        """Places of JPEG markers that end entropy-coded data."""
+        b = np.frombuffer(self.data, np.uint8)
+        return np.flatnonzero((b[:-1] == 0xFF) & (b[1:] != 0) & ((b[1:] < 0xD0) | (b[1:] > 0xD7)))
+
+    @cached_property
+    def pdf(self) -> tuple[list[int], list[int]]:
+        """Places of PDF headers, and the ends of PDF trailers (a cross-reference place and the end mark)."""
+        return self.places(b"%PDF-"), [m.end() for m in re.finditer(rb"startxref\s+\d{1,19}\s+%%EOF", self.data)]
+
+    @cached_property
+    def zips(self) -> dict[int, int]:
+        """Start of each ZIP archive, as its end record tells it, to its end."""
+        out = {}
+        for p in self.places(b"PK\x05\x06"):
+            if p + 22 <= self.n:
+                size, offset, note = struct.unpack("<IIH", self.data[p + 12 : p + 22])
+                if p + 22 + note <= self.n:
+                    out.setdefault(p - size - offset, p + 22 + note)
+        return out
+
+
+def _png(m: Media, at: int):
+    """A header chunk of 13 bytes, then chunks with right checksums up to IEND."""
+    p, view = at + 8, memoryview(m.data)
+    while p + 12 <= m.n:
+        n, kind = m.number(p, 4), m.data[p + 4 : p + 8]
+        if p + 12 + n > m.n or (p == at + 8) != (kind == b"IHDR" and n == 13) or zlib.crc32(view[p + 4 : p + 8 + n]) != m.number(p + 8 + n, 4):
             return None
         p += 12 + n
         if kind == b"IEND":
@@ -48,18 +86,19 @@ def _png(b: memoryview, at: int):
     return None
 
 
-def _gif(b: memoryview, at: int):
+def _gif(m: Media, at: int):
     """Screen, colour tables, blocks of sub-blocks, trailer."""
-    if at + 13 > len(b):
+    b = m.data
+    if at + 13 > m.n:
         return None
     flags, p = b[at + 10], at + 13
     p += 3 * (2 << (flags & 7)) if flags & 0x80 else 0
-    while p < len(b):
+    while p < m.n:
         kind = b[p]
         if kind == 0x3B:
             return p + 1 - at
         if kind == 0x2C:
-            if p + 10 > len(b):
+            if p + 10 > m.n:
                 return None
             local = b[p + 9]
             p += 10 + (3 * (2 << (local & 7)) if local & 0x80 else 0) + 1
@@ -67,126 +106,164 @@ def _gif(b: memoryview, at: int):
             p += 2
         else:
             return None
-        while p < len(b) and b[p]:
+        while p < m.n and b[p]:
             p += 1 + b[p]
         p += 1
     return None
 
 
-def _jpeg(b: memoryview, at: int):
+def _jpeg(m: Media, at: int):
     """Marker segments up to the end-of-image marker."""
-    p = at + 2
-    while p + 4 <= len(b) and b[p] == 0xFF:
+    b, p = m.data, at + 2
+    while p + 2 <= m.n and b[p] == 0xFF:
         kind = b[p + 1]
         if kind == 0xD9:
             return p + 2 - at
-        if kind in (0x01, *range(0xD0, 0xD8)):
+        if kind == 0x01 or 0xD0 <= kind <= 0xD7:
             p += 2
             continue
-        if kind < 0xC0:
-            return None
-        n = int.from_bytes(b[p + 2 : p + 4], "big")
-        if n < 2:
+        n = m.number(p + 2, 2)
+        if kind < 0xC0 or n < 2 or p + 4 > m.n:
             return None
         p += 2 + n
         if kind == 0xDA:
-            data = bytes(b[p:])
-            q = 0
-            while True:
-                q = data.find(b"\xff", q)
-                if q < 0 or q + 1 >= len(data):
-                    return None
-                if data[q + 1] == 0 or 0xD0 <= data[q + 1] <= 0xD7:
-                    q += 2
-                    continue
-                break
-            p += q
-    return p + 2 - at if p + 2 <= len(b) and b[p] == 0xFF and b[p + 1] == 0xD9 else None
+            k = int(np.searchsorted(m.markers, p))
+            if k == len(m.markers):
+                return None
+            p = int(m.markers[k])
+    return None
 
 
-def _wav(b: memoryview, at: int):
+def _wav(m: Media, at: int):
     """RIFF size within the bytes, form WAVE, chunks fmt and data that fill it."""
-    if at + 12 > len(b) or bytes(b[at + 8 : at + 12]) != b"WAVE":
+    if at + 12 > m.n or m.data[at + 8 : at + 12] != b"WAVE":
         return None
-    end = at + 8 + int.from_bytes(b[at + 4 : at + 8], "little")
+    end = at + 8 + m.number(at + 4, 4, "little")
     p, seen = at + 12, set()
-    while p + 8 <= min(end, len(b)):
-        seen.add(bytes(b[p : p + 4]))
-        n = int.from_bytes(b[p + 4 : p + 8], "little")
+    while p + 8 <= min(end, m.n):
+        seen.add(m.data[p : p + 4])
+        n = m.number(p + 4, 4, "little")
         p += 8 + n + (n & 1)
-    return end - at if end <= len(b) and p == end and {b"fmt ", b"data"} <= seen else None
+    return end - at if end <= m.n and p == end and {b"fmt ", b"data"} <= seen else None
+
+
+def _crc_table(poly: int, bits: int) -> list[int]:
+    out, top, mask = [], 1 << (bits - 1), (1 << bits) - 1
+    for c in range(256):
+        c <<= bits - 8
+        for _ in range(8):
+            c = (c << 1 ^ poly if c & top else c << 1) & mask
+        out.append(c)
+    return out
+
+
+_CRC8, _CRC16 = _crc_table(0x07, 8), _crc_table(0x8005, 16)
+
+
+def _flac_frame(b: bytes, p: int) -> int | None:
+    """Samples of the FLAC frame whose header stands at p; None if there is no header with a right checksum."""
+    if b[p : p + 2] not in (b"\xff\xf8", b"\xff\xf9") or p + 6 > len(b):
+        return None
+    size, rate = b[p + 2] >> 4, b[p + 2] & 15
+    lead = 8 - (b[p + 4] ^ 0xFF).bit_length()  # ones that lead the coded number
+    q = p + 4 + max(1, lead)
+    more = {6: 1, 7: 2}.get(size, 0)
+    end = q + more + {12: 1, 13: 2, 14: 2}.get(rate, 0)
+    if size == 0 or rate == 15 or lead in (1, 8) or end >= len(b):
+        return None
+    crc = 0
+    for c in b[p:end]:
+        crc = _CRC8[crc ^ c]
+    if crc != b[end]:
+        return None
+    if more:
+        return int.from_bytes(b[q : q + more], "big") + 1
+    return 192 if size == 1 else 144 << size if size <= 5 else 1 << size
 
 
-def _flac(b: memoryview, at: int):
-    """STREAMINFO of 34 bytes first; metadata blocks within the bytes; frames reach to the end."""
-    p, first = at + 4, True
-    while p + 4 <= len(b):
-        kind, n = b[p], int.from_bytes(b[p + 1 : p + 4], "big")
-        if first and (kind & 0x7F != 0 or n != 34) or p + 4 + n > len(b):
+def _flac(m: Media, at: int):
+    """STREAMINFO of 34 bytes, metadata blocks, then frames whose checksums hold; it ends with the last sample or the last such frame."""
+    b, p, first, last = m.data, at + 4, True, False
+    while not last:
+        if p + 4 > m.n:
             return None
-        p, first = p + 4 + n, False
-        if kind & 0x80:
-            return len(b) - at
-    return None
+        kind, n = b[p], m.number(p + 1, 3)
+        if first and (kind & 0x7F or n != 34) or p + 4 + n > m.n:
+            return None
+        if first:
+            total = m.number(p + 17, 5) & (1 << 36) - 1
+        p, first, last = p + 4 + n, False, bool(kind & 0x80)
+    done = 0
+    while (samples := _flac_frame(b, p)) is not None and not (total and done >= total):
+        crc = 0
+        for q in range(p, m.n):  # a frame with its checksum has checksum 0
+            crc = (crc << 8 & 0xFFFF) ^ _CRC16[crc >> 8 ^ b[q]]
+            if crc == 0 and q > p + 8 and (done + samples >= total or _flac_frame(b, q + 1) is not None):
+                break
+        else:
+            break
+        p, done = q + 1, done + samples
+    return p - at
 
 
-def _ogg(b: memoryview, at: int):
-    """Pages with version 0 one after another, the first of them opening a stream."""
-    p, pages = at, 0
-    while p + 27 <= len(b) and bytes(b[p : p + 4]) == b"OggS":
+def _ogg(m: Media, at: int):
+    """Pages with version 0 one after another, the first of them opening a stream, until every stream has ended."""
+    b, p, pages, streams = m.data, at, 0, set()
+    while p + 27 <= m.n and b[p : p + 4] == b"OggS":
         segments = b[p + 26]
-        if b[p + 4] != 0 or (pages == 0 and not b[p + 5] & 2) or p + 27 + segments > len(b):
-            return None
+        if b[p + 4] != 0 or (pages == 0 and not b[p + 5] & 2) or p + 27 + segments > m.n:
+            break
         n = sum(b[p + 27 : p + 27 + segments])
-        if p + 27 + segments + n > len(b):
-            return None
+        if p + 27 + segments + n > m.n:
+            break
+        (streams.discard if b[p + 5] & 4 else streams.add)(b[p + 14 : p + 18])
         p, pages = p + 27 + segments + n, pages + 1
+        if not streams:
+            break
     return p - at if pages else None
 
 
-def _mp4(b: memoryview, at: int):
-    """Top-level boxes of known sizes, the first of them ftyp."""
+def _mp4(m: Media, at: int):
+    """Top-level boxes of known sizes, the first of them (and no other) ftyp."""
     p, boxes = at, 0
-    while p + 8 <= len(b):
-        n, kind = int.from_bytes(b[p : p + 4], "big"), bytes(b[p + 4 : p + 8])
-        if n == 1 and p + 16 <= len(b):
-            n = int.from_bytes(b[p + 8 : p + 16], "big")
-        if n < 8 or p + n > len(b) or not kind.isalnum() or (boxes == 0 and kind != b"ftyp"):
+    while p + 8 <= m.n:
+        n, kind = m.number(p, 4), m.data[p + 4 : p + 8]
+        if n == 1 and p + 16 <= m.n:
+            n = m.number(p + 8, 8)
+        if n < 8 or p + n > m.n or not kind.isalnum() or (boxes == 0) != (kind == b"ftyp"):
             break
         p, boxes = p + n, boxes + 1
     return p - at if boxes >= 2 else None
 
 
-def _pdf(b: memoryview, at: int):
-    data = bytes(b[at:])
-    end = data.rfind(b"%%EOF")
-    return end + 5 if end > 0 and b"startxref" in data[:end] else None
+def _pdf(m: Media, at: int):
+    """Up to the last trailer (updates add trailers) before the next PDF header."""
+    heads, ends = m.pdf
+    k = bisect_right(heads, at)
+    limit = heads[k] if k < len(heads) else m.n
+    k = bisect_right(ends, limit) - 1
+    return ends[k] - at if k >= 0 and ends[k] > at else None
 
 
-def _zip(b: memoryview, at: int):
-    """An end record whose directory offset and size meet it."""
-    data = bytes(b[at:])
-    p = data.find(b"PK\x05\x06")
-    while p >= 0 and p + 22 <= len(data):
-        size, offset, note = struct.unpack("<IIH", data[p + 12 : p + 22])
-        if size + offset == p and p + 22 + note <= len(data):
-            return p + 22 + note
-        p = data.find(b"PK\x05\x06", p + 1)
-    return None
+def _zip(m: Media, at: int):
+    """The first end record whose directory's place and size lead back here."""
+    return m.zips[at] - at if at in m.zips else None
 
 
-def _gzip(b: memoryview, at: int):
+def _gzip(m: Media, at: int):
     """A deflate stream whose checksum and length hold."""
-    engine = zlib.decompressobj(31)
+    engine, view = zlib.decompressobj(31), memoryview(m.data)
     try:
-        size = 0
-        feed = bytes(b[at:])
-        while feed and not engine.eof:
-            size += len(engine.decompress(feed, 1 << 20))
-            feed = engine.unconsumed_tail
+        for p in range(at, m.n, 1 << 16):
+            feed = view[p : p + (1 << 16)]
+            while feed and not engine.eof:
+                engine.decompress(feed, 1 << 20)
+                feed = engine.unconsumed_tail
+            if engine.eof:
+                return min(p + (1 << 16), m.n) - len(engine.unused_data) - at
     except zlib.error:
-        return None
-    return len(b) - at - len(engine.unused_data) if engine.eof else None
+        pass
+    return None
 
 
 VALIDATORS = {
@@ -214,15 +291,15 @@ def find_media(data: bytes) -> list[tuple[str, int, int]]:
     confirms the structure and gives a length. Of hits that start at one place the
     longest counts.
     """
-    hits = set()
+    hits: dict[int, list[str]] = {}
     for end, (kind, size, offset) in automaton().iter(data.decode("latin-1")):
         if (start := end + 1 - size - offset) >= 0:
-            hits.add((start, kind))
-    view, found, reach = memoryview(data), [], 0
-    for start in sorted({s for s, _ in hits}):
+            hits.setdefault(start, []).append(kind)
+    media, found, reach = Media(data), [], 0
+    for start in sorted(hits):
         if start < reach:
             continue
-        sizes = [(n, kind) for kind in sorted(k for s, k in hits if s == start) if (n := VALIDATORS[kind](view, start))]
+        sizes = [(n, kind) for kind in sorted(hits[start]) if (n := VALIDATORS[kind](media, start))]
         if sizes:
             n, kind = max(sizes)
             found.append((kind, start, n))
@@ -252,16 +329,19 @@ def sniff(df: DataFrame, content_col: str, declared_col: str) -> DataFrame:
             rows.append((first[0], first[2], [(k, s, n, data[s : s + n]) for k, s, n in found if s > 0]))
         return pd.DataFrame(rows, columns=["media_type", "media_valid_bytes", "media_embedded"])
 
-    seen = df.withColumn("_media", look(content_col))
-    kind_col = F.coalesce("_media.media_type", F.when(F.col(content_col).isNotNull(), F.col(declared_col)))
+    name = "media"
+    while name in {c.lower() for c in df.columns}:
+        name += "_"
+    seen = df.withColumn(name, look(content_col))
+    kind_col = F.coalesce(f"{name}.media_type", F.when(F.col(content_col).isNotNull(), F.col(declared_col)))
     return seen.withColumns(
         {
             "media_type": kind_col,
-            "media_valid_bytes": F.col("_media.media_valid_bytes"),
-            "media_corrected": ~kind_col.eqNullSafe(F.col(declared_col)) & F.col("_media.media_type").isNotNull(),
-            "media_embedded": F.col("_media.media_embedded"),
+            "media_valid_bytes": F.col(f"{name}.media_valid_bytes"),
+            "media_corrected": ~kind_col.eqNullSafe(F.col(declared_col)) & F.col(f"{name}.media_type").isNotNull(),
+            "media_embedded": F.col(f"{name}.media_embedded"),
         }
-    ).drop("_media")
+    ).drop(name)
 
 
 def to_wav(payload: bytes, rate: int = 8000) -> bytes:
@@ -275,11 +355,15 @@ def to_wav(payload: bytes, rate: int = 8000) -> bytes:
     return out.getvalue()
 
 
-def text_media(docs: DataFrame, block: int = 576, declared: str = "application/octet-stream", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+#: Types that stored texts are declared as, by a checksum of the text; the sniffed type corrects all but the second.
+DECLARED = ("application/octet-stream", "audio/wav", "image/png", "text/plain")
+
+
+def text_media(docs: DataFrame, block: int = 576, declare: tuple[str, ...] = DECLARED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Stores each text as a WAV medium, sniffs the stored bytes, carves the payload back and describes it.
 
     The payload is the UTF-8 text with bytes 255 appended up to a positive multiple of
-    ``block``. ``feature`` holds the declared and the corrected type, the length the
+    ``block``. Each text is declared as one of ``declare``. ``feature`` holds the declared and the corrected type, the length the
     validator confirmed, the media embedded in the payload (type@start+length) and a
     16-bin histogram of the read-back samples. Null and empty texts give one block of
     filler; equal texts give equal values; an empty table gives no rows. Works row by
@@ -293,6 +377,7 @@ def text_media(docs: DataFrame, block: int = 576, declared: str = "application/o
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 raw = (text or "").encode("utf-8", "replace")
                 size = max(1, -(-len(raw) // block)) * block
+                declared = declare[zlib.crc32(raw) % len(declare)]
                 media = to_wav(raw + b"\xff" * (size - len(raw)))
                 kind, start, length = find_media(media)[0]
                 with wave.open(io.BytesIO(media[start : start + length])) as w:

@@ -13,6 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 PACKAGE = __name__.split(".")[0]
+#: Rows of an Arrow batch; Spark's own number is 10,000.
+BATCH_ROWS = 1000
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -44,8 +47,11 @@ def ship(spark: SparkSession) -> None:
     """Make this package importable in Python workers.
 
     A no-op where the package's parent folder is on PYTHONPATH already; elsewhere
-    the package goes out once per application with ``addPyFile``.
+    the package goes out once per application with ``addPyFile``. Arrow batches of the session get BATCH_ROWS
+    rows unless the session has a number of its own: texts make wide rows, and a batch lives several times in an executor.
     """
+    if spark.conf.get(_ROWS) == "10000":
+        spark.conf.set(_ROWS, BATCH_ROWS)
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     if root in os.environ.get("PYTHONPATH", "").split(os.pathsep):
         return

@@ -255,26 +255,90 @@ def test_likeness_counts_the_interior():
 def test_media(docs):
     for r in media.text_media(docs).collect():
         assert r.payload_bytes % 576 == 0 and r.media_type == "audio/wav" and r.media_bytes == r.payload_bytes + 44
+        assert r.corrected == (not r.feature.startswith("audio/wav>"))
     want = sorted((str(i), len(raw(t)), hashlib.sha256(raw(t) + b"\xff" * (max(1, math.ceil(len(raw(t)) / 576)) * 576 - len(raw(t)))).hexdigest()) for i, t in corpus())
     assert sorted((str(r.doc_id), r.n_bytes, r.payload_sha256) for r in media.text_media(docs).collect()) == want
 
 
-def test_sniffing(spark):
+def _made() -> dict[str, bytes]:
+    """A small medium of every type."""
     import gzip
+    import io
+    import zipfile
 
     def chunk(kind, body):
         return len(body).to_bytes(4, "big") + kind + body + zlib.crc32(kind + body).to_bytes(4, "big")
 
-    png = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", b"\0" * 13) + chunk(b"IEND", b"")
-    gif = b"GIF89a\x01\0\x01\0\0\0\0;"
-    zipped = gzip.compress(b"hello")
+    def crc(data, poly, bits):
+        out = 0
+        for c in data:
+            out ^= c << bits - 8
+            for _ in range(8):
+                out = (out << 1 ^ poly if out >> bits - 1 else out << 1) & (1 << bits) - 1
+        return out.to_bytes(bits // 8, "big")
+
+    def frame(k, body):  # 192 samples, numbered
+        head = b"\xff\xf8\x19\x08" + bytes([k])
+        data = head + crc(head, 0x07, 8) + body
+        return data + crc(data, 0x8005, 16)
+
+    info = b"\x00\xc0" * 2 + b"\0" * 6 + (44100 << 44 | 15 << 36 | 3 * 192).to_bytes(8, "big") + b"\0" * 16
+    archive = io.BytesIO()
+    with zipfile.ZipFile(archive, "w") as z:
+        z.writestr("a.txt", "hello " * 50)
+    page = lambda flag, body: b"OggS\0" + bytes([flag]) + b"\0" * 20 + bytes([1, len(body)]) + body
+    box = lambda kind, body: (8 + len(body)).to_bytes(4, "big") + kind + body
+    return {
+        "image/png": b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", b"\0" * 13) + chunk(b"IEND", b""),
+        "image/gif": b"GIF89a\x01\0\x01\0\0\0\0;",
+        "image/jpeg": b"\xff\xd8\xff\xe0\0\x04ab\xff\xda\0\x03x" + b"data\xff\0more\xff\xd0end" + b"\xff\xd9",
+        "audio/wav": media.to_wav(b"sound"[:4]),
+        "audio/flac": b"fLaC\x80\0\0\x22" + info + frame(0, b"one audio frame") + frame(1, b"another") + frame(2, b"and the last"),
+        "audio/ogg": page(2, b"head") + page(0, b"body") + page(4, b"tail"),
+        "video/mp4": box(b"ftyp", b"isom") + box(b"mdat", b"1234") + box(b"moov", b""),
+        "application/pdf": b"%PDF-1.4\nbody\nstartxref\n9\n%%EOF\nupdate\nstartxref\n40\n%%EOF",
+        "application/zip": archive.getvalue(),
+        "application/gzip": gzip.compress(b"hello" * 30),
+    }
+
+
+def test_media_lengths():
+    made = _made()
+    gif = made["image/gif"]
+    for kind, one in made.items():
+        for before, after in ((b"", b""), (b"junk ", b" junk"), (gif, gif + gif), (b"--", one + b"..")):
+            got = media.find_media(before + one + after)
+            assert (kind, len(before), len(one)) in got and len(got) == 1 + (before == gif) + (after == gif + gif) * 2 + (before == b"--"), (kind, got)
+        for cut in range(len(one) // 2, len(one) - 1):  # one that is not whole is none (a FLAC stream or Ogg or MP4 ends with its last whole part)
+            if kind not in ("audio/flac", "audio/ogg", "video/mp4", "application/pdf"):
+                assert all(k != kind for k, _, _ in media.find_media(one[:cut])), (kind, cut)
+    assert [k for k, _, _ in media.find_media(made["audio/flac"] + gif + gif)] == ["audio/flac", "image/gif", "image/gif"]
+    assert [k for k, _, _ in media.find_media(made["application/pdf"] + gif + made["application/pdf"])] == ["application/pdf", "image/gif", "application/pdf"]
+
+
+@pytest.mark.parametrize("mark", [b"PK\x03\x04", b"%PDF-", b"PK\x05\x06", b"fLaC", b"GIF89a", b"OggS", b"RIFF", b"\0\0\0\x08ftyp"])
+def test_media_search_is_linear(mark):
+    import time
+
+    began = time.time()
+    media.find_media(mark * ((1 << 20) // len(mark)))
+    assert time.time() - began < 15
+
+
+def test_sniffing(spark):
+    made = _made()
+    png, gif, zipped = made["image/png"], made["image/gif"], made["application/gzip"]
     blob = b"junk" + png + b"--" + gif + b"GIF89a not one" + zipped
     assert media.find_media(blob) == [("image/png", 4, len(png)), ("image/gif", 6 + len(png), len(gif)), ("application/gzip", len(blob) - len(zipped), len(zipped))]
-    df = spark.createDataFrame([(1, png, "image/gif"), (2, blob, "text/plain"), (3, b"", "x"), (4, None, "y"), (5, media.to_wav(gif), "audio/wav")], "id int, content binary, kind string")
-    got = {r.id: r for r in media.sniff(df, "content", "kind").collect()}
+    rows = [(1, png, "image/gif"), (2, blob, "text/plain"), (3, b"", "x"), (4, None, "y"), (5, media.to_wav(gif), "audio/wav")]
+    df = spark.createDataFrame([(*r, "mine", "too") for r in rows], "id int, content binary, kind string, _media string, Media string")
+    out = media.sniff(df, "content", "kind")
+    assert out.columns == [*df.columns, "media_type", "media_valid_bytes", "media_corrected", "media_embedded"]
+    got = {r.id: r for r in out.collect()}
     assert (got[1].media_type, got[1].media_corrected) == ("image/png", True)
     assert [bytes(e.content) for e in got[2].media_embedded] == [png, gif, zipped] and got[2].media_type == "text/plain"
-    assert got[3].media_embedded == [] and got[4].media_type is None and got[5].media_valid_bytes == 44 + len(gif)
+    assert got[3].media_embedded == [] and got[4].media_type is None and got[5].media_valid_bytes == 44 + len(gif) and not got[5].media_corrected
+    assert {(r["_media"], r["Media"]) for r in got.values()} == {("mine", "too")}
 
 
 def test_chains():
