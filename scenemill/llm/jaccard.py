@@ -39,11 +39,11 @@ MANY = 2048
 #: Paths of large buckets that may be broadcast (about 120 bytes each); beyond it they are joined.
 BROADCAST = 20_000
 #: Texts, and bytes of text, of one side of a tile of exact comparisons.
-TILE = 1024
-TILE_BYTES = 8 << 20
+TILE = 2048
+TILE_BYTES = 16 << 20
 SKETCH = 64
 #: What a sketch's estimate of likeness may be wrong by, in the bounds of :func:`_bucket`.
-ERROR = 0.1
+ERROR = 0.05
 _ROOT = [(0xA24BAED4963EE407 * (run + 1)) & ((1 << 64) - 1) for run in range(RUNS)]
 
 
@@ -78,8 +78,9 @@ def _similarity(sketches: np.ndarray, one: np.ndarray) -> np.ndarray:
 
 
 def _bound(size: np.ndarray, size_one: float, threshold: float) -> np.ndarray:
-    """Estimated likeness from which two sets may be a pair over the threshold (small sets have few filled places)."""
-    return np.where(np.minimum(size, size_one) < 100, threshold - 0.47, threshold - 0.3)
+    """Estimated likeness from which two sets may be a pair over the threshold: four standard errors below it (small sets fill few places)."""
+    least = np.minimum(size, size_one)
+    return threshold - np.where(least < 30, 0.47, np.where(least < 100, 0.38, 0.23))
 
 
 def _centre(sketches: np.ndarray) -> np.ndarray:
@@ -179,7 +180,7 @@ def _bucket(threshold: float):
                     forest.join(int(members[0]), members[1:].tolist())
                 forest.edges += [(one, keys[i]) for i in members.tolist() if one not in (None, keys[i])]
                 if given or len(left):
-                    reach = (max(threshold - 0.3, same[left].max(initial=0)) if given else same[left].max()) + 1 - threshold + ERROR
+                    reach = (max(threshold - 0.23, same[left].max(initial=0)) if given else same[left].max()) + 1 - threshold + ERROR
                     open_rows = np.flatnonzero((same <= reach) | ~near)
                     if given is None and (len(keys) <= SMALL or len(left) * len(open_rows) <= SMALL * SMALL):
                         forest.compare(left.tolist(), open_rows)

@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from .store import cut, id_text
 
-#: Words whose ids a worker process keeps; beyond it the table starts anew (speed only).
-CACHE_WORDS = 800_000
+#: Words of each of the two tables of ids that a worker process keeps: the newer one becomes the older one when it is full (speed only).
+CACHE_WORDS = 150_000
 
 
 def read_vocabulary(path: str) -> dict[bytes, int]:
@@ -31,6 +31,21 @@ def read_vocabulary(path: str) -> dict[bytes, int]:
     return {bytes(byte_of[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
 
 
+# Fixed value: the pattern that a byte-level pre-tokenizer splits by.
+BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def ranked(path: str, pattern: str) -> bool:
+    """Whether a tokenizer file splits by ``pattern`` alone, at byte level, and its merges stand in the order of their ids."""
+    with open(path, encoding="utf-8") as file:
+        spec = json.load(file)
+    step = spec.get("pre_tokenizer") or {}
+    plain = step.get("type") == "ByteLevel" and step.get("use_regex", True) and not step.get("add_prefix_space") and pattern == BYTE_LEVEL
+    merges = (m.split(" ") if isinstance(m, str) else m for m in spec["model"].get("merges", []))
+    ids = [spec["model"]["vocab"].get("".join(m), -1) for m in merges]
+    return spec["model"].get("type") == "BPE" and not spec.get("normalizer") and plain and all(a < b for a, b in zip([-1, *ids], ids))
+
+
 class WordIds:
     """Ids of whole texts through a table of space-separated pieces.
 
@@ -49,11 +64,13 @@ class WordIds:
         self.dtype = np.dtype("<u4" if self.wide else "<u2")
         self.code = "I" if self.wide else "H"
         self.known: dict[str, bytes] = {}
-        # Merges stand in the order of the ids, so a rank encoder over the same vocabulary gives the same ids; for
-        # single pieces it takes half the time.
+        self.older: dict[str, bytes] = {}
+        # Where merges stand in the order of the ids, a rank encoder over the same vocabulary gives the same ids; for
+        # single pieces it takes half the time. Other tokenizers encode whole texts by the library.
         import public_tokenizers
         import tiktoken
 
+        self.by_pieces = ranked(path, public_tokenizers.PATTERN)
         self.piece_ids = tiktoken.Encoding("pieces", pat_str=public_tokenizers.PATTERN, mergeable_ranks=read_vocabulary(path), special_tokens={}).encode_ordinary
 
     def _pieces(self, pieces: list[str]) -> list[bytes]:
@@ -63,12 +80,17 @@ class WordIds:
         return [array(self.code, e.ids).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        known = self.known
-        if len(known) > CACHE_WORDS:
-            known.clear()
+        if not self.by_pieces:
+            return self._plain(texts)
+        if len(self.known) > CACHE_WORDS:
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
         # "^": no space before the first piece
         split = [("^" + t.replace(" ", "\0 ")).split("\0") for t in texts]
-        fresh = list(set(chain.from_iterable(split)).difference(known))
+        fresh = set(chain.from_iterable(split)).difference(known)
+        again = fresh & older.keys()
+        known.update((p, older[p]) for p in again)
+        fresh = list(fresh - again)
         for i in range(0, len(fresh), 20_000):
             part = fresh[i : i + 20_000]
             # a space before more white space may belong to a longer run: such texts are encoded whole
