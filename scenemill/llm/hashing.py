@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 
+try:
+    _LIBC = ctypes.CDLL("libc.so.6")
+    _LIBC.malloc_trim
+except (OSError, AttributeError):  # another C library
+    _LIBC = None
 U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -15,6 +22,15 @@ KEPT = 1 << 20
 SLICE = 3 << 18
 
 
+def trim() -> None:
+    """Gives freed memory of this worker back to the system: workers are kept between tasks, and the allocator keeps what arrays needed."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
 def slices(batch, column: int):
     """The Arrow batch in slices of at most SLICE bytes in ``column`` (or one row), in order; all together the whole batch."""
     import pyarrow.compute as pc
@@ -25,6 +41,7 @@ def slices(batch, column: int):
         hi = max(lo + 1, int(np.searchsorted(size, (size[lo - 1] if lo else 0) + SLICE, "right")))
         yield batch.slice(lo, hi - lo)
         lo = hi
+    trim()
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .hashing import U, mix, shingle_sets, slices
+from .hashing import U, mix, shingle_sets, slices, trim
 from .store import cut, id_text
 
 #: Share of the pairs at the threshold that shall be found, and mean number of tokens that such a pair shares a step.
@@ -220,6 +220,7 @@ def _bucket(threshold: float):
                     yield batch()
         close()
         yield batch()
+        trim()
 
     return run
 
@@ -299,6 +300,7 @@ def _grouped(batches, n: int):
                     rows.append(row)
     if rows:
         yield group, rows
+    trim()
 
 
 def _links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:

@@ -15,6 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .hashing import trim
 from .store import cut, id_text
 
 #: Words of each of the two tables of ids that a worker process keeps: the newer one becomes the older one when it is full (speed only).
@@ -137,6 +138,7 @@ def tokenize(docs: DataFrame, vocab_path: str, end_id: int = 1) -> DataFrame:
                      pa.array(np.full(len(ids), enc.dtype.itemsize, np.int32)), pa.array(ids, pa.binary())],
                     ["doc_id", "part", "start", "n_tokens", "width", "ids"],
                 )
+            trim()
 
     return docs.mapInArrow(encode, "doc_id long, part int, start long, n_tokens long, width int, ids binary")
 

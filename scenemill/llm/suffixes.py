@@ -10,7 +10,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .hashing import ByteHash, U, mix, sliding_min
+from .hashing import ByteHash, U, mix, sliding_min, trim
 from .store import cut, id_text, keyed
 
 #: Bytes of the anchor that decides which spans meet in one suffix array.
@@ -172,6 +172,7 @@ def _anchors(limit: int):
                         size = 0
             if pieces:
                 yield flush()
+            trim()
 
     return run
 
@@ -286,6 +287,7 @@ def dedup_substrings(docs: DataFrame, limit: int = 200, id_col: str = "doc_id",
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types)], ["h", "sh", "n", "bytes"])
                     out = [[], [], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types)], ["h", "sh", "n", "bytes"])
+            trim()
 
     types = [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
     texts = packed.join(wanted, _same_row(packed, wanted)).select("z", "spans").mapInArrow(fetch, "h long, sh long, n long, bytes binary")
@@ -304,6 +306,7 @@ def dedup_substrings(docs: DataFrame, limit: int = 200, id_col: str = "doc_id",
                     out[2].append(np.stack((hits[first], stop), 1).ravel())
             for x in (h, sh, n, spans):
                 x.clear()
+            trim()
             return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.list_(pa.int64()))], ["h", "sh", "runs"])
 
         for b in batches:
@@ -343,6 +346,7 @@ def dedup_substrings(docs: DataFrame, limit: int = 200, id_col: str = "doc_id",
                     out[k].append(row[k])
             columns = [pa.array(x, pa.string() if k >= 4 else pa.int64()) for k, x in enumerate(out)]
             yield pa.RecordBatch.from_arrays([*columns, b.column(3)], [*names, "extra"])
+            trim()
 
     extra = rows.schema["extra"].dataType.simpleString()
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", text string" * with_text
