@@ -19,7 +19,7 @@ _POWERS = {}
 #: Powers that a worker keeps.
 KEPT = 1 << 20
 #: Bytes of text that are hashed at once (a longer text alone): arrays take up to about 60 times that.
-SLICE = 3 << 18
+SLICE = 1 << 19
 
 
 def trim() -> None:

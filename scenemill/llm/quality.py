@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .hashing import U, join_texts, mix, shingles, slices, words
+from .hashing import U, join_texts, mix, shingles, slices, trim, words
 from .linear import fit, labelled_sample, predict
 from .store import cut, ship
 
@@ -196,11 +196,12 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, taught: in
             rows = [(k, kind, *r) for (k, kind), some in best.items() for r in some]
             types = [pa.int32(), pa.int32(), pa.float64(), pa.int64(), pa.binary(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], ["view", "kind", "sure", "rid", "a", "b"])
+            trim()
 
         found = cut(table.mapInArrow(surest, "view int, kind int, sure double, rid long, a binary, b binary"), "surest")
         news = []
         for k in (0, 1):  # view k teaches the other one
-            both = [found.where(f"view = {k} and kind = {kind}").dropDuplicates(["rid"]).orderBy(F.desc("sure"), "rid").limit(most[kind]).toArrow() for kind in (0, 1)]
+            both = [found.where(f"view = {k} and kind = {kind}").orderBy(F.desc("sure"), "rid").limit(most[kind]).toArrow() for kind in (0, 1)]
             x = np.concatenate([_matrix(t.column("ab"[1 - k]), (N_TEXT, N_META)[1 - k]) for t in both])
             news.append((x, np.repeat([0.0, 1.0], [t.num_rows for t in both])))
             used[k] = np.concatenate([used[k], *(np.array(t.column("rid").to_pylist(), np.int64) for t in both)])
