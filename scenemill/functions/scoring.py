@@ -118,3 +118,26 @@ def crop_window(vw: Column, vh: Column, tw: int, th: int, face_x: Column) -> Col
     w, h = F.least(vw, (tw / scale).cast("int")), F.least(vh, (th / scale).cast("int"))
     x = F.greatest(F.lit(0), F.least(face_x - F.floor(w / 2).cast("int"), vw - w))
     return F.struct(w.alias("w"), h.alias("h"), x.alias("x"), F.floor((vh - h) / 2).cast("int").alias("y"))
+
+
+def emotion_or_default(score: Column, text: Column) -> Column:
+    """0.1 without text, 0.2 where a text could not be scored."""
+    return F.when(F.coalesce(text, F.lit("")) == "", 0.1).otherwise(F.coalesce(score, F.lit(0.2)))
+
+
+def visual_or_default(score: Column, path: Column) -> Column:
+    """0.2 without a video, 0.3 where a video could not be scored."""
+    return F.when(F.coalesce(path, F.lit("")) == "", 0.2).otherwise(F.coalesce(score, F.lit(0.3)))
+
+
+def audio_or_default(score: Column, path: Column, default: Column) -> Column:
+    """the default of the length (F2) without sound, 0.3 where a sound could not be scored."""
+    return F.when(F.coalesce(path, F.lit("")) == "", default).otherwise(F.coalesce(score, F.lit(0.3)))
+
+
+def cue_milliseconds(text: Column, kind: str = "floor_800") -> Column:
+    """Length of a cue whose engine gives no times: 180 ms a character and 800 at least, or 200 a character (``floor_1000``: 1000 at least)."""
+    n = F.length(text)
+    if kind == "floor_800":
+        return F.greatest(F.lit(800), n * 180)
+    return F.greatest(F.lit(1000), n * 200) if kind == "floor_1000" else n * 200

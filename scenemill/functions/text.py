@@ -128,9 +128,81 @@ def variables(template: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(template, F.lit(r"\$\{(\w+)\}"), 1))
 
 
+def _braces(text: Column) -> Column:
+    """From the first { to the last }; null if there are none."""
+    return F.nullif(F.regexp_extract(text, r"(?s)(\{.*\})", 1), F.lit(""))
+
+
+def _repaired(text: Column) -> Column:
+    """Single braces, comments and trailing commas gone, keys in double quotes."""
+    out = F.replace(F.replace(text, F.lit("{{"), F.lit("{")), F.lit("}}"), F.lit("}"))
+    out = F.coalesce(_braces(out), out)
+    for pattern, by in (("#.*", ""), ("//.*", ""), (r",\s*\}", "}"), (r",\s*\]", "]"), (r"'([^']*)':", '"$1":'), (r"(\w+)(\s*):", '"$1"$2:'), (r'""([^"]*?)""', '"$1"')):
+        out = F.regexp_replace(out, pattern, by)
+    return out
+
+
 def parse_json(text: Column, schema: str) -> Column:
-    """Whole, fenced block, outermost braces, then without comments and trailing commas; null if none parses."""
-    braces = F.regexp_extract(text, r"(?s)(\{.*\})", 1)
-    repaired = F.regexp_replace(F.regexp_replace(braces, r"(?m)//.*$", ""), r",\s*([}\]])", "$1")
-    tries = [text, F.regexp_extract(text, r"(?s)```(?:json)?\s*(.*?)```", 1), braces, repaired, F.replace(repaired, F.lit("'"), F.lit('"'))]
-    return F.coalesce(*[F.when(F.try_parse_json(t).isNotNull() & F.startswith(F.trim(t), F.lit("{")), F.from_json(t, schema)) for t in tries])
+    """An object as it is, with double braces made single, from a fenced block, from the outermost braces, repaired; null if
+    nothing parses."""
+    text = F.trim(text)
+    single = F.replace(F.replace(text, F.lit("{{"), F.lit("{")), F.lit("}}"), F.lit("}"))
+    fenced = F.nullif(F.trim(F.regexp_extract(text, r"(?s)```(?:json)?\s*(.*?)\s*```", 1)), F.lit(""))
+    repaired = _repaired(text)
+    tries = [text, single, fenced, _braces(text), repaired, F.replace(repaired, F.lit("'"), F.lit('"'))]
+    return F.try_variant_get(F.coalesce(*[F.when(F.startswith(t, F.lit("{")), F.try_parse_json(t)) for t in tries]), "$", schema)
+
+
+def placeholder_item(text: Column) -> Column:
+    """The script item that stands for an answer that does not parse: its first 100 characters as narration."""
+    short = F.when(F.length(text) > 100, F.concat(F.substring(text, 1, 100), F.lit("..."))).otherwise(text)
+    return F.struct(
+        F.lit(1).alias("_id"), F.lit("00:00:00,000-00:00:10,000").alias("timestamp"), F.lit("解析失败，使用默认内容").alias("picture"), short.alias("narration"), F.lit(0).alias("OST")
+    )
+
+
+def clip_list(text: Column, item: str) -> Column:
+    """The list of clips in an answer: a list itself, its ``clips``, else its first list by key; null if there is none."""
+    clean = F.regexp_replace(F.regexp_replace(F.trim(text), r"^```json\s*", ""), r"\s*```$", "")
+    whole = F.try_parse_json(clean)
+    fields = F.map_values(F.try_variant_get(whole, "$", "map<string,variant>"))
+    lists = F.filter(F.transform(fields, lambda v: F.try_variant_get(v, "$", f"array<{item}>")), lambda x: x.isNotNull())
+    return F.coalesce(F.try_variant_get(whole, "$", f"array<{item}>"), F.try_variant_get(whole, "$.clips", f"array<{item}>"), F.get(lists, F.lit(0)))
+
+
+def string_list(text: Column) -> Column:
+    """A list of strings, or one between the first [ and the last ] of a line; null if there is none."""
+    def strings(t):
+        v = F.try_parse_json(t)
+        return F.when(F.forall(F.try_variant_get(v, "$", "array<variant>"), lambda x: F.schema_of_variant(x) == "STRING"), F.try_variant_get(v, "$", "array<string>"))
+
+    return F.coalesce(strings(text), strings(F.nullif(F.regexp_extract(text, r"(\[.*\])", 1), F.lit(""))))
+
+
+def plot_result(answer: Column) -> Column:
+    """A parsed plot answer with defaults and limits: texts of 500 and 200 characters, lists of 15, 20 and 10."""
+    empty = F.array().cast("array<string>")
+    get = lambda k: F.coalesce(answer[k], F.lit(""))
+    some = lambda k, n: F.slice(F.coalesce(answer[k], empty), 1, n).alias(k)
+    return F.struct(
+        F.substring(get("summary"), 1, 500).alias("summary"), some("key_moments", 15), some("characters", 20), F.substring(get("main_conflict"), 1, 200).alias("main_conflict"),
+        some("tags", 10), get("tone").alias("tone"), get("target_audience").alias("target_audience"),
+    )
+
+
+def full_text(written: Column, segments: Column, raw: Column) -> Column:
+    """The text of a narration: as written, else its segments' texts joined, else the first 2000 characters of the answer."""
+    joined = F.array_join(F.transform(segments, lambda s: F.coalesce(s["text"], F.lit(""))), " ")
+    return F.coalesce(F.nullif(written, F.lit("")), F.when(F.size(segments) > 0, joined), F.substring(raw, 1, 2000))
+
+
+def loudness_report(log: Column) -> Column:
+    """The first block of a log from a line of { to a line of }, as a variant; null if there is none or it does not parse."""
+    return F.try_parse_json(F.nullif(F.regexp_extract(log, r"(?s)(?:^|\n)([ \t]*\{[ \t]*\n.*?\n[ \t]*\}[ \t]*)(?:\n|$)", 1), F.lit("")))
+
+
+def unescape_html(text: Column) -> Column:
+    """The five named entities of XML and &nbsp; to their characters, & last."""
+    for name, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&nbsp;", "\u00a0"), ("&amp;", "&")):
+        text = F.replace(text, F.lit(name), F.lit(sign))
+    return text

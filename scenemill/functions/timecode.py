@@ -68,14 +68,27 @@ def range_bounds(text: Column) -> Column:
     return F.struct(F.when(ok, from_flexible(F.get(p, F.lit(0)))).alias("start"), F.when(ok, from_flexible(F.get(p, F.lit(1)))).alias("end"))
 
 
+def _clock(text: Column) -> Column:
+    """H:M:S[,mmm] to seconds; null for anything else."""
+    p = F.split(F.replace(F.trim(text), F.lit(","), F.lit(".")), ":")
+    return F.when(F.regexp_like(F.trim(text), F.lit(r"^\d+:\d+:\d+(,\d+)?$")), _num(p[0]) * 3600 + _num(p[1]) * 60 + _num(p[2]))
+
+
+def clock_bounds(text: Column) -> Column:
+    """T9: 'H:M:S[,mmm]-H:M:S[,mmm]' to struct(start, end) in seconds, nulls for any other form."""
+    p = F.split(text, "-")
+    two = F.size(p) == 2
+    return F.struct(F.when(two, _clock(F.get(p, F.lit(0)))).alias("start"), F.when(two, _clock(F.get(p, F.lit(1)))).alias("end"))
+
+
 def range_duration(text: Column) -> Column:
-    """Length of a range to two decimals; 0 for a bad one."""
-    b = range_bounds(text)
+    """Length of a range of two H:M:S[,mmm] codes to two decimals; 0 for any other form."""
+    b = clock_bounds(text)
     return F.round(F.coalesce(b["end"] - b["start"], F.lit(0.0)), 2)
 
 
-_CLIP = r"(\d{2})-(\d{2})-(\d{2})-(\d{3})@(\d{2})-(\d{2})-(\d{2})-(\d{3})"
-_CLIP_SHORT = r"(\d{2})_(\d{2})_(\d{2})-(\d{2})_(\d{2})_(\d{2})"
+_CLIP = r"vid_(\d{2})-(\d{2})-(\d{2})-(\d{3})@(\d{2})-(\d{2})-(\d{2})-(\d{3})\.mp4"
+_CLIP_SHORT = r"vid-(\d{2})-(\d{2})-(\d{2})-(\d{2})-(\d{2})-(\d{2})\.mp4"
 
 
 def file_range(name: Column) -> Column:
@@ -103,6 +116,22 @@ def add_seconds(start: Column, duration: Column, extra: Column) -> Column:
     return to_srt_modulo((F.round(from_srt(start) * 1000) + F.round(duration * 1000) + F.round(extra * 1000)) / 1000)
 
 
+def relaxed(text: Column) -> Column:
+    """H:M:S, M:S or S, each with ,mmm, to seconds; a bad one is 0."""
+    p = F.split(F.split(F.trim(text), ",")[0], ":")
+    at = [_num(F.get(p, F.lit(i))) for i in range(3)]
+    whole = F.when(F.size(p) == 3, at[0] * 3600 + at[1] * 60 + at[2]).when(F.size(p) == 2, at[0] * 60 + at[1]).otherwise(_num(p[0]))
+    return F.coalesce(whole + F.coalesce(_num(F.get(F.split(text, ","), F.lit(1))), F.lit(0.0)) / 1000, F.lit(0.0))
+
+
+def ticks(text: Column) -> Column:
+    """H:M:S.f to ticks of 100 ns, cut to whole milliseconds; null for any other form."""
+    p = F.split(text, "[:.]")
+    ms = F.substring(F.rpad(F.get(p, F.lit(3)), 6, "0"), 1, 3).cast("long")
+    whole = (p[0].cast("long") * 3600 + p[1].cast("long") * 60 + p[2].cast("long")) * 1000
+    return F.when(F.regexp_like(text, F.lit(r"^\d{1,2}:\d{1,2}:\d{1,2}\.\d{1,6}$")), (whole + ms) * 10000)
+
+
 def minute_range(text: Column) -> Column:
     """T16: 'MM:SS-MM:SS' to two HH:MM:SS codes."""
     return F.transform(F.split(text, "-"), lambda p: F.concat(F.lit("00:"), F.trim(p)))

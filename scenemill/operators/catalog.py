@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 
 def keep_first(df: DataFrame, key: str, order: list[str]) -> DataFrame:
     """The first row of each key."""
-    return df.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("_n = 1").drop("_n")
+    name = "n"
+    while name in {c.lower() for c in df.columns}:
+        name += "_"
+    return df.withColumn(name, F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col(name) == 1).drop(name)
 
 
 def take_budget(clips: DataFrame, group: str, order: str, budget: Column, most: float) -> DataFrame:
@@ -44,7 +47,7 @@ RANGE = r"^\d{2}:\d{2}:\d{2},\d{3}-\d{2}:\d{2}:\d{2},\d{3}$"
 
 
 def check_script(items: DataFrame) -> DataFrame:
-    """The first broken rule of each script item (null: valid)."""
+    """The first broken rule of each typed script item (null: valid); :func:`check_script_text` checks a whole script."""
     first = (
         F.when(F.col("_id").isNull() | (F.col("_id") <= 0), "bad_id")
         .when(F.col("timestamp").isNull() | ~F.col("timestamp").rlike(RANGE), "bad_timestamp")
@@ -55,6 +58,35 @@ def check_script(items: DataFrame) -> DataFrame:
     return items.withColumn("error", first)
 
 
+def check_script_text(script: Column) -> Column:
+    """The first broken rule of a script as JSON text, with the number of the item from 1: struct(item, error), nulls where it is valid.
+
+    Rules in order: no JSON, no list, empty list; then item by item: no object, a field that is absent, and the form of each field.
+    """
+    whole = F.try_parse_json(script)
+    items = F.try_variant_get(whole, "$", "array<variant>")
+    fields = ["_id", "timestamp", "picture", "narration", "OST"]
+
+    def kind(item: Column, field: str) -> Column:
+        return F.schema_of_variant(F.try_variant_get(item, f"$.{field}", "variant"))
+
+    def broken(item: Column) -> Column:
+        text = {f: F.try_variant_get(item, f"$.{f}", "string") for f in fields[1:4]}
+        out = F.when(~F.schema_of_variant(item).startswith("OBJECT"), "no_object")
+        for f in fields:
+            out = out.when(~F.array_contains(F.map_keys(F.try_variant_get(item, "$", "map<string,variant>")), f), f"no_{f}")
+        out = out.when((kind(item, "_id") != "BIGINT") | (F.try_variant_get(item, "$._id", "long") <= 0), "bad__id")
+        out = out.when((kind(item, "timestamp") != "STRING") | ~text["timestamp"].rlike(RANGE), "bad_timestamp")
+        for f in ("picture", "narration"):
+            out = out.when((kind(item, f) != "STRING") | (F.trim(text[f]) == ""), f"bad_{f}")
+        return out.when(kind(item, "OST") != "BIGINT", "bad_OST")
+
+    each = F.filter(F.transform(items, lambda item, i: F.struct((i + 1).alias("item"), broken(item).alias("error"))), lambda r: r["error"].isNotNull())
+    whole_error = F.when(whole.isNull(), "no_json").when(items.isNull(), "no_list").when(F.size(items) == 0, "empty_list")
+    none = F.lit(None).cast("int")
+    return F.when(whole_error.isNotNull(), F.struct(none.alias("item"), whole_error.alias("error"))).otherwise(F.coalesce(F.get(each, F.lit(0)), F.struct(none.alias("item"), F.lit(None).cast("string").alias("error"))))
+
+
 def default_versions(prompts: DataFrame) -> DataFrame:
     """The default version of each prompt is the greatest version as a string."""
     return prompts.groupBy("category", "name").agg(F.max("version").alias("default_version"))

@@ -19,18 +19,55 @@ def edit_timeline(items: DataFrame, group: str = "script_id", order: str = "ord"
 
 
 def attach_media(items: DataFrame, media: DataFrame) -> DataFrame:
-    """media(_id, timestamp, path) by _id, else by timestamp; of several rows of a key the last path counts."""
-    by_id = media.where("_id is not null").groupBy("_id").agg(F.max("path").alias("_p1"))
-    by_time = media.groupBy("timestamp").agg(F.max("path").alias("_p2"))
+    """media(_id, timestamp, path, ord) by _id (0 and null go by timestamp alone), else by timestamp; of several rows of a key the last by ord counts."""
+    by_id = media.where("_id <> 0").groupBy("_id").agg(F.max_by("path", "ord").alias("_p1"))
+    by_time = media.groupBy("timestamp").agg(F.max_by("path", "ord").alias("_p2"))
     out = items.join(by_id, "_id", "left").join(by_time, "timestamp", "left")
     return out.withColumn("path", F.coalesce("_p1", "_p2")).drop("_p1", "_p2")
 
 
-def join_speech(items: DataFrame, speech: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(items with their speech, rejected items that need speech and have none)."""
+def join_speech(items: DataFrame, speech: DataFrame) -> DataFrame:
+    """Items with their speech, and ``rejected``: whether an item needs speech and has none."""
     out = items.join(speech, "_id", "left")
-    missing = F.col("OST").isin(0, 2) & F.col("speech_duration").isNull()
-    return out.where(~missing), out.where(missing)
+    return out.withColumn("rejected", F.coalesce(F.col("OST").isin(0, 2), F.lit(False)) & F.col("speech_duration").isNull())
+
+
+def new_timestamps(items: DataFrame, group: str = "script_id", order: str = "ord", minutes: bool = False) -> DataFrame:
+    """``new_timestamp``, the place of each item of ``timestamp`` 'A-B' in the edit, as HH:MM:SS,mmm; W12 (``minutes``): as MM:SS, and
+    blank narrations get a tag of their own."""
+    p = F.split("timestamp", "-")
+    length = tc.relaxed(p[1]) - tc.relaxed(p[0])
+    end = F.sum(length).over(Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    clock = (lambda t: F.concat_ws(":", *(F.lpad(x.cast("long").cast("string"), 2, "0") for x in (F.floor(t / 60), F.floor(t) % 60)))) if minutes else tc.to_srt
+    out = items.withColumn("new_timestamp", F.concat(clock(F.round(end - length, 3)), F.lit("-"), clock(F.round(end, 3))))
+    if not minutes:
+        return out
+    tag = F.concat(F.lit("原声播放_"), F.substring(F.md5(F.concat_ws("/", F.col(group).cast("string"), F.col(order).cast("string"))), 1, 8))
+    return out.withColumn("narration", F.when(F.coalesce(F.col("narration"), F.lit("")) == "", tag).otherwise(F.col("narration")))
+
+
+def attach_episodes(items: DataFrame, episodes: DataFrame) -> DataFrame:
+    """items(episode, from 0; null: 0) with the ``path`` of episodes(ordinal, path); ``rejected``: whether there is none."""
+    n = F.coalesce(F.col("episode"), F.lit(0))
+    return items.join(episodes.withColumnRenamed("ordinal", "_at"), n == F.col("_at"), "left").drop("_at").withColumn("rejected", F.col("path").isNull())
+
+
+def audio_starts(videos: DataFrame, audio: DataFrame, group: str = "job") -> DataFrame:
+    """The start in the edit of each video that keeps its sound, with the first audio file (job, index, path, ord) of its index."""
+    before = F.sum("duration").over(Window.partitionBy(group).orderBy("index").rowsBetween(Window.unboundedPreceding, -1))
+    placed = videos.withColumn("start", F.coalesce(before, F.lit(0.0))).where("keep_audio").select(group, "index", "start")
+    first = audio.groupBy(group, "index").agg(F.min_by("path", "ord").alias("file"))
+    return placed.join(first, [group, "index"])
+
+
+def word_events(words: DataFrame) -> DataFrame:
+    """R2: words(start, end in ticks) with their duration, 0 at least."""
+    return words.withColumn("duration", F.greatest(F.lit(0), F.col("end") - F.col("start")))
+
+
+def speech_length(words: DataFrame, group: str = "clip", order: str = "ord") -> DataFrame:
+    """Seconds of each clip: the end of its last word; a clip whose words have no end has 0."""
+    return words.groupBy(group).agg(F.coalesce(F.max_by("end", order) / 1e7, F.lit(0.0)).alias("seconds"))
 
 
 def cut_list(joined: DataFrame) -> DataFrame:

@@ -274,6 +274,65 @@ def filename_timerange(spark, sf):
     return _read(spark, sf, "events").select("event_id", timecode.file_range(name).alias("rng"), timecode.from_digits(digits).alias("digits"))
 
 
+@query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN 0.0 WHEN 1 THEN 61.25 WHEN 2 THEN 60.0 ELSE 0.0 END::DOUBLE AS length,
+ CASE event_id % 4 WHEN 2 THEN '00:' || lpad(CAST(event_id % 60 AS VARCHAR), 2, '0') || ':00-00:' || lpad(CAST(event_id % 60 AS VARCHAR), 2, '0') || ':20' END AS rng FROM events""")
+def time_range_forms(spark, sf):
+    """Range lengths of minute codes, full codes and broken ones; file names of the older form."""
+    k, mm = F.col("event_id") % 4, F.lpad((F.col("event_id") % 60).cast("string"), 2, "0")
+    rng = F.when(k == 0, "01:00-02:00").when(k == 1, "00:00:01,250-00:01:02,500").when(k == 2, "00:00:00-00:01:00").otherwise("00:00:01-00:00:02-00:00:03")
+    name = F.when(k == 2, F.concat(F.lit("vid-00-"), mm, F.lit("-00-00-"), mm, F.lit("-20.mp4"))).otherwise("vid_1.mp4")
+    return _read(spark, sf, "events").select("event_id", timecode.range_duration(rng).alias("length"), timecode.file_range(name).alias("rng"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 6 = 5 THEN NULL ELSE CAST(json_extract_string(props, '$.k') AS INTEGER) END AS k FROM events")
+def json_repair_forms(spark, sf):
+    """Double braces, comments, bare and single-quoted keys, text around; the last form is no JSON."""
+    n, k = F.col("event_id") % 6, F.get_json_object("props", "$.k")
+    raw = (
+        F.when(n == 0, F.concat(F.lit('{{"k": '), k, F.lit("}}"))).when(n == 1, F.concat(F.lit('{"k": '), k, F.lit(" # the key\n}")))
+        .when(n == 2, F.concat(F.lit("{k: "), k, F.lit("}"))).when(n == 3, F.concat(F.lit("Sure: {'k': "), k, F.lit(",} // done"))).when(n == 4, F.concat(F.lit("x {\"k\":"), k, F.lit("} y"))).otherwise("no json")
+    )
+    return _read(spark, sf, "events").select("event_id", text.parse_json(raw, "struct<k:int>")["k"].alias("k"))
+
+
+@query("""SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 'no_narration' WHEN 1 THEN 'bad__id' WHEN 2 THEN 'bad_OST' WHEN 3 THEN 'empty_list' END AS error,
+ CASE o_orderkey % 5 WHEN 0 THEN 2 WHEN 1 THEN 1 WHEN 2 THEN 1 END AS item FROM orders""")
+def script_text_check(spark, sf):
+    k = F.col("o_orderkey") % 5
+    good = '{"_id": 1, "timestamp": "00:00:01,000-00:00:02,000", "picture": "p", "narration": "n", "OST": 1}'
+    script = (
+        F.when(k == 0, "[" + good + ', {"_id": 2, "timestamp": "x", "picture": "p", "OST": 0}]').when(k == 1, "[" + good.replace('"_id": 1', '"_id": "1"') + "]")
+        .when(k == 2, "[" + good.replace('"OST": 1', '"OST": "1"') + "]").when(k == 3, "[]").otherwise("[" + good + "]")
+    )
+    got = catalog.check_script_text(script)
+    return _read(spark, sf, "orders").select("o_orderkey", got["error"].alias("error"), got["item"].alias("item"))
+
+
+@query("""WITH u AS (SELECT l_orderkey AS script_id, l_linenumber AS ord, min(l_quantity) AS q FROM lineitem GROUP BY 1, 2),
+r AS (SELECT *, CAST(floor(q) AS BIGINT) % 60 AS len, sum(CAST(floor(q) AS BIGINT) % 60) OVER (PARTITION BY script_id ORDER BY ord) AS e FROM u)
+SELECT script_id, ord, lpad(CAST((e - len) // 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST((e - len) % 60 AS VARCHAR), 2, '0') || '-' || lpad(CAST(e // 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(e % 60 AS VARCHAR), 2, '0') AS new_timestamp FROM r""")
+def new_timestamps(spark, sf):
+    items = _read(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("script_id"), F.col("l_linenumber").alias("ord")).agg(F.min("l_quantity").alias("q"))
+    stamp = F.concat(F.lit("00:00-00:"), F.lpad((F.floor("q") % 60).cast("string"), 2, "0"))
+    return timeline.new_timestamps(items.withColumns({"timestamp": stamp, "narration": F.lit("n")}), minutes=True).select("script_id", "ord", "new_timestamp")
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 40 < 25 THEN n_name END AS path, o_orderkey % 40 >= 25 AS rejected FROM orders LEFT JOIN nation ON n_nationkey = o_orderkey % 40""")
+def script_episode_join(spark, sf):
+    items = _read(spark, sf, "orders").select("o_orderkey", F.nullif(F.col("o_orderkey") % 40, F.lit(0)).alias("episode"))
+    return timeline.attach_episodes(items, _read(spark, sf, "nation").select(F.col("n_nationkey").alias("ordinal"), F.col("n_name").alias("path"))).select("o_orderkey", "path", "rejected")
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 0.1 WHEN event_id % 3 = 1 THEN 0.2 ELSE value END::DOUBLE AS emotion, CASE WHEN event_id % 3 = 0 THEN 0.2 WHEN event_id % 3 = 1 THEN 0.3 ELSE value END::DOUBLE AS visual,
+ greatest(800, 180 * length(event_type)) AS cue_ms FROM events""")
+def score_fallbacks(spark, sf):
+    k = F.col("event_id") % 3
+    name, score = F.when(k > 0, F.col("event_type")), F.when(k == 2, F.col("value").cast("double"))
+    return _read(spark, sf, "events").select(
+        "event_id", scoring.emotion_or_default(score, name).alias("emotion"), scoring.visual_or_default(score, name).alias("visual"), scoring.cue_milliseconds(F.col("event_type")).cast("long").alias("cue_ms"),
+    )
+
+
 # --- timelines and joins -----------------------------------------------------------------------------------------
 
 
@@ -310,12 +369,12 @@ _SPEECH = "sp AS (SELECT o_orderkey * 10 + 1 AS _id, (o_orderkey % 80) / 4.0::DO
 
 @query(f"WITH {_UNIQ}, {_SPEECH} SELECT u._id, ost AS \"OST\", sd AS speech_duration FROM u LEFT JOIN sp USING (_id) WHERE NOT (ost IN (0, 2) AND sd IS NULL)")
 def script_tts_join(spark, sf):
-    return timeline.join_speech(_unique_items(spark, sf), _speech(spark, sf))[0].select("_id", "OST", "speech_duration")
+    return timeline.join_speech(_unique_items(spark, sf), _speech(spark, sf)).where("not rejected").select("_id", "OST", "speech_duration")
 
 
 @query(f"WITH {_UNIQ}, {_SPEECH} SELECT u._id, ost AS \"OST\" FROM u LEFT JOIN sp USING (_id) WHERE ost IN (0, 2) AND sd IS NULL")
 def script_tts_rejects(spark, sf):
-    return timeline.join_speech(_unique_items(spark, sf), _speech(spark, sf))[1].select("_id", "OST")
+    return timeline.join_speech(_unique_items(spark, sf), _speech(spark, sf)).where("rejected").select("_id", "OST")
 
 
 @query(f"""WITH {_UNIQ}, {_SPEECH}, j AS (SELECT u._id, ost, ord * 5.0::DOUBLE AS start, CASE WHEN ost = 1 THEN duration ELSE coalesce(sd, duration) END AS len FROM u LEFT JOIN sp USING (_id))
@@ -325,8 +384,8 @@ def ost_cut_list(spark, sf):
     return timeline.cut_list(joined).select("_id", "cut_start", "cut_end", "mute")
 
 
-@query(f"""WITH {_UNIQ}, m AS (SELECT CASE WHEN ps_i % 2 = 0 THEN id END AS id, ts, path FROM (SELECT l_orderkey * 10 + l_linenumber AS id, l_suppkey || '-' || l_partkey AS ts, 'p' || l_orderkey || '_' || l_linenumber AS path, l_orderkey + l_linenumber AS ps_i FROM lineitem WHERE l_orderkey % 3 != 0)),
-a AS (SELECT id, max(path) AS p FROM m WHERE id IS NOT NULL GROUP BY 1), b AS (SELECT ts, max(path) AS p FROM m GROUP BY 1)
+@query(f"""WITH {_UNIQ}, m AS (SELECT CASE WHEN ps_i % 2 = 0 THEN id END AS id, ts, path, o FROM (SELECT l_orderkey * 10 + l_linenumber AS id, l_suppkey || '-' || l_partkey AS ts, 'p' || l_orderkey || '_' || l_linenumber AS path, l_orderkey + l_linenumber AS ps_i, l_orderkey * 10 + l_linenumber AS o FROM lineitem WHERE l_orderkey % 3 != 0)),
+a AS (SELECT id, arg_min(path, o) AS p FROM m WHERE id IS NOT NULL GROUP BY 1), b AS (SELECT ts, arg_min(path, o) AS p FROM m GROUP BY 1)
 SELECT u._id, coalesce(a.p, b.p) AS path FROM u LEFT JOIN a ON u._id = a.id LEFT JOIN b ON u.ts = b.ts""")
 def script_media_fallback_join(spark, sf):
     li = _read(spark, sf, "lineitem").where("l_orderkey % 3 != 0")
@@ -334,6 +393,7 @@ def script_media_fallback_join(spark, sf):
         F.when((F.col("l_orderkey") + F.col("l_linenumber")) % 2 == 0, F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("_id"),
         F.concat(F.col("l_suppkey").cast("string"), F.lit("-"), F.col("l_partkey").cast("string")).alias("timestamp"),
         F.concat(F.lit("p"), F.col("l_orderkey").cast("string"), F.lit("_"), F.col("l_linenumber").cast("string")).alias("path"),
+        (-(F.col("l_orderkey") * 10 + F.col("l_linenumber"))).alias("ord"),
     )
     return timeline.attach_media(_unique_items(spark, sf), media).select("_id", "path")
 
@@ -492,7 +552,7 @@ def _prompts(spark, sf):
 
 @query("SELECT p_brand AS category, p_type AS name, p_name AS description FROM part WHERE contains(lower(p_type), 'steel') OR contains(lower(p_name), 'steel')")
 def prompt_search(spark, sf):
-    return catalog.search(_prompts(spark, sf), "STEEL").select("category", "name", "description")
+    return catalog.search(_prompts(spark, sf), "Economy").select("category", "name", "description")
 
 
 @query("SELECT count(DISTINCT p_brand) AS n_categories, count(DISTINCT (p_brand, p_type)) AS n_prompts, count(DISTINCT (p_brand, p_type, p_size)) AS n_versions FROM part")

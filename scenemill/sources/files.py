@@ -11,7 +11,7 @@ from ..functions.text import natural_key, normalize_subtitle
 #: The video types that a folder scan takes.
 VIDEO_TYPES = ["mp4", "mov", "avi", "mkv", "flv", "wmv", "webm"]
 #: Encodings tried for subtitles, in order.
-ENCODINGS = ["utf-8", "utf-8-sig", "utf-16", "gb18030", "gbk", "big5", "shift_jis"]
+ENCODINGS = ["utf-8", "utf-8-sig", "utf-16", "utf-16-le", "utf-16-be", "gbk", "gb2312"]
 
 
 def file_table(spark: SparkSession, folder: str, types: list[str] = VIDEO_TYPES) -> DataFrame:
