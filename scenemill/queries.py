@@ -550,7 +550,7 @@ def _prompts(spark, sf):
     return _read(spark, sf, "part").select(F.col("p_brand").alias("category"), F.col("p_type").alias("name"), F.col("p_size").cast("string").alias("version"), F.col("p_name").alias("description"))
 
 
-@query("SELECT p_brand AS category, p_type AS name, p_name AS description FROM part WHERE contains(lower(p_type), 'steel') OR contains(lower(p_name), 'steel')")
+@query("SELECT p_brand AS category, p_type AS name, p_name AS description FROM part WHERE contains(lower(p_type), 'economy') OR contains(lower(p_name), 'economy')")
 def prompt_search(spark, sf):
     return catalog.search(_prompts(spark, sf), "Economy").select("category", "name", "description")
 
