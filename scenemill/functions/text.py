@@ -123,6 +123,43 @@ def render(template: Column, values: dict[str, Column]) -> Column:
     return out
 
 
+def title_case(text: Column) -> Column:
+    """Each run of cased letters with a capital first and small letters after it; any other sign ends a run."""
+    runs = F.regexp_extract_all(text, F.lit(r"([\p{Lu}\p{Ll}\p{Lt}]+|[^\p{Lu}\p{Ll}\p{Lt}]+)"), 1)
+    return F.array_join(F.transform(runs, lambda r: F.concat(F.upper(F.substring(r, 1, 1)), F.lower(F.substr(r, F.lit(2))))), "")
+
+
+def truncate(text: Column, length: int = 100) -> Column:
+    """The first ``length`` characters and ``...``; shorter texts stay."""
+    return F.when(F.length(text) <= length, text).otherwise(F.concat(F.substring(text, 1, length), F.lit("...")))
+
+
+def json_text(value: Column) -> Column:
+    """A string, number or truth value as JSON; null gives ``null``. Lists and records stay on one line."""
+    whole = F.to_json(F.struct(value.alias("v")), {"ignoreNullFields": "false"})
+    return F.substr(whole, F.lit(6), F.length(whole) - 6)
+
+
+#: The filters of templates by name.
+FILTERS = {
+    "upper": F.upper, "lower": F.lower, "title": title_case, "truncate": truncate, "json": json_text,
+    "strip": lambda v: F.regexp_replace(v, r"(?U)^\s+|\s+\z", ""),
+}
+
+
+def recover_type(text: Column) -> Column:
+    """A stored string as the value it was written from, a variant: a list, map, string, number, True, False or None as Python writes
+    it, else digits as a number, else the string itself. A text that mixes both kinds of quotation marks is read as JSON reads it."""
+    quoted = F.when(F.contains(text, F.lit('"')), text).otherwise(F.replace(text, F.lit("'"), F.lit('"')))
+    bare = F.regexp_replace(quoted, r'"(?:[^"\\]|\\.)*"', '""')
+    literal = quoted
+    for name, word in (("True", "true"), ("False", "false"), ("None", "null")):
+        literal = F.regexp_replace(literal, rf'\b{name}\b(?=(?:[^"]*"[^"]*")*[^"]*$)', word)
+    value = F.when(~bare.rlike(r"\b(true|false|null|NaN|Infinity)\b"), F.try_parse_json(literal))
+    digits = F.when(text.rlike(r"^[0-9]+$"), text.try_cast("decimal(38,0)")).cast("variant")
+    return F.coalesce(value, digits, text.cast("variant"))
+
+
 def variables(template: Column) -> Column:
     """X25."""
     return F.array_distinct(F.regexp_extract_all(template, F.lit(r"\$\{(\w+)\}"), 1))

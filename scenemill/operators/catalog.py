@@ -87,6 +87,27 @@ def check_script_text(script: Column) -> Column:
     return F.when(whole_error.isNotNull(), F.struct(none.alias("item"), whole_error.alias("error"))).otherwise(F.coalesce(F.get(each, F.lit(0)), F.struct(none.alias("item"), F.lit(None).cast("string").alias("error"))))
 
 
+def export(prompts: DataFrame) -> DataFrame:
+    """A row per category with its prompts: name to version to description, in order; of equal keys the greatest description.
+
+    Rows without category, name or version are in no registry and do not go out. A category is held by one task.
+    """
+    keys = ["category", "name", "version"]
+    each = prompts.dropna(subset=keys).groupBy(*keys).agg(F.max("description").alias("description"))
+
+    def nested(rows: DataFrame, by: list[str], key: str, value: str, out: str) -> DataFrame:
+        return rows.groupBy(*by).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(key, F.struct(F.col(value).alias("_v")).alias("_e"))), _by_key(key))).alias("_m")).select(
+            *by, F.transform_values("_m", lambda _, v: v["_v"]).alias(out)
+        )
+
+    return nested(nested(each, keys[:2], "version", "description", "versions"), keys[:1], "name", "versions", "prompts")
+
+
+def _by_key(key: str):
+    """Orders records by a field; maps in them have no order."""
+    return lambda a, b: F.when(a[key] < b[key], -1).when(a[key] > b[key], 1).otherwise(0)
+
+
 def default_versions(prompts: DataFrame) -> DataFrame:
     """The default version of each prompt is the greatest version as a string."""
     return prompts.groupBy("category", "name").agg(F.max("version").alias("default_version"))

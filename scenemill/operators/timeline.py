@@ -32,6 +32,16 @@ def join_speech(items: DataFrame, speech: DataFrame) -> DataFrame:
     return out.withColumn("rejected", F.coalesce(F.col("OST").isin(0, 2), F.lit(False)) & F.col("speech_duration").isNull())
 
 
+def plot_script(plots: DataFrame, group: str = "script_id") -> DataFrame:
+    """The script items of each row's ``plot_points`` (timestamp, picture), numbered from 1, with the sound of the film and a tag for narration.
+
+    The tag is made from the key and the number, so it is the same in every run. Null and empty lists give no rows.
+    """
+    each = plots.select(group, F.posexplode("plot_points").alias("_at", "_point")).withColumn("_id", F.col("_at") + 1)
+    tag = F.concat(F.lit("播放原生_"), F.substring(F.md5(F.concat_ws("/", F.col(group).cast("string"), F.col("_id").cast("string"))), 1, 8))
+    return each.select(group, "_id", F.col("_point.timestamp").alias("timestamp"), F.col("_point.picture").alias("picture"), tag.alias("narration"), F.lit(1).alias("OST"))
+
+
 def new_timestamps(items: DataFrame, group: str = "script_id", order: str = "ord", minutes: bool = False) -> DataFrame:
     """``new_timestamp``, the place of each item of ``timestamp`` 'A-B' in the edit, as HH:MM:SS,mmm; W12 (``minutes``): as MM:SS, and
     blank narrations get a tag of their own."""

@@ -546,6 +546,38 @@ def template_render(spark, sf):
     return _read(spark, sf, "supplier").select("s_suppkey", text.render(t, {"name": F.col("s_name"), "nation": F.col("s_nationkey").cast("string")}).alias("letter"))
 
 
+@query("""SELECT p_partkey, upper(p_name) AS up, lower(p_brand) AS low, array_to_string(list_transform(regexp_extract_all(p_name || chr(39) || 'S x1Y', '[A-Za-z]+|[^A-Za-z]+'), lambda x: upper(x[1]) || lower(x[2:])), '') AS title,
+ p_name AS stripped, CASE WHEN length(p_name) <= 10 THEN p_name ELSE p_name[1:10] || '...' END AS short, '"' || p_name || ' \\"x\\""' AS js, CAST(p_size AS VARCHAR) AS js_number FROM part""")
+def template_filters(spark, sf):
+    name, f = F.col("p_name"), text.FILTERS
+    return _read(spark, sf, "part").select(
+        "p_partkey", f["upper"](name).alias("up"), f["lower"](F.col("p_brand")).alias("low"), f["title"](F.concat(name, F.lit("'S x1Y"))).alias("title"),
+        f["strip"](F.concat(F.lit(" \n\t"), name, F.lit(" \n"))).alias("stripped"), f["truncate"](name, 10).alias("short"), f["json"](F.concat(name, F.lit(' "x"'))).alias("js"), f["json"](F.col("p_size")).alias("js_number"),
+    )
+
+
+@query("""SELECT event_id, CASE event_id % 7 WHEN 0 THEN '7' WHEN 1 THEN '["a","b"]' WHEN 2 THEN 'true' WHEN 3 THEN '"true"' WHEN 4 THEN '"plain text"' WHEN 5 THEN CAST(event_id AS VARCHAR) ELSE '{"k":null,"n":"None"}' END AS value FROM events""")
+def type_recovery(spark, sf):
+    e = F.col("event_id") % 7
+    raw = F.when(e == 0, "007").when(e == 1, "['a', 'b']").when(e == 2, "True").when(e == 3, "true").when(e == 4, "plain text").when(e == 5, F.col("event_id").cast("string")).otherwise("{'k': None, 'n': 'None'}")
+    return _read(spark, sf, "events").select("event_id", F.to_json(text.recover_type(raw)).alias("value"))
+
+
+@query("""WITH v AS (SELECT p_brand AS c, p_type AS n, CAST(p_size AS VARCHAR) AS v, max(p_name) AS d FROM part GROUP BY ALL),
+n AS (SELECT c, n, '{' || string_agg('"' || v || '":"' || d || '"', ',' ORDER BY v) || '}' AS vs FROM v GROUP BY ALL)
+SELECT c AS category, '{' || string_agg('"' || n || '":' || vs, ',' ORDER BY n) || '}' AS prompts FROM n GROUP BY 1""")
+def prompt_export(spark, sf):
+    return catalog.export(_prompts(spark, sf)).select("category", F.to_json("prompts").alias("prompts"))
+
+
+@query("""WITH p AS (SELECT s_suppkey AS script_id, unnest(range(1, s_suppkey % 4 + 1)) AS i, s_name FROM supplier)
+SELECT script_id, CAST(i AS INTEGER) AS _id, '00:00:0' || i || ',000-00:00:09,000' AS timestamp, s_name || i AS picture, '播放原生_' || md5(script_id || '/' || i)[1:8] AS narration, 1 AS OST FROM p""")
+def plot_script(spark, sf):
+    point = lambda i: F.struct(F.concat(F.lit("00:00:0"), i.cast("string"), F.lit(",000-00:00:09,000")).alias("timestamp"), F.concat("s_name", i.cast("string")).alias("picture"))
+    numbers = F.slice(F.array(*(F.lit(i) for i in (1, 2, 3))), F.lit(1), (F.col("s_suppkey") % 4).cast("int"))
+    return timeline.plot_script(_read(spark, sf, "supplier").select(F.col("s_suppkey").alias("script_id"), F.transform(numbers, point).alias("plot_points")))
+
+
 def _prompts(spark, sf):
     return _read(spark, sf, "part").select(F.col("p_brand").alias("category"), F.col("p_type").alias("name"), F.col("p_size").cast("string").alias("version"), F.col("p_name").alias("description"))
 

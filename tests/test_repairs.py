@@ -37,6 +37,39 @@ def test_answers(spark):
     assert len(r.summary) == 500 and r.characters == [] and r.main_conflict == "" and r.tone == "dark"
 
 
+@pytest.mark.parametrize("raw, want", [("they're bill's", "They'Re Bill'S"), ("ÉCOLE 2b中x", "École 2B中X"), ("", "")])
+def test_title_filter(spark, raw, want):
+    assert raw.title() == want
+    assert one(spark, raw, text.FILTERS["title"]) == want
+
+
+def test_other_filters(spark):
+    assert one(spark, " \u3000a b\n ", text.FILTERS["strip"]) == "a b"
+    assert one(spark, "x" * 100, text.FILTERS["truncate"]) == "x" * 100
+    assert one(spark, "x" * 101, text.FILTERS["truncate"]) == "x" * 100 + "..."
+    assert one(spark, 'é"\n', text.FILTERS["json"]) == '"é\\"\\n"'
+    assert one(spark, None, text.FILTERS["json"]) == "null"
+
+
+@pytest.mark.parametrize("raw, want", [
+    ("12", "12"), ("007", "7"), ("-1.5", "-1.5"), ("True", "true"), ("None", "null"), ("true", '"true"'), ("[true]", '"[true]"'), ("'a'", '"a"'),
+    ("[1, 'a', False]", '[1,"a",false]'), ('{"a": "None, true"}', '{"a":"None, true"}'), ("it's", '"it\'s"'), ("", '""'), (None, None),
+])
+def test_type_recovery(spark, raw, want):
+    assert one(spark, raw, lambda c: F.to_json(text.recover_type(c))) == want
+
+
+def test_prompt_export_and_plot_script(spark):
+    kind = "category string, name string, version string, description string"
+    rows = spark.createDataFrame([("c", "n", "2", "b"), ("c", "n", "1", "a"), ("c", "n", "1", "A"), ("c", "m", "1", None), ("c", None, "1", "x")], kind)
+    assert catalog.export(rows).first().prompts == {"m": {"1": None}, "n": {"1": "a", "2": "b"}}
+    assert catalog.export(rows.limit(0)).count() == 0
+    plots = spark.sql("select 1 as script_id, array(named_struct('timestamp', 't', 'picture', 'p'), named_struct('timestamp', 'u', 'picture', null)) as plot_points union all select 2, null")
+    got = timeline.plot_script(plots).collect()
+    assert [(r.script_id, r._id, r.timestamp, r.picture, r.OST) for r in got] == [(1, 1, "t", "p", 1), (1, 2, "u", None, 1)]
+    assert got[0].narration != got[1].narration
+
+
 def test_script_text(spark):
     good = '{"_id": 1, "timestamp": "00:00:01,000-00:00:02,000", "picture": "p", "narration": "n", "OST": 1}'
     cases = {
