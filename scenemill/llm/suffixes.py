@@ -10,7 +10,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .hashing import ByteHash, U, mix, sliding_min, trim
+from .hashing import SLICE, ByteHash, U, mix, sliding_min, trim
 from .store import cut, id_text, keyed
 
 #: Bytes of the anchor that decides which spans meet in one suffix array.
@@ -163,11 +163,11 @@ def _anchors(limit: int):
 
             for doc, text, th in zip(*(b.column(i).to_pylist() for i in range(3))):
                 raw = (text or "").encode("utf-8", "replace")
-                for lo in range(0, len(raw) - limit + 1, 1 << 21):
-                    pieces.append(raw[lo : lo + (1 << 21) + limit - 1])
+                for lo in range(0, len(raw) - limit + 1, SLICE):
+                    pieces.append(raw[lo : lo + SLICE + limit - 1])
                     where.append((doc, th, lo))
                     size += len(pieces[-1])
-                    if size > 1 << 20:
+                    if size >= SLICE:
                         yield flush()
                         size = 0
             if pieces:
