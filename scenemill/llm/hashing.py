@@ -31,10 +31,26 @@ def trim() -> None:
         _LIBC.malloc_trim(0)
 
 
+#: What empties the tables that an operator keeps in a worker from one of its tasks to the next.
+_KEEPERS = []
+
+
+def kept(empty) -> None:
+    """Names a function that empties a table of one operator; it is called when a task of another one starts in the worker."""
+    _KEEPERS.append(empty)
+
+
+def forget() -> None:
+    """Empties the tables that operators have kept in this worker."""
+    while _KEEPERS:
+        _KEEPERS.pop()()
+
+
 def slices(batch, column: int):
     """The Arrow batch in slices of at most SLICE bytes in ``column`` (or one row), in order; all together the whole batch."""
     import pyarrow.compute as pc
 
+    forget()
     size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 64)
     lo = 0
     while lo < batch.num_rows:

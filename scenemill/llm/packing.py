@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .hashing import trim
+from .hashing import kept, trim
 from .store import cut, id_text
 
 #: Words of each of the two tables of ids that a worker process keeps: the newer one becomes the older one when it is full (speed only).
@@ -113,6 +113,7 @@ class WordIds:
 
 @lru_cache(maxsize=2)
 def _encoder(path: str) -> WordIds:
+    kept(_encoder.cache_clear)
     return WordIds(path)
 
 

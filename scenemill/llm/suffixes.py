@@ -10,7 +10,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .hashing import SLICE, ByteHash, U, mix, sliding_min, trim
+from .hashing import SLICE, ByteHash, U, forget, mix, sliding_min, trim
 from .store import cut, id_text, keyed
 
 #: Bytes of the anchor that decides which spans meet in one suffix array.
@@ -130,6 +130,7 @@ def _anchors(limit: int):
     width = limit - ANCHOR + 1
 
     def run(batches):
+        forget()
         for b in batches:
             pieces, where, size = [], [], 0
 
