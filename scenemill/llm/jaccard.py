@@ -364,8 +364,8 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, i
        of one bucket that look alike by their sketch are joined to candidate groups: at most one edge for each text and
        path, never all pairs. Runs are repeated until :func:`recall` reaches TARGET. Buckets that are still large after DEPTH splits
        are compared in blocks, whatever their size.
-    2. Inside a candidate group the sets are compared exactly, in tiles of about ``TILE`` texts a side; only counts
-       and one label per text leave a tile. Links of one text are counted, so the work (and the copies of its sets) grows
+    2. Inside a candidate group the sets are compared exactly, in tiles of about ``TILE`` texts a side, which get compressed
+       texts; only counts and one label per text leave a tile. Links of one text are counted, so the work (and the copies of its text) grows
        with the square of a group of different near copies; exact copies count as one text.
 
     Null and empty texts, and texts without a word, are linked to nothing but their copies; texts of 1 to
@@ -436,21 +436,34 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, i
     sizes = known.groupBy("label").agg(F.greatest(F.ceil(F.count("*") / TILE), F.ceil(F.sum("bytes") / TILE_BYTES)).cast("int").alias("blocks"))
     texts = texts_of(known.join(sizes, "label").select("rep", "key", "label", "blocks"))
 
-    def tokens(batches):
-        for some, sets in sets_of(batches, 3):
-            yield pa.RecordBatch.from_arrays([*some.columns[:3], pa.array([x.tobytes() for x in sets], pa.binary())], ["label", "blocks", "key", "tokens"])
-
-    sets = texts.select("label", "blocks", "key", "z").mapInArrow(tokens, "label binary, blocks int, key binary, tokens binary")
-
     def verify(batches):
-        for (_, i, j), rows in _grouped(batches, 3):
-            at, keys = np.array([r[3] for r in rows]), [r[4] for r in rows]
-            left = np.flatnonzero(at == i)
-            right = left if i == j else np.flatnonzero(at == j)
-            links, label = _links([np.frombuffer(r[5], np.uint64) for r in rows], left, right, threshold)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(links), pa.array([keys[k] for k in label], pa.binary())], ["key", "links", "peer"])
-
-    verified = cut(_tiles(sets, "label", "tokens").mapInArrow(verify, "key binary, links long, peer binary"), "links")
+        tiles, held = [], 0
+
+        def flush():
+            z = pa.RecordBatch.from_arrays([pa.array([r[5] for _, rows in tiles for r in rows], pa.binary())], ["z"])
+            sets, out = [x.copy() for _, some in sets_of([z], 0) for x in some], [[], [], []]
+            lo = 0
+            for (_, i, j), rows in tiles:
+                at, keys = np.array([r[3] for r in rows]), [r[4] for r in rows]
+                left = np.flatnonzero(at == i)
+                right = left if i == j else np.flatnonzero(at == j)
+                links, label = _links(sets[lo : lo + len(rows)], left, right, threshold)
+                lo += len(rows)
+                for x, v in zip(out, (keys, links.tolist(), [keys[k] for k in label])):
+                    x += v
+            tiles.clear()
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.binary(), pa.int64(), pa.binary()))], ["key", "links", "peer"])
+
+        for tile in _grouped(batches, 3):
+            tiles.append(tile)
+            held += len(tile[1])
+            if held >= 50:  # texts of many small tiles are hashed together
+                yield flush()
+                held = 0
+        if tiles:
+            yield flush()
+
+    verified = cut(_tiles(texts, "label", "z").mapInArrow(verify, "key binary, links long, peer binary"), "links")
     classes = components(verified.where("key <> peer").select("key", "peer"), "key", "peer")
     links = verified.groupBy("key").agg(F.sum("links").alias("n_links"))
     texts = reps.join(links, "key", "left").join(classes.withColumnRenamed("node", "key"), "key", "left")
