@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, chaining, fingerprints, jaccard, media, packing, quality, sharding, suffixes, toxicity
+from . import bpe, chaining, fingerprints, jaccard, media, merkle, packing, pieces, quality, sharding, suffixes, toxicity, yinyang
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,6 +58,23 @@ def op10_media_sniffing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.text_media(_docs(spark, sf_dir))
 
 
+def op11_yinyang_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = yinyang.cluster_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), k=16, rounds=3, dim=64, scale=64.0)
+    return out.withColumn("centroid_sha256", F.sha2(F.array_join(F.col("centroid").cast("array<string>"), ","), 256)).drop("centroid")
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir)
+    even = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
+    tampered = F.when(even, F.translate("text", "\n", "")).otherwise(F.col("text"))
+    return merkle.manifest(docs, changed={"text": tampered})
+
+
+def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as model:
+        return pieces.encode_documents(_docs(spark, sf_dir), model.read())
+
+
 QUERIES = {
     "op1_suffix_array_dedup": op1_suffix_array_dedup,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
@@ -68,5 +86,8 @@ QUERIES = {
     "op7_concat_packing": op7_concat_packing,
     "op9_fingerprints": op9_fingerprints,
     "op10_media_sniffing": op10_media_sniffing,
+    "op11_yinyang_clustering": op11_yinyang_clustering,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_sentencepiece": op13_sentencepiece,
 }
 ORACLE_SQL: dict[str, str] = {}

@@ -45,7 +45,21 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     release(spark)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.cut_path = path
+    return table
+
+
+def drop(*tables: DataFrame | None) -> None:
+    """Removes tables that :func:`cut` has returned (others and None are left alone).
+
+    Only for tables that no later job reads: whatever was made from them must stand in a table of its own.
+    """
+    for table in tables:
+        if path := getattr(table, "cut_path", None):
+            spark = table.sparkSession
+            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def ship(spark: SparkSession) -> None:
