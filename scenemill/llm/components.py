@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import cut
+from .store import cut, drop, of
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -28,6 +28,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         )
         old = labels.withColumnRenamed("label", "_old")
         table = cut(new.join(old, "node").select("node", "label", (F.col("label") != F.col("_old")).alias("changed")), "labels")
-        labels = table.select("node", "label")
+        drop(labels)
+        labels = of(table.select("node", "label"), table)
         if not table.where("changed").limit(1).count():
+            drop(both)
             return labels

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .hashing import U, mix, shingle_sets, slices, trim
-from .store import cut, id_text
+from .store import cut, drop, id_text, sieve, sifted
 
 #: Share of the pairs at the threshold that shall be found, and mean number of tokens that such a pair shares a step.
 TARGET = 0.999
@@ -239,11 +239,12 @@ def _middle(batches):
 
 
 def _split(rows: DataFrame, threshold: float) -> DataFrame:
-    """One step of the recursion over written rows of buckets: the written output of :func:`_bucket`."""
+    """One step of the recursion over written rows of buckets (which go): the written output of :func:`_bucket`."""
+    source, large, centres = rows, None, None
     hot = rows.groupBy("path").agg(F.count("*").alias("n")).where(F.col("n") > MANY)
     part, centre, middle, one = (F.lit(None).cast(t) for t in ("long", "binary", "double", "binary"))
     if not hot.isEmpty():
-        hot = cut(hot, "large-buckets")
+        large = hot = cut(hot, "large-buckets")
         few = hot.count() <= BROADCAST
         hot = F.broadcast(hot) if few else hot
         member = F.struct("key", "size", "sketch")
@@ -257,7 +258,9 @@ def _split(rows: DataFrame, threshold: float) -> DataFrame:
         part, centre, middle, one = F.pmod(F.xxhash64("key"), "parts"), F.col("centre"), F.col("middle"), F.col("one")
     rows = rows.select(*_NAMES, part.alias("part"), centre.alias("centre"), middle.alias("middle"), one.alias("one"))
     dealt = rows.repartition("path", "part").sortWithinPartitions("path", "part", "key")
-    return cut(dealt.mapInArrow(_bucket(threshold), "a binary, key binary, path long, size int, sketch binary, used array<long>"), "buckets")
+    out = cut(dealt.mapInArrow(_bucket(threshold), "a binary, key binary, path long, size int, sketch binary, used array<long>"), "buckets")
+    drop(source, large, centres)
+    return out
 
 
 def _blocks(rows: DataFrame, threshold: float) -> DataFrame:
@@ -372,18 +375,15 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, i
     shingle-1 words have one run of all their words. An empty table gives no rows. ``with_key`` adds the MD5 of
     the text, which tells rows with one id apart.
     """
-    base = id_text(docs, id_col, text_col)
-    md5 = F.unhex(F.md5(F.encode(F.coalesce("text", F.lit("")), "UTF-8")))
-    ids = base.select("doc_id", md5.alias("key"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("bytes"))
+    base = id_text(docs, id_col, text_col).withColumn("key", F.unhex(F.md5(F.encode(F.coalesce("text", F.lit("")), "UTF-8"))))
+    ids = cut(base.select("doc_id", "key", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("bytes")), "ids")
     reps = ids.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.max("bytes").alias("bytes"))
 
     def press(batches):
         for b in batches:
             engine = zstandard.ZstdCompressor(level=1)
             z = pa.array((engine.compress((t or "").encode("utf-8", "replace")) for some in slices(b, 1) for t in some.column(1).to_pylist()), pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), z], ["rep", "key", "z"])
-
-    packed = base.withColumn("key", md5).mapInArrow(press, "rep long, key binary, z binary")
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), z], ["_rep", "_key", "z"])
 
     def sets_of(batches, column: int):
         """(slice, its token sets) of batches with compressed texts in a column."""
@@ -396,9 +396,11 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, i
                     yield b.slice(lo + at, part.num_rows), shingle_sets(part.column(0).to_pylist(), shingle)
                     at += part.num_rows
 
-    def texts_of(keys: DataFrame) -> DataFrame:
-        """Adds ``z``, the text, to rows with rep and key."""
-        right = packed.withColumnsRenamed({"rep": "_rep", "key": "_key"})
+    def texts_of(keys: DataFrame, wanted: DataFrame) -> DataFrame:
+        """Adds ``z``, the text, to rows with rep and key, all of them in a written table of wanted ones: only what its sieve lets through is
+        compressed and shuffled."""
+        some = sifted(base, sieve(wanted, "rep", "key"), "doc_id", "key").select("doc_id", "text", "key")
+        right = some.mapInArrow(press, "_rep long, _key binary, z binary")
         return keys.join(right, F.col("rep").eqNullSafe(F.col("_rep")) & (F.col("key") == F.col("_key"))).drop("_rep", "_key")
 
     def anew(batches):
@@ -414,9 +416,10 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, i
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, _KINDS)], _NAMES)
 
     rows = cut(base.mapInArrow(_emit(threshold, shingle), _ROWS), "paths")
-    found, large = [], []
+    found, large, steps = [], [], []
     for depth in range(1, DEPTH + 1):
         step = _split(rows, threshold)
+        steps.append(step)
         found.append(step.where("a is not null").select("a", F.col("key").alias("b")))
         still = step.where("a is null").select(*_NAMES)
         if still.isEmpty():
@@ -428,13 +431,17 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, i
         if not spent.isEmpty():  # no token is left to split these buckets by
             large.append(still.join(spent, "path", "left_semi"))
         wanted = still.groupBy("key").agg(F.max("size").alias("size"), F.max("sketch").alias("sketch"), F.collect_list(F.struct("path", "used")).alias("paths"))
-        rows = cut(texts_of(wanted.join(reps, "key")).select("key", "size", "sketch", "paths", "z").mapInArrow(anew, _ROWS), "paths")
+        wanted = cut(wanted.join(reps.select("key", "rep"), "key"), "wanted")
+        rows = cut(texts_of(wanted, wanted).select("key", "size", "sketch", "paths", "z").mapInArrow(anew, _ROWS), "paths")
+        drop(wanted)
     found += [_blocks(x, threshold) for x in large]
     groups = components(reduce(DataFrame.union, found))
+    drop(*steps)
 
     known = cut(groups.join(reps, groups["node"] == reps["key"]).select("rep", "key", "label", "bytes"), "candidates")
+    drop(groups)
     sizes = known.groupBy("label").agg(F.greatest(F.ceil(F.count("*") / TILE), F.ceil(F.sum("bytes") / TILE_BYTES)).cast("int").alias("blocks"))
-    texts = texts_of(known.join(sizes, "label").select("rep", "key", "label", "blocks"))
+    texts = texts_of(known.join(sizes, "label").select("rep", "key", "label", "blocks"), known)
 
     def verify(batches):
         tiles, held = [], 0
@@ -464,10 +471,12 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, i
             yield flush()
 
     verified = cut(_tiles(texts, "label", "z").mapInArrow(verify, "key binary, links long, peer binary"), "links")
+    drop(known)
     classes = components(verified.where("key <> peer").select("key", "peer"), "key", "peer")
     links = verified.groupBy("key").agg(F.sum("links").alias("n_links"))
     texts = reps.join(links, "key", "left").join(classes.withColumnRenamed("node", "key"), "key", "left")
     texts = cut(texts.withColumn("label", F.coalesce("label", "key")), "texts")
+    drop(verified, classes)
     least = texts.groupBy("label").agg(F.min("rep").alias("class_id"))
     texts = texts.join(least, "label").select("key", "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), (F.col("n") - 1).alias("n_copies"))
     return ids.join(texts, "key").select("doc_id", "class_id", "n_links", "n_copies", *["key"] * with_key)
@@ -480,12 +489,17 @@ def one_of_each(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id",
     other keeps a row with a null id. Columns may have any name. An empty table gives no rows.
     """
     near = near_duplicates(docs, threshold, id_col=id_col, text_col=text_col, with_key=True)
-    kept = near.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("kept_id"), F.col("key").alias("kept_key")).distinct()
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("id"), F.unhex(F.md5(F.encode(text, "UTF-8"))).alias("key"))
+    # In doubt are the documents that go and those that stand more than once; all others stay without a shuffle.
+    kept = F.bool_or(F.col("doc_id").eqNullSafe(F.col("class_id")))
+    doubt = near.groupBy("doc_id", "key").agg(F.count("*").alias("rows"), kept.alias("kept")).where("rows > 1 or not kept")
+    doubt = cut(doubt.select(F.col("doc_id").alias("doubt_id"), F.col("key").alias("doubt_key"), "kept"), "doubt")
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    rows = docs.select(F.struct("*").alias("row"), F.col(f"`{id_col}`").cast("long").alias("id"), F.unhex(F.md5(F.encode(text, "UTF-8"))).alias("key"))
+    bits = sieve(doubt, "doubt_id", "doubt_key")
+    sure = sifted(rows, bits, "id", "key", inside=False).select("row")
     # one hash deals both sides, and the window after the join needs no other exchange
-    rows = rows.withColumn("deal", F.xxhash64("id", "key"))
-    kept = kept.withColumn("kept_deal", F.xxhash64("kept_id", "kept_key"))
-    some = rows.join(kept, (rows["deal"] == kept["kept_deal"]) & rows["id"].eqNullSafe(kept["kept_id"]) & (rows["key"] == kept["kept_key"]), "left_semi")
+    some = sifted(rows, bits, "id", "key").withColumn("deal", F.xxhash64("id", "key"))
+    doubt = doubt.withColumn("doubt_deal", F.xxhash64("doubt_id", "doubt_key"))
+    some = some.join(doubt, (F.col("deal") == F.col("doubt_deal")) & F.col("id").eqNullSafe(F.col("doubt_id")) & (F.col("key") == F.col("doubt_key")), "left").where("coalesce(kept, true)")
     first = F.row_number().over(Window.partitionBy("deal", "id", "key").orderBy(F.monotonically_increasing_id()))
-    return some.withColumn("place", first).where("place = 1").select("row.*")
+    return sure.union(some.withColumn("place", first).where("place = 1").select("row")).select("row.*")

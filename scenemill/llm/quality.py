@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .hashing import U, join_texts, mix, shingles, slices, trim, words
 from .linear import fit, labelled_sample, predict
-from .store import cut, ship
+from .store import cut, drop, numbered_columns, ship
 
 #: Labelled documents used for fitting, at most.
 TRAIN_ROWS = 4000
@@ -205,8 +205,10 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, taught: in
             x = np.concatenate([_matrix(t.column("ab"[1 - k]), (N_TEXT, N_META)[1 - k]) for t in both])
             news.append((x, np.repeat([0.0, 1.0], [t.num_rows for t in both])))
             used[k] = np.concatenate([used[k], *(np.array(t.column("rid").to_pylist(), np.int64) for t in both)])
+        drop(found)
         if not model.learn(news[::-1]):
             break
+    drop(table)
     return model.finish()
 
 
@@ -237,7 +239,7 @@ def keep_good(docs: DataFrame, model: CoTraining, threshold: float = 0.5) -> Dat
     """The rows of ``docs`` that the model keeps, with all their columns.
 
     Nulls have feature values of their own and empty texts count as texts without words, as in :func:`score_quality`; repeated
-    rows repeat; an empty table gives none.
+    rows repeat; an empty table gives none. Columns may have any name.
     """
     at = {c: docs.columns.index(c) for c in ("text", "lang", "source", "n_chars")}
 
@@ -248,4 +250,5 @@ def keep_good(docs: DataFrame, model: CoTraining, threshold: float = 0.5) -> Dat
                 p = model.score([text_features(text), metadata_features(lang, source, n)])
                 yield some.filter(pa.array(p[:, 2] >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    plain = numbered_columns(docs)
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)

@@ -7,9 +7,10 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .hashing import U, mix
-from .store import cut, id_text
+from .store import cut, id_text, numbered_columns
 
 
 def _keys(seed: int, rounds: int) -> np.ndarray:
@@ -56,10 +57,10 @@ def number_rows(df: DataFrame, order: list[str], name: str = "row_number") -> Da
 
     Two passes: a range-partitioned, sorted table is written with each row's place in
     its partition; the partitions' counts (one number each) give the offsets.
-    Rows equal in all of ``order`` take neighbouring numbers in any order.
+    Rows equal in all of ``order`` take neighbouring numbers in any order. Columns may have any name.
     """
-    fields = df.schema.fields
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", part int, place long"
+    names, df = df.columns, numbered_columns(df)
+    schema = StructType([*df.schema.fields]).add("part", "integer").add("place", "long")
 
     def place(batches):
         part, seen = TaskContext.get().partitionId(), 0
@@ -71,7 +72,7 @@ def number_rows(df: DataFrame, order: list[str], name: str = "row_number") -> Da
             )
             seen += n
 
-    keys = [F.col(c).asc_nulls_first() for c in order]
+    keys = [F.col(f"c{names.index(c)}").asc_nulls_first() for c in order]
     table = cut(df.repartitionByRange(*keys).sortWithinPartitions(*keys).mapInArrow(place, schema), "numbered")
     counts = {r["part"]: r["n"] for r in table.groupBy("part").agg(F.count("*").alias("n")).collect()}
     base, total = {}, 0
@@ -80,7 +81,7 @@ def number_rows(df: DataFrame, order: list[str], name: str = "row_number") -> Da
     spark = df.sparkSession
     offsets = spark.createDataFrame(list(base.items()), "part int, base long")
     return table.join(F.broadcast(offsets), "part").select(
-        *[f.name for f in fields], (F.col("base") + F.col("place")).alias(name), F.lit(total).cast("long").alias("n_rows")
+        *[F.col(f"c{i}").alias(c) for i, c in enumerate(names)], (F.col("base") + F.col("place")).alias(name), F.lit(total).cast("long").alias("n_rows")
     )
 
 

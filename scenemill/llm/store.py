@@ -62,6 +62,43 @@ def drop(*tables: DataFrame | None) -> None:
             where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def of(df: DataFrame, table: DataFrame) -> DataFrame:
+    """``df``, made of columns of ``table``, with its place, so that :func:`drop` removes it."""
+    df.cut_path = getattr(table, "cut_path", None)
+    return df
+
+
+#: Words of 64 bits of a sieve (about 20 MB when it is broadcast), whatever the tables' sizes.
+WORDS = 1 << 19
+
+
+def _at(*columns: str) -> tuple:
+    h = F.xxhash64(*columns)
+    return F.pmod(h, F.lit(WORDS)), F.pmod(F.shiftright(h, 19), F.lit(64)).cast("int")
+
+
+def sieve(keys: DataFrame, *columns: str) -> DataFrame:
+    """A bit for each key of a table, in at most WORDS rows (``_word``, ``_bits``): a Bloom filter with one hash, of bounded size.
+
+    Where there are more keys than bits it lets everything through, which is slower but right.
+    """
+    word, bit = _at(*columns)
+    return keys.select(word.alias("_word"), bit.alias("_bit")).groupBy("_word").agg(F.bit_or(F.expr("shiftleft(1L, _bit)")).alias("_bits"))
+
+
+def sifted(rows: DataFrame, bits: DataFrame, *columns: str, inside: bool = True) -> DataFrame:
+    """The rows that a sieve lets through (all whose columns are a key of it, few others), or with ``inside`` off the others. No shuffle of ``rows``."""
+    word, bit = _at(*columns)
+    marked = rows.withColumns({"_own": word, "_bit": bit}).join(F.broadcast(bits), F.col("_own") == F.col("_word"), "left")
+    hit = F.coalesce(F.expr("(shiftright(_bits, _bit) & 1L) = 1L"), F.lit(False))
+    return marked.where(hit if inside else ~hit).drop("_own", "_bit", "_word", "_bits")
+
+
+def numbered_columns(df: DataFrame) -> DataFrame:
+    """The frame with columns named by their places: names with dots, or twice the same, then trouble no Arrow step."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
 def ship(spark: SparkSession) -> None:
     """Make this package importable in Python workers.
 
@@ -85,8 +122,8 @@ def ship(spark: SparkSession) -> None:
 def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", extra_col: str | None = None) -> DataFrame:
     """Only the input columns asked for, as ``doc_id``, ``text`` (and ``extra``): other columns cannot clash."""
     ship(docs.sparkSession)
-    extra = [F.col(extra_col).alias("extra")] if extra_col else []
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *extra)
+    extra = [F.col(f"`{extra_col}`").alias("extra")] if extra_col else []
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), *extra)
 
 
 def keyed(docs: DataFrame) -> DataFrame:

@@ -9,9 +9,10 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .hashing import SLICE, ByteHash, U, forget, mix, sliding_min, trim
-from .store import cut, id_text, keyed
+from .store import cut, drop, id_text, keyed, sieve, sifted
 
 #: Bytes of the anchor that decides which spans meet in one suffix array.
 ANCHOR = 32
@@ -196,9 +197,8 @@ def narrower(span: bytes, windows: int, limit: int) -> tuple[np.ndarray, np.ndar
     return key, hashes.spans(first, stop + limit - 1) + salt + shape * U(0x9E3779B97F4A7C15), first, stop - first
 
 
-def _dealt_again(packed: DataFrame, spans: DataFrame, limit: int) -> DataFrame:
-    """The spans of very common anchors as pairs of windows, in the columns of spans."""
-    by_text = spans.groupBy("doc_id", "th").agg(F.collect_list(F.struct("start", "windows")).alias("spans"))
+def _dealt_again(rows: DataFrame, by_text: DataFrame, limit: int) -> DataFrame:
+    """The spans of very common anchors (a written table: the spans of each text) as pairs of windows, in the columns of spans."""
     names = ["h", "sh", "doc_id", "th", "start", "windows"]
 
     def run(batches):
@@ -215,21 +215,20 @@ def _dealt_again(packed: DataFrame, spans: DataFrame, limit: int) -> DataFrame:
                 own = [pa.array([v] * len(h), pa.int64()) for v in (doc, th)]
                 yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(sh), *own, pa.array(start, pa.int64()), pa.array(n)], names)
 
+    packed = _packed(sifted(rows, sieve(by_text, "doc_id", "th"), "doc_id", "th"))
     joined = packed.join(by_text, _same_row(packed, by_text)).select(packed["doc_id"], packed["th"], "z", "spans")
     return joined.mapInArrow(run, "h long, sh long, doc_id long, th long, start long, windows int")
 
 
 def _packed(docs: DataFrame) -> DataFrame:
     """(doc_id, th, z, extra): texts compressed, so that they shuffle at a third of their size."""
-    extra = docs.schema["extra"].dataType.simpleString()
-
     def run(batches):
         for b in batches:
             press = zstandard.ZstdCompressor(level=1)
             z = [press.compress((t or "").encode("utf-8", "replace")) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(3), pa.array(z, pa.binary()), b.column(2)], ["doc_id", "th", "z", "extra"])
 
-    return docs.select("doc_id", "text", "extra", "th").mapInArrow(run, f"doc_id long, th long, z binary, extra {extra}")
+    return docs.select("doc_id", "text", "extra", "th").mapInArrow(run, StructType().add("doc_id", "long").add("th", "long").add("z", "binary").add("extra", docs.schema["extra"].dataType))
 
 
 def _same_row(a: DataFrame, b: DataFrame):
@@ -257,8 +256,8 @@ def dedup_substrings(docs: DataFrame, limit: int = 200, id_col: str = "doc_id",
     places = rows.select("doc_id", "text", "th").mapInArrow(_anchors(limit), "h long, sh long, doc_id long, th long, start long, windows int")
     # written, so that the join below deals plain rows and Spark can split the anchors of very common passages
     shared = cut(places.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "anchors")
-    found = cut(places.join(shared.select("h"), "h", "left_semi"), "spans")
-    packed = _packed(rows)
+    spans = found = cut(places.join(shared.select("h"), "h", "left_semi"), "spans")
+    hot = again = None
 
     def kinds_of(spans):
         return spans.groupBy("h", "sh").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "th", "start", "windows")).alias("at"))
@@ -268,12 +267,15 @@ def dedup_substrings(docs: DataFrame, limit: int = 200, id_col: str = "doc_id",
         # counted from distinct spans, so that the places of one anchor never meet
         hot = cut(found.select("h", "sh").distinct().groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > MANY).select("h"), "common-anchors")
         if not hot.isEmpty():
-            again = cut(_dealt_again(packed, found.join(hot, "h", "left_semi"), limit), "pairs")
+            by_text = cut(found.join(hot, "h", "left_semi").groupBy("doc_id", "th").agg(F.collect_list(F.struct("start", "windows")).alias("spans")), "common-spans")
+            again = cut(_dealt_again(rows, by_text, limit), "pairs")
+            drop(by_text)
             kinds = kinds.join(hot, "h", "left_anti").unionByName(kinds_of(again))
             found = found.unionByName(again)
     wanted = kinds.groupBy(F.col("at.doc_id").alias("doc_id"), F.col("at.th").alias("th")).agg(
         F.collect_list(F.struct("h", "sh", "n", "at.start", "at.windows")).alias("spans")
     )
+    wanted = cut(wanted, "wanted")
 
     def fetch(batches):
         for b in batches:
@@ -291,6 +293,7 @@ def dedup_substrings(docs: DataFrame, limit: int = 200, id_col: str = "doc_id",
             trim()
 
     types = [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+    packed = _packed(sifted(rows, sieve(wanted, "doc_id", "th"), "doc_id", "th"))
     texts = packed.join(wanted, _same_row(packed, wanted)).select("z", "spans").mapInArrow(fetch, "h long, sh long, n long, bytes binary")
 
     def sort(batches):
@@ -324,8 +327,10 @@ def dedup_substrings(docs: DataFrame, limit: int = 200, id_col: str = "doc_id",
 
     repeated = texts.repartition("h").sortWithinPartitions("h").mapInArrow(sort, "h long, sh long, runs array<long>")
     repeated = cut(repeated, "repeats")
+    drop(wanted)
     hits = found.join(repeated, ["h", "sh"]).select("doc_id", "th", F.struct("start", "runs").alias("hit"))
-    hits = hits.groupBy("doc_id", "th").agg(F.collect_list("hit").alias("hits"))
+    hits = cut(hits.groupBy("doc_id", "th").agg(F.collect_list("hit").alias("hits")), "hits")
+    drop(shared, spans, hot, again, repeated)
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["text"] * with_text
 
     def remove(batches):
@@ -349,7 +354,15 @@ def dedup_substrings(docs: DataFrame, limit: int = 200, id_col: str = "doc_id",
             yield pa.RecordBatch.from_arrays([*columns, b.column(3)], [*names, "extra"])
             trim()
 
-    extra = rows.schema["extra"].dataType.simpleString()
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", text string" * with_text
-    done = packed.join(hits, _same_row(packed, hits), "left").select(packed["doc_id"], "z", "hits", "extra").mapInArrow(remove, f"{schema}, extra {extra}")
+    # A text without a hit keeps all its bytes and stays where it is; only the others meet their hits.
+    bits = sieve(hits, "doc_id", "th")
+    packed = _packed(sifted(rows, bits, "doc_id", "th"))
+    kinds = StructType().add("doc_id", "long").add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long").add("kept_sha256", "string")
+    kinds = (kinds.add("text", "string") if with_text else kinds).add("extra", rows.schema["extra"].dataType)
+    done = packed.join(hits, _same_row(packed, hits), "left").select(packed["doc_id"], "z", "hits", "extra").mapInArrow(remove, kinds)
+    text, none = F.coalesce("text", F.lit("")), F.lit(0).cast("long")
+    whole = sifted(rows, bits, "doc_id", "th", inside=False).select(
+        "doc_id", F.octet_length(text).cast("long").alias("n_bytes"), none.alias("n_removed"), none.alias("n_spans"), F.sha2(F.encode(text, "UTF-8"), 256).alias("kept_sha256"), text.alias("text"), "extra"
+    )
+    done = done.unionByName(whole.select(*done.columns))
     return done.select(*names, *[F.col("extra").getField(c).alias(c) for c in carry])

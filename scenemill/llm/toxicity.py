@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .hashing import slices, word_prefixes
 from .linear import fit, folds, labelled_sample, predict
-from .store import cut, id_text, ship
+from .store import cut, drop, id_text, numbered_columns, ship
 
 #: Labelled documents used for fitting, at most.
 TRAIN_ROWS = 4000
@@ -143,6 +143,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, group_col:
     counts = np.frombuffer(b"".join(got.column("counts").to_pylist()), np.int32).reshape(got.num_rows, len(terms))
     size, toxic, fold = (np.array(got.column(c).to_pylist(), float) for c in ("size", "y", "fold"))
     kinds = np.array([k or "" for k in got.column("kind").to_pylist()], object)
+    drop(some)
     names, often = np.unique(kinds[(toxic > 0) & (kinds != "")].astype(str), return_counts=True)
     common = names[np.lexsort((names, -often))][:GROUPS].tolist()
     targets = {f"toxic_{g}": toxic * (kinds == g) for g in common} | {"toxic": toxic}
@@ -175,7 +176,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> Data
 def drop_toxic(docs: DataFrame, chain: Chain, threshold: float = 0.5) -> DataFrame:
     """The rows of ``docs`` that the chain does not call toxic, with all their columns.
 
-    Null and empty texts are judged by the base rate, as in :func:`score_toxicity`; an empty table gives none; repeated rows repeat.
+    Null and empty texts are judged by the base rate, as in :func:`score_toxicity`; an empty table gives none; repeated rows repeat. Columns may
+    have any name.
     """
     text = docs.columns.index("text")
 
@@ -184,4 +186,5 @@ def drop_toxic(docs: DataFrame, chain: Chain, threshold: float = 0.5) -> DataFra
             for some in slices(b, text):
                 yield some.filter(pa.array(chain.score(*word_prefixes(some.column(text).to_pylist()))[:, -1] < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    plain = numbered_columns(docs)
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)

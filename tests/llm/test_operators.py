@@ -501,3 +501,55 @@ def test_pipeline(spark):
     for r in rows:
         fill[r.sequence_id] += r.length
     assert all(n == 2048 for s, n in fill.items() if s != last)
+
+
+ODD = "doc_id long, text string, lang string, source string, n_chars long, `a.b` int, part int, place string"
+
+
+def test_columns_of_any_name(spark):
+    """Dotted and clashing names go through every stage before the packing, and through the numbering of rows."""
+    import corpus_pipeline
+
+    rows = [(i, t, "en", None, None if t is None else len(t), i, 2, "x") for i, t in corpus() if i is not None]
+    docs = spark.createDataFrame(rows, ODD)
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(6)], "doc_id long, quality int, toxic int")
+    folder = f"{__import__('tempfile').mkdtemp(prefix='spark-')}/sf"
+    labels.write.parquet(f"{folder}/labels.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, folder)
+        assert out.columns == docs.columns and [f.dataType for f in out.schema] == [f.dataType for f in docs.schema]
+        known = {(r[0], r[5]) for r in rows}
+        assert {(r[0], r[5]) for r in out.collect()} <= known
+    numbered = sharding.number_rows(docs, ["doc_id", "a.b"]).collect()
+    assert sorted(r.row_number for r in numbered) == list(range(len(rows))) and {r.part for r in numbered} == {2}
+
+
+def test_one_of_each_keeps_whole_rows(spark):
+    """Against the classes of the join: the least id of each, one row of exact repeats, other columns as they were."""
+    rows = [(i, t, k) for k, (i, t) in enumerate(corpus())]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `x.y` int").repartition(4)
+    near = jaccard.near_duplicates(docs, with_key=True).collect()
+    want = {(r.doc_id, bytes(r.key)) for r in near if r.doc_id == r.class_id}
+    got = jaccard.one_of_each(docs).collect()
+    assert all((r[0], r[1]) == rows[r[2]][:2] for r in got)
+    assert sorted((str(r[0]), hashlib.md5(raw(r[1])).digest()) for r in got) == sorted((str(i), k) for i, k in want)
+
+
+@pytest.mark.parametrize("words", [1 << 19, 1])
+def test_dedup_gives_text_and_columns(spark, docs, words, monkeypatch):
+    """The kept text and the carried columns against brute force; a full sieve changes nothing."""
+    from scenemill.llm import store
+
+    monkeypatch.setattr(store, "WORDS", words)
+    seen = Counter()
+    for _, t in corpus():
+        seen.update(raw(t)[p : p + 40] for p in range(len(raw(t)) - 39))
+    want = []
+    for i, t in corpus():
+        r, gone = raw(t), set()
+        for p in range(len(r) - 39):
+            if seen[r[p : p + 40]] > 1:
+                gone |= set(range(p, p + 40))
+        want.append((i, bytes(c for p, c in enumerate(r) if p not in gone).decode("utf-8", "ignore"), "en", "x"))
+    got = suffixes.dedup_substrings(docs, 40, with_text=True, carry=("lang", "th")).collect()
+    assert sorted([(r.doc_id, r.text, r.lang, r.th) for r in got], key=str) == sorted(want, key=str)
