@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scenemill.llm import jaccard, packing, quality, suffixes, toxicity
-from scenemill.llm.store import cut, ship
+from scenemill.llm.store import cut, drop, ship
 
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,8 +56,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each result is written to the shared folder and read again."""
+    """All stages over ``documents``; each result is written to the shared folder and read again, and goes when the next one stands."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        before, docs = docs, cut(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        drop(before)
     return STAGES[-1][1](spark, docs, sf_dir)
