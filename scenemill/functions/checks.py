@@ -18,15 +18,16 @@ TOOL_ERRORS = {
 ANALYSIS_WORDS = ["剧情", "情节", "角色", "故事", "内容"]
 
 
-def _blank(c: Column) -> Column:
-    return F.coalesce(F.regexp_replace(c, r"(?U)\s+", "") == "", F.lit(True))
+def blank(c: Column) -> Column:
+    """Whether a text is null or holds nothing but white space of any kind."""
+    return F.coalesce(F.regexp_replace(c, r"(?U)[\s\x1c-\x1f]+", "") == "", F.lit(True))
 
 
 def narration_item(timestamp: Column, picture: Column, narration: Column, id_: Column) -> Column:
     """The time range need only begin the text, and the number may have decimals."""
     return (
-        F.when(~F.coalesce(timestamp, F.lit("")).rlike("^" + _STAMP), "timestamp_format").when(_blank(picture), "empty_picture")
-        .when(_blank(narration), "empty_narration").when(F.coalesce(id_ <= 0, F.lit(True)), "invalid_id")
+        F.when(~F.coalesce(timestamp, F.lit("")).rlike("^" + _STAMP), "timestamp_format").when(blank(picture), "empty_picture")
+        .when(blank(narration), "empty_narration").when(F.coalesce(id_ <= 0, F.lit(True)), "invalid_id")
     )
 
 
@@ -34,14 +35,14 @@ def strict_narration_item(timestamp: Column, picture: Column, narration: Column,
     """Number first, whole time range, texts, then the kind of sound where it is given."""
     return (
         F.when(F.coalesce((id_ <= 0) | (id_ != F.floor(id_)), F.lit(True)), "invalid_id").when(~F.coalesce(timestamp, F.lit("")).rlike(f"^{_STAMP}$"), "timestamp_format")
-        .when(_blank(picture), "empty_picture").when(_blank(narration), "empty_narration").when(ost.isNotNull() & ~ost.isin(0, 1, 2), "invalid_ost")
+        .when(blank(picture), "empty_picture").when(blank(narration), "empty_narration").when(ost.isNotNull() & ~ost.isin(0, 1, 2), "invalid_ost")
     )
 
 
 def plot_point(timestamp: Column, title: Column, picture: Column) -> Column:
     """Three texts, and a time range with or without milliseconds."""
     bad = ~F.coalesce(timestamp, F.lit("")).rlike(f"^(?:{_STAMP}|{_SHORT})$")
-    return F.when(_blank(timestamp), "empty_timestamp").when(_blank(title), "empty_title").when(_blank(picture), "empty_picture").when(bad, "timestamp_format")
+    return F.when(blank(timestamp), "empty_timestamp").when(blank(title), "empty_title").when(blank(picture), "empty_picture").when(bad, "timestamp_format")
 
 
 def missing_fields(json: Column, required: list[str]) -> Column:
@@ -71,12 +72,12 @@ def http_error(status: Column) -> Column:
 
 def api_key(key: Column) -> Column:
     """R13."""
-    return F.when(_blank(key), "empty").when(F.length(F.trim(key)) < 10, "too_short")
+    return F.when(blank(key), "empty").when(F.length(F.trim(key)) < 10, "too_short")
 
 
 def base_url(url: Column) -> Column:
     """Empty, or with a scheme."""
-    return F.when(~_blank(url) & ~F.trim(url).rlike("^https?://"), "no_scheme")
+    return F.when(~blank(url) & ~F.trim(url).rlike("^https?://"), "no_scheme")
 
 
 def model_name(name: Column) -> Column:
@@ -85,7 +86,7 @@ def model_name(name: Column) -> Column:
     p = F.split(t, "/")
     slash = F.contains(t, F.lit("/"))
     return (
-        F.when(_blank(name), "empty").when(slash & ((F.get(p, F.lit(0)) == "") | (F.get(p, F.lit(1)) == "")), "bad_form")
+        F.when(blank(name), "empty").when(slash & ((F.get(p, F.lit(0)) == "") | (F.get(p, F.lit(1)) == "")), "bad_form")
         .when(slash & ~F.get(p, F.lit(0)).rlike(r"(?U)^[_-]*[\p{L}\p{N}][\p{L}\p{N}_-]*$"), "bad_provider").when(F.length(t) < 3, "too_short").when(F.length(t) > 200, "too_long")
     )
 

@@ -69,6 +69,11 @@ def rhythm_total(d: Column, start: Column, episode: Column, digits: int = 3) ->
     return F.round(F.when(d <= 0, 0.0).when(episode <= 0, 0.4 * duration_fit(d)).otherwise(total), digits)
 
 
+def rhythm_default(d: Column, digits: int = 3) -> Column:
+    """the rhythm score of a length alone: from the start of an episode three times as long, 10 seconds at least; without a length 0.2."""
+    return F.when(d.isNull(), 0.2).otherwise(rhythm_total(d, F.lit(0.0), F.greatest(d * 3, F.lit(10.0)), digits))
+
+
 # The labels shown for scores, durations and reasons.
 SCORE_LABELS = ["精品", "优质", "普通", "一般"]
 DURATION_LABELS = ["过短", "偏短", "理想", "偏长", "过长"]

@@ -115,12 +115,37 @@ def emotion_total(keyword: Column, pattern: Column, density: Column, intensity:
     return keyword * 0.40 + pattern * 0.25 + density * 0.20 + intensity * 0.15
 
 
+#: A variable with a filter in a template.
+_FILTERED = r"\$\{([^}]+)\|([^}]+)\}"
+
+
 def render(template: Column, values: dict[str, Column]) -> Column:
-    """${k}, then $k, in the order given."""
+    """${k}, then $k, in the order given; then each ${k|filter} by the filters of :data:`FILTERS`, once.
+
+    Blanks around the name and the filter do not count; what names an unknown variable or filter stays as it is. Values that are put in
+    may hold filters of their own, but what a filter gives is not looked at again.
+    """
     out = template
     for k, v in values.items():
-        out = F.replace(F.replace(out, F.lit("${" + k + "}"), v), F.lit("$" + k), v)
-    return out
+        out = F.replace(F.replace(out, F.lit("${" + k + "}"), v.cast("string")), F.lit("$" + k), v.cast("string"))
+    parts, found = F.split(out, _FILTERED, -1), F.regexp_extract_all(out, F.lit(_FILTERED), F.lit(0))
+
+    def applied(place: Column) -> Column:
+        key = F.concat(F.trim(F.regexp_extract(place, _FILTERED, 1)), F.lit("|"), F.trim(F.regexp_extract(place, _FILTERED, 2)))
+        known = None
+        for k, v in values.items():
+            for name, f in FILTERS.items():
+                known = (F if known is None else known).when(key == f"{k}|{name}", f(v).cast("string"))
+        return F.coalesce(known, place) if known is not None else place
+
+    joined = F.array_join(F.zip_with(parts, found, lambda part, place: F.concat(part, F.coalesce(applied(place), F.lit("")))), "")
+    return F.when(F.size(found) > 0, joined).otherwise(out)
+
+
+def missing_values(template: Column, values: dict[str, Column], required: list[str] | None = None) -> Column:
+    """The required variables (by default all of the template) that are not given, sorted; to be asked before :func:`render`."""
+    asked = F.array(*map(F.lit, required)) if required is not None else variables(template)
+    return F.array_sort(F.array_except(asked, F.array(*map(F.lit, values)).cast("array<string>")))
 
 
 def title_case(text: Column) -> Column:
@@ -147,22 +172,38 @@ FILTERS = {
 }
 
 
+#: Strings in either kind of quotation marks, what lies between them, or one sign.
+_TOKENS = r"""'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*"|[^'"]+|['"]"""
+
+
+def _as_json(token: Column) -> Column:
+    """A token of a written Python value as JSON; words that only JSON knows make it unreadable."""
+    single = F.replace(F.replace(F.substring(token, F.lit(2), F.length(token) - 2), F.lit("\\'"), F.lit("'")), F.lit('"'), F.lit('\\"'))
+    bare = F.when(token.rlike(r"\b(true|false|null|NaN|Infinity)\b"), "?").otherwise(token)
+    for pattern, by in (
+        (r"\(", "["), (r"\)", "]"), (r"\bTrue\b", "true"), (r"\bFalse\b", "false"), (r"\bNone\b", "null"), (r"(?<=\d)_(?=\d)", ""), (r"([{,]\s*)(-?\d+(?:\.\d+)?|true|false|null)\s*:", '$1"$2":'),
+        (r",\s*([\]}])", "$1"), (r"(?<![\w.])\.(?=\d)", "0."), (r"(?<=\d)\.(?!\d)", ".0"), (r"(^|[\[,:]\s*)\+(?=\d)", "$1"),
+    ):
+        bare = F.regexp_replace(bare, pattern, by)
+    return F.when(token.rlike("^'.*'$"), F.concat(F.lit('"'), single, F.lit('"'))).when(F.startswith(token, F.lit('"')), F.replace(token, F.lit("\\'"), F.lit("'"))).otherwise(bare)
+
+
 def recover_type(text: Column) -> Column:
-    """A stored string as the value it was written from, a variant: a list, map, string, number, True, False or None as Python writes
-    it, else digits as a number, else the string itself. A text that mixes both kinds of quotation marks is read as JSON reads it."""
-    quoted = F.when(F.contains(text, F.lit('"')), text).otherwise(F.replace(text, F.lit("'"), F.lit('"')))
-    bare = F.regexp_replace(quoted, r'"(?:[^"\\]|\\.)*"', '""')
-    literal = quoted
-    for name, word in (("True", "true"), ("False", "false"), ("None", "null")):
-        literal = F.regexp_replace(literal, rf'\b{name}\b(?=(?:[^"]*"[^"]*")*[^"]*$)', word)
-    value = F.when(~bare.rlike(r"\b(true|false|null|NaN|Infinity)\b"), F.try_parse_json(literal))
+    """A stored string as the value it was written from, a variant: a list, tuple, map, string, number, True, False or None as Python
+    writes it, else digits as a number, else the string itself.
+
+    Tuples become lists and the keys of maps strings; both kinds of quotation marks, ``1_000``, ``.5``, ``+5`` and trailing commas are read.
+    Sets, bytes, numbers of another base and escapes that JSON does not know stay strings.
+    """
+    one = F.regexp_replace(F.trim(text), r"^\(\s*([^(),]+?)\s*\)$", "$1")
+    literal = F.array_join(F.transform(F.regexp_extract_all(one, F.lit(_TOKENS), F.lit(0)), _as_json), "")
     digits = F.when(text.rlike(r"^[0-9]+$"), text.try_cast("decimal(38,0)")).cast("variant")
-    return F.coalesce(value, digits, text.cast("variant"))
+    return F.coalesce(F.try_parse_json(literal), digits, text.cast("variant"))
 
 
 def variables(template: Column) -> Column:
-    """X25."""
-    return F.array_distinct(F.regexp_extract_all(template, F.lit(r"\$\{(\w+)\}"), 1))
+    """The names in ${name} and ${name|filter}, each once."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(template, F.lit(r"\$\{([^}|]+)(?:\|[^}]+)?\}"), F.lit(1)), lambda v: F.trim(v)))
 
 
 def _braces(text: Column) -> Column:
@@ -199,12 +240,16 @@ def placeholder_item(text: Column) -> Column:
 
 
 def clip_list(text: Column, item: str) -> Column:
-    """The list of clips in an answer: a list itself, its ``clips``, else its first list by key; null if there is none."""
+    """The list of clips in an answer: a list itself, its ``clips``, else the first field that is a list, as they stand in the text; null
+    if there is none or its items do not fit."""
     clean = F.regexp_replace(F.regexp_replace(F.trim(text), r"^```json\s*", ""), r"\s*```$", "")
     whole = F.try_parse_json(clean)
-    fields = F.map_values(F.try_variant_get(whole, "$", "map<string,variant>"))
-    lists = F.filter(F.transform(fields, lambda v: F.try_variant_get(v, "$", f"array<{item}>")), lambda x: x.isNotNull())
-    return F.coalesce(F.try_variant_get(whole, "$", f"array<{item}>"), F.try_variant_get(whole, "$.clips", f"array<{item}>"), F.get(lists, F.lit(0)))
+    fields = F.try_variant_get(whole, "$", "map<string,variant>")
+    names = F.filter(F.json_object_keys(F.when(fields.isNotNull(), clean)), lambda k: F.schema_of_variant(F.try_element_at(fields, k)).startswith("ARRAY"))
+    first = F.try_element_at(fields, F.get(names, F.lit(0)))
+    return F.coalesce(
+        F.try_variant_get(whole, "$", f"array<{item}>"), F.try_variant_get(whole, "$.clips", f"array<{item}>"), F.when(~F.array_contains(F.map_keys(fields), "clips"), F.try_variant_get(first, "$", f"array<{item}>"))
+    )
 
 
 def string_list(text: Column) -> Column:
@@ -238,8 +283,54 @@ def loudness_report(log: Column) -> Column:
     return F.try_parse_json(F.nullif(F.regexp_extract(log, r"(?s)(?:^|\n)([ \t]*\{[ \t]*\n.*?\n[ \t]*\}[ \t]*)(?:\n|$)", 1), F.lit("")))
 
 
-def unescape_html(text: Column) -> Column:
-    """The five named entities of XML and &nbsp; to their characters, & last."""
-    for name, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&nbsp;", "\u00a0"), ("&amp;", "&")):
+def unescape_xml(text: Column) -> Column:
+    """&lt;, &gt; and, last, &amp; to their characters; other entities stay."""
+    for name, sign in (("&gt;", ">"), ("&lt;", "<"), ("&amp;", "&")):
         text = F.replace(text, F.lit(name), F.lit(sign))
     return text
+
+
+def strip_signs(text: Column, signs: str = "`json") -> Column:
+    """Without any of some signs at both ends, then without white space: signs of the text itself go too, those behind white space stay."""
+    some = "".join("\\" + c if not c.isalnum() else c for c in signs)
+    return F.regexp_replace(F.regexp_replace(text, f"^[{some}]+|[{some}]+\\z", ""), r"(?U)^\s+|\s+\z", "")
+
+
+def clock_in_name(name: Column) -> Column:
+    """The first HH:MM:SS in a name; null if there is none."""
+    return F.nullif(F.regexp_extract(name, r"(\d{2}:\d{2}:\d{2})", 1), F.lit(""))
+
+
+def _truth(v: Column) -> Column:
+    """Whether a variant is neither absent, null, false, zero nor empty."""
+    kind = F.regexp_extract(F.schema_of_variant(v), r"^(\w+)", 1)
+    return (
+        F.when(v.isNull() | (kind == "VOID"), False).when(kind == "BOOLEAN", F.try_variant_get(v, "$", "boolean")).when(kind == "STRING", F.try_variant_get(v, "$", "string") != "")
+        .when(kind.isin("OBJECT", "ARRAY"), ~F.to_json(v).isin("[]", "{}")).otherwise(F.try_variant_get(v, "$", "double") != 0)
+    )
+
+
+def narration_script(answer: Column, title: str = "AI解说文案") -> Column:
+    """struct(title, full_text, segments) of a narration answer, as JSON, in a fence or between the outermost braces.
+
+    Segments are records (timestamp as a number, 0 where it is none; text as a string; emphasis by truth) or plain strings; anything else is left
+    out. Without a text of its own the segments' texts are joined; an answer that does not parse, or without either, gives its first 2000 characters.
+    """
+    fenced = F.nullif(F.trim(F.regexp_extract(answer, r"(?s)```(?:json)?\s*(.*?)\s*```", 1)), F.lit(""))
+    whole = F.coalesce(*[F.when(F.startswith(F.ltrim(t), F.lit("{")), F.try_parse_json(t)) for t in (answer, fenced, _braces(answer))])
+    items = F.coalesce(F.try_variant_get(whole, "$.segments", "array<variant>"), F.array().cast("array<variant>"))
+    kind = lambda v: F.regexp_extract(F.schema_of_variant(v), r"^(\w+)", 1)
+
+    def segment(v: Column) -> Column:
+        fields = F.when(kind(v) == "OBJECT", F.try_variant_get(v, "$", "map<string,variant>"))
+        said = F.try_element_at(fields, F.lit("text"))
+        said = F.when(said.isNull(), "").when(kind(said) == "VOID", "None").otherwise(F.try_variant_get(said, "$", "string"))
+        return F.struct(
+            F.coalesce(F.try_variant_get(F.try_element_at(fields, F.lit("timestamp")), "$", "double"), F.lit(0.0)).alias("timestamp"),
+            F.when(fields.isNull(), F.try_variant_get(v, "$", "string")).otherwise(said).alias("text"), F.coalesce(_truth(F.try_element_at(fields, F.lit("emphasis"))), F.lit(False)).alias("emphasis"),
+        )
+
+    segments = F.transform(F.filter(items, lambda v: kind(v).isin("OBJECT", "STRING")), segment)
+    return F.struct(
+        F.coalesce(F.try_variant_get(whole, "$.title", "string"), F.lit(title)).alias("title"), full_text(F.try_variant_get(whole, "$.full_text", "string"), segments, answer).alias("full_text"), segments.alias("segments"),
+    )

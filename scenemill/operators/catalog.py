@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.checks import blank
+
 
 def keep_first(df: DataFrame, key: str, order: list[str]) -> DataFrame:
     """The first row of each key."""
@@ -51,8 +53,8 @@ def check_script(items: DataFrame) -> DataFrame:
     first = (
         F.when(F.col("_id").isNull() | (F.col("_id") <= 0), "bad_id")
         .when(F.col("timestamp").isNull() | ~F.col("timestamp").rlike(RANGE), "bad_timestamp")
-        .when(F.col("picture").isNull() | (F.trim("picture") == ""), "blank_picture")
-        .when(F.col("narration").isNull() | (F.trim("narration") == ""), "blank_narration")
+        .when(blank(F.col("picture")), "blank_picture")
+        .when(blank(F.col("narration")), "blank_narration")
         .when(F.col("OST").isNull() | ~F.col("OST").isin(0, 1, 2), "bad_ost")
     )
     return items.withColumn("error", first)
@@ -78,7 +80,7 @@ def check_script_text(script: Column) -> Column:
         out = out.when((kind(item, "_id") != "BIGINT") | (F.try_variant_get(item, "$._id", "long") <= 0), "bad__id")
         out = out.when((kind(item, "timestamp") != "STRING") | ~text["timestamp"].rlike(RANGE), "bad_timestamp")
         for f in ("picture", "narration"):
-            out = out.when((kind(item, f) != "STRING") | (F.trim(text[f]) == ""), f"bad_{f}")
+            out = out.when((kind(item, f) != "STRING") | blank(text[f]), f"bad_{f}")
         return out.when(kind(item, "OST") != "BIGINT", "bad_OST")
 
     each = F.filter(F.transform(items, lambda item, i: F.struct((i + 1).alias("item"), broken(item).alias("error"))), lambda r: r["error"].isNotNull())

@@ -56,12 +56,56 @@ def prompt_timeline(segments: DataFrame) -> DataFrame:
 
 
 def audio_timeline(items: DataFrame, group: str = "script_id", order: str = "ord") -> DataFrame:
-    """Where each item's sound starts; items without a sound leave their gap."""
+    """Where each item's sound starts; items without a sound leave their gap."""
     w = Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     at = F.coalesce(F.sum("duration").over(w), F.lit(0.0))
     return items.withColumn("position", at).where("coalesce(audio, '') != ''")
 
 
+def mix_table(items: DataFrame, group: str = "script_id", order: str = "ord") -> DataFrame:
+    """How each sound of an edit is mixed: its delay in milliseconds and its volume, the number of sounds and one for the silent track,
+    which makes up for what mixing them takes away."""
+    out = audio_timeline(items, group, order)
+    count = F.count("*").over(Window.partitionBy(group))
+    return out.withColumns({"delay_ms": (F.col("position") * 1000).cast("long"), "volume": count + 1})
+
+
+def any_original_sound(items: DataFrame, group: str = "script_id") -> DataFrame:
+    """Whether any item of a script plays the film's own sound."""
+    return items.groupBy(group).agg(F.coalesce(F.bool_or(F.col("OST") == 1), F.lit(False)).alias("original_sound"))
+
+
+def joined_texts(rows: DataFrame, group: str, order: str, text: str = "text", between: str = "\n") -> DataFrame:
+    """The texts of a group in order as one."""
+    parts = F.array_sort(F.collect_list(F.struct(order, F.col(text).alias("t"))))
+    return rows.groupBy(group).agg(F.array_join(F.transform(parts, lambda r: r["t"]), between).alias("text"))
+
+
+def frame_report_of_files(analyses: DataFrame) -> DataFrame:
+    """SRC11/SNK13: the Markdown report of each of analyses(group_id, summaries, frames), the two lists of one nested file.
+
+    One scan: summaries and frames become rows of one table, meet by batch in one exchange (no join; a batch of null meets a null one) and the headed
+    parts come together by file. Frames of a batch stand under each of its summaries.
+    """
+    rows = F.concat(
+        F.transform(F.coalesce("frames", F.array().cast(analyses.schema["frames"].dataType)), lambda f, i: F.struct(
+            f["batch_index"].alias("batch_index"), i.alias("n"), F.lit(True).alias("is_frame"), F.lit(None).cast("string").alias("time_range"), F.lit(None).cast("string").alias("summary"),
+            F.concat(F.lit("  - "), F.coalesce(f["timestamp"], F.lit("")), F.lit(": "), F.coalesce(f["observation"], F.lit("")), F.lit("\n")).alias("line"))),
+        F.transform(F.coalesce("summaries", F.array().cast(analyses.schema["summaries"].dataType)), lambda s, i: F.struct(
+            s["batch_index"].alias("batch_index"), i.alias("n"), F.lit(False).alias("is_frame"), s["time_range"].alias("time_range"), s["summary"].alias("summary"), F.lit(None).cast("string").alias("line"))),
+    )
+    each = analyses.select("group_id", F.inline(rows))
+    lines = F.array_sort(F.collect_list(F.when(F.col("is_frame"), F.struct("n", "line"))))
+    heads = F.collect_list(F.when(~F.col("is_frame"), F.struct("n", "time_range", "summary")))
+    batches = each.groupBy("group_id", "batch_index").agg(F.array_join(F.transform(lines, lambda r: r["line"]), "").alias("_frames"), heads.alias("_heads"))
+    nl = F.lit("\n")
+    part = F.concat(
+        F.lit(_HEAD), (F.col("h.n") + 1).cast("string"), nl, F.lit(_TIME), F.coalesce("h.time_range", F.lit("")), nl, F.lit(_WHAT), F.coalesce("h.summary", F.lit("")), nl, F.lit(_DETAIL), nl, "_frames", nl
+    )
+    parts = batches.select("group_id", F.explode("_heads").alias("h"), "_frames").select("group_id", F.col("h.n").alias("n"), part.alias("t"))
+    return parts.groupBy("group_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "t"))), lambda r: r["t"]), "").alias("markdown"))
+
+
 def pick_prompts(wanted: DataFrame, prompts: DataFrame) -> DataFrame:
     """The prompt of each wanted(category, name, version), the default version where none is given; null id where there is none."""
     default = prompts.groupBy("category", "name").agg(F.max("version").alias("_default"))

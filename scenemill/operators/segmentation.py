@@ -44,6 +44,59 @@ def split_long(raw: DataFrame, min_length: float, max_length: float) -> DataFram
     return out.where(keep).withColumns({"start_time": F.col("_lo"), "end_time": F.col("_hi"), "duration": F.col("_hi") - F.col("_lo")}).drop("_lo", "_hi")
 
 
+def numbered_scenes(raw: DataFrame, min_length: float, max_length: float, group: str = "video_id") -> DataFrame:
+    """S2/S3 with W16: scenes of raw(group, i, start_time, end_time), i from 0 in order, with their ``scene_index``.
+
+    Short raw scenes go, long ones are cut into pieces, and each scene's number is its place i, plus 1, plus how many scenes came out of
+    the raw ones before it, plus its own piece's number: numbers skip where raw scenes went or were cut. One prefix sum over a video's counts,
+    taken before the pieces are made.
+    """
+    d = F.col("end_time") - F.col("start_time")
+    whole = F.floor(d / max_length).cast("long")
+    cut_count = whole + (d - whole * F.lit(float(max_length)) >= min_length).cast("long")
+    count = F.when(d < min_length, 0).when(d > max_length, cut_count).otherwise(1)
+    before = Window.partitionBy(group).orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+    base = F.col("i") + 1 + F.coalesce(F.sum(count).over(before), F.lit(0))
+    some = raw.withColumns({"_n": count, "_base": base}).where("_n > 0")
+    each = some.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)))
+    long = F.col("end_time") - F.col("start_time") > max_length
+    lo = F.col("start_time") + F.when(long, F.col("piece") * F.lit(float(max_length))).otherwise(0.0)
+    out = each.withColumns({"_lo": lo, "_hi": F.when(long, F.least(F.col("end_time"), lo + max_length)).otherwise(F.col("end_time"))})
+    return out.select(group, (F.col("_base") + F.col("piece")).alias("scene_index"), F.col("_lo").alias("start_time"), F.col("_hi").alias("end_time"), (F.col("_hi") - F.col("_lo")).alias("duration"))
+
+
+def raw_scenes(points: DataFrame, group: str = "video_id") -> DataFrame:
+    """Neighbouring ``points`` of each video as raw scenes, numbered from 0."""
+    pair = F.transform(
+        F.sequence(F.lit(1), F.greatest(F.size("points") - 1, F.lit(1))),
+        lambda k: F.struct((k - 1).cast("long").alias("i"), F.get("points", k - 1).alias("start_time"), F.get("points", k).alias("end_time")),
+    )
+    return points.where(F.size("points") > 1).select(group, F.inline(pair))
+
+
+def episode_scenes(episodes: DataFrame, diffs: DataFrame, threshold: float = 30.0, min_length: float = 2.0, max_length: float = 8.0) -> DataFrame:
+    """The scenes of all episodes(drama_id, ord, video_id, duration) from frame differences diffs(video_id, ts, diff), in one job.
+
+    Episodes are numbered from 1 by ``ord`` within a drama. An episode without a frame, or without a length, could not be scanned: it
+    is one scene of its whole length (60 seconds if that is unknown), numbered 1. One all of whose scenes are too short has none.
+    """
+    number = F.row_number().over(Window.partitionBy("drama_id").orderBy("ord"))
+    known = episodes.withColumn("episode_index", number)
+    seen = diffs.join(known.where("duration is not null").select("video_id", "duration"), "video_id")
+    found = numbered_scenes(raw_scenes(change_points(seen, threshold, min_length)), min_length, max_length)
+    scanned = seen.select("video_id").distinct()
+    length = F.coalesce("duration", F.lit(60.0))
+    whole = known.join(scanned, "video_id", "left_anti").select("video_id", F.lit(1).cast("long").alias("scene_index"), F.lit(0.0).alias("start_time"), length.alias("end_time"), length.alias("duration"))
+    return known.select("drama_id", "episode_index", "video_id").join(found.unionByName(whole), "video_id").select("drama_id", "episode_index", "video_id", "scene_index", "start_time", "end_time", "duration")
+
+
+def as_segments(scenes: DataFrame) -> DataFrame:
+    """Scenes as segments with an id of episode, number and start."""
+    start = F.format_string("%.1f", F.bround("start_time", 1))
+    name = F.concat(F.lit("ep"), F.col("episode_index").cast("string"), F.lit("_scn"), F.col("scene_index").cast("string"), F.lit("_"), start, F.lit("s"))
+    return scenes.withColumn("segment_id", name)
+
+
 def with_fallback(episodes: DataFrame, found: DataFrame) -> DataFrame:
     """An episode without scenes becomes one scene of its whole length."""
     whole = episodes.join(found.select("video_id").distinct(), "video_id", "left_anti")

@@ -44,12 +44,14 @@ def plot_script(plots: DataFrame, group: str = "script_id") -> DataFrame:
 
 def new_timestamps(items: DataFrame, group: str = "script_id", order: str = "ord", minutes: bool = False) -> DataFrame:
     """``new_timestamp``, the place of each item of ``timestamp`` 'A-B' in the edit, as HH:MM:SS,mmm; W12 (``minutes``): as MM:SS, and
-    blank narrations get a tag of their own."""
+    blank narrations get a tag of their own. Minutes pass 99 where the edit does. A range without exactly two parts takes no time and gets null."""
     p = F.split("timestamp", "-")
-    length = tc.relaxed(p[1]) - tc.relaxed(p[0])
+    length = tc.relaxed(F.get(p, F.lit(1))) - tc.relaxed(F.get(p, F.lit(0)))
+    length = F.when(F.size(p) == 2, length)
     end = F.sum(length).over(Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    clock = (lambda t: F.concat_ws(":", *(F.lpad(x.cast("long").cast("string"), 2, "0") for x in (F.floor(t / 60), F.floor(t) % 60)))) if minutes else tc.to_srt
-    out = items.withColumn("new_timestamp", F.concat(clock(F.round(end - length, 3)), F.lit("-"), clock(F.round(end, 3))))
+    clock = tc.to_minutes if minutes else tc.to_srt
+    span = F.concat(clock(F.round(end - length, 3)), F.lit("-"), clock(F.round(end, 3)))
+    out = items.withColumn("new_timestamp", F.when(length.isNotNull(), span))
     if not minutes:
         return out
     tag = F.concat(F.lit("原声播放_"), F.substring(F.md5(F.concat_ws("/", F.col(group).cast("string"), F.col(order).cast("string"))), 1, 8))
@@ -121,6 +123,42 @@ def overlay_cues(scenes: DataFrame, cues: DataFrame, bucket: float = 8.0) -> Dat
     return hit.groupBy("episode_id", "scene_id").agg(F.count("*").alias("n_cues"), F.array_join(F.transform(texts, lambda x: x["text"]), " ").alias("subtitle_text"))
 
 
+def assemble_subtitles(segments: DataFrame, cues: DataFrame, group: str = "job", order: str = "rank", faithful: bool = False) -> DataFrame:
+    """The subtitle track of the chosen segments(group, order, segment_id, duration, subtitle_text).
+
+    A segment brings the cues(segment_id, cue_idx, start, end, text) of its file; without a file (no cue) lines made from its text, of equal
+    length (SNK2); without text nothing, but the time of every segment passes, silent ones too. Cues start where their segment does and are
+    numbered from 1. ``faithful`` keeps the sums of the formula to match: a file starts at the last shown length of the files before it (not of
+    segments), made-up lines are shifted by the segment's start besides, and an end is its start's shift plus its length.
+    """
+    w = Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    placed = segments.withColumn("_at", F.coalesce(F.sum("duration").over(w), F.lit(0.0))).select(group, order, "segment_id", "_at", "duration", "subtitle_text")
+    own = placed.join(cues.select("segment_id", "cue_idx", F.col("start").alias("_s"), F.col("end").alias("_e"), "text"), "segment_id")
+    texts = placed.join(cues.select("segment_id").distinct(), "segment_id", "left_anti").where("subtitle_text != ''")
+    made = split_evenly(texts.withColumns({"text": F.col("subtitle_text"), "start": F.col("_at") if faithful else F.lit(0.0)})).select(
+        group, order, "segment_id", "_at", F.col("line_no").alias("cue_idx"), F.col("cue_start").alias("_s"), F.col("cue_end").alias("_e"), F.trim("line").alias("text")
+    )
+    both = own.select(*made.columns).unionByName(made)
+    if faithful:
+        last = both.groupBy(group, order).agg(F.max_by(F.col("_e") - F.col("_s"), "cue_idx").alias("_step"))
+        offsets = last.select(group, order, F.coalesce(F.sum("_step").over(w), F.lit(0.0)).alias("_off"))
+        both = both.join(offsets, [group, order]).withColumns({"start": F.col("_off") + F.col("_s"), "end": F.col("_off") + F.col("_e") - F.col("_s")})
+    else:
+        both = both.withColumns({"start": F.col("_at") + F.col("_s"), "end": F.col("_at") + F.col("_e")})
+    n = F.row_number().over(Window.partitionBy(group).orderBy(order, "cue_idx"))
+    return both.select(group, n.alias("cue_no"), "segment_id", "start", "end", "text")
+
+
+def context_tail(rows: DataFrame, group: str, order: str, text: str = "text", length: int = 50) -> DataFrame:
+    """``context``, the last ``length`` characters of the last text before each row that is not empty; null for the first.
+
+    A row takes at most ``length`` characters of another, so what moves is small whatever the texts are.
+    """
+    w = Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    tail = F.right(F.nullif(F.col(text), F.lit("")), F.lit(length))
+    return rows.withColumn("context", F.last(tail, ignorenulls=True).over(w))
+
+
 def split_evenly(texts: DataFrame, most: int = 5) -> DataFrame:
     """SNK2: the first ``most`` lines of a text as cues of equal length."""
     lines = F.slice(F.split(F.trim(F.col("text")), "\n"), 1, most)
@@ -136,8 +174,13 @@ def narration_lengths(texts: DataFrame) -> DataFrame:
 
 
 def transcript(cues: DataFrame, most: int = 8000) -> DataFrame:
-    """Non-empty texts of a job as lines '[E1 5s]: text' in order, cut to ``most`` characters."""
+    """Non-empty texts of a job as lines '[E1 5s]: text' in order, cut to ``most`` characters.
+
+    Lines that start beyond the cut go before they are collected (a running length), so a job of any size gives a row of at most ``most`` characters.
+    """
     line = F.concat(F.lit("[E"), F.col("episode").cast("string"), F.lit(" "), F.bround("start", 0).cast("long").cast("string"), F.lit("s]: "), F.col("text"))
     some = cues.where("text is not null and text != ''").withColumn("_line", line)
+    before = Window.partitionBy("job").orderBy("episode", "start", "_line").rowsBetween(Window.unboundedPreceding, -1)
+    near = some.withColumn("_line", F.left("_line", F.lit(most + 1))).withColumn("_used", F.coalesce(F.sum(F.length("_line") + 1).over(before), F.lit(0))).where(F.col("_used") < most)
     rows = F.array_sort(F.collect_list(F.struct("episode", "start", "_line")))
-    return some.groupBy("job").agg(F.left(F.array_join(F.transform(rows, lambda r: r["_line"]), "\n"), F.lit(most)).alias("transcript"))
+    return near.groupBy("job").agg(F.left(F.array_join(F.transform(rows, lambda r: r["_line"]), "\n"), F.lit(most)).alias("transcript"))

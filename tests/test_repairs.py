@@ -28,7 +28,7 @@ def test_answers(spark):
         assert one(spark, raw, text.string_list) == want
     log = 'noise\n{\n"input_i": "-20.1"\n}\nmore'
     assert one(spark, log, lambda c: F.try_variant_get(text.loudness_report(c), "$.input_i", "string")) == "-20.1"
-    assert one(spark, "&lt;a&gt; &amp;lt;", text.unescape_html) == "<a> &lt;"
+    assert one(spark, "&lt;a&gt; &amp;lt;", text.unescape_xml) == "<a> &lt;"
     segments = spark.createDataFrame([("", ["a", "b"], "raw"), ("w", ["a"], "raw"), (None, [], "raw")], "w string, s array<string>, r string")
     got = segments.select(text.full_text(F.col("w"), F.transform("s", lambda t: F.struct(t.alias("text"))), F.col("r")).alias("t")).collect()
     assert [r.t for r in got] == ["a b", "w", "raw"]
