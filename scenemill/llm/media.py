@@ -50,6 +50,104 @@ class Media:
             p = self.data.find(what, p + 1)
         return out
 
+    @cached_property
+    def walks(self) -> dict[str, dict]:
+        return {}
+
+    def follow(self, name: str, p: int, step):
+        """Where the walk p, step(p), step(step(p)) ... ends; ``step`` gives the next place, or a tuple with the end.
+
+        Each sixteenth place of a walk remembers its end, so walks that join another one of the same name stop soon.
+        """
+        known, passed, count = self.walks.setdefault(name, {}), [], 0
+        while not isinstance(p, tuple):
+            if (end := known.get(p)) is not None:
+                p = end
+                break
+            if count % 16 == 0:
+                passed.append(p)
+            p, count = step(p), count + 1
+        known.update(dict.fromkeys(passed, p))
+        return p[0]
+
+    @cached_property
+    def riff(self) -> dict[int, tuple]:
+        """Chunk places that were walked over: the next one, a far one on the way (both None for the last), chunks to the last one, and how many of them are fmt and data."""
+        return {}
+
+    def chunks(self, p: int, end: int) -> tuple[int, int] | None:
+        """How many fmt and data chunks lie from p to ``end``, if a walk over chunks from p comes to ``end`` exactly.
+
+        Each chunk is walked over once; far places (skips that double along the way) find the end in few steps.
+        """
+        known, new = self.riff, []
+        while (q := new[-1][1] if new else p) not in known:
+            if q + 8 > self.n:
+                known[q] = (None, None, 0, 0, 0)
+                break
+            size = self.number(q + 4, 4, "little")
+            new.append((q, q + 8 + size + (size & 1)))
+        for q, after in reversed(new):
+            _, far, depth, *counts = known[after]
+            further = known[far] if far is not None else None
+            jump = further[1] if further and further[1] is not None and depth - further[2] == further[2] - known[further[1]][2] else after
+            kind = self.data[q : q + 4]
+            known[q] = (after, jump, depth + 1, counts[0] + (kind == b"fmt "), counts[1] + (kind == b"data"))
+        q = p
+        while q < end:
+            after, far = known[q][:2]
+            if after is None:
+                return None
+            q = far if far <= end else after
+        return (known[p][3] - known[q][3], known[p][4] - known[q][4]) if q == end else None
+
+    @cached_property
+    def sums(self) -> np.ndarray:
+        """A number for each place so that the FLAC checksum over the bytes between two places is 0 exactly where their numbers are equal.
+
+        The checksum is linear: each byte adds its product with a power of x, which runs backwards through the places.
+        """
+        x, back = 1, []
+        for _ in range(_CYCLE):
+            back.append(x)
+            x = (x << 1 ^ 0x8005) & 0xFFFF if x & 0x8000 else x << 1
+        back = np.array(back, np.uint16)
+        places = (16 - 8 * np.arange(1, _CYCLE + 1)) % _CYCLE
+        b, out = np.frombuffer(self.data, np.uint8), np.zeros(self.n + 1, np.uint16)
+        for k in range(8):
+            powers = back[(places + k) % _CYCLE]
+            out[1:] ^= np.where(b >> k & 1, np.resize(powers, self.n), 0).astype(np.uint16)
+        return np.bitwise_xor.accumulate(out)
+
+    @cached_property
+    def by_sum(self) -> tuple[np.ndarray, np.ndarray]:
+        """Places in order of their numbers, and the numbers."""
+        order = np.argsort(self.sums, kind="stable")
+        return order, self.sums[order]
+
+    @cached_property
+    def frames(self) -> dict[int, list[int]]:
+        """Places of FLAC frame headers by their numbers."""
+        out = {}
+        for m in re.finditer(rb"\xff[\xf8\xf9]", self.data):
+            if _flac_frame(self.data, m.start()) is not None:
+                out.setdefault(int(self.sums[m.start()]), []).append(m.start())
+        return out
+
+    def after_frame(self, p: int, last: bool) -> int | None:
+        """Where the frame at p ends: where its checksum holds and, unless it is the ``last`` one, another frame starts."""
+        number = self.sums[p]
+        if not last:
+            starts = self.frames.get(int(number), [])
+            k = bisect_right(starts, p + 9)
+            if k < len(starts):
+                return starts[k]
+            return None
+        order, numbers = self.by_sum
+        lo, hi = np.searchsorted(numbers, number), np.searchsorted(numbers, number, "right")
+        k = lo + int(np.searchsorted(order[lo:hi], p + 9, "right"))
+        return int(order[k]) if k < hi else None
+
     @cached_property
     def markers(self) -> np.ndarray:
         """Places of JPEG markers that end entropy-coded data."""
@@ -91,25 +189,23 @@ def _gif(m: Media, at: int):
     b = m.data
     if at + 13 > m.n:
         return None
-    flags, p = b[at + 10], at + 13
-    p += 3 * (2 << (flags & 7)) if flags & 0x80 else 0
-    while p < m.n:
-        kind = b[p]
+    flags = b[at + 10]
+
+    def block(p: int):
+        kind = b[p] if p < m.n else None
         if kind == 0x3B:
-            return p + 1 - at
-        if kind == 0x2C:
-            if p + 10 > m.n:
-                return None
+            return (p + 1,)
+        if kind == 0x2C and p + 10 <= m.n:
             local = b[p + 9]
             p += 10 + (3 * (2 << (local & 7)) if local & 0x80 else 0) + 1
         elif kind == 0x21:
             p += 2
         else:
-            return None
-        while p < m.n and b[p]:
-            p += 1 + b[p]
-        p += 1
-    return None
+            return (None,)
+        return m.follow("gif sub-blocks", p, lambda p: p + 1 + b[p] if p < m.n and b[p] else (p,)) + 1
+
+    end = m.follow("gif blocks", at + 13 + (3 * (2 << (flags & 7)) if flags & 0x80 else 0), block)
+    return None if end is None else end - at
 
 
 def _jpeg(m: Media, at: int):
@@ -139,12 +235,8 @@ def _wav(m: Media, at: int):
     if at + 12 > m.n or m.data[at + 8 : at + 12] != b"WAVE":
         return None
     end = at + 8 + m.number(at + 4, 4, "little")
-    p, seen = at + 12, set()
-    while p + 8 <= min(end, m.n):
-        seen.add(m.data[p : p + 4])
-        n = m.number(p + 4, 4, "little")
-        p += 8 + n + (n & 1)
-    return end - at if end <= m.n and p == end and {b"fmt ", b"data"} <= seen else None
+    counts = m.chunks(at + 12, end) if at + 12 <= end <= m.n else None
+    return end - at if counts and min(counts) else None
 
 
 def _crc_table(poly: int, bits: int) -> list[int]:
@@ -157,7 +249,9 @@ def _crc_table(poly: int, bits: int) -> list[int]:
     return out
 
 
-_CRC8, _CRC16 = _crc_table(0x07, 8), _crc_table(0x8005, 16)
+_CRC8 = _crc_table(0x07, 8)
+#: Powers of x modulo the 16-bit checksum's polynomial come round after so many.
+_CYCLE = 32767
 
 
 def _flac_frame(b: bytes, p: int) -> int | None:
@@ -195,14 +289,10 @@ def _flac(m: Media, at: int):
         p, first, last = p + 4 + n, False, bool(kind & 0x80)
     done = 0
     while (samples := _flac_frame(b, p)) is not None and not (total and done >= total):
-        crc = 0
-        for q in range(p, m.n):  # a frame with its checksum has checksum 0
-            crc = (crc << 8 & 0xFFFF) ^ _CRC16[crc >> 8 ^ b[q]]
-            if crc == 0 and q > p + 8 and (done + samples >= total or _flac_frame(b, q + 1) is not None):
-                break
-        else:
+        end = m.after_frame(p, last=done + samples >= total)
+        if end is None:
             break
-        p, done = q + 1, done + samples
+        p, done = end, done + samples
     return p - at
 
 

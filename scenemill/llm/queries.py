@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chaining, fingerprints, jaccard, media, merkle, packing, pieces, quality, sharding, suffixes, toxicity, yinyang
+from . import bpe, chaining, fingerprints, jaccard, media, merkle, oracles, packing, pieces, quality, sharding, suffixes, toxicity, yinyang
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,7 +60,7 @@ def op10_media_sniffing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op11_yinyang_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = yinyang.cluster_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), k=16, rounds=3, dim=64, scale=64.0)
-    return out.withColumn("centroid_sha256", F.sha2(F.array_join(F.col("centroid").cast("array<string>"), ","), 256)).drop("centroid")
+    return out.withColumn("centroid_sha256", F.sha2(F.array_join(F.col("centroid").cast("array<string>"), ","), 256)).drop("centroid", "scanned")
 
 
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,4 +90,4 @@ QUERIES = {
     "op12_merkle_manifest": op12_merkle_manifest,
     "op13_sentencepiece": op13_sentencepiece,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op11_yinyang_clustering": oracles.clusters(), "op12_merkle_manifest": oracles.manifest()}
