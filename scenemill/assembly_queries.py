@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from .functions import serialize, text, timecode
+from .functions import checks, media, scoring, serialize, text, timecode, voices
 from .operators import catalog, positions, records, reports, rules, sampling, segmentation, timeline
 from .plans import highlights
 from .queries import _FIT, _ITEMS, _items, _read, query
-from .sources import files
+from .sources import files, stock
 
 # --- subtitles ---------------------------------------------------------------------------------------------------
 
@@ -374,9 +374,7 @@ def _direct_parts(spark, sf):
 @query(f"WITH {_DIRECT} SELECT ord, a AS audio_score, m AS emotion_score, v AS visual_score, h AS rhythm_score, round(total, 6) AS total FROM tot")
 def segment_scores(spark, sf):
     """Four different scores of every segment, with the fallbacks of missing and unscorable sounds, texts and videos."""
-    from .functions.scoring import weighted_total
-
-    out = highlights.score_segments(*_direct_parts(spark, sf)).withColumn("total", F.round(weighted_total(), 6))
+    out = highlights.score_segments(*_direct_parts(spark, sf)).withColumn("total", F.round(scoring.weighted_total(), 6))
     return out.select("ord", "audio_score", "emotion_score", "visual_score", "rhythm_score", "total")
 
 
@@ -456,3 +454,89 @@ def lookup_records(spark, sf):
     clips = _read(spark, sf, "region").where("r_regionkey = 0").select(F.col("r_regionkey").cast("string").alias("timestamp"), F.lit("p0").alias("path"))
     out = records.attach_clips(records.base_urls(records.shown_messages(o), urls), clips)
     return out.select("o_orderkey", "base_url", "required", "path")
+
+
+@query("""SELECT event_id AS n, CASE event_id % 5 WHEN 0 THEN 0.8 WHEN 1 THEN 1.0 WHEN 2 THEN 0.7 WHEN 3 THEN 0.8 ELSE 0.5 END::DOUBLE AS profile_speech, CASE event_id % 4 WHEN 0 THEN 0.3 WHEN 1 THEN 0.2 WHEN 2 THEN 0.0 ELSE 0.3 END::DOUBLE AS content_music,
+ CASE event_id % 6 WHEN 1 THEN 1280 WHEN 3 THEN 720 WHEN 0 THEN 1920 ELSE 1080 END AS width, CASE event_id % 6 WHEN 1 THEN 720 WHEN 3 THEN 1280 WHEN 0 THEN 1080 WHEN 4 THEN 1080 ELSE 1920 END AS height,
+ CAST(greatest(0, (vw - least(vw, CAST(trunc(1080 / k) AS INTEGER))) // 2) AS INTEGER) AS x FROM (SELECT event_id, vw, least(1080.0::DOUBLE / vw, 1920.0::DOUBLE / 720) AS k FROM (SELECT event_id, CAST(640 + event_id % 50 * 30 AS INTEGER) AS vw FROM events))""")
+def profile_tables(spark, sf):
+    """P22 and P23 by their further tables, F26 without a face."""
+    n = F.col("event_id")
+    pick = lambda names: F.get(F.array(*map(F.lit, names)), (n % len(names)).cast("int"))
+    profile = media.volumes_for(pick([*media.PROFILES, "other"]), (0.5, 0.5, 0.5), media.PROFILES)
+    content, size = media.volumes_for_content(pick(["mixed", "voice_only", "music_video", "other"])), media.size_for(pick(["16:9", "4:3", "9:16", "3:4", "1:1", "x"]), media.SECOND_SIZES)
+    crop = scoring.crop_window((640 + n % 50 * 30).cast("int"), F.lit(720), 1080, 1920)
+    return _read(spark, sf, "events").select(n.alias("n"), profile["tts_volume"].alias("profile_speech"), content["bgm_volume"].alias("content_music"), size["width"].alias("width"), size["height"].alias("height"), crop["x"].alias("x"))
+
+
+#: Voices, engines, and what follows: the plain name, the second form, whether the service speaks, the engine, the bare name.
+_VOICES = [
+    ("zh-CN-XiaoyiNeural-Female", "azure_speech", "zh-CN-XiaoyiNeural", "", False, "edge", "zh-CN-XiaoyiNeural-Female"), ("zh-CN-YunxiNeural", "azure_speech", "zh-CN-YunxiNeural", "", True, "azure_v2", "zh-CN-YunxiNeural"),
+    ("zh-CN-XNeural-V2", "azure_speech", "zh-CN-XNeural-V2", "zh-CN-XNeural", True, "azure_v2", "zh-CN-XNeural-V2"), ("zh-CN-XNeural-V2-Male", "edge_tts", "zh-CN-XNeural-V2", "zh-CN-XNeural", False, "edge", "zh-CN-XNeural-V2-Male"),
+    ("speech:a:b", "azure_speech", "speech:a:b", "", False, "edge", "speech:a:b"), ("cosyvoice: c ", "cosyvoice", "cosyvoice: c", "", False, "cosyvoice", "c"), ("tencent:101", "tencent_tts", "tencent:101", "", False, "tencent", "tencent:101"), ("x", "none", "x", "", False, "edge", "x"),
+]
+
+
+def _voice_cases(k: int) -> str:
+    lit = lambda v: str(v).upper() if isinstance(v, bool) else "'" + v + "'"
+    return f"CASE event_id % {len(_VOICES)} " + " ".join(f"WHEN {i} THEN {lit(v[k])}" for i, v in enumerate(_VOICES)) + " END"
+
+
+@query(f"SELECT event_id, {_voice_cases(2)} AS plain, {_voice_cases(3)} AS second, {_voice_cases(4)} AS service, {_voice_cases(5)} AS engine, {_voice_cases(6)} AS bare FROM events")
+def voice_names(spark, sf):
+    pick = lambda k: F.get(F.array(*[F.lit(v[k]) for v in _VOICES]), (F.col("event_id") % len(_VOICES)).cast("int"))
+    name = pick(0)
+    return _read(spark, sf, "events").select(
+        "event_id", voices.plain_name(name).alias("plain"), voices.second_form(name).alias("second"), voices.wants_service(name).alias("service"), voices.engine_for(pick(1), name).alias("engine"), voices.without_prefix(name, "cosyvoice").alias("bare")
+    )
+
+
+@query("""WITH v AS (SELECT o_custkey AS term, o_orderkey AS k, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS place FROM orders)
+SELECT term, CAST(place AS INTEGER) AS place, 'u' || k % 500 || CASE WHEN k % 3 = 1 THEN 'b' ELSE 'c' END AS url, (k % 20)::DOUBLE AS duration, 'exact' AS kind FROM v WHERE k % 20 >= 5 AND k % 3 > 0
+UNION ALL SELECT term, CAST(place AS INTEGER), 'w' || k % 500 || CASE WHEN k % 4 = 0 THEN 'm' ELSE 'l' END, (k % 20)::DOUBLE, 'wide' FROM v WHERE k % 20 >= 5 AND k % 4 < 3""")
+def stock_videos(spark, sf):
+    """Searches of both kinds: files of exactly the wanted size, and the first size that is wide enough."""
+    k = F.col("o_orderkey")
+    url = lambda mark, kind: F.concat(F.lit(mark), (k % 500).cast("string"), F.lit(kind))
+    file = lambda w, h, kind: F.struct(w.alias("width"), F.lit(h).alias("height"), url("u", kind).alias("link"))
+    files_ = F.array(file(F.lit(720), 1280, "a"), file(F.when(k % 3 == 1, 1080).otherwise(360), 1920, "b"), file(F.when(k % 3 > 0, 1080).otherwise(1081), 1920, "c"))
+    size = lambda w, kind: F.struct(w.alias("width"), F.lit(1).alias("height"), url("w", kind).alias("url"))
+    sizes = F.create_map(F.lit("small"), size(F.lit(10), "s"), F.lit("medium"), size(F.when(k % 4 == 0, 1200).otherwise(100), "m"), F.lit("large"), size(F.when(k % 4 < 3, 1080).otherwise(1079), "l"))
+    v = F.struct("o_orderkey", F.struct((k % 20).alias("duration"), files_.alias("video_files"), sizes.alias("videos")).alias("v"))
+    g = _read(spark, sf, "orders").groupBy(F.col("o_custkey").alias("term")).agg(F.transform(F.array_sort(F.collect_list(v), lambda a, b: (a["o_orderkey"] - b["o_orderkey"]).cast("int")), lambda r: r["v"]).alias("vs"))
+    exact = stock.exact_renditions(g.select("term", F.to_json(F.struct(F.col("vs").alias("videos"))).alias("body")), 1080, 1920, 5)
+    wide = stock.wide_renditions(g.select("term", F.to_json(F.struct(F.col("vs").alias("hits"))).alias("body")), 1080, 5)
+    return exact.withColumn("kind", F.lit("exact")).unionByName(wide.withColumn("kind", F.lit("wide")))
+
+
+@query("""SELECT p_partkey, p_type AS name, p_size AS version, left(repeat(p_name || ' ', p_size), 500) || CASE WHEN (length(p_name) + 1) * p_size > 500 THEN '...' ELSE '' END AS template_preview, p_size % 3 AS examples_count, p_size % 2 = 0 AS has_parameters,
+ lpad(p_size::VARCHAR, 3, '0') = coalesce(max(CASE WHEN p_size = 7 THEN '007' END) OVER (PARTITION BY p_brand, p_type), max(lpad(p_size::VARCHAR, 3, '0')) OVER (PARTITION BY p_brand, p_type)) AS is_default FROM part""")
+def prompt_registry(spark, sf):
+    """Previews and default versions, some of them set."""
+    size = F.col("p_size")
+    ones = lambda n: F.filter(F.array_repeat(F.lit("x"), 3), lambda _, i: i < n)
+    p = _read(spark, sf, "part").select(
+        "p_partkey", F.col("p_brand").alias("category"), F.col("p_type").alias("name"), F.lpad(size.cast("string"), 3, "0").alias("version"), F.expr("repeat(concat(p_name, ' '), p_size)").alias("template"),
+        ones(size % 3).alias("examples"), ones(1 - size % 2).alias("parameters"),
+    )
+    chosen = p.where("version = '007'").select("category", "name", "version").union(p.select("category", "name", F.lit("999")))
+    out = catalog.with_defaults(catalog.prompt_info(p), chosen.distinct())
+    return out.select("p_partkey", "name", F.col("version").cast("int").alias("version"), "template_preview", "examples_count", "has_parameters", "is_default")
+
+
+@query(r"""SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN '{"a":1}' WHEN 1 THEN 'x' WHEN 2 THEN '[1]' WHEN 3 THEN 'a ``` b' ELSE '```' END AS plain, CASE o_orderkey % 5 WHEN 0 THEN 'missing_b' WHEN 2 THEN 'no_object' ELSE 'no_json' END AS error,
+ CASE o_orderkey % 3 WHEN 0 THEN 'empty' WHEN 1 THEN 'too_short' END AS key_error, CASE WHEN o_orderkey % 4 = 1 THEN 'no_scheme' END AS url_error FROM orders""")
+def answer_forms(spark, sf):
+    """X13 in its fuller forms, P19 by kind and fields, R13 for keys and addresses."""
+    n, out = F.col("o_orderkey"), F
+    for i, raw in enumerate(['```json\n{"a":1}\n```', "```x\nx\n```py", "```json [1]```", "a ``` b", " ``` \n"]):
+        out = out.when(n % 5 == i, raw)
+    plain = text.unfence_all(out)
+    pick = lambda *v: F.get(F.array(*map(F.lit, v)), (n % len(v)).cast("int"))
+    return _read(spark, sf, "orders").select("o_orderkey", plain.alias("plain"), checks.schema_error(plain, "object", ["a", "b"]).alias("error"), checks.api_key(pick(" ", " short ", "long enough")).alias("key_error"), checks.base_url(pick(None, "host", "https://h", " http://h")).alias("url_error"))
+
+
+@query("""WITH a AS (SELECT c_custkey AS k, c_name AS v FROM customer WHERE c_custkey % 3 > 0), b AS (SELECT c_custkey AS k, 'new' AS v FROM customer WHERE c_custkey % 2 = 0) SELECT * FROM a UNION ALL SELECT * FROM b WHERE k NOT IN (SELECT k FROM a)""")
+def added_rows(spark, sf):
+    c = _read(spark, sf, "customer").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("v"))
+    return catalog.added(c.where("k % 3 > 0"), c.where("k % 2 = 0").withColumn("v", F.lit("new")), "k")

@@ -50,6 +50,18 @@ def missing_fields(json: Column, required: list[str]) -> Column:
     return F.array_except(F.array(*map(F.lit, required)), F.json_object_keys(F.when(F.try_parse_json(json).isNotNull() & F.startswith(F.ltrim(json), F.lit("{")), json)))
 
 
+def schema_error(json: Column, kind: str | None = None, required: list[str] | None = None) -> Column:
+    """The first broken part of a simple schema: ``no_json``, ``no_object`` or ``no_array`` by the wanted kind, ``missing_<field>`` of an object."""
+    v = F.try_parse_json(json)
+    shape = F.regexp_extract(F.schema_of_variant(v), r"^(\w+)", 1)
+    out = F.when(v.isNull(), "no_json")
+    if kind in ("object", "array"):
+        out = out.when(shape != kind.upper(), f"no_{kind}")
+    for field in required or []:
+        out = out.when((shape == "OBJECT") & ~F.array_contains(F.map_keys(F.try_variant_get(v, "$", "map<string,variant>")), field), f"missing_{field}")
+    return out
+
+
 def analysis(text: Column) -> Column:
     """P20: blank or under 50 characters is an error, a text without any usual word a warning."""
     t = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)^\s+|\s+$", "")

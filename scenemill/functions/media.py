@@ -10,6 +10,9 @@ from .scoring import clamp
 # Volumes by kind of video, and sizes by shape in the two tables of the data model.
 VOLUMES = {"educational": (0.9, 0.8, 0.2), "entertainment": (0.8, 1.2, 0.4), "news": (1.0, 0.6, 0.1)}
 SIZES = {"16:9": (1920, 1080), "4:3": (1440, 1080), "9:16": (1080, 1920), "3:4": (1080, 1440), "1:1": (1080, 1080)}
+SECOND_SIZES = {"16:9": (1920, 1080), "4:3": (1280, 720), "9:16": (1080, 1920), "3:4": (720, 1280), "1:1": (1080, 1080)}
+PROFILES = {"balanced": (0.8, 1.2, 0.3), "voice_focused": (1.0, 0.7, 0.2), "original_focused": (0.7, 1.5, 0.2), "quiet_background": (0.8, 1.3, 0.1)}
+CONTENTS = {"mixed": (0.8, 1.3, 0.3), "voice_only": (1.0, 0.5, 0.2), "original_heavy": (0.6, 1.6, 0.1), "music_video": (0.7, 1.8, 0.0)}
 DEFAULT_SIZE = (1080, 1920)
 
 
@@ -67,26 +70,31 @@ def volume(v: Column) -> Column:
     return clamp(v, 0.0, 2.0)
 
 
-def volumes_for(kind: Column, default: tuple[float, float, float]) -> Column:
-    """struct(speech, original, music) of a kind of video, the default for others."""
+def volumes_for(kind: Column, default: tuple[float, float, float], table: dict[str, tuple[float, float, float]] = VOLUMES) -> Column:
+    """struct(speech, original, music) of a kind of video (or, by another ``table``, a profile or a content), the default for others."""
 
     def row(v):
         return F.struct(*[F.lit(x).alias(n) for n, x in zip(("tts_volume", "original_volume", "bgm_volume"), v)])
 
     out = None
-    for name, v in VOLUMES.items():
+    for name, v in table.items():
         out = F.when(kind == name, row(v)) if out is None else out.when(kind == name, row(v))
     return out.otherwise(row(default))
 
 
-def size_for(aspect: Column) -> Column:
-    """struct(width, height) of a shape, upright for unknown ones."""
+def volumes_for_content(content: Column) -> Column:
+    """The volumes for a content; ``mixed`` for unknown ones."""
+    return volumes_for(content, CONTENTS["mixed"], CONTENTS)
+
+
+def size_for(aspect: Column, table: dict[str, tuple[int, int]] = SIZES) -> Column:
+    """struct(width, height) of a shape by one of two tables, upright for unknown ones."""
 
     def row(v):
         return F.struct(F.lit(v[0]).alias("width"), F.lit(v[1]).alias("height"))
 
     out = None
-    for name, v in SIZES.items():
+    for name, v in table.items():
         out = F.when(aspect == name, row(v)) if out is None else out.when(aspect == name, row(v))
     return out.otherwise(row(DEFAULT_SIZE))
 

@@ -117,11 +117,12 @@ def word_budget(d: Column) -> Column:
     return F.coalesce(F.greatest(F.lit(10), F.least(F.lit(500), (d / 0.4).cast("int"))), F.lit(100))
 
 
-def crop_window(vw: Column, vh: Column, tw: int, th: int, face_x: Column) -> Column:
-    """window of the target shape at the smaller scale, centred on the face, inside the picture."""
+def crop_window(vw: Column, vh: Column, tw: int, th: int, face_x: Column | None = None) -> Column:
+    """window of the target shape at the smaller scale, centred on the face (without one: in the picture), inside the picture."""
     scale = F.least(F.lit(float(tw)) / vw, F.lit(float(th)) / vh)
     w, h = F.least(vw, (tw / scale).cast("int")), F.least(vh, (th / scale).cast("int"))
-    x = F.greatest(F.lit(0), F.least(face_x - F.floor(w / 2).cast("int"), vw - w))
+    middle = F.greatest(F.lit(0), F.floor((vw - w) / 2).cast("int"))
+    x = middle if face_x is None else F.greatest(F.lit(0), F.least(face_x - F.floor(w / 2).cast("int"), vw - w))
     return F.struct(w.alias("w"), h.alias("h"), x.alias("x"), F.floor((vh - h) / 2).cast("int").alias("y"))
 
 

@@ -46,6 +46,12 @@ def unfence(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"(?m)^```.*$", ""))
 
 
+def unfence_all(text: Column) -> Column:
+    """X13, the fuller forms: without fence lines and without fences at both ends, trimmed."""
+    out = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"(?md)^```json\s*", ""), r"(?md)^```\s*$", ""), r"(?md)^```.*$", "")
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(out, "^```", ""), r"```(?=\n?\z)", ""), r"(?U)^\s+|\s+\z", "")
+
+
 def extension(name: Column) -> Column:
     """X11."""
     return F.lower(F.regexp_extract(name, r"\.([A-Za-z0-9]+)$", 1))

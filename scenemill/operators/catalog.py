@@ -121,6 +121,27 @@ def search(prompts: DataFrame, keyword: str) -> DataFrame:
     return prompts.where(F.contains(F.lower("name"), k) | F.contains(F.lower("description"), k))
 
 
+def added(rows: DataFrame, more: DataFrame, key: str) -> DataFrame:
+    """The rows and those of ``more`` whose key they do not hold; of new rows with one key each stays."""
+    return rows.unionByName(more.join(rows.select(key).distinct(), key, "left_anti").select(*rows.columns))
+
+
+def prompt_info(prompts: DataFrame) -> DataFrame:
+    """Prompts with a preview of their template (500 characters), the number of their examples and whether they take parameters."""
+    preview = F.when(F.length("template") > 500, F.concat(F.left("template", F.lit(500)), F.lit("..."))).otherwise(F.col("template"))
+    return prompts.withColumns({"template_preview": preview, "examples_count": F.coalesce(F.size("examples"), F.lit(0)), "has_parameters": F.coalesce(F.size("parameters") > 0, F.lit(False))}).drop("template", "examples")
+
+
+def with_defaults(prompts: DataFrame, chosen: DataFrame | None = None) -> DataFrame:
+    """Prompts with ``is_default``: the version of chosen(category, name, version) where it exists, else the greatest as a string."""
+    greatest = F.max("version").over(Window.partitionBy("category", "name"))
+    if chosen is None:
+        return prompts.withColumn("is_default", F.col("version") == greatest)
+    wanted = chosen.join(prompts.select("category", "name", "version").distinct(), ["category", "name", "version"], "left_semi").groupBy("category", "name").agg(F.max("version").alias("_set"))
+    out = prompts.withColumn("_greatest", greatest).join(wanted, ["category", "name"], "left")
+    return out.withColumn("is_default", F.col("version") == F.coalesce("_set", "_greatest")).drop("_set", "_greatest")
+
+
 def registry_stats(prompts: DataFrame) -> DataFrame:
     """A18."""
     return prompts.agg(

@@ -23,6 +23,18 @@ def file_table(spark: SparkSession, folder: str, types: list[str] = VIDEO_TYPES)
     return files.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
 
 
+#: Kinds of the catalogues of videos, songs and fonts.
+CATALOGUES = {"videos": ["mp4", "mov", "avi", "mkv"], "songs": ["mp3"], "fonts": ["ttf", "ttc", "otf"]}
+
+
+def catalogue(spark: SparkSession, folder: str, kind: str) -> DataFrame:
+    """SRC3/O6/O13: the files of a kind: fonts by name, whatever the case of their ending, songs by path, videos by path from the last."""
+    types = CATALOGUES[kind]
+    either = ["".join(f"[{c}{c.upper()}]" for c in t) for t in types] if kind == "fonts" else types
+    name = F.element_at(F.split("path", "/"), -1)
+    return file_table(spark, folder, either).withColumn("name", name).orderBy(F.col("path").desc() if kind == "videos" else name if kind == "fonts" else F.col("path"))
+
+
 def sorted_files(files: DataFrame, by: str = "modified", descending: bool = True) -> DataFrame:
     """SRC2: files by modification time, size or name (the last part of the path), ties by path; times of creation are not known to Spark's
     readers, so the modification time stands for them. Another ``by`` leaves the order."""
@@ -65,6 +77,12 @@ def decode_subtitles(df: DataFrame, content: str = "content") -> DataFrame:
     return df.withColumn("text", normalize_subtitle(decode(content)))
 
 
+def one_line_cues(cues: DataFrame) -> DataFrame:
+    """SRC6: cues with their lines joined by spaces, trimmed, without those that hold no text."""
+    joined = F.regexp_replace(F.replace("text", F.lit("\n"), F.lit(" ")), r"(?U)^\s+|\s+\z", "")
+    return cues.withColumn("text", joined).where("text != ''")
+
+
 def read_subtitles(spark: SparkSession, path: str) -> DataFrame:
     """SRC4/SRC9: cues of SRT files in any of the known encodings."""
     return parse_srt(decode_subtitles(spark.read.format("binaryFile").load(path).select("path", "content")).select(F.col("path").alias("file_id"), "text"))

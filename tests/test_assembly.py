@@ -331,3 +331,26 @@ def test_latest_progress(spark):
     finally:
         q.stop()
     assert set(got) == {"a", "b"} and "done" in str(got["a"]) and os.path.isdir(at)
+
+
+def test_one_line_cues(spark):
+    df = spark.createDataFrame([(0, " a\nb "), (1, "\n"), (2, None)], "n int, text string")
+    assert [(r.n, r.text) for r in files.one_line_cues(df).collect()] == [(0, "a b")]
+
+
+def test_catalogue(spark):
+    at = folder()
+    for name in ("b.TTF", "sub/a.otf", "c.mp3", "x.mp4", "y.mkv", "z.txt"):
+        os.makedirs(os.path.dirname(f"{at}/{name}"), exist_ok=True)
+        open(f"{at}/{name}", "w").close()
+    names = lambda kind: [r.name for r in files.catalogue(spark, at, kind).collect()]
+    assert names("fonts") == ["a.otf", "b.TTF"] and names("songs") == ["c.mp3"] and names("videos") == ["y.mkv", "x.mp4"]
+
+
+def test_stock_answers(spark):
+    from scenemill.sources import stock
+
+    rows = spark.createDataFrame([("t", '{"videos": [{"duration": 9, "video_files": [{"width": 1, "height": 2, "link": "u"}]}]}'), ("s", '{"videos": [{"duration": 8, "video_files": [{"width": 1, "height": 2, "link": "u"}, {"width": 1, "height": 2, "link": "w"}]}]}'), ("x", "no"), ("y", None)], "term string, body string")
+    found = stock.exact_renditions(rows, 1, 2, 5)
+    assert sorted(tuple(r) for r in found.collect()) == [("s", 0, "u", 8.0), ("t", 0, "u", 9.0)]
+    assert [tuple(r) for r in stock.new_materials(found).collect()] == [("u", "s", 0, 8.0)]
