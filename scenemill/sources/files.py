@@ -17,9 +17,10 @@ VIDEO_TYPES = ["mp4", "mov", "avi", "mkv", "flv", "wmv", "webm"]
 ENCODINGS = ["utf-8", "utf-8-sig", "utf-16", "utf-16-le", "utf-16-be", "gbk", "gb2312"]
 
 
-def file_table(spark: SparkSession, folder: str, types: list[str] = VIDEO_TYPES) -> DataFrame:
-    """SRC1/SRC2: (path, size, modified) of the files of some types, folders included, without reading them."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{" + ",".join(types) + "}").load(folder)
+def file_table(spark: SparkSession, folder: str, types: list[str] | None = VIDEO_TYPES) -> DataFrame:
+    """SRC1/SRC2: (path, size, modified) of the files of some types (None: all), folders included, without reading them."""
+    some = "*.{" + ",".join(types) + "}" if types else "*"
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", some).load(folder)
     return files.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
 
 
@@ -29,10 +30,10 @@ CATALOGUES = {"videos": ["mp4", "mov", "avi", "mkv"], "songs": ["mp3"], "fonts":
 
 def catalogue(spark: SparkSession, folder: str, kind: str) -> DataFrame:
     """SRC3/O6/O13: the files of a kind: fonts by name, whatever the case of their ending, songs by path, videos by path from the last."""
-    types = CATALOGUES[kind]
-    either = ["".join(f"[{c}{c.upper()}]" for c in t) for t in types] if kind == "fonts" else types
     name = F.element_at(F.split("path", "/"), -1)
-    return file_table(spark, folder, either).withColumn("name", name).orderBy(F.col("path").desc() if kind == "videos" else name if kind == "fonts" else F.col("path"))
+    case = "(?i)" if kind == "fonts" else ""
+    files = file_table(spark, folder, None).withColumn("name", name).where(name.rlike(case + r"\.(" + "|".join(CATALOGUES[kind]) + r")\z"))
+    return files.orderBy(F.col("path").desc() if kind == "videos" else F.col("name") if kind == "fonts" else F.col("path"))
 
 
 def sorted_files(files: DataFrame, by: str = "modified", descending: bool = True) -> DataFrame:
