@@ -18,7 +18,7 @@ ENCODINGS = ["utf-8", "utf-8-sig", "utf-16", "utf-16-le", "utf-16-be", "gbk", "g
 
 
 def file_table(spark: SparkSession, folder: str, types: list[str] | None = VIDEO_TYPES) -> DataFrame:
-    """SRC1/SRC2: (path, size, modified) of the files of some types (None: all), folders included, without reading them."""
+    """SRC1/SRC2: (path, size, modified) of the files of some types (None: all), folders included, without reading them; Spark lists no empty files."""
     some = "*.{" + ",".join(types) + "}" if types else "*"
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", some).load(folder)
     return files.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"))

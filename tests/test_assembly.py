@@ -342,7 +342,8 @@ def test_catalogue(spark):
     at = folder()
     for name in ("b.TTF", "sub/a.otf", "c.mp3", "x.mp4", "y.mkv", "z.txt"):
         os.makedirs(os.path.dirname(f"{at}/{name}"), exist_ok=True)
-        open(f"{at}/{name}", "w").close()
+        with open(f"{at}/{name}", "w") as f:
+            f.write("x")
     names = lambda kind: [r.name for r in files.catalogue(spark, at, kind).collect()]
     assert names("fonts") == ["a.otf", "b.TTF"] and names("songs") == ["c.mp3"] and names("videos") == ["y.mkv", "x.mp4"]
 
