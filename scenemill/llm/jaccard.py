@@ -155,19 +155,19 @@ def _bucket(threshold: float):
     others, the leftovers, are compared with all that they may be linked with: leftovers, and those members that are not
     very like the centre (by the triangle inequality, what is linked with a leftover is little more like the centre than the leftover
     is). Buckets of over SMALL rows with more leftovers than that leave these rows open for the next split. The centre of a
-    bucket that is dealt in parts comes with its rows. At most one edge a row.
+    bucket that is dealt in parts comes with its rows. At most one edge a row; ``left`` marks leftovers among the open rows.
     """
 
     def run(batches):
         at, given, part = None, None, [[], [], [], []]  # keys, sizes, sketches, used tokens
-        edges, rest, sent = [], [[], [], [], [], []], set()
+        edges, rest, sent = [], [[], [], [], [], [], []], set()
 
         def close():
             keys, size, sketch, used = part
             if given is None and len(keys) < 2:
                 return
             marks, sizes = np.frombuffer(b"".join(sketch), np.uint8).reshape(-1, SKETCH), np.array(size)
-            forest, still = _Forest(keys, marks, sizes, threshold), []
+            forest, still, near = _Forest(keys, marks, sizes, threshold), [], None
             if given is None and len(keys) <= 4:
                 for i in range(len(keys) - 1):
                     forest.compare([i], np.arange(i + 1, len(keys)))
@@ -193,17 +193,17 @@ def _bucket(threshold: float):
             if len(sent) > 100_000:
                 sent.clear()
             for i in still:
-                for x, v in zip(rest, (at[0], keys[i], size[i], sketch[i], used[i])):
+                for x, v in zip(rest, (at[0], keys[i], size[i], sketch[i], used[i], not near[i])):
                     x.append(v)
 
         def batch():
             n, m = len(edges), len(rest[0])
-            columns = [[e[0] for e in edges] + [None] * m, [e[1] for e in edges] + rest[1]] + [[None] * n + rest[k] for k in (0, 2, 3, 4)]
-            kinds = [pa.binary(), pa.binary(), *(_KINDS[k] for k in (0, 2, 3, 4))]
+            columns = [[e[0] for e in edges] + [None] * m, [e[1] for e in edges] + rest[1]] + [[None] * n + rest[k] for k in (0, 2, 3, 4, 5)]
+            kinds = [pa.binary(), pa.binary(), *(_KINDS[k] for k in (0, 2, 3, 4)), pa.bool_()]
             edges.clear()
             for x in rest:
                 x.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["a", "key", "path", "size", "sketch", "used"])
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["a", "key", "path", "size", "sketch", "used", "left"])
 
         for b in batches:
             for lo in range(0, b.num_rows, 2000):
@@ -238,14 +238,14 @@ def _middle(batches):
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *(pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds))], ["path", "parts", "centre", "middle", "one"])
 
 
-def _split(rows: DataFrame, threshold: float) -> DataFrame:
-    """One step of the recursion over written rows of buckets (which go): the written output of :func:`_bucket`."""
-    source, large, centres = rows, None, None
-    hot = rows.groupBy("path").agg(F.count("*").alias("n")).where(F.col("n") > MANY)
+def _split(rows: DataFrame, threshold: float) -> tuple[DataFrame, bool]:
+    """One step of the recursion over written rows of buckets (which go): the written output of :func:`_bucket`, and whether a bucket was dealt in parts."""
+    source, centres = rows, None
+    large = hot = cut(rows.groupBy("path").agg(F.count("*").alias("n")).where(F.col("n") > MANY), "large-buckets")
+    n_large = hot.count()
     part, centre, middle, one = (F.lit(None).cast(t) for t in ("long", "binary", "double", "binary"))
-    if not hot.isEmpty():
-        large = hot = cut(hot, "large-buckets")
-        few = hot.count() <= BROADCAST
+    if n_large:
+        few = n_large <= BROADCAST
         hot = F.broadcast(hot) if few else hot
         member = F.struct("key", "size", "sketch")
         # about 64 members by a hash of their text, and one in any case
@@ -258,9 +258,9 @@ def _split(rows: DataFrame, threshold: float) -> DataFrame:
         part, centre, middle, one = F.pmod(F.xxhash64("key"), "parts"), F.col("centre"), F.col("middle"), F.col("one")
     rows = rows.select(*_NAMES, part.alias("part"), centre.alias("centre"), middle.alias("middle"), one.alias("one"))
     dealt = rows.repartition("path", "part").sortWithinPartitions("path", "part", "key")
-    out = cut(dealt.mapInArrow(_bucket(threshold), "a binary, key binary, path long, size int, sketch binary, used array<long>"), "buckets")
+    out = cut(dealt.mapInArrow(_bucket(threshold), "a binary, key binary, path long, size int, sketch binary, used array<long>, left boolean"), "buckets")
     drop(source, large, centres)
-    return out
+    return out, n_large > 0
 
 
 def _blocks(rows: DataFrame, threshold: float) -> DataFrame:
@@ -377,7 +377,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, i
     """
     base = id_text(docs, id_col, text_col).withColumn("key", F.unhex(F.md5(F.encode(F.coalesce("text", F.lit("")), "UTF-8"))))
     ids = cut(base.select("doc_id", "key", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("bytes")), "ids")
-    reps = ids.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.max("bytes").alias("bytes"))
+    reps = cut(ids.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.max("bytes").alias("bytes")), "distinct-texts")
 
     def press(batches):
         for b in batches:
@@ -418,17 +418,20 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, i
     rows = cut(base.mapInArrow(_emit(threshold, shingle), _ROWS), "paths")
     found, large, steps = [], [], []
     for depth in range(1, DEPTH + 1):
-        step = _split(rows, threshold)
+        step, dealt = _split(rows, threshold)
         steps.append(step)
         found.append(step.where("a is not null").select("a", F.col("key").alias("b")))
-        still = step.where("a is null").select(*_NAMES)
-        if still.isEmpty():
+        n_left, n_spent = step.where("a is null").agg(F.count_if("left"), F.count_if(F.size("used") >= F.col("size"))).first()
+        if not n_left:
             break
+        still = step.where("a is null").select(*_NAMES)
+        if dealt:  # a bucket without leftovers is settled: all its texts are joined to its centre, whatever its parts kept open
+            still = still.join(step.where("a is null and left").select("path").distinct(), "path", "left_semi")
         if depth == DEPTH:
             large.append(still)
             break
-        spent = still.where(F.size("used") >= F.col("size")).select("path").distinct()
-        if not spent.isEmpty():  # no token is left to split these buckets by
+        if n_spent:  # no token is left to split these buckets by
+            spent = still.where(F.size("used") >= F.col("size")).select("path").distinct()
             large.append(still.join(spent, "path", "left_semi"))
         wanted = still.groupBy("key").agg(F.max("size").alias("size"), F.max("sketch").alias("sketch"), F.collect_list(F.struct("path", "used")).alias("paths"))
         wanted = cut(wanted.join(reps.select("key", "rep"), "key"), "wanted")
