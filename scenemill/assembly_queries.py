@@ -540,3 +540,34 @@ def answer_forms(spark, sf):
 def added_rows(spark, sf):
     c = _read(spark, sf, "customer").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("v"))
     return catalog.added(c.where("k % 3 > 0"), c.where("k % 2 = 0").withColumn("v", F.lit("new")), "k")
+
+
+@query("""WITH x AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, text, CASE WHEN turn % 2 = 0 THEN turn * 7.25::DOUBLE END AS ts FROM conversations), y AS (SELECT *, coalesce(ts, (n - 1) * 5.0::DOUBLE) AS s FROM x),
+z AS (SELECT *, s + greatest(2.0::DOUBLE, least(10.0::DOUBLE, length(replace(replace(coalesce(text, ''), ' ', ''), chr(10), '')) / 2.5::DOUBLE)) AS e FROM y)
+SELECT conv_id AS file_id, n || chr(10) || """ + _HMS.format("CAST(floor(s * 1000) AS BIGINT)") + """ || ' --> ' || """ + _HMS.format("CAST(floor(e * 1000 + 0.0001) AS BIGINT)") + """ || chr(10) || coalesce(text, '') || chr(10) AS block FROM z""")
+def narration_files(spark, sf):
+    """SRT blocks of narrations, some of whose segments have no time."""
+    c = _read(spark, sf, "conversations").withColumn("timestamp", F.when(F.col("turn") % 2 == 0, F.col("turn") * 7.25))
+    cues = timeline.narration_cues(c, "conv_id", "turn").withColumnRenamed("conv_id", "file_id")
+    cues = cues.withColumn("end", F.round("end", 3) + 0.0001)  # thousandths are cut
+    return files.srt_blocks(cues, ["cue_no"]).select("file_id", "block")
+
+
+@query("""SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 's' WHEN 1 THEN '5' WHEN 2 THEN left('no json ' || repeat('x', 600), 500) WHEN 3 THEN 'AI未能返回有效结果' ELSE '' END AS summary, CASE o_orderkey % 5 WHEN 0 THEN 15 ELSE 0 END AS moments,
+ CASE WHEN o_orderkey % 5 = 1 THEN 'dark' ELSE '' END AS tone, CASE o_orderkey % 5 WHEN 2 THEN 608 WHEN 3 THEN 0 END AS raw_length, CASE WHEN o_orderkey % 5 IN (2, 3) THEN 'parse_failed' END AS error FROM orders""")
+def plot_answers(spark, sf):
+    """Plot answers as JSON, in a fence, unreadable, blank and empty."""
+    k, out = F.col("o_orderkey") % 5, F
+    moments = ",".join(["\"m\""] * 20)
+    for i, raw in enumerate(['{"summary": "s", "key_moments": [' + moments + "]}", 'x ```json\n{"summary": 5, "tone": "dark"}\n``` y', "no json " + "x" * 600, " \n　", " {} "]):
+        out = out.when(k == i, raw)
+    r = text.plot_analysis(out)
+    return _read(spark, sf, "orders").select("o_orderkey", r["summary"].alias("summary"), F.size(r["key_moments"]).alias("moments"), r["tone"].alias("tone"), F.length(r["raw_response"]).alias("raw_length"), r["error"].alias("error"))
+
+
+@query("""SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN '1920' WHEN 1 THEN '640' ELSE '1280' END AS width, CASE c_custkey % 3 WHEN 0 THEN '29.5' WHEN 1 THEN 'N/A' ELSE '25' END AS fps, CASE c_custkey % 3 WHEN 0 THEN c_custkey || '.5=x' WHEN 2 THEN '0' END AS duration, left(md5(c_custkey || '/' || c_name), 8) AS id FROM customer""")
+def probed_videos(spark, sf):
+    n = F.col("c_custkey")
+    out = F.when(n % 3 == 0, F.concat(F.lit("width=1920\nnoise\nr_frame_rate=59/2\nduration="), n.cast("string"), F.lit(".5=x"))).when(n % 3 == 1, "width=640\nr_frame_rate=N/A")
+    info = media.probe_info(out)
+    return _read(spark, sf, "customer").select("c_custkey", *[F.try_element_at(info, F.lit(k)).alias(k) for k in ("width", "fps", "duration")], text.short_id(n, F.col("c_name")).alias("id"))

@@ -152,6 +152,18 @@ def size_in(size: Column, unit: str = "MB") -> Column:
     return size / float({"KB": 1 << 10, "MB": 1 << 20, "GB": 1 << 30}.get(unit.upper(), 1))
 
 
+def probe_info(output: Column) -> Column:
+    """SRC18: the ``key=value`` lines of a probed video as a map of strings, with ``fps`` from a rate of two whole numbers (any other rate as
+    it stands); a probe that failed (null) gives 1280 x 720 at 25 without length."""
+    lines = F.filter(F.split(output, "\n"), lambda x: F.contains(x, F.lit("=")))
+    pairs = F.transform(lines, lambda x: F.struct(F.regexp_extract(x, "^([^=]*)=", 1).alias("key"), F.regexp_extract(x, "(?s)^[^=]*=(.*)", 1).alias("value")))
+    info = F.map_from_entries(pairs)
+    rate = F.try_element_at(info, F.lit("r_frame_rate"))
+    fps = F.when(rate.rlike(r"^\s*[+-]?\d+\s*/\s*[+-]?\d+\s*$"), frame_rate(F.regexp_replace(rate, r"\s", "")).cast("string")).otherwise(rate)
+    known = F.when(rate.isNotNull(), F.map_concat(info, F.create_map(F.lit("fps"), fps))).otherwise(info)
+    return F.coalesce(known, F.create_map(*[F.lit(x) for x in ("width", "1280", "height", "720", "fps", "25", "duration", "0")]))
+
+
 def frame_rate(text: Column) -> Column:
     """X34: '30000/1001' or '25' to a number; null for a bad one."""
     p = F.split(text, "/")

@@ -9,6 +9,11 @@ from pyspark.sql import functions as F
 BREAKS = r"(?<![0-9])\.|\.(?![0-9])|[?,、;:!…？，。；：！\n]"
 
 
+def let(value: Column, f) -> Column:
+    """f of a value that is computed once, however often f names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def split_marks(text: Column) -> Column:
     """Parts between sentence marks, trimmed, without empty ones."""
     return F.filter(F.transform(F.split(text, BREAKS), lambda p: F.trim(p)), lambda p: p != "")
@@ -278,6 +283,39 @@ def plot_result(answer: Column) -> Column:
     )
 
 
+def plot_analysis(answer: Column) -> Column:
+    """A plot answer as :func:`plot_result` gives it, read as JSON, in a fence or between the outermost braces; one that does not parse
+    gives a degraded record: its first 500 characters as summary, 2000 as ``raw_response``, and the ``error``."""
+    names = ("summary", "key_moments", "characters", "main_conflict", "tags", "tone", "target_audience")
+
+    def read(fields: Column) -> Column:
+        text = lambda k: F.try_variant_get(F.try_element_at(fields, F.lit(k)), "$", "string")
+        some = lambda k: F.try_variant_get(F.try_element_at(fields, F.lit(k)), "$", "array<string>")
+        return F.struct(*[text(k).alias(k) for k in ("summary", "main_conflict", "tone", "target_audience")], *[some(k).alias(k) for k in ("key_moments", "characters", "tags")], fields.isNull().alias("bad"))
+
+    def record(t: Column, got: Column) -> Column:
+        good, bad = plot_result(got), got["bad"]
+        degraded = F.when(F.coalesce(t, F.lit("")) == "", "AI未能返回有效结果").otherwise(F.substring(t, 1, 500))
+        return F.struct(
+            *[F.when(bad, degraded).otherwise(good[k]).alias(k) if k == "summary" else good[k].alias(k) for k in names],
+            F.when(bad, F.substring(t, 1, 2000)).alias("raw_response"), F.when(bad, "parse_failed").alias("error"),
+        )
+
+    stripped = F.regexp_replace(answer, r"(?U)^\s+|\s+\z", "")
+    return let(stripped, lambda t: let(let(F.try_variant_get(_object(t), "$", "map<string,variant>"), read), lambda got: record(t, got)))
+
+
+def _object(text: Column) -> Column:
+    """The JSON object that a text is, that stands in its fence or between its outermost braces."""
+    fenced = F.nullif(F.trim(F.regexp_extract(text, r"(?s)```(?:json)?\s*(.*?)\s*```", 1)), F.lit(""))
+    return F.coalesce(*[F.when(F.startswith(F.ltrim(t), F.lit("{")), F.try_parse_json(t)) for t in (text, fenced, _braces(text))])
+
+
+def short_id(*parts: Column, length: int = 8) -> Column:
+    """A short tag made from a row's key, the same in every run."""
+    return F.substring(F.md5(F.concat_ws("/", *[p.cast("string") for p in parts])), 1, length)
+
+
 def full_text(written: Column, segments: Column, raw: Column) -> Column:
     """The text of a narration: as written, else its segments' texts joined, else the first 2000 characters of the answer."""
     joined = F.array_join(F.transform(segments, lambda s: F.coalesce(s["text"], F.lit(""))), " ")
@@ -322,9 +360,6 @@ def narration_script(answer: Column, title: str = "AI解说文案") -> Column:
     Segments are records (timestamp as a number, 0 where it is none; text as a string; emphasis by truth) or plain strings; anything else is left
     out. Without a text of its own the segments' texts are joined; an answer that does not parse, or without either, gives its first 2000 characters.
     """
-    fenced = F.nullif(F.trim(F.regexp_extract(answer, r"(?s)```(?:json)?\s*(.*?)\s*```", 1)), F.lit(""))
-    whole = F.coalesce(*[F.when(F.startswith(F.ltrim(t), F.lit("{")), F.try_parse_json(t)) for t in (answer, fenced, _braces(answer))])
-    items = F.coalesce(F.try_variant_get(whole, "$.segments", "array<variant>"), F.array().cast("array<variant>"))
     kind = lambda v: F.regexp_extract(F.schema_of_variant(v), r"^(\w+)", 1)
 
     def segment(v: Column) -> Column:
@@ -336,7 +371,10 @@ def narration_script(answer: Column, title: str = "AI解说文案") -> Column:
             F.when(fields.isNull(), F.try_variant_get(v, "$", "string")).otherwise(said).alias("text"), F.coalesce(_truth(F.try_element_at(fields, F.lit("emphasis"))), F.lit(False)).alias("emphasis"),
         )
 
-    segments = F.transform(F.filter(items, lambda v: kind(v).isin("OBJECT", "STRING")), segment)
-    return F.struct(
-        F.coalesce(F.try_variant_get(whole, "$.title", "string"), F.lit(title)).alias("title"), full_text(F.try_variant_get(whole, "$.full_text", "string"), segments, answer).alias("full_text"), segments.alias("segments"),
-    )
+    def record(whole: Column) -> Column:
+        items = F.coalesce(F.try_variant_get(whole, "$.segments", "array<variant>"), F.array().cast("array<variant>"))
+        return let(F.transform(F.filter(items, lambda v: kind(v).isin("OBJECT", "STRING")), segment), lambda segments: F.struct(
+            F.coalesce(F.try_variant_get(whole, "$.title", "string"), F.lit(title)).alias("title"), full_text(F.try_variant_get(whole, "$.full_text", "string"), segments, answer).alias("full_text"), segments.alias("segments"),
+        ))
+
+    return let(_object(answer), record)

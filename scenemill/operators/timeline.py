@@ -173,6 +173,15 @@ def narration_lengths(texts: DataFrame) -> DataFrame:
     return texts.withColumn("duration", F.greatest(F.lit(2.0), F.least(F.lit(10.0), chars / 2.5)))
 
 
+def narration_cues(segments: DataFrame, group: str, order: str) -> DataFrame:
+    """SNK3: cues of a narration's segments(group, order, timestamp, text), numbered from 1: from their time (without one: 5 seconds a segment
+    before it) for as long as their text is spoken; :func:`..sources.files.srt_blocks` makes the file's blocks of them."""
+    place = F.row_number().over(Window.partitionBy(group).orderBy(order))
+    start = F.coalesce(F.col("timestamp"), (place - 1) * 5.0)
+    out = narration_lengths(segments.withColumns({"cue_no": place, "start": start, "text": F.coalesce("text", F.lit(""))}))
+    return out.withColumn("end", F.col("start") + F.col("duration")).select(group, "cue_no", "start", "end", "text")
+
+
 def transcript(cues: DataFrame, most: int = 8000) -> DataFrame:
     """Non-empty texts of a job as lines '[E1 5s]: text' in order, cut to ``most`` characters.
 
