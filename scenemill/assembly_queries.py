@@ -571,3 +571,73 @@ def probed_videos(spark, sf):
     out = F.when(n % 3 == 0, F.concat(F.lit("width=1920\nnoise\nr_frame_rate=59/2\nduration="), n.cast("string"), F.lit(".5=x"))).when(n % 3 == 1, "width=640\nr_frame_rate=N/A")
     info = media.probe_info(out)
     return _read(spark, sf, "customer").select("c_custkey", *[F.try_element_at(info, F.lit(k)).alias(k) for k in ("width", "fps", "duration")], text.short_id(n, F.col("c_name")).alias("id"))
+
+
+# --- words, lines and files by hand ------------------------------------------------------------------------------
+
+#: Texts with their keyword, pattern, intensity and whole scores, worked out by hand from the published lists.
+_FEELINGS = [
+    ("你背叛我，这是谎言", 0.6667, 0.0, 0.0, 0.4), ("真相大白，永远不要后悔", 1.0, 0.0, 0.0, 0.6), ("天哪！！", 0.2, 1.0, 0.5, 0.445), ("", 0.0, 0.0, 0.0, 0.0), ("nooo way", 0.0, 1.0, 0.1, 0.265), ("plain", 0.0, 0.0, 0.0, 0.0),
+]
+
+
+def _feeling(k: int) -> str:
+    return f"CASE event_id % {len(_FEELINGS)} " + " ".join(f"WHEN {i} THEN {v[k]}" for i, v in enumerate(_FEELINGS)) + " END::DOUBLE"
+
+
+@query(f"SELECT event_id, {_feeling(1)} AS keyword, {_feeling(2)} AS pattern, {_feeling(3)} AS intensity, {_feeling(4)} AS total FROM events")
+def emotion_by_hand(spark, sf):
+    from .operators import emotion
+
+    said = F.get(F.array(*[F.lit(v[0]) for v in _FEELINGS]), (F.col("event_id") % len(_FEELINGS)).cast("int"))
+    out = emotion.emotion_scores(_read(spark, sf, "events").select("event_id", said.alias("text")))
+    names = {"keyword": "keyword_score", "pattern": "pattern_score", "intensity": "intensity_score", "total": "emotion_score"}
+    return out.select("event_id", *[F.round(c, 4).alias(n) for n, c in names.items()])
+
+
+@query("""SELECT o_orderkey AS file_id, CAST(0 AS INTEGER) AS cue_idx, 1.0::DOUBLE AS start, 2.5::DOUBLE AS "end", 'A' || o_orderkey AS text FROM orders UNION ALL SELECT o_orderkey, 2, 60.25, 61.0, 'B' || chr(10) || 'C' FROM orders""")
+def srt_blocks_parse(spark, sf):
+    """Files of several blocks: one without an arrow and one without text go."""
+    n = F.concat(F.lit("A"), F.col("o_orderkey").cast("string"))
+    srt = F.concat(F.lit("1\n00:00:01,000 --> 00:00:02,500\n"), n, F.lit("\n\n2\nno arrow\nx\n\n3\n00:01:00.250 --> 00:01:01,000\nB\nC\n\n \n4\n00:00:09,000 --> 00:00:10,000\n"))
+    return files.parse_srt(_read(spark, sf, "orders").select(F.col("o_orderkey").alias("file_id"), srt.alias("text")))
+
+
+@query("SELECT c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS place FROM customer")
+def natural_order(spark, sf):
+    """Places by name where digits count as numbers and case does not: clip 9 comes before Clip 10."""
+    name = F.concat(F.when(F.col("c_custkey") % 2 == 0, "Clip ").otherwise("clip "), F.col("c_custkey").cast("string"), F.lit(".mp4"))
+    w = Window.partitionBy("c_nationkey").orderBy(text.natural_key(name))
+    return _read(spark, sf, "customer").select("c_custkey", F.row_number().over(w).cast("long").alias("place"))
+
+
+@query(r"""SELECT doc_id, trim(regexp_replace(text, '(\d{2}:\d{2}:\d{2})\.(\d{3})', '\1,\2', 'g'), ' ') AS normal, regexp_matches(text, '[?,.、;:!…？，。；：！\n]') AS marked, length(regexp_replace(text, '[^\p{L}\p{N}\p{M}_\p{Pc}]', '', 'g')) AS letters, 'mp4' AS ending,
+ CASE WHEN doc_id % 2 = 0 THEN ['a', 'b'] END AS strings, CASE WHEN doc_id % 3 = 0 THEN '-20.5' END AS loudness FROM documents""")
+def text_forms(spark, sf):
+    """X1, X3, X7, X11, X18 and X21 side by side."""
+    n = F.col("doc_id")
+    log = F.when(n % 3 == 0, 'x\n{\n"input_i": "-20.5"\n}\n').otherwise("x {")
+    return _read(spark, sf, "documents").select(
+        n, text.normalize_subtitle(F.col("text")).alias("normal"), text.has_mark(F.col("text")).alias("marked"), F.length(text.line_key(F.col("text"), 2)).cast("long").alias("letters"), text.extension(F.lit("a.b.MP4")).alias("ending"),
+        text.string_list(F.when(n % 2 == 0, 'so ["a", "b"] ok').otherwise("[1]")).alias("strings"), F.try_variant_get(text.loudness_report(log), "$.input_i", "string").alias("loudness"),
+    )
+
+
+@query("""WITH w AS (SELECT conv_id, turn, turn * 20000000 AS s, CASE WHEN conv_id % 5 > 0 THEN turn * 20000000 + (turn % 3 - 1) * 5000000 END AS e FROM conversations), l AS (SELECT conv_id, coalesce(max_by(e, turn) / 10000000.0::DOUBLE, 0.0) AS seconds FROM w GROUP BY 1)
+SELECT w.conv_id, turn, coalesce(greatest(0, e - s), 0) AS duration, seconds FROM w JOIN l USING (conv_id)""")
+def spoken_words(spark, sf):
+    """Words whose end lies before their start, clips without ends."""
+    t = F.col("turn")
+    words = _read(spark, sf, "conversations").select("conv_id", "turn", (t * 20000000).alias("start"), F.when(F.col("conv_id") % 5 > 0, t * 20000000 + (t % 3 - 1) * 5000000).alias("end"))
+    return timeline.word_events(words).join(timeline.speech_length(words, "conv_id", "turn"), "conv_id").select("conv_id", "turn", "duration", "seconds")
+
+
+@query("""WITH v AS (SELECT user_id AS job, event_id AS index, (event_id % 8) / 4.0::DOUBLE AS d, event_id % 3 = 0 AS k FROM events), p AS (SELECT *, coalesce(sum(d) OVER (PARTITION BY job ORDER BY index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS start FROM v)
+SELECT job, index, start, 'f' || index || '-1' AS file FROM p WHERE k AND index % 2 = 0""")
+def audio_places(spark, sf):
+    """Where kept sounds start, the first of two files of an index."""
+    e, n = _read(spark, sf, "events"), F.col("event_id")
+    videos = e.select(F.col("user_id").alias("job"), n.alias("index"), (n % 8 / 4.0).alias("duration"), (n % 3 == 0).alias("keep_audio"))
+    audio = e.where(n % 2 == 0).select(F.col("user_id").alias("job"), n.alias("index"), F.explode(F.array(F.lit(2), F.lit(1))).alias("ord"))
+    audio = audio.withColumn("path", F.concat(F.lit("f"), F.col("index").cast("string"), F.lit("-"), F.col("ord").cast("string")))
+    return timeline.audio_starts(videos, audio)

@@ -226,6 +226,7 @@ def _repaired(text: Column) -> Column:
     """Single braces, comments and trailing commas gone, keys in double quotes."""
     out = F.replace(F.replace(text, F.lit("{{"), F.lit("{")), F.lit("}}"), F.lit("}"))
     out = F.coalesce(_braces(out), out)
+    # What is replaced, in order.
     for pattern, by in (("#.*", ""), ("//.*", ""), (r",\s*\}", "}"), (r",\s*\]", "]"), (r"'([^']*)':", '"$1":'), (r"(\w+)(\s*):", '"$1"$2:'), (r'""([^"]*?)""', '"$1"')):
         out = F.regexp_replace(out, pattern, by)
     return out
@@ -244,6 +245,7 @@ def parse_json(text: Column, schema: str) -> Column:
 
 def placeholder_item(text: Column) -> Column:
     """The script item that stands for an answer that does not parse: its first 100 characters as narration."""
+    # The item's texts.
     short = F.when(F.length(text) > 100, F.concat(F.substring(text, 1, 100), F.lit("..."))).otherwise(text)
     return F.struct(
         F.lit(1).alias("_id"), F.lit("00:00:00,000-00:00:10,000").alias("timestamp"), F.lit("解析失败，使用默认内容").alias("picture"), short.alias("narration"), F.lit(0).alias("OST")

@@ -87,6 +87,7 @@ def range_duration(text: Column) -> Column:
     return F.round(F.coalesce(b["end"] - b["start"], F.lit(0.0)), 2)
 
 
+# The two forms of clip names with times.
 _CLIP = r"vid_(\d{2})-(\d{2})-(\d{2})-(\d{3})@(\d{2})-(\d{2})-(\d{2})-(\d{3})\.mp4"
 _CLIP_SHORT = r"vid-(\d{2})-(\d{2})-(\d{2})-(\d{2})-(\d{2})-(\d{2})\.mp4"
 

@@ -38,6 +38,7 @@ def plot_script(plots: DataFrame, group: str = "script_id") -> DataFrame:
     The tag is made from the key and the number, so it is the same in every run. Null and empty lists give no rows.
     """
     each = plots.select(group, F.posexplode("plot_points").alias("_at", "_point")).withColumn("_id", F.col("_at") + 1)
+    # Fixed value: how a tag begins.
     tag = F.concat(F.lit("播放原生_"), F.substring(F.md5(F.concat_ws("/", F.col(group).cast("string"), F.col("_id").cast("string"))), 1, 8))
     return each.select(group, "_id", F.col("_point.timestamp").alias("timestamp"), F.col("_point.picture").alias("picture"), tag.alias("narration"), F.lit(1).alias("OST"))
 
@@ -54,6 +55,7 @@ def new_timestamps(items: DataFrame, group: str = "script_id", order: str = "ord
     out = items.withColumn("new_timestamp", F.when(length.isNotNull(), span))
     if not minutes:
         return out
+    # Fixed value: how a tag begins.
     tag = F.concat(F.lit("原声播放_"), F.substring(F.md5(F.concat_ws("/", F.col(group).cast("string"), F.col(order).cast("string"))), 1, 8))
     return out.withColumn("narration", F.when(F.coalesce(F.col("narration"), F.lit("")) == "", tag).otherwise(F.col("narration")))
 

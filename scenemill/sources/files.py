@@ -91,8 +91,9 @@ def read_subtitles(spark: SparkSession, path: str) -> DataFrame:
 
 def parse_srt(df: DataFrame, text: str = "text") -> DataFrame:
     """SRC4/SRC7: blocks of index, times and text between blank lines; blocks under three lines or without an arrow go."""
-    blocks = df.select(*[c for c in df.columns if c != text], F.posexplode(F.split(F.trim(text), r"\n\s*\n")).alias("cue_idx", "block"))
-    lines = F.split(F.trim("block"), "\n")
+    strip = lambda c: F.regexp_replace(c, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z", "")
+    blocks = df.select(*[c for c in df.columns if c != text], F.posexplode(F.split(strip(F.col(text)), r"\n\s*\n")).alias("cue_idx", "block"))
+    lines = F.split(strip(F.col("block")), "\n")
     times = F.split(F.get(lines, F.lit(1)), "-->")
     good = blocks.where((F.size(lines) >= 3) & F.contains(F.get(lines, F.lit(1)), F.lit("-->")))
     return good.select(
