@@ -641,3 +641,38 @@ def audio_places(spark, sf):
     audio = e.where(n % 2 == 0).select(F.col("user_id").alias("job"), n.alias("index"), F.explode(F.array(F.lit(2), F.lit(1))).alias("ord"))
     audio = audio.withColumn("path", F.concat(F.lit("f"), F.col("index").cast("string"), F.lit("-"), F.col("ord").cast("string")))
     return timeline.audio_starts(videos, audio)
+
+
+@query("""WITH x AS (SELECT event_id AS n, CAST(event_id % 50 + 1 AS INTEGER) AS w, (event_id % 3) * 1000.0::DOUBLE AS r FROM events) SELECT n AS event_id, CASE n % 4 WHEN 0 THEN 'empty_analysis' WHEN 1 THEN 'analysis_too_short' WHEN 2 THEN 'warning_no_keyword' END AS analysis, CASE n % 3 WHEN 0 THEN 'r' WHEN 1 THEN 'u' END AS option,
+ n AS saved, 2 AS forced, ['x(c1)', 'b(c2)'] AS matched, 2 AS hits, round(CASE WHEN r > 0 THEN 20 * log10(r / 32768.0::DOUBLE) ELSE -60.0 END, 6) AS level, CASE WHEN w * 40 > 100 THEN w * 40 / 10000.0::DOUBLE ELSE 0.01 END AS face, CASE WHEN w * 40 > 100 THEN (20 + w / 2.0::DOUBLE) / 100.0::DOUBLE ELSE 0.05 END AS center_x, w * 40 > 1500 AS closeup FROM x""")
+def unit_rules(spark, sf):
+    """P20, P24, P27, F12b, F16, F24 and F32 side by side."""
+    n = F.col("event_id")
+    pick = lambda *v: F.get(F.array(*[F.lit(x) for x in v]), (n % len(v)).cast("int"))
+    saved, defaults = F.create_map(F.lit("b"), n, F.lit("c"), F.lit(3).cast("long")), F.create_map(F.lit("a"), F.lit(1).cast("long"), F.lit("b"), F.lit(2).cast("long"))
+    box = lambda x, w, h: F.struct(F.lit(x).alias("x"), F.lit(x).alias("y"), w.alias("w"), F.lit(h).alias("h"))
+    face = media.largest_face(F.array(box(0, F.lit(10).cast("long"), 10), box(20, n % 50 + 1, 40)), F.lit(100.0), F.lit(100.0))
+    return _read(spark, sf, "events").select(
+        "event_id", checks.analysis(pick(" ", "short 剧情", "x" * 60, "剧情" * 30)).alias("analysis"), checks.chosen_option(pick("d", "u", None), F.lit("d"), F.lit("r")).alias("option"),
+        checks.merged(defaults, saved)["b"].alias("saved"), checks.merged(defaults, saved, force=True)["b"].cast("int").alias("forced"), text.matched_terms(F.lit("xaybz"), {"c1": ["x", "q"], "c2": ["b"]}).alias("matched"),
+        text.lexicon_hits(F.lit("ab"), ["ab", "c", "d"], F.array(F.lit("c"), F.lit("x"))).alias("hits"), F.round(scoring.rms_db(n % 3 * 1000.0), 6).alias("level"), face["size_ratio"].alias("face"), face["center_x"].alias("center_x"), face["is_closeup"].alias("closeup"),
+    )
+
+
+@query("""WITH p AS (SELECT p_brand AS category, p_type AS name, lpad(p_size::VARCHAR, 3, '0') AS version, min(p_partkey) AS id FROM part GROUP BY ALL), w AS (SELECT p_partkey, p_brand AS category, p_type AS name, CASE p_partkey % 3 WHEN 1 THEN lpad(p_size::VARCHAR, 3, '0') WHEN 2 THEN 'zzz' END AS version FROM part),
+d AS (SELECT category, name, max(version) AS v FROM p GROUP BY 1, 2), a AS (SELECT p_partkey, w.category, w.name, coalesce(w.version, d.v) AS version FROM w LEFT JOIN d ON w.category = d.category AND w.name = d.name) SELECT p_partkey, a.version, id FROM a LEFT JOIN p ON p.category = a.category AND p.name = a.name AND p.version = a.version""")
+def picked_prompts(spark, sf):
+    """Prompts of a version, of the default one, and of one that there is not."""
+    p = _read(spark, sf, "part").select("p_partkey", F.col("p_brand").alias("category"), F.col("p_type").alias("name"), F.lpad(F.col("p_size").cast("string"), 3, "0").alias("version"))
+    prompts = p.groupBy("category", "name", "version").agg(F.min("p_partkey").alias("id"))
+    wanted = p.withColumn("version", F.when(F.col("p_partkey") % 3 == 1, F.col("version")).when(F.col("p_partkey") % 3 == 2, "zzz"))
+    return reports.pick_prompts(wanted, prompts).select("p_partkey", "version", "id")
+
+
+@query("""SELECT vec_id AS segment_id, round(sqrt(avg(x * x)), 6) AS rms, round(CASE WHEN sqrt(avg(x * x)) > 0 THEN 20 * log10(sqrt(avg(x * x)) / 32768.0::DOUBLE) ELSE -60.0 END, 6) AS rms_db FROM (SELECT vec_id, unnest(embedding)::DOUBLE * 1000 AS x FROM embeddings) GROUP BY 1""")
+def segment_loudness(spark, sf):
+    """F24 over the samples of each segment."""
+    from .operators import features
+
+    samples = _read(spark, sf, "embeddings").select(F.col("vec_id").alias("segment_id"), F.explode("embedding").alias("x")).withColumn("value", F.col("x").cast("double") * 1000)
+    return features.loudness_by_segment(samples).select("segment_id", F.round("rms", 6).alias("rms"), F.round("rms_db", 6).alias("rms_db"))
