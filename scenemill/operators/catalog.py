@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from ..functions.checks import blank
 
 
-def keep_first(df: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """The first row of each key."""
+def keep_first(df: DataFrame, key: str | list[str], order: list[str]) -> DataFrame:
+    """The first row of each key. A frame that is dealt by one column of the key already is not dealt again."""
     name = "n"
     while name in {c.lower() for c in df.columns}:
         name += "_"
-    return df.withColumn(name, F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col(name) == 1).drop(name)
+    return df.withColumn(name, F.row_number().over(Window.partitionBy(*([key] if isinstance(key, str) else key)).orderBy(*order))).where(F.col(name) == 1).drop(name)
 
 
 def take_budget(clips: DataFrame, group: str, order: str, budget: Column, most: float) -> DataFrame:

@@ -13,7 +13,7 @@ def places(rows: DataFrame, group: str, order: str, name: str = "place", width:
     """Adds each row's place from 0 within its group by a whole-number column; ties are numbered in any order, rows without a number go.
 
     Counts by range of ``width`` values (one small row each) are summed up over the ranges of a group; rows are numbered
-    within a range only, so that no task holds a group.
+    within a range only, so that no task holds a group. ``width`` should let a range hold many rows: the larger the gaps between numbers, the wider.
     """
     ranged = rows.where(F.col(order).isNotNull()).withColumn("_range", F.floor(F.col(order) / width))
     counts = ranged.groupBy(group, "_range").agg(F.count("*").alias("_n"))

@@ -351,13 +351,18 @@ def _unique_items(spark, sf):
     return catalog.keep_first(_items(spark, sf), "_id", ["timestamp", "duration"])
 
 
+def _script_items(spark, sf):
+    """The same, dealt once by script: what runs over a script's items needs no other exchange."""
+    return catalog.keep_first(_items(spark, sf).repartition("script_id"), ["script_id", "_id"], ["timestamp", "duration"])
+
+
 _UNIQ = f"""{_ITEMS}, u AS (SELECT * FROM items QUALIFY row_number() OVER (PARTITION BY _id ORDER BY ts, duration) = 1), ed AS (SELECT *, sum(duration) OVER (PARTITION BY script_id ORDER BY ord ROWS UNBOUNDED PRECEDING) AS e FROM u)"""
 _CLOCK = "printf('%02d:%02d:%02d', CAST(floor(({0}) / 3600) AS INTEGER), CAST(floor((({0}) % 3600) / 60) AS INTEGER), CAST(floor(({0}) % 60) AS INTEGER))"
 
 
 @query(f"WITH {_UNIQ} SELECT script_id, ord, e - duration AS edited_start, e AS edited_end, CASE WHEN duration > 0 THEN {_CLOCK.format('e - duration')} || '-' || {_CLOCK.format('e')} END AS edited FROM ed")
 def edit_timeline(spark, sf):
-    return timeline.edit_timeline(_unique_items(spark, sf)).select("script_id", "ord", "edited_start", "edited_end", F.col("editedTimeRange").alias("edited"))
+    return timeline.edit_timeline(_script_items(spark, sf)).select("script_id", "ord", "edited_start", "edited_end", F.col("editedTimeRange").alias("edited"))
 
 
 def _speech(spark, sf):
@@ -615,7 +620,7 @@ def first_rendition(spark, sf):
 
 @query(f"WITH {_UNIQ}, c AS (SELECT script_id, ord, coalesce(sum(least(duration, 5.0::DOUBLE)) OVER (PARTITION BY script_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used_before FROM u) SELECT * FROM c WHERE used_before <= 12")
 def budgeted_take(spark, sf):
-    return catalog.take_budget(_unique_items(spark, sf), "script_id", "ord", F.lit(12.0), 5.0).select("script_id", "ord", "used_before")
+    return catalog.take_budget(_script_items(spark, sf), "script_id", "ord", F.lit(12.0), 5.0).select("script_id", "ord", "used_before")
 
 
 @query("SELECT c_custkey, coalesce(n, 0) AS n_items, coalesce(m, -1) AS first_item FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n, min(o_orderkey) AS m FROM orders GROUP BY 1) ON c_custkey = o_custkey")
@@ -865,7 +870,7 @@ def prompt_timeline(spark, sf):
 
 @query(f"""WITH {_UNIQ} SELECT _id, e - duration AS position FROM ed WHERE ost != 1""")
 def audio_timeline(spark, sf):
-    items = _unique_items(spark, sf).withColumn("audio", F.when(F.col("OST") != 1, "a.mp3"))
+    items = _script_items(spark, sf).withColumn("audio", F.when(F.col("OST") != 1, "a.mp3"))
     return reports.audio_timeline(items).select("_id", "position")
 
 
