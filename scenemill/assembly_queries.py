@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .functions import checks, media, scoring, serialize, text, timecode, voices
-from .operators import catalog, positions, records, reports, rules, sampling, segmentation, timeline
+from .operators import catalog, emotion, features, positions, records, reports, rules, sampling, segmentation, timeline
 from .plans import highlights
 from .queries import _FIT, _ITEMS, _items, _read, query
 from .sources import files, stock
@@ -587,8 +587,6 @@ def _feeling(k: int) -> str:
 
 @query(f"SELECT event_id, {_feeling(1)} AS keyword, {_feeling(2)} AS pattern, {_feeling(3)} AS intensity, {_feeling(4)} AS total FROM events")
 def emotion_by_hand(spark, sf):
-    from .operators import emotion
-
     said = F.get(F.array(*[F.lit(v[0]) for v in _FEELINGS]), (F.col("event_id") % len(_FEELINGS)).cast("int"))
     out = emotion.emotion_scores(_read(spark, sf, "events").select("event_id", said.alias("text")))
     names = {"keyword": "keyword_score", "pattern": "pattern_score", "intensity": "intensity_score", "total": "emotion_score"}
@@ -672,7 +670,5 @@ def picked_prompts(spark, sf):
 @query("""SELECT vec_id AS segment_id, round(sqrt(avg(x * x)), 6) AS rms, round(CASE WHEN sqrt(avg(x * x)) > 0 THEN 20 * log10(sqrt(avg(x * x)) / 32768.0::DOUBLE) ELSE -60.0 END, 6) AS rms_db FROM (SELECT vec_id, unnest(embedding)::DOUBLE * 1000 AS x FROM embeddings) GROUP BY 1""")
 def segment_loudness(spark, sf):
     """F24 over the samples of each segment."""
-    from .operators import features
-
     samples = _read(spark, sf, "embeddings").select(F.col("vec_id").alias("segment_id"), F.explode("embedding").alias("x")).withColumn("value", F.col("x").cast("double") * 1000)
     return features.loudness_by_segment(samples).select("segment_id", F.round("rms", 6).alias("rms"), F.round("rms_db", 6).alias("rms_db"))
