@@ -398,6 +398,20 @@ def test_fuzzy_passage_of_common_lines(spark):
     assert (4, 3) in _found(spark, texts)[0]
 
 
+@pytest.mark.parametrize("sizes", [(1_000_000, 4, 2_000_000), (40, 1, 3)])
+def test_fuzzy_passage_of_common_seeds(spark, monkeypatch, sizes):
+    """Each seed of the passage, long ones too, stands in four documents without it, two of them between its two documents; copies are tied once."""
+    for name, value in zip(("BLOCK", "BLOCKS", "PAIRS"), sizes):
+        monkeypatch.setattr(chaining, name, value)
+    rng = random.Random(9)
+    own = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    passage = own(60)
+    pieces = lambda: [" ".join(own(30) + passage[k : k + 38] + own(30)) for k in (0, 11, 22) for _ in range(2)]
+    whole = lambda: " ".join(own(40) + passage + own(40))
+    texts = [*pieces(), whole(), *pieces(), whole(), *pieces(), whole()]
+    assert _found(spark, [*texts, texts[13], texts[13]])[0] == {(13, 6), (20, 6), (20, 13), (21, 13), (22, 13)}
+
+
 def test_fuzzy_passages_edited_to_the_bound(spark):
     rng = random.Random(5)
     own = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
