@@ -6,8 +6,10 @@ import hashlib
 import heapq
 import re
 import struct
+import zlib
 from array import array
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -126,7 +128,10 @@ class Model:
             alone = "".join(re.escape(c) for c in map(chr, range(128)) if c not in inner)
             self.chunks = re.compile(f"{SPACE}*[^{SPACE}{alone}]+|{SPACE}+|[{alone}]" if alone else f"{SPACE}*[^{SPACE}]+|{SPACE}+").findall
 
-    def normalize(self, text: str, aligned: bool = False) -> tuple[str, list[int] | None]:
+        # What an id stands for by itself; byte pieces need their neighbours.
+        self.text_of = [None if i in self.byte_of else self.unknown_text if i in self.unknown else "" if i in self.silent else name.replace(SPACE, " ") for i, name in enumerate(self.names)]
+
+    def normalize(self, text: str, aligned: bool = False) -> tuple[str, list[int] | np.ndarray | None]:
         """The normalised text; with ``aligned``, the source byte where each of its characters starts, and the end of the last.
 
         At each place the longest key of the character map is replaced; where none starts, one character is kept. Spaces
@@ -135,9 +140,13 @@ class Model:
         if not text:
             return "", [0] if aligned else None
         space = SPACE if self.escape else " "
-        if not aligned and not self.map.units and not self.squeeze and not self.suffix:
-            return (space if self.prefix else "") + (text.replace(" ", SPACE) if self.escape else text), None
         raw = text.encode("utf-8", "replace")
+        if not self.map.units and not self.squeeze and not self.suffix:  # no key can start anywhere: each character stands where it stood
+            whole = (space if self.prefix else "") + (text.replace(" ", SPACE) if self.escape else text)
+            if not aligned:
+                return whole, None
+            starts = np.flatnonzero((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)
+            return whole, np.concatenate(([0] if self.prefix else [], starts, [len(raw)])).astype(np.int64)
         out, starts, at, gap, begun = [], [], 0, self.squeeze, False
         while at < len(raw):
             used, new = self.map.longest(raw, at)
@@ -215,30 +224,47 @@ class Model:
             out.extend([self.byte_id[b] for b in part.encode("utf-8", "replace")] if known is None else [known])
         return out
 
+    def coded(self, chunk: str) -> tuple[bytes, bytes, str]:
+        """Ids of one chunk, the characters that each covers (both as packed numbers) and the ids' decimal names; of the bytes of a character that is no piece, the last one covers it."""
+        ids, sizes = array("i"), array("H")
+        for part in self.merge(chunk):
+            known = self.id.get(part)
+            some = [self.byte_id[b] for b in part.encode("utf-8", "replace")] if known is None else [known]
+            ids.extend(some)
+            sizes.extend([0] * (len(some) - 1) + [len(part)])
+        return ids.tobytes(), sizes.tobytes(), ",".join(map(str, ids))
+
+    def spans(self, text: str, table: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, str]:
+        """:meth:`encode` as arrays, with the ids' decimal names joined by commas; ``table`` keeps the chunks from text to text."""
+        whole, places = self.normalize(text, aligned=True)
+        found, known = [], table.get
+        for c in self.chunks(whole):
+            if (got := known(c)) is None:
+                if len(table) > TABLE_CHUNKS:
+                    table.clear()
+                got = table[c] = self.coded(c)
+            found.append(got)
+        ids = np.frombuffer(b"".join([f[0] for f in found]), np.int32)
+        sizes = np.frombuffer(b"".join([f[1] for f in found]), np.uint16)
+        last, places = np.cumsum(sizes, dtype=np.int64), np.asarray(places, np.int64)
+        return ids, places[last - sizes], places[last], ",".join([f[2] for f in found])
+
     def encode(self, text: str) -> tuple[list[int], list[int], list[int]]:
         """Ids of a whole text with the source bytes where each piece begins and ends.
 
         Of the bytes of a character that is no piece, the last one spans the character, those before it are empty.
         """
-        text, places = self.normalize(text, aligned=True)
-        ids, begin, end, at = [], [], [], 0
-        for chunk in self.chunks(text):
-            for part in self.merge(chunk):
-                lo, hi = places[at], places[at + len(part)]
-                known = self.id.get(part)
-                some = [self.byte_id[b] for b in part.encode()] if known is None else [known]
-                ids += some
-                begin += [lo] * len(some)
-                end += [lo] * (len(some) - 1) + [hi]
-                at += len(part)
-        return ids, begin, end
+        return tuple(a.tolist() for a in self.spans(text, {})[:3])
 
     def surface(self, ids: list[int]) -> str:
         """The pieces of the ids one after another, marks as spaces; runs of byte pieces are read as UTF-8.
 
         A byte that belongs to no whole character gives one replacement character.
         """
-        out, run = [], bytearray()
+        try:
+            return "".join(map(self.text_of.__getitem__, ids))
+        except TypeError:  # there are byte pieces
+            out, run = [], bytearray()
 
         def flush() -> None:
             at = 0
@@ -260,10 +286,7 @@ class Model:
                 continue
             if run:
                 flush()
-            if i in self.unknown:
-                out.append(self.unknown_text)
-            elif i not in self.silent:
-                out.append(self.names[i].replace(SPACE, " "))
+            out.append(self.text_of[i])
         flush()
         return "".join(out)
 
@@ -290,45 +313,36 @@ class Model:
 def encode_documents(docs: DataFrame, model: bytes, with_pieces: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encodes every whole text with a SentencePiece BPE model and decodes the ids again.
 
-    Each task normalises its texts, cuts them where no merge can cross, merges each distinct chunk once and puts the
-    documents together from the chunks' ids and decoded pieces; the model's bytes (under a megabyte, fixed by the file) go with the plan.
+    Each task normalises its texts with the source byte of every character, cuts them where no merge can cross, merges each distinct chunk
+    once, lays the chunks' pieces over the text and decodes the ids of the whole text; the model's bytes (under a megabyte, fixed by the file) go with the plan.
     No shuffle and no state across tasks; the table of chunks starts anew beyond ``TABLE_CHUNKS`` (memory only). Null and empty
     texts have no tokens and the hashes of the empty string; repeated rows repeat; an empty table gives no rows. ``with_pieces`` adds
-    the arrays ``ids``, ``begins`` and ``ends``: the original bytes (of the text's UTF-8) that each piece covers.
+    the arrays ``ids``, ``begins`` and ``ends``: the original bytes (of the text's UTF-8) that each piece covers; ``spans_crc32`` is theirs
+    (unsigned; all begins, then all ends, as little-endian 64-bit numbers).
     """
 
     def run(batches):
         m = Model(model)
-        table: dict[str, tuple] = {}  # chunk: number of ids, their decimal names, decoded text
-
-        def coded(chunk: str) -> tuple:
-            if len(table) > TABLE_CHUNKS:
-                table.clear()
-            ids = m.ids(chunk)
-            out = table[chunk] = (len(ids), ",".join(map(str, ids)), m.surface(ids))
-            return out
+        table: dict[str, tuple] = {}
 
         for b in batches:
             for lo in range(0, b.num_rows, 200):
                 some = b.slice(lo, 200)
-                n_tokens, id_sha, text_sha, arrays = [], [], [], []
+                n_tokens, id_sha, text_sha, spans_crc, arrays = [], [], [], [], []
                 for text in some.column(1).to_pylist():
-                    whole, _ = m.normalize(text or "")
-                    known = table.get
-                    found = [known(c) or coded(c) for c in m.chunks(whole)]
-                    n_tokens.append(sum([f[0] for f in found]))
-                    id_sha.append(hashlib.sha256(",".join([f[1] for f in found]).encode()).hexdigest())
-                    first = [int(i) for i in found[0][1].split(",")] if found else []
-                    back = m.trimmed("".join([f[2] for f in found]), first)
-                    text_sha.append(hashlib.sha256(back.encode("utf-8", "replace")).hexdigest())
+                    ids, begins, ends, names_of = m.spans(text or "", table)
+                    n_tokens.append(len(ids))
+                    id_sha.append(hashlib.sha256(names_of.encode()).hexdigest())
+                    text_sha.append(hashlib.sha256(m.decode(ids.tolist()).encode("utf-8", "replace")).hexdigest())
+                    spans_crc.append(zlib.crc32(ends.astype("<i8").tobytes(), zlib.crc32(begins.astype("<i8").tobytes())))
                     if with_pieces:
-                        arrays.append(m.encode(text or ""))
+                        arrays.append((ids, begins, ends))
                 columns = [some.column(0), pa.array(n_tokens, pa.int64()), pa.array(id_sha, pa.string()), pa.array(text_sha, pa.string())]
                 names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
                 if with_pieces:
                     columns += [pa.array([a[k] for a in arrays], pa.list_(pa.int64())) for k in range(3)]
                     names += ["ids", "begins", "ends"]
-                yield pa.RecordBatch.from_arrays(columns, names)
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(spans_crc, pa.int64())], [*names, "spans_crc32"])
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return id_text(docs, id_col, text_col).mapInArrow(run, schema + ", ids array<long>, begins array<long>, ends array<long>" * with_pieces)
+    return id_text(docs, id_col, text_col).mapInArrow(run, schema + ", ids array<long>, begins array<long>, ends array<long>" * with_pieces + ", spans_crc32 long")

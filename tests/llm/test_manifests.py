@@ -209,6 +209,17 @@ def test_sentencepiece_documents(spark):
         pieces.Model(MODEL[:2000])
 
 
+def test_sentencepiece_query_has_the_spans(spark):
+    """The query's rows come with the source bytes of every piece, as the library gives them."""
+    sp = sentencepiece.SentencePieceProcessor(model_proto=MODEL)
+    want = {}
+    for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect():
+        at = [(p.begin, p.end) for p in sp.encode(r.text or "", return_type="proto").pieces]
+        spans = [a for a, _ in at] + [b for _, b in at]
+        want[r.doc_id] = zlib.crc32(np.array(spans, "<i8").tobytes())
+    assert {r.doc_id: r.spans_crc32 for r in QUERIES["op13_sentencepiece"](spark, "/root/testdata/sf0.001").collect()} == want
+
+
 @pytest.mark.parametrize("name", ["op11_yinyang_clustering", "op12_merkle_manifest", "op13_sentencepiece"])
 def test_queries_keep_rows(spark, name):
     table = "embeddings" if name.startswith("op11") else "documents"
