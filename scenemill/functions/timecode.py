@@ -10,6 +10,12 @@ def _parts(sec: Column) -> tuple[Column, Column, Column]:
     return F.floor(sec / 3600).cast("int"), ((sec % 3600) / 60).cast("int"), (sec % 60).cast("int")
 
 
+def digits(number: Column, width: int) -> Column:
+    """A whole number as ``%0{width}d`` prints it; numbers that fit, nearly all, need no formatter."""
+    fits = (number >= 0) & (number < 10**width)
+    return F.when(fits, F.substring((number + F.lit(10**width)).cast("string"), 2, width)).otherwise(F.format_string(f"%0{width}d", number))
+
+
 def to_srt(sec: Column) -> Column:
     """HH:MM:SS,mmm with truncated milliseconds."""
     return F.format_string("%02d:%02d:%02d,%03d", *_parts(sec), ((sec % 1) * 1000).cast("int"))

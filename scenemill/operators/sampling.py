@@ -5,10 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import timecode as tc
+
 #: Grid points of a video that share one task.
 POINTS = 4096
 
 
+def _dealt(lots: DataFrame) -> DataFrame:
+    """Rows that stand for POINTS points each, dealt over all tasks before they are made points: a small file is one task's, whatever it grows to.
+
+    With a number of partitions, so that Spark does not join the small rows again.
+    """
+    return lots.repartition(int(lots.sparkSession.conf.get("spark.sql.shuffle.partitions")), "video_id", "_lot")
+
+
 def frame_grid(videos: DataFrame, sample_fps: float = 1.0) -> DataFrame:
     """SRC20: the frame numbers that are looked at in each of videos(video_id, fps, total_frames): every max(1, int(fps / sample_fps)).
 
@@ -21,7 +31,7 @@ def frame_grid(videos: DataFrame, sample_fps: float = 1.0) -> DataFrame:
     last = F.floor((F.col("_total") - 1) / F.col("interval"))
     lots = some.withColumn("_last", last).withColumn("_lot", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(last / POINTS))))
     low = F.col("_lot") * POINTS
-    each = lots.withColumn("sample", F.explode(F.sequence(low, F.least(low + POINTS - 1, F.col("_last")))))
+    each = _dealt(lots).withColumn("sample", F.explode(F.sequence(low, F.least(low + POINTS - 1, F.col("_last")))))
     return each.select("video_id", "interval", "sample", (F.col("sample") * F.col("interval")).alias("frame_no"))
 
 
@@ -65,8 +75,8 @@ def keyframes(videos: DataFrame, step: float = 5.0) -> DataFrame:
     count = F.ceil(F.col("duration") / step).cast("long")
     lots = videos.where("duration > 0").withColumn("_n", count).withColumn("_lot", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / POINTS))))
     low = F.col("_lot") * POINTS
-    t = lots.withColumn("_i", F.explode(F.sequence(low, F.least(low + POINTS, F.col("_n")) - 1))).withColumn("seconds", F.col("_i") * F.lit(float(step)))
+    t = _dealt(lots).withColumn("_i", F.explode(F.sequence(low, F.least(low + POINTS, F.col("_n")) - 1))).withColumn("seconds", F.col("_i") * F.lit(float(step)))
     t = t.withColumn("frame_no", (F.col("seconds") * F.col("fps")).cast("long"))
     at = [F.floor(F.col("seconds") / 3600), F.floor(F.col("seconds") % 3600 / 60), F.floor(F.col("seconds") % 60), F.floor(F.col("seconds") % 1 * 1000)]
-    name = F.format_string("keyframe_%06d_%02d%02d%02d%03d.jpg", "frame_no", *[x.cast("long") for x in at])
+    name = F.concat(F.lit("keyframe_"), tc.digits(F.col("frame_no"), 6), F.lit("_"), *[tc.digits(x.cast("long"), n) for x, n in zip(at, (2, 2, 2, 3))], F.lit(".jpg"))
     return t.select("video_id", "seconds", "frame_no", name.alias("file_name"))

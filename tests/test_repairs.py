@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scenemill.functions import scoring, text, timecode
-from scenemill.operators import catalog, timeline
+from scenemill.operators import catalog, sampling, timeline
 from scenemill.sources import files
 
 
@@ -120,3 +120,17 @@ def test_score_defaults(spark):
     got = rows.select(scoring.emotion_or_default(F.col("s"), F.col("t")).alias("e"), scoring.visual_or_default(F.col("s"), F.col("t")).alias("v"), scoring.audio_or_default(F.col("s"), F.col("t"), F.lit(0.4)).alias("a")).collect()
     assert [tuple(r) for r in got] == [(0.1, 0.2, 0.4), (0.2, 0.3, 0.3), (0.7, 0.7, 0.7)]
     assert [one(spark, "x" * 10, lambda c, k=k: scoring.cue_milliseconds(c, k)) for k in ("floor_800", "plain", "floor_1000")] == [1800, 2000, 2000]
+
+
+def test_points_are_dealt(spark):
+    """The points of one small file of videos are made in many tasks, in keyframes and in frame grids."""
+    videos = spark.range(0, 40, 1, 1).selectExpr("id as video_id", "25.0 as fps", "20000.5D as duration", "500000 as total_frames")
+    for made in (sampling.keyframes(videos, 2.5), sampling.frame_grid(videos)):
+        sizes = [r["count"] for r in made.groupBy(F.spark_partition_id().alias("task")).count().collect()]
+        assert len(sizes) == 4 and max(sizes) < 0.5 * sum(sizes)
+
+
+def test_digits(spark):
+    rows = spark.createDataFrame([(0,), (7,), (99,), (100,), (12345,), (-3,), (None,)], "n long")
+    got = rows.select(timecode.digits(F.col("n"), 2).alias("a"), F.format_string("%02d", "n").alias("b")).collect()
+    assert all(r.a == r.b for r in got)
