@@ -294,8 +294,8 @@ def narration_answers(spark, sf):
 SELECT script_id, ord, CASE WHEN ord != 3 THEN printf('%02d:%02d-%02d:%02d', CAST((e - len) // 60 AS BIGINT), CAST((e - len) % 60 AS BIGINT), CAST(e // 60 AS BIGINT), CAST(e % 60 AS BIGINT)) END AS new_timestamp, CASE WHEN ord = 2 THEN '原声播放_' || left(md5(script_id || '/' || ord), 8) ELSE 'n' END AS narration FROM e""")
 def new_timestamps_long(spark, sf):
     """Edits of over 100 minutes, ranges without a dash, blank narrations."""
-    items = _items(spark, sf).groupBy("script_id", "ord").agg(F.min("duration").alias("q"))
-    stamp = F.when(F.col("ord") == 3, "05:00").otherwise(F.format_string("00:00-59:%02d", F.floor("q") % 60))
+    items = _items(spark, sf).select("script_id", "ord", "duration").repartition("script_id").groupBy("script_id", "ord").agg(F.min("duration").alias("q"))
+    stamp = F.when(F.col("ord") == 3, "05:00").otherwise(F.concat(F.lit("00:00-59:"), timecode.digits(F.floor("q") % 60, 2)))
     items = items.withColumns({"timestamp": stamp, "narration": F.when(F.col("ord") == 2, "").otherwise("n")})
     return timeline.new_timestamps(items, minutes=True).select("script_id", "ord", "new_timestamp", "narration")
 
@@ -307,9 +307,9 @@ _HMS = "printf('%02d:%02d:%02d,%03d', CAST({0} // 3600000 AS BIGINT), CAST({0} /
 SELECT script_id, ord, {_HMS.format('(e - len)')} || '-' || {_HMS.format('e')} AS new_timestamp FROM e""")
 def new_timestamps_full(spark, sf):
     """Places in the edit with milliseconds, from codes of minutes and of hours."""
-    items = _items(spark, sf).groupBy("script_id", "ord").agg(F.min("duration").alias("q"))
-    ms = F.format_string("%03d", F.floor("q") % 4 * 250)
-    stamp = F.when(F.col("ord") % 2 == 0, F.concat(F.lit("00:00-"), F.format_string("%02d:00,", "ord"), ms)).otherwise(F.concat(F.lit("00:01:00-"), F.format_string("00:%02d:00,", F.col("ord") + 1), ms))
+    items = _items(spark, sf).select("script_id", "ord", "duration").repartition("script_id").groupBy("script_id", "ord").agg(F.min("duration").alias("q"))
+    ms = timecode.digits(F.floor("q") % 4 * 250, 3)
+    stamp = F.when(F.col("ord") % 2 == 0, F.concat(F.lit("00:00-"), timecode.digits(F.col("ord"), 2), F.lit(":00,"), ms)).otherwise(F.concat(F.lit("00:01:00-00:"), timecode.digits(F.col("ord") + 1, 2), F.lit(":00,"), ms))
     return timeline.new_timestamps(items.withColumn("timestamp", stamp)).select("script_id", "ord", "new_timestamp")
 
 

@@ -16,9 +16,16 @@ def digits(number: Column, width: int) -> Column:
     return F.when(fits, F.substring((number + F.lit(10**width)).cast("string"), 2, width)).otherwise(F.format_string(f"%0{width}d", number))
 
 
+def _joined(sec: Column, numbers: list[Column], widths: tuple, marks: tuple) -> Column:
+    """Numbers of fixed widths, each after its mark; from 0 to 99 hours, nearly always, by their digits, as a formatter is slow and makes the generated code too long to be compiled."""
+    parts = [x for n, w, m in zip(numbers, widths, marks) for x in (F.lit(m), F.substring((n + F.lit(10**w)).cast("string"), 2, w))]
+    known = (sec >= 0) & (sec < (360000 if len(numbers) > 2 else 6000))
+    return F.when(known, F.concat(*parts)).otherwise(F.format_string("".join(f"{m}%0{w}d" for m, w in zip(marks, widths)), *numbers))
+
+
 def to_srt(sec: Column) -> Column:
     """HH:MM:SS,mmm with truncated milliseconds."""
-    return F.format_string("%02d:%02d:%02d,%03d", *_parts(sec), ((sec % 1) * 1000).cast("int"))
+    return _joined(sec, [*_parts(sec), ((sec % 1) * 1000).cast("int")], (2, 2, 2, 3), ("", ":", ":", ","))
 
 
 def to_srt_modulo(sec: Column) -> Column:
@@ -39,7 +46,7 @@ def to_clock(sec: Column) -> Column:
 
 def to_minutes(sec: Column) -> Column:
     """MM:SS, truncated."""
-    return F.format_string("%02d:%02d", F.floor(sec / 60).cast("int"), (sec % 60).cast("int"))
+    return _joined(sec, [F.floor(sec / 60).cast("int"), (sec % 60).cast("int")], (2, 2), ("", ":"))
 
 
 def _num(c: Column) -> Column:
@@ -123,12 +130,18 @@ def add_seconds(start: Column, duration: Column, extra: Column) -> Column:
     return to_srt_modulo((F.round(from_srt(start) * 1000) + F.round(duration * 1000) + F.round(extra * 1000)) / 1000)
 
 
-def relaxed(text: Column) -> Column:
-    """H:M:S, M:S or S, each with ,mmm, to seconds; a bad one is 0."""
-    p = F.split(F.split(F.trim(text), ",")[0], ":")
+def clock_parts(text: Column) -> Column:
+    """The parts of H:M:S, M:S or S before ,mmm."""
+    return F.split(F.substring_index(F.trim(text), ",", 1), ":")
+
+
+def relaxed(text: Column, parts: Column | None = None) -> Column:
+    """H:M:S, M:S or S, each with ,mmm, to seconds; a bad one is 0. ``parts``: a column that holds its :func:`clock_parts`, so that they are cut once."""
+    p = clock_parts(text) if parts is None else parts
+    comma = F.instr(text, ",")
     at = [_num(F.get(p, F.lit(i))) for i in range(3)]
     whole = F.when(F.size(p) == 3, at[0] * 3600 + at[1] * 60 + at[2]).when(F.size(p) == 2, at[0] * 60 + at[1]).otherwise(_num(p[0]))
-    return F.coalesce(whole + F.coalesce(_num(F.get(F.split(text, ","), F.lit(1))), F.lit(0.0)) / 1000, F.lit(0.0))
+    return F.coalesce(whole + F.coalesce(_num(F.when(comma > 0, F.substring_index(F.substr(text, comma + 1), ",", 1))), F.lit(0.0)) / 1000, F.lit(0.0))
 
 
 def ticks(text: Column) -> Column:

@@ -46,13 +46,16 @@ def plot_script(plots: DataFrame, group: str = "script_id") -> DataFrame:
 def new_timestamps(items: DataFrame, group: str = "script_id", order: str = "ord", minutes: bool = False) -> DataFrame:
     """``new_timestamp``, the place of each item of ``timestamp`` 'A-B' in the edit, as HH:MM:SS,mmm; W12 (``minutes``): as MM:SS, and
     blank narrations get a tag of their own. Minutes pass 99 where the edit does. A range without exactly two parts takes no time and gets null."""
-    p = F.split("timestamp", "-")
-    length = tc.relaxed(F.get(p, F.lit(1))) - tc.relaxed(F.get(p, F.lit(0)))
-    length = F.when(F.size(p) == 2, length)
-    end = F.sum(length).over(Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    # Codes are cut, and lengths and ends taken, once a row: a column for each step, as an expression used several times is computed as often.
+    halves = [F.get("_codes", F.lit(i)) for i in range(2)]
+    cut = items.withColumn("_codes", F.split("timestamp", "-")).withColumns({f"_parts{i}": tc.clock_parts(half) for i, half in enumerate(halves)})
+    length = tc.relaxed(halves[1], F.col("_parts1")) - tc.relaxed(halves[0], F.col("_parts0"))
+    timed = cut.withColumn("_length", F.when(F.size("_codes") == 2, length)).drop("_codes", "_parts0", "_parts1")
+    end = F.sum("_length").over(Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
     clock = tc.to_minutes if minutes else tc.to_srt
-    span = F.concat(clock(F.round(end - length, 3)), F.lit("-"), clock(F.round(end, 3)))
-    out = items.withColumn("new_timestamp", F.when(length.isNotNull(), span))
+    placed = timed.withColumn("_end", end).withColumns({"_from": F.round(F.col("_end") - F.col("_length"), 3), "_to": F.round("_end", 3)})
+    span = F.concat(clock(F.col("_from")), F.lit("-"), clock(F.col("_to")))
+    out = placed.withColumn("new_timestamp", F.when(F.col("_length").isNotNull(), span)).drop("_length", "_end", "_from", "_to")
     if not minutes:
         return out
     # Fixed value: how a tag begins.

@@ -312,7 +312,8 @@ def script_text_check(spark, sf):
 r AS (SELECT *, CAST(floor(q) AS BIGINT) % 60 AS len, sum(CAST(floor(q) AS BIGINT) % 60) OVER (PARTITION BY script_id ORDER BY ord) AS e FROM u)
 SELECT script_id, ord, lpad(CAST((e - len) // 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST((e - len) % 60 AS VARCHAR), 2, '0') || '-' || lpad(CAST(e // 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(e % 60 AS VARCHAR), 2, '0') AS new_timestamp FROM r""")
 def new_timestamps(spark, sf):
-    items = _read(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("script_id"), F.col("l_linenumber").alias("ord")).agg(F.min("l_quantity").alias("q"))
+    lines = _read(spark, sf, "lineitem").select(F.col("l_orderkey").alias("script_id"), F.col("l_linenumber").alias("ord"), F.col("l_quantity").alias("q"))
+    items = lines.repartition("script_id").groupBy("script_id", "ord").agg(F.min("q").alias("q"))  # dealt once, for the window too
     stamp = F.concat(F.lit("00:00-00:"), F.lpad((F.floor("q") % 60).cast("string"), 2, "0"))
     return timeline.new_timestamps(items.withColumns({"timestamp": stamp, "narration": F.lit("n")}), minutes=True).select("script_id", "ord", "new_timestamp")
 

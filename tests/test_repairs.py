@@ -134,3 +134,14 @@ def test_digits(spark):
     rows = spark.createDataFrame([(0,), (7,), (99,), (100,), (12345,), (-3,), (None,)], "n long")
     got = rows.select(timecode.digits(F.col("n"), 2).alias("a"), F.format_string("%02d", "n").alias("b")).collect()
     assert all(r.a == r.b for r in got)
+
+
+def test_new_timestamps_cut_codes_once(spark):
+    """However often a length is used, each code is cut and cast once; what a formatter prints stays."""
+    items = spark.createDataFrame([(1, 1, "00:01-00:02,250"), (1, 2, "99:59:58-100:00:00"), (1, 3, "00:00-99:59:59")], "script_id int, ord int, timestamp string")
+    made = timeline.new_timestamps(items)
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("split(") <= 4
+    assert [r.new_timestamp for r in made.orderBy("ord").collect()] == ["00:00:00,000-00:00:01,250", "00:00:01,250-00:00:03,250", "00:00:03,250-100:00:02,250"]
+    codes = spark.createDataFrame([(0.0,), (59.999,), (359999.999,), (360000.0,), (6000.0,), (-1.5,), (None,)], "s double")
+    shown = codes.select(timecode.to_srt(F.col("s")).alias("a"), timecode.to_minutes(F.col("s")).alias("b")).collect()
+    assert [r.a for r in shown[:4]] == ["00:00:00,000", "00:00:59,999", "99:59:59,999", "100:00:00,000"] and [r.b for r in shown[1:5]] == ["00:59", "5999:59", "6000:00", "100:00"]
