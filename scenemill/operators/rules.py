@@ -71,16 +71,18 @@ def _broken(value: Column, check: Column, arg: Column) -> Column:
 def validate(answers: DataFrame, rules: DataFrame, key: str = "answer_id") -> DataFrame:
     """The first broken rule of each of answers(key, name, output_format, output), as ``error`` and ``item`` (from 1; null: the whole).
 
-    An answer is cleaned and parsed once; its items are rows, joined with the rules of its kind (Spark broadcasts them if they are few);
+    An answer is cleaned and parsed once; its items are rows, joined with the rules of its kind, which are few and broadcast: a kind may be most answers, and dealt by kind they would be one task's;
     each rule looks at one field. ``error`` is null for a good answer, ``no_json`` where nothing parses or, for a kind with rules, where it is no object,
     ``no_object`` for an item that is none, ``bad_format`` for an unknown format. New prompts need new rows, no code.
     """
     kind = kind_of(F.col("name"), F.col("output_format"))
-    parsed = answers.select(key, kind.alias("kind"), F.when(kind != "text", F.try_parse_json(clean_answer(F.col("output")))).alias("v"))
+    # dealt once by key: a small file is read by one task, and the first broken rule and the answer meet where they are
+    dealt = answers.select(key, "name", "output_format", "output").repartition(int(answers.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+    parsed = dealt.select(key, kind.alias("kind"), F.when(kind != "text", F.try_parse_json(clean_answer(F.col("output")))).alias("v"))
     shape = _shape(F.col("v"))
     # The object itself is item 0, then the items of every list that rules of its kind name.
     known = rules.groupBy("kind").agg(F.collect_set("list").alias("lists"))
-    whole = parsed.join(known, "kind", "left").withColumn("fields", F.when(shape == "OBJECT", F.try_variant_get("v", "$", "map<string,variant>")))
+    whole = parsed.join(F.broadcast(known), "kind", "left").withColumn("fields", F.when(shape == "OBJECT", F.try_variant_get("v", "$", "map<string,variant>")))
     first = F.when(F.col("kind").isNull(), "bad_format").when((F.col("kind") != "text") & (F.col("v").isNull() | (F.col("lists").isNotNull() & (shape != "OBJECT"))), "no_json")
     whole = whole.withColumn("broken", first).drop("v")
     found = F.transform("lists", lambda name: F.transform(F.try_variant_get(F.try_element_at("fields", name), "$", "array<variant>"), lambda item, i: F.struct(name.alias("list"), (i + 1).alias("item"), item.alias("value"))))
@@ -89,7 +91,7 @@ def validate(answers: DataFrame, rules: DataFrame, key: str = "answer_id") -> Da
     objects = whole.where("broken is null and lists is not null").select(key, "kind", F.lit(None).cast("string").alias("list"), F.lit(0).alias("item"), "fields", F.lit(False).alias("no_object"))
     of_items = items.select(key, "kind", "list", "item", F.when(_shape(F.col("value")) == "OBJECT", F.try_variant_get("value", "$", "map<string,variant>")).alias("fields"), (_shape(F.col("value")) != "OBJECT").alias("no_object"))
     r = rules.select(F.col("kind").alias("_kind"), F.col("list").alias("_list"), "ord", "field", "check", "arg", "error")
-    tested = objects.unionByName(of_items).join(r, (F.col("kind") == F.col("_kind")) & F.col("list").eqNullSafe(F.col("_list")))
+    tested = objects.unionByName(of_items).join(F.broadcast(r), (F.col("kind") == F.col("_kind")) & F.col("list").eqNullSafe(F.col("_list")))
     bad = tested.where(F.col("no_object") | _broken(F.try_element_at("fields", F.col("field")), F.col("check"), F.col("arg")))
     worst = bad.groupBy(key).agg(F.min(F.struct("item", "ord", F.when(F.col("no_object"), "no_object").otherwise(F.col("error")).alias("error"))).alias("first"))
     out = whole.select(key, "broken").join(worst.withColumnRenamed(key, "_key"), F.col(key) == F.col("_key"), "left")

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scenemill.functions import scoring, text, timecode
-from scenemill.operators import catalog, sampling, timeline
+from scenemill.operators import catalog, rules, sampling, timeline
 from scenemill.sources import files
 
 
@@ -145,3 +145,11 @@ def test_new_timestamps_cut_codes_once(spark):
     codes = spark.createDataFrame([(0.0,), (59.999,), (359999.999,), (360000.0,), (6000.0,), (-1.5,), (None,)], "s double")
     shown = codes.select(timecode.to_srt(F.col("s")).alias("a"), timecode.to_minutes(F.col("s")).alias("b")).collect()
     assert [r.a for r in shown[:4]] == ["00:00:00,000", "00:00:59,999", "99:59:59,999", "100:00:00,000"] and [r.b for r in shown[1:5]] == ["00:59", "5999:59", "6000:00", "100:00"]
+
+
+def test_answers_are_not_dealt_by_kind(spark):
+    """Answers of one kind stay in many tasks: rules are broadcast, and only keys are dealt."""
+    answers = spark.range(0, 20, 1, 2).selectExpr("id as answer_id", "'narration' as name", "'json' as output_format", "'{\"items\": []}' as output")
+    made = rules.validate(answers, rules.default_rules(spark))
+    assert "SortMergeJoin [kind" not in made._jdf.queryExecution().executedPlan().toString()
+    assert {(r.error, r.item) for r in made.collect()} == {("empty_items", None)}
