@@ -50,3 +50,23 @@ def test_phrase_cues(spark):
     got = [tuple(r) for r in matching.phrase_cues(items, words, sentences).collect()]
     assert got == [(1, 1, 0.0, 2.0, "one"), (1, 2, 2.0, 4.0, "two"), (1, 3, 6.0, 7.0, "a very long part of it"), (1, 4, 7.0, 10.0, "end")]
     assert matching.phrase_cues(items, words.where("false"), sentences).count() == 0
+
+
+def test_distance_of_all_kinds():
+    """Against the whole table, and long texts in a bit a character."""
+    import random
+    import time
+
+    rng = random.Random(1)
+    for _ in range(500):
+        x, y = ("".join(rng.choice("abcé") for _ in range(rng.randint(0, 12))) for _ in range(2))
+        row = list(range(len(y) + 1))
+        for i, c in enumerate(x, 1):
+            last, row = row, [i]
+            for k, d in enumerate(y, 1):
+                row.append(min(last[k] + 1, row[-1] + 1, last[k - 1] + (c != d)))
+        assert matching._distance(x, y) == row[-1]
+    began = time.process_time()
+    for _ in range(40):
+        matching.likeness("".join(rng.choices("abcdef ", k=2000)), "".join(rng.choices("abcdef ", k=1900)))
+    assert time.process_time() - began < 0.5
