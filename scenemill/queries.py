@@ -672,11 +672,16 @@ def _turns(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _spoken(spark: SparkSession, sf: str) -> DataFrame:
-    """Words of the turns, half a second each; every fifth conversation has one misheard word a turn."""
-    w = _turns(spark, sf).select("job", "line_no", F.posexplode(F.split("line", " ", -1)).alias("pos", "word"))
+    """Words of the turns."""
+    return _words(_turns(spark, sf))
+
+
+def _words(turns: DataFrame, *more: str) -> DataFrame:
+    """Words of turns, half a second each; every fifth conversation has one misheard word a turn."""
+    w = turns.select("job", "line_no", *more, F.posexplode(F.split("line", " ", -1)).alias("pos", "word"))
     no = F.col("line_no") * 100000 + F.col("pos")
     word = F.when((F.col("job") % 5 == 0) & (F.col("pos") == 3), "x").otherwise(F.col("word"))
-    return w.select("job", "line_no", no.alias("word_no"), (no * 0.5).alias("start"), (no * 0.5 + 0.5).alias("end"), word.alias("word"))
+    return w.select("job", "line_no", *more, no.alias("word_no"), (no * 0.5).alias("start"), (no * 0.5 + 0.5).alias("end"), word.alias("word"))
 
 
 @query(
@@ -719,8 +724,7 @@ def spoken_phrases(spark: SparkSession, sf: str) -> DataFrame:
     """Each turn is a part of its own, spoken over a ten-second item."""
     turns, by_job = _turns(spark, sf), Window.partitionBy("job").orderBy("line_no")
     items = turns.select("job", F.col("line_no").alias("item_no"), (F.col("line_no") * 10.0).alias("start"), (F.col("line_no") * 10.0 + 10).alias("end"), F.lit(0).alias("OST"))
-    parts = turns.select("job", "line_no", F.row_number().over(by_job).alias("part"))
-    words = _spoken(spark, sf).join(parts, ["job", "line_no"]).select("job", "part", "word_no", "start", "end", "word")
+    words = _words(turns.withColumn("part", F.row_number().over(by_job)), "part").drop("line_no")
     first = F.min("start").over(Window.partitionBy("job", "part"))
     words = words.withColumns({"start": F.col("start") - first, "end": F.col("end") - first})
     return matching.phrase_cues(items, words, turns.select("job", F.col("line_no").alias("sentence_no"), F.regexp_replace("line", " ", "").alias("sentence")))

@@ -70,3 +70,29 @@ def test_distance_of_all_kinds():
     for _ in range(40):
         matching.likeness("".join(rng.choices("abcdef ", k=2000)), "".join(rng.choices("abcdef ", k=1900)))
     assert time.process_time() - began < 0.5
+
+
+def test_phrase_cues_meet_once(spark):
+    """Words of all files meet in one exchange by file and are folded as they come, over batches of any size; parts without item, words of no file and files without words have no rows."""
+    job = "if(id % 7 = 6, null, id % 7)"
+    words = spark.range(4000).selectExpr(f"{job} as job", "cast(id div 400 as int) as part", "id as word_no", "id * 1.0D as start", "id * 1.0D + 1 as end", "concat('w', id) as word")
+    items = spark.range(64).selectExpr("id % 8 as job", "id div 8 as item_no", "id * 1.0D as start", "id * 1.0D + 2 as end", "if(id div 8 = 3, 1, 0) as OST")
+    sentences = spark.createDataFrame([(k, n, t) for k in range(8) for n, t in enumerate((None, f"w{400 + k}w", "no"))], "job long, sentence_no int, sentence string")
+    got = matching.phrase_cues(items, words, sentences)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(job") == 2 and "CoGroup" not in plan  # the other one numbers the items
+    was = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+        rows = sorted(tuple(r) for r in got.collect())
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", was)
+    want = []
+    for k in range(6):
+        placed = [(i * 8 + k) * 1.0 for i in range(8) if i != 3]
+        mine = [(n // 400, n) for n in range(4000) if n % 7 == k and 1 <= n // 400 <= 7]
+        last = dict(mine)
+        ratio = {p: 2.0 / (n + 1.0) for p, n in last.items()}
+        said = [(p, placed[p - 1] + n * ratio[p], placed[p - 1] + (n + 1.0) * ratio[p], f"w{n}") for p, n in mine]
+        want += [(k, n, *cue) for n, cue in enumerate(matching.phrase_words(said, ["", f"w{400 + k}w", "no"]), 1)]
+    assert rows == sorted(want)
