@@ -412,6 +412,47 @@ def test_fuzzy_passage_of_common_seeds(spark, monkeypatch, sizes):
     assert _found(spark, [*texts, texts[13], texts[13]])[0] == {(13, 6), (20, 6), (20, 13), (21, 13), (22, 13)}
 
 
+def _ties_kept(every, some):
+    """Each passage of the whole list ties two stretches of one class; how many do not."""
+    stretch = {}
+    for r in some:
+        stretch.setdefault(r.doc_id, []).append((r.start_word, r.start_word + r.n_words, r.class_id))
+        stretch.setdefault(r.partner_id, []).append((r.partner_start, r.partner_start + r.partner_words, r.class_id))
+    of = lambda i, a, n: {c for lo, hi, c in stretch.get(i, []) if lo < a + n and a < hi}
+    return sum(not of(r.doc_id, r.start_word, r.n_words) & of(r.partner_id, r.partner_start, r.partner_words) for r in every)
+
+
+@pytest.mark.parametrize("sizes", [(1_000_000, 4, 2_000_000, 100), (200, 1, 300, 2)])
+def test_classes_of_passages(spark, monkeypatch, sizes):
+    """A class of m passages has about m rows, not m squared; no link of the whole list is lost, with common lines and with passages of common seeds."""
+    for name, value in zip(("BLOCK", "BLOCKS", "PAIRS", "COMMON"), sizes):
+        monkeypatch.setattr(chaining, name, value)
+    rng = random.Random(11)
+    own = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    line, exact, near, lines = own(9), own(68), own(160), [own(20) for _ in range(3)]
+    texts = [own(30) + line + own(30) for _ in range(20)]
+    texts += [own(rng.randrange(90)) + exact + own(20) + line for _ in range(20)]
+    for _ in range(20):
+        copy = list(near)
+        for k in rng.sample(range(160), 8):
+            copy[k] = own(1)[0]
+        texts.append(copy)
+    texts += [own(30) + x + own(30) for x in lines]
+    texts += [own(40) + sum(lines, []) + own(40) for _ in range(2)]
+    texts += [texts[25], own(10) + near[:100] + own(70) + exact + line]
+    texts += [own(80) + line + own(8) + lines[0] + own(3) + line + lines[1][:18] + own(20) for _ in range(2)]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    every, some = chaining.fuzzy_passages(docs, 50, 0.8).collect(), chaining.passage_classes(docs, 50, 0.8).collect()
+    assert _ties_kept(every, some) == 0 and len(every) > 350 and len(some) < 100
+    whole = {(r.doc_id, r.partner_id) for r in every}
+    assert {(r.doc_id, r.partner_id) for r in some} <= whole and (64, 63) in whole
+    of = {}
+    for r in some:
+        of.setdefault(r.class_id, set()).update((r.doc_id, r.partner_id))
+    classes = sorted(map(len, of.values()))
+    assert classes[-2:] == [21, 22]
+
+
 def test_fuzzy_passages_edited_to_the_bound(spark):
     rng = random.Random(5)
     own = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
